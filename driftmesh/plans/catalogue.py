@@ -1,11 +1,668 @@
-"""Every query of the library by name."""
+"""Every query of the library by name, with SQL for those that SQL can express.
+
+Particles come from orders: pid is the order's key, integer coordinates in a periodic box of 1000 a side,
+q the price in cents.  Integer coordinates keep strict cut-offs and sums exact.
+"""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.space import Space, axis_factors, cross_offsets, hat, m4_prime, morton, offsets
+from ..operators import decomposition as dc
+from ..operators import graph as gr
+from ..operators import grid as gd
+from ..operators import neighbors as nb
+from ..operators import particles as pt
+from ..sources import files
+
+L, R, DIV, XYZ = 1000, 40, (2, 2, 2), ("x", "y", "z")
+BOX = Space(XYZ, (0, 0, 0), (L, L, L), (True, True, True))
+OPEN = Space(XYZ, (0, 0, 0), (L, L, L), (False, False, False))
+AXES = ("i", "j", "k")
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def longs(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select(*[F.col(c).cast("long").alias(c) for c in cols])
+
+
+def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    q = F.round(F.col("o_totalprice") * 100).cast("long")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    return o.select(key.alias("pid"), ((key * 7919 + cust * 13) % L).alias("x"), ((cust * 6151 + key * 31) % L).alias("y"), (q % L).alias("z"), q.alias("q"))
+
+
+P = """p AS (SELECT o_orderkey AS pid, (o_orderkey * 7919 + o_custkey * 13) % 1000 AS x, (o_custkey * 6151 + o_orderkey * 31) % 1000 AS y,
+  CAST(round(o_totalprice * 100) AS BIGINT) % 1000 AS z, CAST(round(o_totalprice * 100) AS BIGINT) AS q FROM orders)"""
+OWNER = "((x // 500) * 4 + (y // 500) * 2 + z // 500)"
+S3 = "(VALUES (-1), (0), (1))"
+
+
+def pairs_sql(r: int = R, probe: str = "p", build: str = "p") -> str:
+    """Candidate pairs by cells of side r, and their squared distance."""
+    cut = " AND ".join(f"b.{c} + s{c} * 1000 >= -{r} AND b.{c} + s{c} * 1000 < {L + r}" for c in XYZ)
+    return f"""img AS (SELECT b.pid AS qid, {", ".join(f"b.{c} + s{c} * 1000 AS q{c}" for c in XYZ)}, b.q AS qq, sx, sy, sz
+  FROM {build} b, {S3} a(sx), {S3} b2(sy), {S3} c(sz) WHERE {cut}),
+near AS (SELECT a.*, {", ".join(f"a.{c} // {r} + d{c} AS c{c}" for c in XYZ)} FROM {probe} a, {S3} u(dx), {S3} v(dy), {S3} w(dz)),
+cand AS (SELECT n.pid, n.x, n.y, n.z, n.q, qid, qx, qy, qz, qq, sx, sy, sz, (n.x - qx) ** 2 + (n.y - qy) ** 2 + (n.z - qz) ** 2 AS d2
+  FROM near n JOIN img ON {" AND ".join(f"n.c{c} = CAST(floor(q{c} / {r}.0) AS BIGINT)" for c in XYZ)}),
+pairs AS (SELECT * FROM cand WHERE d2 < {r * r} AND NOT (pid = qid AND sx = 0 AND sy = 0 AND sz = 0))"""
+
+
+# particles
+
+
+@query(f"WITH {P} SELECT pid, ((x * 3 - 1000) % 1000 + 1000) % 1000 AS x, (y + 1000) % 1000 AS y, z FROM p")
+def pbc_wrap(spark, sf):
+    p = particles(spark, sf).withColumns({"x": F.col("x") * 3 - 1000, "y": F.col("y") + L})
+    return longs(BOX.wrapped(p), "pid", *XYZ)
+
+
+@query(f"WITH {P} SELECT {OWNER} AS proc_id, count(*)::BIGINT AS n FROM p GROUP BY 1")
+def map_owner_counts(spark, sf):
+    return longs(pt.sizes(pt.map_rows(particles(spark, sf), BOX, pt.box_owner(BOX, DIV))), "proc_id", "n")
+
+
+@query(f"WITH {P}, m AS (SELECT pid, x + 137 AS x, y - 211 AS y FROM p) SELECT pid, x, y FROM m WHERE x <= 1000 AND y >= 0")
+def oob_kill(spark, sf):
+    p = particles(spark, sf).withColumns({"x": F.col("x") + 137, "y": F.col("y") - 211})
+    return longs(pt.map_rows(p, OPEN, pt.box_owner(OPEN, DIV)), "pid", "x", "y")
+
+
+@query(f"WITH {P} SELECT pid FROM p WHERE x >= 100 AND x < 300 AND y >= 100 AND y < 300 AND z >= 100 AND z < 300")
+def is_in_box(spark, sf):
+    return particles(spark, sf).where(Space(XYZ, (100,) * 3, (300,) * 3, (True,) * 3).inside()).select("pid")
+
+
+@query()
+def lattice(spark, sf):
+    return pt.lattice(spark, (10, 10, 10), BOX)
+
+
+GHOSTS = f"""{P}, g AS (SELECT pid, q, ox * 4 + oy * 2 + oz AS dst, sx, sy, sz FROM p, {S3} a(sx), {S3} b(sy), {S3} c(sz), (VALUES (0), (1)) d(ox), (VALUES (0), (1)) e(oy), (VALUES (0), (1)) f(oz)
+  WHERE {" AND ".join(f"{c} + s{c} * 1000 >= o{c} * 500 - 40 AND {c} + s{c} * 1000 < o{c} * 500 + 540" for c in XYZ)}
+  AND NOT (sx = 0 AND sy = 0 AND sz = 0 AND ox * 4 + oy * 2 + oz = {OWNER}))"""
+
+
+@query(f"WITH {GHOSTS} SELECT dst::BIGINT AS dst, count(*)::BIGINT AS n FROM g GROUP BY 1")
+def ghost_counts(spark, sf):
+    return longs(pt.ghosts(particles(spark, sf), BOX, DIV, R).groupBy("dst").agg(F.count("*").alias("n")), "dst", "n")
+
+
+@query(f"WITH {GHOSTS} SELECT pid, dst::BIGINT AS dst, sx::BIGINT AS s_x, sy::BIGINT AS s_y, sz::BIGINT AS s_z FROM g")
+def ghost_rows(spark, sf):
+    return longs(pt.ghosts(particles(spark, sf), BOX, DIV, R), "pid", "dst", "s_x", "s_y", "s_z")
+
+
+@query(f"WITH {GHOSTS} SELECT pid, sum(v)::BIGINT AS v FROM (SELECT pid, q AS v FROM p UNION ALL SELECT pid, dst + 1 FROM g) GROUP BY pid")
+def ghost_put_add(spark, sf):
+    p = particles(spark, sf)
+    g = pt.ghosts(p, BOX, DIV, R).select("pid", (F.col("dst") + 1).alias("v"))
+    return longs(pt.ghost_put(p.withColumn("v", F.col("q")), g, "pid", {"v": F.sum("v")}), "pid", "v")
+
+
+@query(f"WITH {GHOSTS} SELECT pid, string_agg(d::VARCHAR, ',' ORDER BY d) AS procs FROM (SELECT pid, {OWNER} AS d FROM p UNION ALL SELECT pid, dst FROM g) GROUP BY pid")
+def ghost_put_merge(spark, sf):
+    p = particles(spark, sf)
+    own = p.withColumn("v", F.array(pt.box_owner(BOX, DIV)))
+    merged = pt.ghost_put(own, pt.ghosts(p, BOX, DIV, R).select("pid", F.array("dst").alias("v")), "pid", {"v": F.flatten(F.collect_list("v"))})
+    return merged.select("pid", F.array_join(F.sort_array("v").cast("array<string>"), ",").alias("procs"))
+
+
+@query(f"WITH {P} SELECT {OWNER} AS proc_id, sum(q)::BIGINT AS total, max(q) AS most FROM p GROUP BY 1")
+def reduce_by_proc(spark, sf):
+    p = particles(spark, sf).withColumn("proc_id", pt.box_owner(BOX, DIV))
+    return longs(p.groupBy("proc_id").agg(F.sum("q").alias("total"), F.max("q").alias("most")), "proc_id", "total", "most")
+
+
+@query(f"WITH {P} SELECT sum(q)::BIGINT AS total FROM p")
+def reduce_sum(spark, sf):
+    return longs(particles(spark, sf).agg(F.sum("q").alias("total")), "total")
+
+
+@query(f"WITH {P} SELECT max(q) AS most FROM p")
+def reduce_max(spark, sf):
+    return longs(particles(spark, sf).agg(F.max("q").alias("most")), "most")
+
+
+@query(f"WITH {P} SELECT {OWNER} AS proc_id, count(*)::BIGINT AS n FROM p GROUP BY 1")
+def proc_sizes(spark, sf):
+    return longs(pt.sizes(particles(spark, sf).withColumn("proc_id", pt.box_owner(BOX, DIV))), "proc_id", "n")
+
+
+@query(f"WITH {P}, c AS (SELECT {OWNER} AS proc_id, count(*) AS n FROM p GROUP BY 1) SELECT proc_id, n::BIGINT AS n, coalesce(sum(n) OVER (ORDER BY proc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM c")
+def proc_prefix(spark, sf):
+    return longs(pt.prefix(proc_sizes(spark, sf)), "proc_id", "n", "start")
+
+
+@query(f"WITH {P} SELECT pid FROM p WHERE q % 3 <> 0")
+def remove_marked(spark, sf):
+    return pt.remove_marked(particles(spark, sf), (F.col("q") % 3 == 0).cast("int")).select("pid")
+
+
+@query(f"WITH {P} SELECT pid FROM p WHERE q % 7 = 2")
+def ids_by_type(spark, sf):
+    return pt.ids_by(particles(spark, sf), F.col("q") % 7 == 2)
+
+
+@query(f"WITH {P} SELECT pid FROM p WHERE pid NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def remove_ids(spark, sf):
+    ids = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("pid"))
+    return pt.remove_ids(particles(spark, sf), ids).select("pid")
+
+
+@query(f"WITH {P} SELECT pid, q % 3 AS subset FROM p WHERE q % 3 = 1")
+def subset_view(spark, sf):
+    return longs(pt.subset(particles(spark, sf).withColumn("subset", F.col("q") % 3), 1), "pid", "subset")
+
+
+@query(f"WITH {P} SELECT pid, (z // 125) * 64 + (y // 125) * 8 + x // 125 AS sfc_key FROM p")
+def reorder_linear(spark, sf):
+    return longs(pt.reorder(particles(spark, sf), BOX, 3, "linear"), "pid", "sfc_key")
+
+
+MORTON = "(" + " | ".join(f"((({c} // 125) >> {b} & 1) << {3 * b + a})" for b in range(3) for a, c in enumerate(XYZ)) + ")"
+
+
+@query(f"WITH {P} SELECT pid, {MORTON} AS sfc_key FROM p")
+def reorder_morton(spark, sf):
+    return longs(pt.reorder(particles(spark, sf), BOX, 3, "morton"), "pid", "sfc_key")
+
+
+@query()
+def hilbert_reorder(spark, sf):
+    return longs(pt.reorder(particles(spark, sf), BOX, 3, "hilbert"), "pid", "sfc_key")
+
+
+@query(f"""WITH {P} SELECT pid, CASE WHEN {" OR ".join(f"{c} % 500 < 40 OR {c} % 500 >= 460" for c in XYZ)} THEN 'HALO' ELSE 'INSIDE' END AS row_class FROM p""")
+def row_class(spark, sf):
+    return pt.row_class(particles(spark, sf), BOX, DIV, R).select("pid", "row_class")
+
+
+@query("""WITH v AS (SELECT CASE WHEN event_id % 97 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 89 = 0 THEN 'Infinity'::DOUBLE ELSE value END AS v FROM events)
+SELECT 'v' AS name, count(*) FILTER (isnan(v))::BIGINT AS n_nan, count(*) FILTER (isinf(v))::BIGINT AS n_inf FROM v""")
+def nan_inf_check(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    v = F.when(F.col("event_id") % 97 == 0, F.lit(float("nan"))).when(F.col("event_id") % 89 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    return pt.bad_values(e.select(v.alias("v")), ["v"])
+
+
+@query(f"WITH {P} SELECT pid FROM p WHERE pid % 50 = 0")
+def compare_sets(spark, sf):
+    p = particles(spark, sf).select("pid", F.col("q").cast("double").alias("v"))
+    return pt.differ(p, p.withColumn("v", F.col("v") + F.when(F.col("pid") % 50 == 0, 1.0).otherwise(1e-9)), "pid", ["v"], 1e-3).select("pid")
+
+
+# neighbours
+
+
+@query(f"WITH {P}, {pairs_sql()} SELECT pid, count(*)::BIGINT AS n FROM cand GROUP BY pid")
+def cell_candidates(spark, sf):
+    p = particles(spark, sf).select("pid", *XYZ)
+    return longs(nb.candidates(p, p, BOX, R).groupBy("pid").agg(F.count("*").alias("n")), "pid", "n")
+
+
+@query(f"WITH {P}, {pairs_sql()} SELECT pid, count(*)::BIGINT AS n, sum(qq)::BIGINT AS total FROM pairs GROUP BY pid")
+def nn_count(spark, sf):
+    p = particles(spark, sf)
+    return longs(nb.neighbours(p.select("pid", *XYZ), p, BOX, R, ("q",)).groupBy("pid").agg(F.count("*").alias("n"), F.sum("q_q").alias("total")), "pid", "n", "total")
+
+
+@query(f"WITH {P}, {pairs_sql()} SELECT pid, string_agg(qid::VARCHAR, ',' ORDER BY qid) AS neighbours FROM pairs GROUP BY pid")
+def verlet_list(spark, sf):
+    p = particles(spark, sf).select("pid", *XYZ)
+    return nb.verlet(nb.neighbours(p, p, BOX, R)).select("pid", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
+
+
+@query(f"WITH {P}, {pairs_sql()} SELECT pid, qid FROM pairs WHERE pid < qid")
+def nn_sym_pairs(spark, sf):
+    p = particles(spark, sf).select("pid", *XYZ)
+    return longs(nb.symmetric(nb.neighbours(p, p, BOX, R)), "pid", "qid")
+
+
+@query(f"WITH {P}, {pairs_sql()} SELECT pid, count(*)::BIGINT AS n FROM pairs WHERE d2 < (10 + q % 31) ** 2 GROUP BY pid")
+def nn_adaptive(spark, sf):
+    p = particles(spark, sf)
+    return longs(nb.neighbours(p, p.select("pid", *XYZ), BOX, R, radius=F.lit(10) + F.col("q") % 31).groupBy("pid").agg(F.count("*").alias("n")), "pid", "n")
+
+
+@query(f"WITH {P}, a AS (SELECT * FROM p WHERE pid % 2 = 0), b AS (SELECT * FROM p WHERE pid % 2 = 1), {pairs_sql(R, 'a', 'b')} SELECT pid, count(*)::BIGINT AS n FROM pairs GROUP BY pid")
+def nn_two_phase(spark, sf):
+    p = particles(spark, sf).select("pid", *XYZ)
+    return longs(nb.neighbours(p.where("pid % 2 = 0"), p.where("pid % 2 = 1"), BOX, R).groupBy("pid").agg(F.count("*").alias("n")), "pid", "n")
+
+
+@query(f"WITH {P}, {pairs_sql()} SELECT pid, qid % 3 AS phase, count(*)::BIGINT AS n FROM pairs GROUP BY ALL")
+def nn_multi_phase(spark, sf):
+    p = particles(spark, sf).withColumn("phase", F.col("pid") % 3)
+    pairs = nb.neighbours(p.select("pid", *XYZ), p, BOX, R, ("phase",))
+    return longs(pairs.groupBy("pid", F.col("q_phase").alias("phase")).agg(F.count("*").alias("n")), "pid", "phase", "n")
+
+
+@query(f"WITH {P}, a AS (SELECT * FROM p WHERE q % 3 = 1), {pairs_sql(R, 'a', 'a')} SELECT pid, count(*)::BIGINT AS n FROM pairs GROUP BY pid")
+def nn_subset(spark, sf):
+    a = pt.subset(particles(spark, sf).withColumn("subset", F.col("q") % 3), 1).select("pid", *XYZ)
+    return longs(nb.neighbours(a, a, BOX, R).groupBy("pid").agg(F.count("*").alias("n")), "pid", "n")
+
+
+@query(f"WITH {P}, {pairs_sql()} SELECT pid, {', '.join(f'round(sum(({c} - q{c}) / d2), 6) + 0.0 AS f_{c}' for c in XYZ)} FROM pairs WHERE d2 > 0 GROUP BY pid")
+def force_sum(spark, sf):
+    p = particles(spark, sf).select("pid", *XYZ)
+    f = nb.force(nb.neighbours(p, p, BOX, R).where(nb.d2(BOX) > 0), BOX)
+    return f.select("pid", *[(F.round(f"f_{c}", 6) + 0.0).alias(f"f_{c}") for c in XYZ])
+
+
+@query(f"WITH {P}, {pairs_sql()} SELECT pid, sum(d2)::BIGINT AS total FROM cand GROUP BY pid")
+def cross_calc(spark, sf):
+    p = particles(spark, sf).select("pid", *XYZ)
+    return longs(nb.candidates(p, p, BOX, R).groupBy("pid").agg(F.sum(nb.d2(BOX)).alias("total")), "pid", "total")
+
+
+# grids: value (i * 7 + j * 13 + k * 29) % 101 on 24^3 nodes
+
+N = 24
+GRID = "g AS (SELECT r % 24 AS i, (r // 24) % 24 AS j, r // 576 AS k, (r % 24 * 7 + (r // 24) % 24 * 13 + r // 576 * 29) % 101 AS v FROM range(13824) t(r))"
+
+
+def grid(spark: SparkSession, n: int = N) -> DataFrame:
+    return gd.nodes(spark, (n, n, n), 8).select(*AXES, ((F.col("i") * 7 + F.col("j") * 13 + F.col("k") * 29) % 101).alias("v"))
+
+
+@query(f"WITH {GRID} SELECT * FROM g")
+def grid_values(spark, sf):
+    return longs(grid(spark), *AXES, "v")
+
+
+@query(f"WITH {GRID} SELECT i, j, k, i * 0.5 + 1 AS x, j * 0.25 AS y, k * 2.0 - 3 AS z FROM g WHERE i BETWEEN 3 AND 9 AND j BETWEEN 0 AND 4 AND k BETWEEN 20 AND 23".replace("i * 0.5 + 1", "(i * 0.5 + 1)::DOUBLE").replace("j * 0.25", "(j * 0.25)::DOUBLE").replace("k * 2.0 - 3", "(k * 2.0 - 3)::DOUBLE"))
+def grid_subbox(spark, sf):
+    return grid(spark).where(gd.in_box((3, 0, 20), (9, 4, 23))).select(*AXES, *gd.position((0.5, 0.25, 2.0), (1.0, 0.0, -3.0)))
+
+
+@query(f"WITH {GRID} SELECT i, j, k FROM g WHERE i BETWEEN 2 AND 12 AND j BETWEEN 2 AND 12 AND k BETWEEN 2 AND 12 AND NOT (i BETWEEN 4 AND 10 AND j BETWEEN 4 AND 10 AND k BETWEEN 4 AND 10)")
+def grid_skin(spark, sf):
+    return longs(grid(spark).where(gd.in_box((2,) * 3, (12,) * 3) & ~gd.in_box((4,) * 3, (10,) * 3)), *AXES)
+
+
+@query(f"WITH {GRID} SELECT i, j, k FROM g WHERE (i <= 3 AND j <= 3 AND k <= 3) OR (i BETWEEN 2 AND 6 AND j BETWEEN 2 AND 6 AND k BETWEEN 2 AND 6)")
+def grid_boxes(spark, sf):
+    return longs(gd.in_boxes(grid(spark), [((0, 0, 0), (3, 3, 3)), ((2, 2, 2), (6, 6, 6))]), *AXES)
+
+
+@query(f"WITH {GRID} SELECT i, j, k, CASE WHEN v < 30 THEN v ELSE -1 END AS v FROM g")
+def grid_background(spark, sf):
+    g = grid(spark)
+    return longs(gd.with_background(g.select(*AXES), g.where("v < 30"), AXES, {"v": -1}), *AXES, "v")
+
+
+LAP = [tuple(o) for o in cross_offsets(3)]
+LAP_W = [-6.0] + [1.0] * 6
+
+
+def near_sql(offs, weight: str) -> str:
+    vals = ", ".join(f"({a}, {b}, {c}, {w})" for (a, b, c), w in offs)
+    return f"o(di, dj, dk, w) AS (VALUES {vals}), t AS (SELECT i, j, k, di, dj, dk, w, (i + di + 24) % 24 AS ni, (j + dj + 24) % 24 AS nj, (k + dk + 24) % 24 AS nk FROM g, o), s AS (SELECT t.i, t.j, t.k, {weight} FROM t JOIN g n ON n.i = ni AND n.j = nj AND n.k = nk GROUP BY ALL)"
+
+
+@query(f"WITH {GRID}, {near_sql(list(zip(LAP, LAP_W, strict=True)), 'sum(w * n.v)::BIGINT AS v')} SELECT * FROM s")
+def grid_conv_cross(spark, sf):
+    return longs(gd.gather(grid(spark), AXES, (N,) * 3, LAP, {"v": ("v", LAP_W)}), *AXES, "v")
+
+
+CUBE = offsets(3)
+
+
+@query(f"WITH {GRID}, {near_sql([(o, 1) for o in CUBE], 'sum(w * n.v)::BIGINT AS v')} SELECT * FROM s")
+def grid_conv(spark, sf):
+    return longs(gd.gather(grid(spark), AXES, (N,) * 3, CUBE, {"v": ("v", [1.0] * 27)}), *AXES, "v")
+
+
+
+
+@query(f"""WITH {GRID}, {near_sql(list(zip(LAP, LAP_W, strict=True)), "sum(w * (1.0 + n.v / 100.0::DOUBLE)) AS lu, sum(w * (n.v % 7 / 10.0::DOUBLE)) AS lv, max(CASE WHEN di = 0 AND dj = 0 AND dk = 0 THEN 1.0 + n.v / 100.0::DOUBLE END) AS u0, max(CASE WHEN di = 0 AND dj = 0 AND dk = 0 THEN n.v % 7 / 10.0::DOUBLE END) AS v0")}
+SELECT i, j, k, round(u0 + 0.1::DOUBLE * lu - 0.5::DOUBLE * u0 * v0 * v0 - 0.5::DOUBLE * 0.04::DOUBLE * (u0 - 1), 6) AS u, round(v0 + 0.05::DOUBLE * lv + 0.5::DOUBLE * u0 * v0 * v0 - 0.5::DOUBLE * 0.1::DOUBLE * v0, 6) AS w FROM s""")
+def grid_conv2(spark, sf):
+    """A reaction-diffusion step of two fields in one pass over the stencil."""
+    g = grid(spark).select(*AXES, (1.0 + F.col("v") / 100.0).alias("u"), (F.col("v") % 7 / 10.0).alias("w"))
+    one = [1.0] + [0.0] * 6
+    s = gd.gather(g, AXES, (N,) * 3, LAP, {"lu": ("u", LAP_W), "lw": ("w", LAP_W), "u0": ("u", one), "w0": ("w", one)})
+    react = 0.5 * F.col("u0") * F.col("w0") * F.col("w0")
+    u = F.col("u0") + 0.1 * F.col("lu") - react - 0.5 * 0.04 * (F.col("u0") - 1)
+    w = F.col("w0") + 0.05 * F.col("lw") + react - 0.5 * 0.1 * F.col("w0")
+    return s.select(*AXES, F.round(u, 6).alias("u"), F.round(w, 6).alias("w"))
+
+
+@query(f"WITH {GRID}, {near_sql([((a, b, c), f'{-1 if (a, b, c) == (0, 0, 0) else 1}') for a, b, c in LAP], 'sum(n.v * (di <> 0)::INT)::BIGINT AS a, sum(n.v * (dj <> 0)::INT)::BIGINT AS b, sum(n.v * (dk <> 0)::INT)::BIGINT AS c')} SELECT * FROM s")
+def grid_conv3(spark, sf):
+    w = {x: [float(o[a] != 0) for o in LAP] for a, x in enumerate("abc")}
+    return longs(gd.gather(grid(spark), AXES, (N,) * 3, LAP, {x: ("v", w[x]) for x in "abc"}), *AXES, "a", "b", "c")
+
+
+@query(f"WITH {GRID}, o(di, dj, dk, w) AS (VALUES {', '.join(f'({a}, {b}, {c}, {w})' for (a, b, c), w in zip(LAP, LAP_W, strict=True))}, (99, 0, 0, 0)), sp AS (SELECT * FROM g WHERE v < 30) SELECT g.i, g.j, g.k, sum(w * coalesce(n.v, 5))::BIGINT AS v FROM sp g CROSS JOIN o LEFT JOIN sp n ON n.i = ((g.i + di) % 24 + 24) % 24 AND n.j = ((g.j + dj) % 24 + 24) % 24 AND n.k = ((g.k + dk) % 24 + 24) % 24 WHERE di < 99 GROUP BY ALL")
+def sparse_conv(spark, sf):
+    return longs(gd.gather(grid(spark).where("v < 30"), AXES, (N,) * 3, LAP, {"v": ("v", LAP_W)}, {"v": 5}), *AXES, "v")
+
+
+@query(f"WITH {P} SELECT x // 50 AS i, y // 50 AS j, z // 50 AS k, max(q) AS v FROM p GROUP BY ALL")
+def grid_flush_max(spark, sf):
+    p = particles(spark, sf)
+    ins = p.select(*[F.floor(F.col(c) / 50).cast("long").alias(a) for a, c in zip(AXES, XYZ, strict=True)], F.col("q").alias("v"))
+    return longs(gd.flush(ins, AXES, {"v": F.max("v")}), *AXES, "v")
+
+
+@query(f"WITH {GRID} SELECT i, j, k, CASE WHEN v >= 90 THEN v * 2 ELSE v END AS v FROM g WHERE v < 30 OR v >= 90")
+def grid_insert(spark, sf):
+    g = grid(spark)
+    return longs(gd.upsert(g.where("v < 30 OR v >= 95"), g.where("v >= 90").withColumn("v", F.col("v") * 2), AXES), *AXES, "v")
+
+
+@query(f"WITH {GRID}, h AS (SELECT i - 1 AS i, j, k, v FROM g WHERE i < 3 UNION ALL SELECT * FROM g WHERE v < 30 AND i < 20) SELECT (i + 24) % 24 AS i, j, k, sum(v)::BIGINT AS v FROM h GROUP BY ALL")
+def grid_ghost_put_add(spark, sf):
+    """Halo values are added to their owner nodes; on this sparse grid missing owners come into being."""
+    g = grid(spark)
+    halo = g.where("i < 3").withColumn("i", F.col("i") - 1)
+    both = g.where("v < 30 AND i < 20").unionByName(halo).withColumn("i", F.pmod("i", F.lit(N)))
+    return longs(gd.flush(both, AXES, {"v": F.sum("v")}), *AXES, "v")
+
+
+@query(f"WITH {GRID} SELECT * FROM g WHERE NOT (i BETWEEN 5 AND 20 AND j BETWEEN 5 AND 20 AND k BETWEEN 5 AND 20)")
+def grid_remove_box(spark, sf):
+    return longs(grid(spark).where(~gd.in_box((5,) * 3, (20,) * 3)), *AXES, "v")
+
+
+@query(f"WITH {GRID} SELECT (i // 8) * 6 + (j // 12) * 3 + k // 8 AS proc_id, count(*)::BIGINT AS n, sum(v)::BIGINT AS total FROM g GROUP BY 1")
+def grid_remap(spark, sf):
+    owner = pt.box_owner(Space(AXES, (0,) * 3, (N,) * 3, (True,) * 3), (3, 2, 3))
+    return longs(grid(spark).withColumn("proc_id", owner).groupBy("proc_id").agg(F.count("*").alias("n"), F.sum("v").alias("total")), "proc_id", "n", "total")
+
+
+# refinement levels: level l has 6 * 2^l periodic nodes an axis; below the first, only nodes whose root is on a diagonal band
+
+AMR = """a AS (SELECT l AS lvl, r % n AS i, (r // n) % n AS j, r // (n * n) AS k, (r * 31 + l) % 97 AS v FROM (SELECT l, 6 * (1 << l)::BIGINT AS n, unnest(range((6 * (1 << l))::BIGINT ** 3::BIGINT)) AS r FROM range(3) t(l)) WHERE l = 0 OR ((i >> l) + (j >> l) + (k >> l)) % 3 = 0)""".replace("(6 * (1 << l))::BIGINT ** 3::BIGINT", "(216 * (1 << (3 * l)))::BIGINT").replace("(i >> l)", "((r % n) >> l)").replace("(j >> l)", "(((r // n) % n) >> l)").replace("(k >> l)", "((r // (n * n)) >> l)")
+
+
+def amr(spark: SparkSession, levels: int = 3) -> DataFrame:
+    out = None
+    for lv in range(levels):
+        n = 6 << lv
+        g = gd.nodes(spark, (n, n, n), 4).select(F.lit(lv).cast("long").alias("lvl"), *AXES, ((F.col("id") * 31 + lv) % 97).alias("v"))
+        if lv:
+            g = g.where(sum((F.shiftright(a, lv) for a in AXES[1:]), F.shiftright("i", lv)) % 3 == 0)
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+@query(f"WITH {AMR} SELECT lvl::BIGINT AS lvl, count(*)::BIGINT AS n FROM a GROUP BY lvl")
+def amr_levels(spark, sf):
+    return longs(amr(spark).groupBy("lvl").agg(F.count("*").alias("n")), "lvl", "n")
+
+
+@query(f"WITH {AMR} SELECT (lvl - 1)::BIGINT AS lvl, i // 2 AS i, j // 2 AS j, k // 2 AS k, round(avg(v), 6) AS v FROM a WHERE lvl > 0 GROUP BY ALL")
+def amr_restrict(spark, sf):
+    return gd.restrict_levels(amr(spark), AXES, "v").select("lvl", *AXES, F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {AMR} SELECT c.lvl::BIGINT AS lvl, c.i, c.j, c.k, c.v, coalesce(p.v, -1) AS parent FROM a c LEFT JOIN a p ON p.lvl = c.lvl - 1 AND p.i = c.i // 2 AND p.j = c.j // 2 AND p.k = c.k // 2")
+def amr_parent_lookup(spark, sf):
+    return longs(gd.with_parent(amr(spark), AXES, "v").withColumn("parent", F.coalesce("parent", F.lit(-1))), "lvl", *AXES, "v", "parent")
+
+
+@query(f"WITH {AMR}, o(di, dj, dk) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) SELECT DISTINCT c.lvl::BIGINT AS lvl, c.i, c.j, c.k FROM a c CROSS JOIN o LEFT JOIN a n ON n.lvl = c.lvl AND n.i = c.i + di AND n.j = c.j + dj AND n.k = c.k + dk WHERE n.v IS NULL")
+def amr_boundary_tag(spark, sf):
+    return longs(gd.boundary(amr(spark), AXES, LAP), "lvl", *AXES)
+
+
+@query(f"WITH {AMR} SELECT lvl::BIGINT AS lvl, count(*)::BIGINT AS n FROM a WHERE i < 6 * (1 << lvl) - 1 AND j < 6 * (1 << lvl) - 1 AND k < 6 * (1 << lvl) - 1 GROUP BY lvl")
+def amr_cells(spark, sf):
+    last = F.lit(6) * F.expr("shiftleft(1, CAST(lvl AS INT))") - 1
+    return longs(amr(spark).where((F.col("i") < last) & (F.col("j") < last) & (F.col("k") < last)).groupBy("lvl").agg(F.count("*").alias("n")), "lvl", "n")
+
+
+STAG = {"a": [(0, 0, 0), (0, 0, -1), (0, -1, 0), (0, -1, -1)], "b": [(0, 0, 0), (0, 0, -1), (-1, 0, 0), (-1, 0, -1)]}
+
+
+@query(f"""WITH {GRID}, {near_sql([((0, 0, 0), 3), ((0, 0, -1), 3), ((0, -1, 0), 1), ((0, -1, -1), 1), ((-1, 0, 0), 2), ((-1, 0, -1), 2)], "round(sum((w IN (1, 3))::INT * n.v) / 4.0, 6)::DOUBLE AS a, round(sum((w IN (2, 3))::INT * (n.v * 2 + 1)) / 4.0, 6)::DOUBLE AS b")} SELECT * FROM s""")
+def stag_to_normal(spark, sf):
+    f = grid(spark).select(*AXES, F.col("v").alias("a"), (F.col("v") * 2 + 1).alias("b"))
+    return gd.to_normal(f, (N,) * 3, AXES, STAG).select(*AXES, F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+def weights_sql(w: str, reach: int) -> str:
+    """Particles with the periodic nodes of a mesh of 20^3 that a weight of the distance d in cells touches."""
+    offs = ", ".join(f"({o})" for o in range(1 - reach, reach + 1))
+    axes = [f"t{a} AS (SELECT pid, ({c} // 50 + o + 20) % 20 AS {a}, {w.replace('DIST', f'abs({c} / 50.0::DOUBLE - ({c} // 50 + o))')} AS w{a} FROM p, (VALUES {offs}) u(o))" for a, c in zip(AXES, XYZ, strict=True)]
+    return ", ".join(axes) + ", w AS (SELECT pid, i, j, k, wi * wj * wk AS w FROM ti JOIN tj USING (pid) JOIN tk USING (pid) WHERE wi <> 0 AND wj <> 0 AND wk <> 0)"
+
+
+CIC = "greatest(1 - DIST, 0.0)"
+MP4 = "CASE WHEN DIST < 1 THEN 1 - 2.5::DOUBLE * DIST ** 2 + 1.5::DOUBLE * DIST ** 3 WHEN DIST < 2 THEN 0.5::DOUBLE * (2 - DIST) ** 2 * (1 - DIST) ELSE 0.0::DOUBLE END"
+
+
+def p2m(spark, sf, weight, reach):
+    w = gd.particle_nodes(particles(spark, sf), XYZ, 50.0, (20,) * 3, weight, reach)
+    return w.groupBy(*AXES).agg(F.round(F.sum(F.col("w") * F.col("q") / 1e6), 4).alias("v"))
+
+
+@query(f"WITH {P}, {weights_sql(CIC, 1)} SELECT i, j, k, round(sum(w * q / 1e6), 4) AS v FROM w JOIN p USING (pid) GROUP BY ALL")
+def p2m_cic(spark, sf):
+    return p2m(spark, sf, hat, 1)
+
+
+@query(f"WITH {P}, {weights_sql(MP4, 2)} SELECT i, j, k, round(sum(w * q / 1e6), 4) + 0.0 AS v FROM w JOIN p USING (pid) GROUP BY ALL")
+def p2m_mp4(spark, sf):
+    return p2m(spark, sf, m4_prime, 2).withColumn("v", F.col("v") + 0.0)
+
+
+@query(f"WITH {P}, {weights_sql(CIC, 1)} SELECT pid, round(sum(w * ((i * 7 + j * 13 + k * 29) % 101)), 5) AS v FROM w GROUP BY pid")
+def m2p_cic(spark, sf):
+    """Mesh values at the particles; the mesh's value is joined by node."""
+    w = gd.particle_nodes(particles(spark, sf).select("pid", *XYZ), XYZ, 50.0, (20,) * 3, hat, 1)
+    return w.join(grid(spark, 20), list(AXES)).groupBy("pid").agg(F.round(F.sum(F.col("w") * F.col("v")), 5).alias("v"))
+
+
+# decomposition: cells of 125 a side
+
+CELL = "((x // 125) * 64 + (y // 125) * 8 + z // 125)"
+CELLS = f"{P}, c AS (SELECT r AS cell, r // 64 AS a, (r // 8) % 8 AS b, r % 8 AS c, coalesce(n, 0) AS n FROM range(512) t(r) LEFT JOIN (SELECT {CELL} AS cell, count(*) AS n FROM p GROUP BY 1) u ON u.cell = r)"
+MCELL = "(" + " | ".join(f"(({c} >> {b} & 1) << {3 * b + a})" for b in range(3) for a, c in enumerate("abc")) + ")"
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    n = dc.costs(dc.with_cell(particles(spark, sf), BOX, (8, 8, 8)))
+    c = spark.range(512).select(F.col("id").alias("cell"), F.floor(F.col("id") / 64).alias("a"), (F.floor(F.col("id") / 8) % 8).alias("b"), (F.col("id") % 8).alias("c"))
+    return c.join(n, "cell", "left").withColumn("cost", F.coalesce("cost", F.lit(0))).withColumn("key", morton([F.col(x) for x in "abc"], 3))
+
+
+@query(f"WITH {P} SELECT {CELL} AS cell, count(*)::BIGINT AS cost FROM p GROUP BY 1")
+def cell_costs(spark, sf):
+    return longs(dc.costs(dc.with_cell(particles(spark, sf), BOX, (8, 8, 8))), "cell", "cost")
+
+
+@query(f"WITH {P} SELECT {CELL} AS cell, (count(*) ** 2)::BIGINT AS cost FROM p GROUP BY 1")
+def cost_square(spark, sf):
+    return longs(dc.costs(dc.with_cell(particles(spark, sf), BOX, (8, 8, 8)), lambda c: c * c), "cell", "cost")
+
+
+@query(f"WITH {CELLS} SELECT cell, (a // 4) * 6 + (b * 2 // 8) * 3 + c * 3 // 8 AS proc_id FROM c")
+def dist_box(spark, sf):
+    div = axis_factors(12, 3)  # 2, 2, 3
+    owner = pt.box_owner(Space(("a", "b", "c"), (0,) * 3, (8,) * 3, (True,) * 3), div)
+    return longs(cells(spark, sf).withColumn("proc_id", owner), "cell", "proc_id")
+
+
+@query(f"WITH {CELLS} SELECT cell, (row_number() OVER (ORDER BY {MCELL}) - 1) * 6 // 512 AS proc_id FROM c")
+def dist_sfc(spark, sf):
+    return longs(dc.by_curve(cells(spark, sf), "key", 6), "cell", "proc_id")
+
+
+@query(f"WITH {CELLS}, s AS (SELECT cell, n, sum(n) OVER (ORDER BY {MCELL}) AS up, sum(n) OVER () AS total FROM c) SELECT cell, least((2 * up - n) * 6 // (2 * total), 5)::BIGINT AS proc_id FROM s")
+def dist_sfc_weighted(spark, sf):
+    return longs(dc.by_weighted_curve(cells(spark, sf), "key", "cost", 6), "cell", "proc_id")
+
+
+ORB = f"""WITH {P}, l1 AS (SELECT *, (x >= avg(x) OVER ())::BIGINT AS n1 FROM p), l2 AS (SELECT *, n1 * 2 + (y >= avg(y) OVER (PARTITION BY n1))::BIGINT AS n2 FROM l1), l3 AS (SELECT *, n2 * 2 + (z >= avg(z) OVER (PARTITION BY n2))::BIGINT AS node FROM l2)"""
+
+
+@query(f"{ORB} SELECT node, count(*)::BIGINT AS n FROM l3 GROUP BY node")
+def orb_leaves(spark, sf):
+    return longs(dc.bisect(particles(spark, sf), XYZ, 3).groupBy("node").agg(F.count("*").alias("n")), "node", "n")
+
+
+@query(f"{ORB} SELECT node, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM l3 GROUP BY node")
+def orb_centres(spark, sf):
+    return dc.bisect(particles(spark, sf), XYZ, 3).groupBy("node").agg(*[F.round(F.avg(c), 6).alias(c) for c in XYZ])
+
+
+@query(f"WITH {CELLS}, s AS (SELECT (a // 4) * 4 + (b // 4) * 2 + c // 4 AS proc_id, sum(n) AS load FROM c GROUP BY 1) SELECT round(max(load) / avg(load) - 1, 6) AS over, round(100 * (max(load) - min(load)) / avg(load), 6) AS spread FROM s")
+def unbalance(spark, sf):
+    owner = pt.box_owner(Space(("a", "b", "c"), (0,) * 3, (8,) * 3, (True,) * 3), DIV)
+    u = dc.unbalance(dc.loads(cells(spark, sf).withColumn("proc_id", owner), "cost"))
+    return u.select(F.round("over", 6).alias("over"), F.round("spread", 6).alias("spread"))
+
+
+@query("""WITH s AS (SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS step, CAST(count(*) AS BIGINT) AS idle FROM events GROUP BY 1),
+w AS (SELECT step, (sum(idle) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) + 500.0) / count(*) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) AS w_n FROM s)
+SELECT step, round(w_n, 6)::DOUBLE AS w_n, coalesce(w_n > lag(w_n) OVER (ORDER BY step), false) AS rebalance FROM w""")
+def dlb_sar(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    s = e.groupBy(F.unix_timestamp(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("step")).agg(F.count("*").alias("idle"))
+    return dc.saved_by_waiting(s, "step", "idle", 500.0).select("step", F.round("w_n", 6).alias("w_n"), "rebalance")
+
+
+def box_table(spark: SparkSession, n: int = 4) -> DataFrame:
+    s = L // n
+    b = gd.nodes(spark, (n, n, n), 1)
+    return b.select(F.col("id").alias("proc_id"), *[(F.col(a) * s).alias(f"lo{i}") for i, a in enumerate(AXES)], *[((F.col(a) + 1) * s).alias(f"hi{i}") for i, a in enumerate(AXES)])
+
+
+BOXES = "b AS (SELECT r AS proc_id, r % 4 * 250 AS x, (r // 4) % 4 * 250 AS y, r // 16 * 250 AS z FROM range(64) t(r))"
+
+
+@query(f"WITH {BOXES} SELECT DISTINCT a.proc_id, b.proc_id AS near FROM b a, b, {S3} u(sx), {S3} v(sy), {S3} w(sz) WHERE a.proc_id <> b.proc_id AND {' AND '.join(f'a.{c} - 40 <= b.{c} + s{c} * 1000 + 250 AND b.{c} + s{c} * 1000 <= a.{c} + 250 + 40' for c in XYZ)}")
+def near_processors(spark, sf):
+    return longs(dc.touching(box_table(spark), 3, R, (L, L, L)), "proc_id", "near")
+
+
+@query(f"WITH {BOXES} SELECT proc_id, CASE WHEN x = 0 THEN -100 ELSE x END AS lo0, CASE WHEN x = 750 THEN 1200 ELSE x + 250 END AS hi0 FROM b")
+def extend_boxes(spark, sf):
+    return longs(dc.extended(box_table(spark), 3, (0,) * 3, (L,) * 3, (-100,) * 3, (1200,) * 3), "proc_id", "lo0", "hi0")
+
+
+@query()
+def vtk_write(spark, sf):
+    """Writes particles as VTK files and gives the lines' kinds read back."""
+    folder = _shared(spark)
+    files.write_vtk(particles(spark, sf).repartition(4), folder.removeprefix("file://"))
+    lines = spark.read.text(f"{folder}/*.vtk").where("value LIKE 'POINTS%'")
+    return lines.agg(F.sum(F.split("value", " ")[1].cast("long")).alias("points"))
+
+
+@query()
+def box_merge(spark, sf):
+    owner = {(a, b, c): (a // 4) * 4 + (b // 4) * 2 + c // 4 for a in range(8) for b in range(8) for c in range(8)}
+    rows = [(p, *lo, *hi) for lo, hi, p in dc.boxes_of(owner)]
+    return spark.createDataFrame(rows, "proc_id long, lo0 long, lo1 long, lo2 long, hi0 long, hi1 long, hi2 long")
+
+
+# graphs
+
+GRAPH = """v AS (SELECT r AS gid, r % 20 AS i, r // 20 AS j, r * 4 // 300 AS proc_id FROM range(300) t(r)),
+e AS (SELECT a.gid AS src, b.gid AS dst FROM v a JOIN v b ON abs(a.i - b.i) + abs(a.j - b.j) = 1)"""
+MOVED = f"{GRAPH}, m AS (SELECT gid, CASE WHEN gid % 7 = 3 THEN (proc_id + 1) % 4 ELSE proc_id END AS proc_id FROM v)"
+
+
+def graph(spark: SparkSession):
+    return gr.cartesian(spark, (20, 15), 4, 4)
+
+
+def moved(spark: SparkSession):
+    v, e = graph(spark)
+    moves = v.where("gid % 7 = 3").select("gid", ((F.col("proc_id") + 1) % 4).alias("target"))
+    return gr.redistribute(v, moves), e
+
+
+@query(f"WITH {GRAPH} SELECT src, dst FROM e")
+def cart_graph_edges(spark, sf):
+    return longs(graph(spark)[1], "src", "dst")
+
+
+@query(f"WITH {GRAPH} SELECT src AS gid, count(*)::BIGINT AS degree FROM e GROUP BY src")
+def graph_degree(spark, sf):
+    return longs(gr.degrees(graph(spark)[1]), "gid", "degree")
+
+
+@query(f"WITH {GRAPH} SELECT src AS gid, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS children FROM e GROUP BY src")
+def graph_adjacency(spark, sf):
+    return gr.adjacency(graph(spark)[1]).select("gid", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
+
+
+@query(f"WITH {MOVED}, n AS (SELECT gid, row_number() OVER (ORDER BY proc_id, gid) - 1 AS rid FROM m) SELECT a.rid AS rsrc, b.rid AS rdst FROM e JOIN n a ON a.gid = src JOIN n b ON b.gid = dst")
+def graph_redistribute(spark, sf):
+    v, e = moved(spark)
+    return longs(gr.renamed_edges(e, v), "rsrc", "rdst")
+
+
+@query(f"WITH {MOVED} SELECT DISTINCT a.proc_id, b.gid FROM e JOIN m a ON a.gid = src JOIN m b ON b.gid = dst WHERE a.proc_id <> b.proc_id")
+def graph_ghosts(spark, sf):
+    v, e = moved(spark)
+    return longs(gr.ghost_vertices(e, v), "proc_id", "gid")
+
+
+@query(f"WITH {MOVED} SELECT count(*) FILTER (a.proc_id <> b.proc_id)::BIGINT AS cut, count(*)::BIGINT AS edges FROM e JOIN m a ON a.gid = src JOIN m b ON b.gid = dst")
+def edge_cut(spark, sf):
+    v, e = moved(spark)
+    return longs(gr.edge_cut(e, v), "cut", "edges")
+
+
+@query("SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def graph_sync_edges(spark, sf):
+    """Deferred edges that survive: both ends must be known vertices."""
+    o, c = spark.read.parquet(f"{sf}/orders.parquet"), spark.read.parquet(f"{sf}/customer.parquet")
+    v = o.select(F.col("o_orderkey").alias("gid")).unionByName(c.select(F.col("c_custkey").alias("gid"))).distinct()
+    e = o.join(c.where("c_acctbal > 0").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
+    return longs(gr.known_edges(e, v), "src", "dst")
+
+
+# files
+
+
+@query(f"WITH {P} SELECT pid, x, y, z, q, {OWNER} AS proc_id FROM p")
+def checkpoint_roundtrip(spark, sf):
+    folder = f"{_shared(spark)}/particles"
+    files.save(particles(spark, sf).withColumn("proc_id", pt.box_owner(BOX, DIV)), folder, "proc_id")
+    return longs(files.load(spark, folder), "pid", *XYZ, "q", "proc_id")
+
+
+def _shared(spark: SparkSession) -> str:
+    """A fresh folder under the one that the cluster shares; a local one where none is set, as in tests."""
+    import uuid
+
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{path or 'file://' + tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/driftmesh-{uuid.uuid4().hex}"
+
+
