@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -13,6 +13,11 @@ def _fingerprint(e: DataFrame) -> tuple:
     return r["n"], r["s"]
 
 
+def _plain(c: str) -> Column:
+    """The same value as a new expression: the join deals it anew after the aggregate, so that Spark can split a hub's rows."""
+    return F.col(c).bitwiseXOR(F.lit(0).cast("long")).alias(c)
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """node, comp (the least node of its component) for all nodes but the least ones themselves.
 
@@ -27,11 +32,11 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(_plain("u"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # a node's least neighbour itself hangs on that neighbour by its own greater-neighbour edge
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_min, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_min.select("u", F.col("m").alias("v")))
+        small = large.join(small_min.select(_plain("u"), "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_min.select("u", F.col("m").alias("v")))
         e = materialize(small.distinct())
         now = _fingerprint(e)
         if now == before:

@@ -41,7 +41,8 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = 64, broadcast_rows: int = 1
         )
     )
     first = F.struct("chars", F.col("doc_id").isNotNull().alias("has"), F.bitwise_not(F.col("doc_id")).alias("low"))
-    groups = hashed.where("suspect").groupBy("text_sha256").agg(F.max_by("doc_id", first).alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that the join below is plain and Spark can split a hot text's rows
+    groups = materialize(hashed.where("suspect").groupBy("text_sha256").agg(F.max_by("doc_id", first).alias("keep_id"), F.count("*").alias("group_size")))
     out = ("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     several = hashed.where("suspect").join(groups, "text_sha256").select(*out)
     single = hashed.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")

@@ -121,7 +121,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, bits_per_line: int = 8, max
     each = keyed.select("rid", F.posexplode("keys").alias("pos", "key")).where(F.length("key") >= min_chars)
     each = each.select("rid", "pos", F.xxhash64("key").alias("h"), F.unhex(F.sha2("key", 256)).alias("digest"))
     suspects = materialize(each.mapInPandas(_suspected(shared, log2), "rid long, pos int, digest binary"))
-    repeated = suspects.groupBy("digest").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("digest", "lo")
+    # written, so that the join below is plain and Spark can split a common line's rows
+    repeated = materialize(suspects.groupBy("digest").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("digest", "lo"))
     drops = suspects.join(repeated, "digest").where("rid > lo").groupBy("rid").agg(F.collect_set("pos").alias("drop"))
     joined = docs.select("doc_id", rid.alias("rid"), "text").join(drops, "rid", "left").select("doc_id", _lines().alias("lines"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
