@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,7 +51,20 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/driftmesh-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and that nothing will read again, and lets Spark drop old shuffle files."""
+    jvm = tables[0].sparkSession.sparkContext._jvm
+    conf = tables[0].sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()  # Spark removes the shuffle files of plans that are out of use when the driver collects garbage
 
 
 def maybe_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import materialize, maybe_broadcast, release
 from .components import components
 
 _LAST = 2**63 - 1
@@ -179,13 +179,25 @@ def _products(num: int, den: int):
 
 def _cross(num: int, den: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """One block of a long column's product: pairs of different components."""
+        """One block of a long column's product: pairs of different components that share enough long columns.
+
+        Rows carry all their long columns, so a pair's count is whole here; only its first shared column gives it.
+        """
         sig, n, comp, odd = (rows[c].to_numpy() for c in ("sig", "n", "comp", "odd"))
+        cols, at = np.unique(np.concatenate(rows["cols"].tolist()), return_inverse=True)
+        holds = np.zeros((len(rows), len(cols)), np.float32)
+        holds[np.repeat(np.arange(len(rows)), [len(c) for c in rows["cols"]]), at] = 1
         left = np.flatnonzero(odd)
         right = np.flatnonzero(~odd) if key[1] == "main" else left
-        i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
-        ok = (comp[i] != comp[j]) & (sig[i] != sig[j]) & _near(n[i], n[j], num, den)
-        a, b = sig[i[ok]], sig[j[ok]]
+        shared = holds[left] @ holds[right].T
+        na, nb = n[left][:, None], n[right][None]
+        need = -(-(na + nb) * num // (num + den)) + (-num * np.maximum(na, nb) // den) + 1
+        ok = (comp[left][:, None] != comp[right][None]) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (shared >= np.maximum(need, 1))
+        # shares none of the columns before this one
+        before = holds[:, cols < key[0]]
+        ok &= before[left] @ before[right].T == 0
+        i, j = np.nonzero(ok)
+        a, b = sig[left[i]], sig[right[j]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return run
@@ -213,7 +225,8 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
       all pairs that aren't yet in one component.
 
     Common shingles only order columns: at most ``most_common`` are broadcast, those counted most often.
-    Lists of documents are broadcast up to ``broadcast_rows`` rows, else joined by shuffle.  Shingles are
+    Before the whole sets, 16 bits of each shingle give
+    an upper bound of the overlap.  Lists of documents are broadcast up to ``broadcast_rows`` rows, else joined by shuffle.  Shingles are
     64-bit hashes.
 
     A text without words has n_shingles 0 and is its own component.  A null doc_id counts in its component
@@ -227,13 +240,16 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
     hot = np.array([h for h, _ in common], np.uint64)
     rank = np.argsort(np.argsort(np.array([n for _, n in common], np.int64), kind="stable"))
     shared = spark.sparkContext.broadcast((hot, rank))
-    nodes = materialize(src.mapInArrow(_nodes(shared, num, den), "rid long, sig long, n int, prefix array<long>"))
+    entries = materialize(src.mapInArrow(_nodes(shared, num, den), "rid long, sig long, n int, prefix array<long>"))
+    nodes = materialize(entries.select("rid", "sig", "n"))
     classes = materialize(nodes.where("sig IS NOT NULL").groupBy("sig").agg(F.min("rid").alias("rep"), F.first("n").alias("n")))
     copies = nodes.select("rid", "sig").join(classes, "sig").where("rid <> rep").select("rid").distinct()
     copies = materialize(copies)
-    rows = nodes.join(maybe_broadcast(copies, copies.count(), broadcast_rows), "rid", "left_anti").select(F.explode("prefix").alias("h"), "sig", "n")
+    rows = entries.join(maybe_broadcast(copies, copies.count(), broadcast_rows), "rid", "left_anti").select(F.explode("prefix").alias("h"), "sig", "n")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(rows.repartition(parts, "h").sortWithinPartitions("h", "sig").mapInPandas(_products(num, den), PAIRS))
+    del rows
+    release(entries)
 
     ceil_t = lambda n: F.ceil(n * num / F.lit(den)).cast("long")
     alpha = F.ceil((F.col("na") + F.col("nb")) * num / F.lit(num + den)).cast("long")
@@ -255,14 +271,29 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
     reps = materialize(reps)
     wanted = src.join(maybe_broadcast(reps, reps.count(), broadcast_rows), F.col("rid") == F.col("rep"), "left_semi").select("text")
     vectors = materialize(wanted.mapInArrow(_vectors, "sig long, vec array<long>"))
+    # 16 bits of each shingle: an upper bound of the overlap at a quarter of the size
+    sketches = materialize(vectors.select("sig", F.array_distinct(F.transform("vec", lambda x: F.shiftright(x, 48).cast("smallint"))).alias("vec"), F.size("vec").alias("n")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def met(pairs: DataFrame, table: DataFrame) -> DataFrame:
+        """The pairs with both sides' rows of the table."""
         used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
-        v = vectors.join(maybe_broadcast(used, used.count(), broadcast_rows), "sig", "left_semi")
-        both = pairs.join(v.select(F.col("sig").alias("b"), F.col("vec").alias("vb")), "b").join(v.select(F.col("sig").alias("a"), F.col("vec").alias("va")), "a")
-        inter = F.size(F.array_intersect("va", "vb"))
-        counted = both.select("a", "b", inter.alias("inter"), (F.size("va") + F.size("vb") - inter).alias("union"))
-        return materialize(counted.where(F.col("inter").cast("long") * den >= F.col("union").cast("long") * num).select("a", "b"))
+        v = table.join(maybe_broadcast(used, used.count(), broadcast_rows), "sig", "left_semi")
+        side = lambda x: v.select(*[F.col(c).alias(x if c == "sig" else c + x) for c in v.columns])
+        return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        inter = F.size(F.array_intersect("veca", "vecb")).cast("long")
+        counted = met(pairs, vectors).select("a", "b", inter.alias("inter"), (F.size("veca") + F.size("vecb")).alias("sum"))
+        return materialize(counted.where(F.col("inter") * den >= (F.col("sum") - F.col("inter")) * num).select("a", "b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that link: those whose sketches allow it, by their whole sets."""
+        lost = F.least(F.col("na") - F.size("veca"), F.col("nb") - F.size("vecb"))
+        most = (F.size(F.array_intersect("veca", "vecb")) + lost).cast("long")
+        able = met(pairs, sketches).select("a", "b", most.alias("most"), (F.col("na") + F.col("nb")).alias("sum"))
+        out = exact(materialize(able.where(F.col("most") * (den + num) >= F.col("sum") * num).select("a", "b")))
+        release(pairs)
+        return out
 
     def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         for x in ("a", "b"):
@@ -270,11 +301,17 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
         return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-        return components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links), "a", "b")
+        """Components after more links; links between the same two components count once."""
+        edges = links
+        for x in ("a", "b"):
+            edges = edges.join(comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+        tops = components(edges.select("ca", "cb").distinct(), "ca", "cb")
+        moved = comp.join(tops.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+        return materialize(moved.unionByName(tops))
 
     sym = cand.unionByName(cand.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
     best = sym.groupBy("a").agg(F.max(F.struct("c", F.col("b").alias("other"))).alias("m")).select(F.least("a", "m.other").alias("a"), F.greatest("a", "m.other").alias("b")).distinct()
-    comp = components(verified(materialize(best)), "a", "b")
+    comp = components(exact(materialize(best)), "a", "b")
     rest = materialize(apart(cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), comp))
     links = verified(rest)
     if links.take(1):
@@ -295,17 +332,19 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
 
 
 def _long_pairs(long_cols: DataFrame, comp: DataFrame, num: int, den: int, block: int = 512) -> DataFrame:
-    """All pairs of different components that share a long column, by blocks of about ``block`` documents a side.
+    """Pairs of different components that share as many long columns as their sizes ask for, by blocks of about ``block`` documents a side.
 
-    Documents of the column's largest component meet only the others.
+    Pairs that share a shorter column too have been candidates before.  Documents of the column's largest
+    component meet only the others.
     """
+    lists = long_cols.groupBy("sig").agg(F.collect_set("h").alias("cols"))
     rows = long_cols.join(comp.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", "n", F.coalesce("comp", "sig").alias("comp"))
     rows = materialize(rows)
     per = rows.groupBy("h", "comp").agg(F.count("*").alias("k"))
     main = per.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all")).where("m.k < all")
     cut = lambda k: F.ceil(k / F.lit(block)).cast("int")
     main = main.select("h", F.col("m.comp").alias("main"), cut(F.col("m.k")).alias("mains"), cut(F.col("all") - F.col("m.k")).alias("odds"))
-    rows = rows.join(main, "h").withColumn("odd", F.col("comp") != F.col("main"))
+    rows = rows.join(main, "h").join(lists, "sig").withColumn("odd", F.col("comp") != F.col("main"))
     own = F.pmod(F.xxhash64("sig"), F.when(F.col("odd"), F.col("odds")).otherwise(F.col("mains"))).cast("int")
     rows = rows.withColumn("own", own)
 
@@ -316,5 +355,5 @@ def _long_pairs(long_cols: DataFrame, comp: DataFrame, num: int, den: int, block
         F.transform(F.sequence(F.lit(0), F.col("odds") - 1), lambda i: unit("main", i, F.col("own")))
     )
     with_odd = F.when(F.col("odd"), F.transform(F.sequence(F.lit(0), F.col("odds") - 1), lambda i: unit("odd", F.least(i, F.col("own")), F.greatest(i, F.col("own"))))).otherwise(F.array().cast("array<struct<kind:string,i:int,j:int>>"))
-    units = rows.select("h", "sig", "n", "comp", "odd", F.explode(F.concat(with_main, with_odd)).alias("u")).select("h", "u.kind", "u.i", "u.j", "sig", "n", "comp", "odd")
+    units = rows.select("h", "sig", "n", "comp", "odd", "cols", F.explode(F.concat(with_main, with_odd)).alias("u")).select("h", "u.kind", "u.i", "u.j", "sig", "n", "comp", "odd", "cols")
     return units.groupBy("h", "kind", "i", "j").applyInPandas(_cross(num, den), "a long, b long").distinct()
