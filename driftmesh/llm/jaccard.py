@@ -298,7 +298,7 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
     def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         for x in ("a", "b"):
             pairs = pairs.join(comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")), x, "left")
-        return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
         """Components after more links; links between the same two components count once."""
@@ -309,10 +309,21 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
         moved = comp.join(tops.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
         return materialize(moved.unionByName(tops))
 
-    sym = cand.unionByName(cand.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
-    best = sym.groupBy("a").agg(F.max(F.struct("c", F.col("b").alias("other"))).alias("m")).select(F.least("a", "m.other").alias("a"), F.greatest("a", "m.other").alias("b")).distinct()
-    comp = components(exact(materialize(best)), "a", "b")
-    rest = materialize(apart(cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), comp))
+    def best_of(pairs: DataFrame) -> DataFrame:
+        """Each document's pair with the highest count."""
+        sym = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+        best = sym.groupBy("a").agg(F.max(F.struct("c", F.col("b").alias("other"))).alias("m"))
+        return materialize(best.select(F.least("a", "m.other").alias("a"), F.greatest("a", "m.other").alias("b")).distinct())
+
+    pairs = cand.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("c").alias("c"))
+    tried = best_of(pairs)
+    comp = components(exact(tried), "a", "b")
+    pairs = materialize(apart(pairs.join(tried, ["a", "b"], "left_anti"), comp))
+    tried = best_of(pairs)  # once more over what is still apart: large groups are mostly one component then
+    links = exact(tried)
+    if links.take(1):
+        comp = joined(comp, links)
+    rest = materialize(apart(pairs.join(tried, ["a", "b"], "left_anti"), comp).select("a", "b"))
     links = verified(rest)
     if links.take(1):
         comp = joined(comp, links)
