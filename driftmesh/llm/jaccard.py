@@ -177,7 +177,7 @@ def _products(num: int, den: int):
     return run
 
 
-def _cross(num: int, den: int):
+def _cross(num: int, den: int, best: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """One block of a long column's product: pairs of different components that share enough long columns.
 
@@ -196,6 +196,9 @@ def _cross(num: int, den: int):
         # shares none of the columns before this one
         before = holds[:, cols < key[0]]
         ok &= before[left] @ before[right].T == 0
+        if best:  # just each odd document's partner with the highest count
+            ok &= shared == np.where(ok, shared, -1).max(axis=1, initial=-1, keepdims=True)
+            ok &= np.cumsum(ok, axis=1) == 1
         i, j = np.nonzero(ok)
         a, b = sig[left[i]], sig[right[j]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
@@ -328,10 +331,10 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
     if links.take(1):
         comp = joined(comp, links)
     if some_long:
-        crossing = materialize(_long_pairs(long_cols, comp, num, den))
-        links = verified(crossing)
-        if links.take(1):
-            comp = joined(comp, links)
+        for best in (True, False):  # best partners first, so that few pairs of a large group are left for the whole product
+            links = verified(materialize(_long_pairs(long_cols, comp, num, den, best)))
+            if links.take(1):
+                comp = joined(comp, links)
     named = classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("comp", "sig").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = named.join(least, "comp").select("sig", "component_id")
@@ -342,11 +345,11 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
     return linked.unionByName(alone).select(null_id("rid").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), null_id("component_id").alias("component_id"))
 
 
-def _long_pairs(long_cols: DataFrame, comp: DataFrame, num: int, den: int, block: int = 512) -> DataFrame:
+def _long_pairs(long_cols: DataFrame, comp: DataFrame, num: int, den: int, best: bool, block: int = 512) -> DataFrame:
     """Pairs of different components that share as many long columns as their sizes ask for, by blocks of about ``block`` documents a side.
 
     Pairs that share a shorter column too have been candidates before.  Documents of the column's largest
-    component meet only the others.
+    component meet only the others.  With ``best`` each of the others gives its best pair of a block only.
     """
     lists = long_cols.groupBy("sig").agg(F.collect_set("h").alias("cols"))
     rows = long_cols.join(comp.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", "n", F.coalesce("comp", "sig").alias("comp"))
@@ -367,4 +370,4 @@ def _long_pairs(long_cols: DataFrame, comp: DataFrame, num: int, den: int, block
     )
     with_odd = F.when(F.col("odd"), F.transform(F.sequence(F.lit(0), F.col("odds") - 1), lambda i: unit("odd", F.least(i, F.col("own")), F.greatest(i, F.col("own"))))).otherwise(F.array().cast("array<struct<kind:string,i:int,j:int>>"))
     units = rows.select("h", "sig", "n", "comp", "odd", "cols", F.explode(F.concat(with_main, with_odd)).alias("u")).select("h", "u.kind", "u.i", "u.j", "sig", "n", "comp", "odd", "cols")
-    return units.groupBy("h", "kind", "i", "j").applyInPandas(_cross(num, den), "a long, b long").distinct()
+    return units.groupBy("h", "kind", "i", "j").applyInPandas(_cross(num, den, best), "a long, b long").distinct()
