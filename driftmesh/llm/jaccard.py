@@ -98,6 +98,20 @@ def _nodes(shared, num: int, den: int):
     return run
 
 
+def _bins(v: np.ndarray) -> bytes:
+    """How many of the shingles have each leading byte, 255 for more."""
+    return np.minimum(np.bincount((v >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def _able(bins: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the bins of rows a and b allow a link: shared shingles are at most the sum of the lesser counts.
+
+    A bin that is full on both sides allows any overlap.
+    """
+    least = np.minimum(bins[a], bins[b])
+    return (least == 255).any(axis=1) | (least.sum(axis=1, dtype=np.int64) * (num + den) >= (n[a].astype(np.int64) + n[b]) * num)
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for a in range(0, whole.num_rows, 2000):
@@ -105,7 +119,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = [x for x in v if len(x)]
             cut = np.cumsum([0, *map(len, v)]).astype(np.int32)
             sig = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in v], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"sig": pa.array(sig), "vec": pa.ListArray.from_arrays(pa.array(cut), _ints(np.concatenate([*v, np.zeros(0, np.uint64)])))})
+            vec = pa.ListArray.from_arrays(pa.array(cut), _ints(np.concatenate([*v, np.zeros(0, np.uint64)])))
+            yield pa.RecordBatch.from_pydict({"sig": pa.array(sig), "vec": vec, "bins": pa.array([_bins(x) for x in v], pa.binary())})
 
 
 def _emit(kind: int, h=0, a=0, b=0, na=0, nb=0, c=0) -> pd.DataFrame:
@@ -182,6 +197,7 @@ def _cross(num: int, den: int, best: bool):
         """One block of a long column's product: pairs of different components that share enough long columns.
 
         Rows carry all their long columns, so a pair's count is whole here; only its first shared column gives it.
+        Of what the count leaves, the bins of whole sets drop most pairs that can't link before they are given.
         """
         sig, n, comp, odd = (rows[c].to_numpy() for c in ("sig", "n", "comp", "odd"))
         cols, at = np.unique(np.concatenate(rows["cols"].tolist()), return_inverse=True)
@@ -196,6 +212,11 @@ def _cross(num: int, den: int, best: bool):
         # shares none of the columns before this one
         before = holds[:, cols < key[0]]
         ok &= before[left] @ before[right].T == 0
+        bins = np.stack([np.frombuffer(x, np.uint8) for x in rows["bins"]])
+        i, j = np.nonzero(ok)
+        for k in range(0, len(i), 20_000):
+            x, y = i[k : k + 20_000], j[k : k + 20_000]
+            ok[x, y] = _able(bins, left[x], right[y], n, num, den)
         if best:  # just each odd document's partner with the highest count
             ok &= shared == np.where(ok, shared, -1).max(axis=1, initial=-1, keepdims=True)
             ok &= np.cumsum(ok, axis=1) == 1
@@ -273,7 +294,7 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
     reps = classes.join(ends, "sig", "left_semi").select("rep").distinct()
     reps = materialize(reps)
     wanted = src.join(maybe_broadcast(reps, reps.count(), broadcast_rows), F.col("rid") == F.col("rep"), "left_semi").select("text")
-    vectors = materialize(wanted.mapInArrow(_vectors, "sig long, vec array<long>"))
+    vectors = materialize(wanted.mapInArrow(_vectors, "sig long, vec array<long>, bins binary"))
     # 16 bits of each shingle: an upper bound of the overlap at a quarter of the size
     sketches = materialize(vectors.select("sig", F.array_distinct(F.transform("vec", lambda x: F.shiftright(x, 48).cast("smallint"))).alias("vec"), F.size("vec").alias("n")))
 
@@ -286,7 +307,7 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
 
     def exact(pairs: DataFrame) -> DataFrame:
         inter = F.size(F.array_intersect("veca", "vecb")).cast("long")
-        counted = met(pairs, vectors).select("a", "b", inter.alias("inter"), (F.size("veca") + F.size("vecb")).alias("sum"))
+        counted = met(pairs, vectors.select("sig", "vec")).select("a", "b", inter.alias("inter"), (F.size("veca") + F.size("vecb")).alias("sum"))
         return materialize(counted.where(F.col("inter") * den >= (F.col("sum") - F.col("inter")) * num).select("a", "b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -332,7 +353,7 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
         comp = joined(comp, links)
     if some_long:
         for best in (True, False):  # best partners first, so that few pairs of a large group are left for the whole product
-            links = verified(materialize(_long_pairs(long_cols, comp, num, den, best)))
+            links = verified(materialize(_long_pairs(long_cols, vectors, comp, num, den, best)))
             if links.take(1):
                 comp = joined(comp, links)
     named = classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("comp", "sig").alias("comp"))
@@ -345,13 +366,13 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
     return linked.unionByName(alone).select(null_id("rid").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), null_id("component_id").alias("component_id"))
 
 
-def _long_pairs(long_cols: DataFrame, comp: DataFrame, num: int, den: int, best: bool, block: int = 512) -> DataFrame:
+def _long_pairs(long_cols: DataFrame, vectors: DataFrame, comp: DataFrame, num: int, den: int, best: bool, block: int = 512) -> DataFrame:
     """Pairs of different components that share as many long columns as their sizes ask for, by blocks of about ``block`` documents a side.
 
     Pairs that share a shorter column too have been candidates before.  Documents of the column's largest
     component meet only the others.  With ``best`` each of the others gives its best pair of a block only.
     """
-    lists = long_cols.groupBy("sig").agg(F.collect_set("h").alias("cols"))
+    lists = long_cols.groupBy("sig").agg(F.collect_set("h").alias("cols")).join(vectors.select("sig", "bins").dropDuplicates(["sig"]), "sig")
     rows = long_cols.join(comp.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", "n", F.coalesce("comp", "sig").alias("comp"))
     rows = materialize(rows)
     per = rows.groupBy("h", "comp").agg(F.count("*").alias("k"))
@@ -369,5 +390,5 @@ def _long_pairs(long_cols: DataFrame, comp: DataFrame, num: int, den: int, best:
         F.transform(F.sequence(F.lit(0), F.col("odds") - 1), lambda i: unit("main", i, F.col("own")))
     )
     with_odd = F.when(F.col("odd"), F.transform(F.sequence(F.lit(0), F.col("odds") - 1), lambda i: unit("odd", F.least(i, F.col("own")), F.greatest(i, F.col("own"))))).otherwise(F.array().cast("array<struct<kind:string,i:int,j:int>>"))
-    units = rows.select("h", "sig", "n", "comp", "odd", "cols", F.explode(F.concat(with_main, with_odd)).alias("u")).select("h", "u.kind", "u.i", "u.j", "sig", "n", "comp", "odd", "cols")
+    units = rows.select("h", "sig", "n", "comp", "odd", "cols", "bins", F.explode(F.concat(with_main, with_odd)).alias("u")).select("h", "u.kind", "u.i", "u.j", "sig", "n", "comp", "odd", "cols", "bins")
     return units.groupBy("h", "kind", "i", "j").applyInPandas(_cross(num, den, best), "a long, b long").distinct()
