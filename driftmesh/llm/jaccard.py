@@ -19,6 +19,8 @@ _LAST = 2**63 - 1
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 #: A column of the product with up to so many documents is multiplied out at once.
 BLOCK = 48
+#: Below this hash, documents are counted for every shingle.  Prefixes of documents with under a quarter of common shingles end there.
+SURE = np.uint64(35 * 2**64 // 100)
 PAIRS = "kind int, h long, a long, b long, na int, nb int, c int"
 
 
@@ -54,13 +56,29 @@ def _ints(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
 
-def _common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shingles that a thousandth of a batch's documents hold, and how many do."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a batch's different texts hold a shingle: all shingles below SURE, one row a text; of the others those that a thousandth hold."""
     for b in batches:
-        v = [shingles(t) for t in b["text"]]
-        h, n = np.unique(np.concatenate([*v, np.zeros(0, np.uint64)]), return_counts=True)
-        at = n >= max(6, len(b) // 1000)
-        yield pd.DataFrame({"h": h[at].view(np.int64), "n": n[at]})
+        v = [shingles(t) for t in dict.fromkeys(b.column("text").to_pylist())]
+        cut = [int(np.searchsorted(x, SURE)) for x in v]
+        low = np.concatenate([*[x[:k] for x, k in zip(v, cut, strict=True)], np.zeros(0, np.uint64)])
+        yield pa.RecordBatch.from_pydict({"h": _ints(low), "n": pa.array(np.ones(len(low), np.int32))})
+        high = np.concatenate([*[x[k:] for x, k in zip(v, cut, strict=True)], np.zeros(0, np.uint64)])
+        slot, least = (high & np.uint64(2**22 - 1)).astype(np.int64), max(6, len(v) // 1000)
+        h, n = np.unique(high[np.bincount(slot, minlength=2**22)[slot] >= least], return_counts=True)
+        yield pa.RecordBatch.from_pydict({"h": _ints(h[n >= least]), "n": pa.array(n[n >= least].astype(np.int32))})
+
+
+def _common(src: DataFrame, most: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in ``least`` or more documents, sorted, and their places by count; in more documents, if these would be over ``most``."""
+    counted = materialize(src.select("text").mapInArrow(_counts, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    levels = {r["k"]: r["count"] for r in counted.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()}
+    k = next(k for k in range(64) if sum(c for x, c in levels.items() if x >= k) <= most)
+    rows = counted.where(F.floor(F.log2("n")) >= k).toArrow()
+    release(counted)
+    h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], np.argsort(np.argsort(n[order], kind="stable"), kind="stable")
 
 
 def _prefix(v: np.ndarray, common: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -227,7 +245,7 @@ def _cross(num: int, den: int, best: bool):
     return run
 
 
-def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast_rows: int = 1_000_000, most_common: int = 200_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast_rows: int = 1_000_000, most_common: int = 500_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Two documents link when the Jaccard similarity of their sets of 5-word shingles is num / den or more;
@@ -236,7 +254,7 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
     The product of the incidence matrix with itself is never formed whole:
 
     * Documents with equal sets are one row of it (their hash is the row's name).
-    * Columns are put in one order: by hash, shingles that many documents hold last.  A pair that shares
+    * Columns are put in one order: by hash, shingles that 8 or more documents hold last, the commonest at the end.  A pair that shares
       none of the first n - ceil(t n) + 1 of either document's columns can't reach the bound, so only these
       entries shuffle.
     * Columns are multiplied out block by block.  Overlap counts of a pair add up over blocks; pairs whose
@@ -248,7 +266,8 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
     * What remains is verified exactly on the whole shingle sets, first each document's best partner, then
       all pairs that aren't yet in one component.
 
-    Common shingles only order columns: at most ``most_common`` are broadcast, those counted most often.
+    Common shingles only order columns: at most ``most_common`` are broadcast, those counted most often.  Prefixes lie
+    in the first part of hash space, so only there all shingles are counted, by one shuffle of hashes.
     Before the whole sets, 16 bits of each shingle give
     an upper bound of the overlap.  Lists of documents are broadcast up to ``broadcast_rows`` rows, else joined by shuffle.  Shingles are
     64-bit hashes.
@@ -259,11 +278,7 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
     """
     spark = docs.sparkSession
     src = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("rid"), "text")
-    common = src.select("text").mapInPandas(_common, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 24").orderBy(F.desc("n"), "h").limit(most_common).collect()
-    common = sorted((int(np.int64(r["h"]).view(np.uint64)), r["n"]) for r in common)
-    hot = np.array([h for h, _ in common], np.uint64)
-    rank = np.argsort(np.argsort(np.array([n for _, n in common], np.int64), kind="stable"))
-    shared = spark.sparkContext.broadcast((hot, rank))
+    shared = spark.sparkContext.broadcast(_common(src, most_common))
     entries = materialize(src.mapInArrow(_nodes(shared, num, den), "rid long, sig long, n int, prefix array<long>"))
     nodes = materialize(entries.select("rid", "sig", "n"))
     classes = materialize(nodes.where("sig IS NOT NULL").groupBy("sig").agg(F.min("rid").alias("rep"), F.first("n").alias("n")))
