@@ -190,7 +190,7 @@ def _products(num: int, den: int):
             new = np.append(True, (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]))
             h, sig, n = h[new], sig[new], n[new]
             if big:
-                k = int(np.searchsorted(h == big[0], False)) if not (h == big[0]).all() else len(h)
+                k = int((h == big[0]).sum())  # its rows lead
                 if k:
                     yield from long_rows(h[:k], sig[:k], n[:k], big[1])
                 if k == len(h):

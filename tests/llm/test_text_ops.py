@@ -219,3 +219,25 @@ def test_sql(spark, sf, name):
     want = con.sql(Q.oracle_sql()[name])
     got = Q.queries()[name](spark, sf).select(*want.columns)
     assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
+
+
+@pytest.mark.parametrize("tail", [1, 20, 100])
+def test_products_of_a_column_over_batches(tail):
+    """A long column that ends within a later batch gives what it gives in one batch."""
+    import pandas as pd
+    from driftmesh.llm.jaccard import _products
+
+    sizes = [3, 1, 100 + tail, 2, 60, 5]
+    column = pd.DataFrame({"h": [h for h, k in enumerate(sizes) for _ in range(k)], "sig": [s for k in sizes for s in range(k)]})
+    column["n"] = 50 + column["sig"] % 3
+
+    def summed(cuts):
+        out, ends = Counter(), [0, *cuts, len(column)]
+        for part in _products(75, 100)(column.iloc[a:b].reset_index(drop=True) for a, b in zip(ends, ends[1:])):
+            for kind, h, a, b, na, nb, c in part[["kind", "h", "a", "b", "na", "nb", "c"]].itertuples(index=False):
+                out[kind, h, a, b, na, nb] += c if kind == 0 else 1
+        return out
+
+    want = summed([])
+    assert sum(n for k, n in want.items() if k[0] == 2) == 160 + tail
+    assert summed([104]) == summed([60, 104]) == summed([30, 80, 104, 104 + tail]) == want
