@@ -106,7 +106,7 @@ def _nodes(shared, num: int, den: int):
                 sig = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in v], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "rid": b.column("rid"),
+                        **{c: b.column(c) for c in b.schema.names if c != "text"},
                         "sig": pa.array(sig, mask=np.array([not len(x) for x in v], bool)),
                         "n": pa.array([len(x) for x in v], pa.int32()),
                         "prefix": pa.ListArray.from_arrays(pa.array(cut), _ints(np.concatenate([*p, np.zeros(0, np.uint64)]))),
@@ -245,9 +245,12 @@ def _cross(num: int, den: int, best: bool):
     return run
 
 
-def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast_rows: int = 1_000_000, most_common: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast_rows: int = 1_000_000, most_common: int = 500_000, key: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
+    ``key`` may name a column of docs with a different long in each row.  It is then the first column, and the
+    last is first_row: whether the row comes first in its component, by doc_id (null last), then by key.
+
     Two documents link when the Jaccard similarity of their sets of 5-word shingles is num / den or more;
     component_id is the smallest doc_id that links lead to, the document's own included.
 
@@ -274,17 +277,22 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
 
     A text without words has n_shingles 0 and is its own component.  A null doc_id counts in its component
     only if no other is there.  Rows that share a doc_id share its component where texts agree, and each
-    row has its own result.  An empty table gives no rows; other columns are ignored.
+    row has its own result; of rows with equal sets, whatever their ids, one row enters the product.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    src = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("rid"), "text")
+    src = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("rid"), "text", *([F.col(key).alias("row")] if key else []))
     shared = spark.sparkContext.broadcast(_common(src, most_common))
-    entries = materialize(src.mapInArrow(_nodes(shared, num, den), "rid long, sig long, n int, prefix array<long>"))
-    nodes = materialize(entries.select("rid", "sig", "n"))
-    classes = materialize(nodes.where("sig IS NOT NULL").groupBy("sig").agg(F.min("rid").alias("rep"), F.first("n").alias("n")))
-    copies = nodes.select("rid", "sig").join(classes, "sig").where("rid <> rep").select("rid").distinct()
+    entries = src.mapInArrow(_nodes(shared, num, den), "rid long, " + "row long, " * bool(key) + "sig long, n int, prefix array<long>")
+    if not key:
+        entries = entries.withColumn("row", F.monotonically_increasing_id())
+    entries = materialize(entries)  # rows keep their numbers from here on
+    nodes = materialize(entries.select("rid", "row", "sig", "n"))
+    firsts = nodes.where("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct("rid", "row")).alias("m"), F.first("n").alias("n"))
+    classes = materialize(firsts.select("sig", F.col("m.rid").alias("rep"), F.col("m.row").alias("own"), "n"))
+    # by row: ids may be null or shared by other texts
+    copies = nodes.select("row", "sig").join(classes.select("sig", "own"), "sig").where("row <> own").select("row")
     copies = materialize(copies)
-    rows = entries.join(maybe_broadcast(copies, copies.count(), broadcast_rows), "rid", "left_anti").select(F.explode("prefix").alias("h"), "sig", "n")
+    rows = entries.join(maybe_broadcast(copies, copies.count(), broadcast_rows), "row", "left_anti").select(F.explode("prefix").alias("h"), "sig", "n")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(rows.repartition(parts, "h").sortWithinPartitions("h", "sig").mapInPandas(_products(num, den), PAIRS))
     del rows
@@ -306,10 +314,16 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
     cand = materialize(small.where(F.col("may") >= need).select("a", "b", "c").unionByName(first))
 
     ends = cand.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(long_cols.select("sig")).distinct()
-    reps = classes.join(ends, "sig", "left_semi").select("rep").distinct()
-    reps = materialize(reps)
-    wanted = src.join(maybe_broadcast(reps, reps.count(), broadcast_rows), F.col("rid") == F.col("rep"), "left_semi").select("text")
+    ends = materialize(classes.join(ends, "sig", "left_semi").select("sig", "rep"))
+    reps = materialize(ends.select("rep").distinct())
+    n_reps, n_ends = reps.count(), ends.count()
+    wanted = src.join(maybe_broadcast(reps, n_reps, broadcast_rows), F.col("rid") == F.col("rep"), "left_semi").select("text")
     vectors = materialize(wanted.mapInArrow(_vectors, "sig long, vec array<long>, bins binary"))
+    if vectors.count() > n_ends:  # rows that share an id: each wanted set once
+        several = vectors
+        vectors = several.join(maybe_broadcast(ends.select("sig"), n_ends, broadcast_rows), "sig", "left_semi").groupBy("sig").agg(F.first("vec").alias("vec"), F.first("bins").alias("bins"))
+        vectors = materialize(vectors)
+        release(several)
     # 16 bits of each shingle: an upper bound of the overlap at a quarter of the size
     sketches = materialize(vectors.select("sig", F.array_distinct(F.transform("vec", lambda x: F.shiftright(x, 48).cast("smallint"))).alias("vec"), F.size("vec").alias("n")))
 
@@ -371,14 +385,14 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
             links = verified(materialize(_long_pairs(long_cols, vectors, comp, num, den, best)))
             if links.take(1):
                 comp = joined(comp, links)
-    named = classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("comp", "sig").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    ids = named.join(least, "comp").select("sig", "component_id")
-    out = nodes.select("rid", "sig", "n")
-    linked = out.where("sig IS NOT NULL").join(ids, "sig", "left").select("rid", "n", "component_id")
-    alone = out.where("sig IS NULL").select("rid", "n", F.col("rid").alias("component_id"))
+    named = classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", "own", F.coalesce("comp", "sig").alias("comp"))
+    least = named.groupBy("comp").agg(F.min(F.struct("rep", "own")).alias("least"))
+    ids = named.join(least, "comp").select("sig", F.col("least.rep").alias("component_id"), F.col("least.own").alias("own"))
+    linked = nodes.where("sig IS NOT NULL").join(ids, "sig", "left").select("rid", "row", "n", "component_id", (F.col("row") == F.col("own")).alias("first_row"))
+    alone = nodes.where("sig IS NULL").select("rid", "row", "n", F.col("rid").alias("component_id"), F.lit(True).alias("first_row"))
     null_id = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return linked.unionByName(alone).select(null_id("rid").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), null_id("component_id").alias("component_id"))
+    out = (null_id("rid").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), null_id("component_id").alias("component_id"))
+    return linked.unionByName(alone).select(*([F.col("row").alias(key), *out, "first_row"] if key else out))
 
 
 def _long_pairs(long_cols: DataFrame, vectors: DataFrame, comp: DataFrame, num: int, den: int, best: bool, block: int = 512) -> DataFrame:

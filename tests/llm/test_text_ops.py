@@ -241,3 +241,21 @@ def test_products_of_a_column_over_batches(tail):
     want = summed([])
     assert sum(n for k, n in want.items() if k[0] == 2) == 160 + tail
     assert summed([104]) == summed([60, 104]) == summed([30, 80, 104, 104 + tail]) == want
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    """Texts whose id is a copy's id too link as others do."""
+    rng = random.Random(8)
+    text = lambda: [f"u{rng.randrange(10**6)}" for _ in range(60)]
+    near = lambda ws: " ".join([*ws[:30], "changed", *ws[31:]])
+    x, y, z, v, w = (text() for _ in range(5))
+    join = " ".join
+    data = [(3, join(x)), (7, join(y)), (None, join(x)), (None, near(y)), (5, join(x)), (5, join(z)), (9, near(z)), (None, join(v)), (None, near(v)), (None, join(v)), (12, join(w)), (12, join(w)), (14, near(w)), (None, None), (None, "")]
+    comp = [3, 7, 3, 7, 3, 5, 5, None, None, None, 12, 12, 12, None, None]
+    want = Counter((i, len({tuple(t.split()[k : k + 5]) for k in range(56)}) if t else 0, c) for (i, t), c in zip(data, comp, strict=True))
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(data)], "k long, doc_id long, text string").repartition(3)
+    for broadcast in (1_000_000, 0):
+        assert Counter(map(tuple, jaccard_components(df, broadcast_rows=broadcast).collect())) == want
+    got = jaccard_components(df, key="k").collect()
+    assert Counter(tuple(r)[1:4] for r in got) == want
+    assert {r["k"] for r in got if r["first_row"]} == {0, 1, 5, 7, 10, 13, 14}
