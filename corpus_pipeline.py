@@ -16,40 +16,61 @@ from driftmesh.llm.mixing import mix
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Documents with a number of their own for each row, written so that it stays: ids may be null or repeated."""
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: no letters, or two languages about as near."""
-    known = identify_language(docs, train(docs)).where("NOT ambiguous").select("doc_id").distinct()
-    return docs.join(known, "doc_id", "left_semi").select(*COLUMNS)
+    """Documents whose language can't be told go: no letters, or two languages about as near.
+
+    Each row stays or goes by its own text; a null or repeated doc_id doesn't matter.
+    """
+    docs = _numbered(docs)
+    known = identify_language(docs, train(docs), key="row").where("NOT ambiguous").select("row")
+    return docs.join(known, "row", "left_semi").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the lines that an earlier document has."""
-    kept = line_dedup(docs).select("doc_id", F.col("text").alias("kept"))
-    rest = docs.select("doc_id", "lang", "source")
-    return rest.join(kept, "doc_id").select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+    """Texts lose the lines that an earlier document has.
+
+    Each row gives one row.  Rows that share a doc_id count as one document; rows without one count as one
+    document that comes last, as in ``line_dedup``.
+    """
+    kept = line_dedup(docs, keep=("lang", "source"))
+    return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    first = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Rows of the group that share that id are one document: all of them stay, each once.  In a group without any id one
+    row stays.  Rows that share an id but are in different groups stay or go each by its own group.
+    """
+    docs = _numbered(docs)
+    stays = jaccard_components(docs, key="row").where("first_row OR doc_id = component_id").select("row")
+    return docs.join(stays, "row", "left_semi").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them, up to 3 times; those that it doesn't take go."""
-    taken = mix(docs).where("repeats > 0").select("doc_id", "repeats")
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "repeats"))).select(*COLUMNS)
+    """Documents come as often as the mix takes them, up to 3 times; those that it doesn't take go.
+
+    Each row is a document and comes as often as its own repeats, whether its doc_id is null or repeated.
+    """
+    docs = _numbered(docs)
+    taken = mix(docs, keep=("row",)).where("repeats > 0").select("row", "repeats")
+    return docs.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), "repeats"))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, and whether they decode to its text."""
+    """Each document's token ids, and whether they decode to its text; each row gives one row."""
     rows = bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
     return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("mixing sources", mixing), ("byte-level BPE", tokens)]
 
-#: A learned classifier, a fitted budget and the tokenizer are beyond SQL; tests hold the stages against brute force.
+#: A learned classifier, a fitted budget and the tokenizer are beyond SQL; tests/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -144,10 +144,10 @@ def train(docs: DataFrame, per_language: int = 1000) -> Model | None:
     return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["lang"] for r in rows]))
 
 
-def identify_language(docs: DataFrame, model: Model | None) -> DataFrame:
+def identify_language(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, lang_pred, score (0 to 1), ambiguous.
 
-    Only the text decides.  Null texts and texts without a letter are ``und`` with score 0 and ambiguous,
+    ``key`` may name another long column of docs to stand for doc_id.  Only the text decides.  Null texts and texts without a letter are ``und`` with score 0 and ambiguous,
     and so is everything if nothing was learned.  Texts are worked on whole, long ones slice by slice.
     Repeated rows give repeated results, an empty table none.  Other columns are ignored.  Nothing shuffles.
     """
@@ -160,7 +160,7 @@ def identify_language(docs: DataFrame, model: Model | None) -> DataFrame:
                 b = whole.iloc[a : a + 500]
                 texts = [t or "" for t in b["text"]]
                 known = np.array([bool(m and _LETTER.search(t)) for t in texts], bool)
-                out = pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "lang_pred": "und", "score": 0.0, "ambiguous": True})
+                out = pd.DataFrame({key: b[key].to_numpy(), "lang_pred": "und", "score": 0.0, "ambiguous": True})
                 if known.any():
                     best, score, unsure = m.decode(ngram_features([t for t, k in zip(texts, known, strict=True) if k]))
                     out.loc[known, "lang_pred"] = [m.langs[i] for i in best]
@@ -168,4 +168,4 @@ def identify_language(docs: DataFrame, model: Model | None) -> DataFrame:
                     out.loc[known, "ambiguous"] = unsure
                 yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return docs.select(key, "text").mapInPandas(run, f"{key} long, lang_pred string, score double, ambiguous boolean")

@@ -80,13 +80,13 @@ def _suspected(shared, log2: int):
             for k in _two_bits(h):
                 at = base + k
                 hit &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            yield b.loc[hit, ["rid", "pos", "digest"]]
+            yield b.loc[hit, ["rid", "t", "pos", "digest"]]
 
     return run
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 10, bits_per_line: int = 8, max_log2_bits: int = 29) -> DataFrame:
-    r"""One row per document: doc_id, text (kept lines), n_lines, n_dropped.
+def line_dedup(docs: DataFrame, min_chars: int = 10, bits_per_line: int = 8, max_log2_bits: int = 29, keep: tuple[str, ...] = ()) -> DataFrame:
+    r"""One row per document: doc_id, text (kept lines), n_lines, n_dropped, and the row's columns that ``keep`` names.
 
     A line's key is the line without white space at both ends and with A-Z lower-cased.  Keys of at least
     ``min_chars`` code points found in two documents or more lose all their lines except in the document
@@ -99,7 +99,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, bits_per_line: int = 8, max
 
     The filter has ``bits_per_line`` bits a line, at most 2^``max_log2_bits`` (64 MB by default): that is
     the proven size of the broadcast.  Beyond that many lines the filter lets more lines through; then
-    more 50-byte records shuffle and results stay exact.  Common lines are combined before they shuffle,
+    more 58-byte records shuffle and results stay exact.  Common lines are combined before they shuffle,
     and the join that finds their documents has no aggregate on the same key, so that Spark splits it.
 
     Null or empty text is one empty line.  A null doc_id comes after all others.  Rows that share a
@@ -107,7 +107,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, bits_per_line: int = 8, max
     """
     spark = docs.sparkSession
     rid = F.coalesce(F.col("doc_id"), F.lit(_LAST))
-    keyed = docs.select(rid.alias("rid"), F.transform(_lines(), lambda x: ascii_lower(strip_ws(x))).alias("keys"))
+    t = F.xxhash64("text").alias("t")  # rows that share an id may have other texts; each has its own places
+    keyed = docs.select(rid.alias("rid"), t, F.transform(_lines(), lambda x: ascii_lower(strip_ws(x))).alias("keys"))
     hashes = keyed.select(F.array_distinct(F.transform(F.filter("keys", lambda k: F.length(k) >= min_chars), lambda k: F.xxhash64(k))).alias("hs"))
     n = hashes.agg(F.sum(F.size("hs").cast("long"))).first()[0] or 0
     log2 = min(max_log2_bits, max(SEGMENT_LOG2, int(max(n * bits_per_line, 1) - 1).bit_length())) - SEGMENT_LOG2
@@ -118,13 +119,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, bits_per_line: int = 8, max
     for row in filters.toLocalIterator():
         bits[row["seg"] * size : (row["seg"] + 1) * size] = row["bits"]
     shared = spark.sparkContext.broadcast(bytes(bits))
-    each = keyed.select("rid", F.posexplode("keys").alias("pos", "key")).where(F.length("key") >= min_chars)
-    each = each.select("rid", "pos", F.xxhash64("key").alias("h"), F.unhex(F.sha2("key", 256)).alias("digest"))
-    suspects = materialize(each.mapInPandas(_suspected(shared, log2), "rid long, pos int, digest binary"))
+    each = keyed.select("rid", "t", F.posexplode("keys").alias("pos", "key")).where(F.length("key") >= min_chars)
+    each = each.select("rid", "t", "pos", F.xxhash64("key").alias("h"), F.unhex(F.sha2("key", 256)).alias("digest"))
+    suspects = materialize(each.mapInPandas(_suspected(shared, log2), "rid long, t long, pos int, digest binary"))
     # written, so that the join below is plain and Spark can split a common line's rows
     repeated = materialize(suspects.groupBy("digest").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("digest", "lo"))
-    drops = suspects.join(repeated, "digest").where("rid > lo").groupBy("rid").agg(F.collect_set("pos").alias("drop"))
-    joined = docs.select("doc_id", rid.alias("rid"), "text").join(drops, "rid", "left").select("doc_id", _lines().alias("lines"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
+    drops = suspects.join(repeated, "digest").where("rid > lo").groupBy("rid", "t").agg(F.collect_set("pos").alias("drop"))
+    joined = docs.select("doc_id", rid.alias("rid"), t, "text", *keep).join(drops, ["rid", "t"], "left").select("doc_id", *keep, _lines().alias("lines"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     text = F.transform(F.array(F.col("lines")), lambda ls: F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n"))[0]
     return joined.select(
@@ -132,4 +133,5 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, bits_per_line: int = 8, max
         F.when(F.size("drop") == 0, F.array_join("lines", "\n")).otherwise(text).alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size("drop").cast("long").alias("n_dropped"),
+        *keep,
     )

@@ -99,8 +99,8 @@ def _plans(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source_key": rows["source_key"], "size": lengths, "repeats": repeats, "extra": extra})
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 7, buckets: int = 1024) -> DataFrame:
-    r"""One row per document: doc_id, source, size, source_size, target, repeats, taken (= repeats * size).
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 7, buckets: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
+    r"""One row per document: doc_id, source, size, source_size, target, repeats, taken (= repeats * size), and the row's columns that ``keep`` names.
 
     Size is the number of ``[^\x20\x09-\x0D]+`` in the text.  ``targets`` gives each source's target; every
     document of a source is repeated as often as fits whole, at most 3 times in all, and what is left of
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 7, buck
     words = F.filter(F.split(F.coalesce("text", F.lit("")), WS_CLASS + "+"), lambda x: x != "")
     key = F.struct(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
     h = F.xxhash64(F.lit(seed), "doc_id")
-    sized = materialize(docs.select("doc_id", key.alias("source_key"), F.size(words).cast("long").alias("size"), h.alias("h"), F.pmod(h, F.lit(buckets)).alias("slice")))
+    sized = materialize(docs.select("doc_id", key.alias("source_key"), F.size(words).cast("long").alias("size"), h.alias("h"), F.pmod(h, F.lit(buckets)).alias("slice"), *keep))
     slices = materialize(sized.groupBy("source_key", "size", "slice").agg(F.count("*").alias("n")))
     by_length = slices.groupBy("source_key", "size").agg(F.sum("n").alias("n"))
     shares = targets(by_length.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights)
@@ -129,4 +129,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 7, buck
     ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("source_key", "size", "slice").orderBy("h", "doc_id")))
     repeats = F.col("repeats") + (F.col("before") + F.col("rank") <= F.col("extra")).cast("int")
     out = ranked.join(offsets, ["source_key", "size", "slice"]).withColumn("repeats", repeats).join(shares, "source_key")
-    return out.select("doc_id", F.when(~F.col("source_key.missing"), F.col("source_key.name")).alias("source"), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    return out.select("doc_id", F.when(~F.col("source_key.missing"), F.col("source_key.name")).alias("source"), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), *keep)
