@@ -30,8 +30,10 @@ NOISE = re.compile(
     re.I,
 )
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main\w*|post|entry|story|text|body|page|prose)(?=[\s_-]|$)", re.I)
-_OPEN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-_ATTR = re.compile(r"""\b(class|id|role|data-label|hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: A quote opens a value only right after "=" that follows a name; elsewhere it is part of a name or of an unquoted value.
+_OPEN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|(?=>)|[^\s>"'][^\s>]*+)|(?!\s*+=)))*+)>""")
+_ATTR = re.compile(r"""(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?+)?+""")
+_NAMED = frozenset(("class", "id", "role", "hidden"))
 
 
 @dataclass(slots=True)
@@ -50,7 +52,10 @@ class Block:
 
 
 def parse(html: str) -> list[Block]:
-    """The page's blocks, parents first.  Inline elements belong to their block; a tag that never ends drops the rest, as in browsers."""
+    """The page's blocks, parents first.  Inline elements belong to their block; a tag that never ends drops the rest, as in browsers.
+
+    Quotes open an attribute's value only right after its "=". 
+    """
     blocks = [Block("html")]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block that each one's text goes to
     links, at, place, n = 0, 0, 0, len(html)
@@ -106,6 +111,8 @@ def parse(html: str) -> list[Block]:
                 if tag not in INLINE:
                     blocks[stack[-1][1]].parts.append((place, None))
             continue
+        if tag == "svg" and attrs.endswith("/") and not next((v for _, v in reversed(_ATTR.findall(attrs))), "").endswith("/"):  # foreign elements may end in their start tag
+            continue
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(html, at)
             if not end:
@@ -126,10 +133,12 @@ def parse(html: str) -> list[Block]:
             continue
         own = stack[-1][1]
         if tag not in INLINE:
-            found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)} if "=" in attrs else {}
+            found: dict[str, str] = {}
+            for k, v in _ATTR.findall(attrs) if "=" in attrs else ():
+                found.setdefault(k.lower(), v[1:-1] if v[:1] in ("'", '"') else v)  # the first of a name counts
             blocks[own].parts.append((place, None))
-            label = found.pop("data-label", None)
-            blocks.append(Block(tag, " ".join(found.values()), own, int(label) if label else None))
+            label = found.get("data-label")
+            blocks.append(Block(tag, " ".join(v for k, v in found.items() if k in _NAMED and v), own, int(label) if label else None))
             own = len(blocks) - 1
         links += tag == "a"
         stack.append((tag, own))

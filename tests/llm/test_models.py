@@ -235,3 +235,17 @@ def test_html_pages(spark, sf):
     assert extract_main_text(df.limit(0)).count() == 0
     long = "<article><h1>T</h1>" + "<p>A sentence that is long enough to be read, I hope.</p>" * 3000 + "</article>"
     assert len(main_text(long, train(labelled_pages(100)))) > 100_000
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<a href="x"">Hello</a> <p class="y">more text</p><p>rest</p>', "Hello more text rest"),
+        ("<p title=it's>Article text</p><p>rest's</p>", "Article text rest's"),
+        ('<p =a "b>one</p><p a = "x>y" c=\'>\' class=>two</p><p a=b"c>three</p>', "one two three"),
+        ('one<svg viewBox="0 0 1 1"/><p>two</p><svg a=x/>no</svg><p>three</p>', "one two three"),
+        ('one<p title="two>three', "one"),
+    ],
+)
+def test_stray_quotes_end_no_page(page, text):
+    assert " ".join(" ".join("".join(t or " " for _, t in b.parts) for b in parse(page)).split()) == text
