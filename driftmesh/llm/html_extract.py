@@ -51,10 +51,11 @@ class Block:
     below_linked: int = 0
 
 
-def parse(html: str) -> list[Block]:
+def parse(html: str, labels: bool = True) -> list[Block]:
     """The page's blocks, parents first.  Inline elements belong to their block; a tag that never ends drops the rest, as in browsers.
 
-    Quotes open an attribute's value only right after its "=". 
+    Quotes open an attribute's value only right after its "=".  With ``labels``, a data-label of 0 or 1 is
+    a block's label; real pages use that name for words.
     """
     blocks = [Block("html")]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block that each one's text goes to
@@ -137,8 +138,8 @@ def parse(html: str) -> list[Block]:
             for k, v in _ATTR.findall(attrs) if "=" in attrs else ():
                 found.setdefault(k.lower(), v[1:-1] if v[:1] in ("'", '"') else v)  # the first of a name counts
             blocks[own].parts.append((place, None))
-            label = found.get("data-label")
-            blocks.append(Block(tag, " ".join(v for k, v in found.items() if k in _NAMED and v), own, int(label) if label else None))
+            label = found.get("data-label") if labels else None
+            blocks.append(Block(tag, " ".join(v for k, v in found.items() if k in _NAMED and v), own, int(label) if label in ("0", "1") else None))
             own = len(blocks) - 1
         links += tag == "a"
         stack.append((tag, own))
@@ -311,7 +312,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
 
 def main_text(html: str, model: Model) -> str:
     """The text of the blocks that are content with a chance of over a half."""
-    blocks = parse(html)
+    blocks = parse(html, labels=False)
     keep = [p > 0.5 for p in model.marginals(blocks)]
     runs = sorted(((at, i, t) for i, b in enumerate(blocks) if keep[i] for at, t in b.parts), key=lambda x: x[0])
     out: list[str] = []

@@ -249,3 +249,12 @@ def test_html_pages(spark, sf):
 )
 def test_stray_quotes_end_no_page(page, text):
     assert " ".join(" ".join("".join(t or " " for _, t in b.parts) for b in parse(page)).split()) == text
+
+
+def test_data_label_of_real_pages(spark):
+    """Words in data-label are no labels and don't change the text."""
+    page = "<article><h1>Title of it</h1>" + "<p>A sentence that is long enough to be read, I hope.</p>" * 9 + "<table><tr><td{}>12.50 each, as of today.</td></tr></table></article>"
+    df = spark.createDataFrame([(i, "u", page.format(a)) for i, a in enumerate(["", ' data-label="Price"', ' data-label="1"', " data-label=0"])], "page_id long, url string, html string")
+    texts = {r["text"] for r in extract_main_text(df).collect()}
+    assert len(texts) == 1 and "12.50 each" in texts.pop()
+    assert [b.label for b in parse('<p data-label="Price">a<p data-label="1">b<p data-label=0>c')] == [None, None, 1, 0]
