@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 
 #: Longer words (bytes) go through a heap, since a recursive query holds a word's length squared in rows.
-LONG_WORD = 200
-WORDS_A_QUERY = 50_000
-CHARS_A_ROUND = 6_000_000
-CACHE = 600_000
+LONG_WORD = 400
+#: Words and rows (squares of lengths) of one recursive query.
+WORDS_A_QUERY, ROWS_A_QUERY = 20_000, 4_000_000
+CHARS_A_ROUND = 1_000_000
+#: Places of the cache of words, and how many ids a place holds; 2^19 * (16 + 4 * 7) bytes are 23 MB.
+CACHE_PLACES, CACHE_IDS = 1 << 19, 6
 
 #: Rows (w, pos, tok) join the merge table with their right neighbour; each word's leftmost pair of least
 #: rank is contracted; words without a pair leave the recursion.  r is rank * 2^20 + position.
@@ -39,27 +44,51 @@ SELECT w, tok FROM s WHERE NOT live ORDER BY w, pos"""
 _DECODE = "SELECT s, string_agg(txt, '' ORDER BY pos) AS txt FROM tokens JOIN vocab USING (id) GROUP BY s"
 
 
-def _runs(keys: np.ndarray, n: int) -> np.ndarray:
-    return np.searchsorted(keys, np.arange(n + 1))
+class _Cache:
+    """Ids of words by a 128-bit hash, each word at one place: what comes to a taken place pushes the other out."""
+
+    def __init__(self):
+        self.keys = np.zeros((CACHE_PLACES, 2), np.uint64)
+        self.count = np.zeros(CACHE_PLACES, np.int32)
+        self.ids = np.zeros((CACHE_PLACES, CACHE_IDS), np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place, -1 where the cache lacks it."""
+        at = (keys[:, 0] % np.uint64(CACHE_PLACES)).astype(np.int64)
+        return np.where((self.keys[at] == keys).all(axis=1) & (self.count[at] > 0), at, -1)
+
+    def put(self, keys: np.ndarray, flat: np.ndarray, cut: np.ndarray) -> None:
+        """Takes words of up to CACHE_IDS ids; word i has the ids flat[cut[i] : cut[i + 1]]."""
+        n = np.diff(cut)
+        use = np.flatnonzero(n <= CACHE_IDS)
+        at = (keys[use, 0] % np.uint64(CACHE_PLACES)).astype(np.int64)
+        at, first = np.unique(at, return_index=True)
+        use = use[first]
+        self.keys[at], self.count[at] = keys[use], n[use]
+        for k in range(CACHE_IDS):
+            has = n[use] > k
+            self.ids[at[has], k] = flat[cut[use[has]] + k]
 
 
 class Coder:
-    """The tables of one vocabulary in a worker's own in-memory DuckDB, and bounded caches of words."""
+    """The tables of one vocabulary in a worker's own in-memory DuckDB, and a bounded cache of words."""
 
     def __init__(self, vocabulary: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x)}
         self.pattern = regex.compile(pattern)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        pairs = [(self.ranks[k[:i]] * 65536 + self.ranks[k[i:]], c) for k, c in self.ranks.items() for i in range(1, len(k)) if k[:i] in self.ranks and k[i:] in self.ranks]
-        k, c = np.array(pairs, np.int64).T
-        self._put("merges", pa.table({"k": k, "c": c.astype(np.int32)}))
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        keys, ids = array("q"), array("i")
+        for token, c in self.ranks.items():
+            for i in range(1, len(token)):
+                left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if left is not None and right is not None:
+                    keys.append(left * 65536 + right)
+                    ids.append(c)
+        self._put("merges", pa.table({"k": np.frombuffer(keys, np.int64), "c": np.frombuffer(ids, np.int32)}))
         # byte b is chr(256 + b), so that no character is special to the database
         self._put("vocab", pa.table({"id": np.fromiter(self.ranks.values(), np.int32), "txt": ["".join(chr(256 + b) for b in k) for k in self.ranks]}))
-        self.spaced = np.zeros(max(self.ranks.values()) + 1, bool)
-        self.spaced[[c for k, c in self.ranks.items() if k[:1] == b" "]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.spans: dict[bytes, bytes] = {}
+        self.cache = _Cache()
 
     def _put(self, name: str, rows: pa.Table) -> None:
         self.con.register("rows_in", rows)
@@ -72,17 +101,16 @@ class Coder:
         self.con.unregister(name)
         return out
 
-    def _contract(self, words: list[bytes]) -> list[bytes]:
-        """Token ids (int32 bytes) of words that aren't tokens themselves."""
+    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of words that aren't tokens themselves, one word after another, and how many each has."""
         lens = np.array([len(x) for x in words])
         flat = np.frombuffer(b"".join(words), np.uint8)
         at = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
         init = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lens), "pos": at.astype(np.int32), "tok": self.byte_ids[flat]})
         out = self._query("init", init, _ENCODE)
-        ids, cut = np.asarray(out["tok"], np.int32).tobytes(), 4 * _runs(np.asarray(out["w"]), len(words))
-        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return np.asarray(out["tok"], np.int32), np.bincount(out["w"], minlength=len(words))
 
-    def _contract_long(self, word: bytes) -> bytes:
+    def _contract_long(self, word: bytes) -> np.ndarray:
         """The same contraction of one long word by a heap of (rank, position)."""
         parts, nxt, prev = [word[i : i + 1] for i in range(len(word))], list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
         heap = [(r, i, 2) for i in range(len(word) - 1) if (r := self.ranks.get(word[i : i + 2])) is not None]
@@ -98,72 +126,72 @@ class Coder:
             for a in (prev[i], i):
                 if a >= 0 and nxt[a] < len(word) and (r := self.ranks.get(both := parts[a] + parts[nxt[a]])) is not None:
                     heapq.heappush(heap, (r, a, len(both)))
-        return np.array([self.ranks[x] for x in parts if x], np.int32).tobytes()
-
-    def _words(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of distinct matches of the pattern."""
-        raw = {w.encode(): w for w in words}
-        out = {w: np.int32(self.ranks[k]).tobytes() for k, w in raw.items() if k in self.ranks}
-        out |= {w: self._contract_long(k) for k, w in raw.items() if len(k) > LONG_WORD and k not in self.ranks}
-        todo = sorted((k for k in raw if len(k) <= LONG_WORD and k not in self.ranks), key=len)
-        for i in range(0, len(todo), WORDS_A_QUERY):
-            part = todo[i : i + WORDS_A_QUERY]
-            out |= zip((raw[k] for k in part), self._contract(part), strict=True)
-        return out
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Adds the chunks that the cache lacks."""
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        split = {x: self.pattern.findall(x) for x in chunks if x not in self.chunks}
-        words = self._words({w for ws in split.values() for w in ws})
-        self.chunks |= {x: words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for x, ws in split.items()}
+        return np.array([self.ranks[x] for x in parts if x], np.int32)
+
+    def _new_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one word after another, and where each word's begin and end."""
+        order, ids, n = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        todo = []
+        for i, w in enumerate(words):
+            if (rank := self.ranks.get(w)) is None and len(w) <= LONG_WORD:
+                todo.append((len(w), i))
+            else:
+                order.append(i)
+                ids.append(self._contract_long(w) if rank is None else np.array([rank], np.int32))
+                n.append([len(ids[-1])])
+        todo.sort()
+        a = 0
+        while a < len(todo):
+            most = max(1, min(WORDS_A_QUERY, ROWS_A_QUERY // todo[min(a + WORDS_A_QUERY, len(todo)) - 1][0] ** 2))
+            part = [i for _, i in todo[a : a + most]]
+            flat, count = self._contract([words[i] for i in part])
+            order += part
+            ids.append(flat)
+            n.append(count)
+            a += most
+        n = np.concatenate(n).astype(np.int64)
+        back = np.empty(len(words), np.int64)
+        back[order] = np.arange(len(words))
+        return _taken(np.concatenate(ids), np.cumsum(np.append(0, n)), back)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and where each text's ids begin and end.
-
-        Texts are cut before single spaces that follow a non-space: no match of the pattern crosses these
-        places, since only white-space runs go on over a space and a match takes a space only first.
-        Each distinct chunk is encoded once.
-        """
-        cut = [[t] if _SPACES.search(t) or not t else t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for t in texts]
-        chunks = pa.array([x for c in cut for x in c], pa.string()).dictionary_encode()
-        known = chunks.dictionary.to_pylist()
-        self._learn(known)
-        ids = pa.array([self.chunks[x] for x in known], pa.binary()).take(chunks.indices)
-        return _flat(ids, np.cumsum([0, *map(len, cut)]), np.int32)
+        """All ids one after another, and where each text's ids begin and end.  Each distinct word is encoded once."""
+        found = [self.pattern.findall(t) for t in texts]
+        words = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint64).reshape(-1, 2)
+        at = self.cache.find(keys)
+        new = np.flatnonzero(at < 0)
+        ids, cut = self._new_words([distinct[i] for i in new.tolist()])
+        # cached words' ids go behind the new ones
+        known = at[at >= 0]
+        n = self.cache.count[known]
+        row = self.cache.ids[known][np.arange(CACHE_IDS) < n[:, None]]
+        self.cache.put(keys[new], ids, cut)
+        place = np.empty(len(distinct), np.int64)
+        place[new], place[at >= 0] = np.arange(len(new)), len(new) + np.arange(len(known))
+        ids, cut = np.append(ids, row), np.append(cut, cut[-1] + np.cumsum(n))
+        out, ends = _taken(ids, cut, place[words.indices.to_numpy()])
+        return out, ends[np.cumsum([0, *map(len, found)])]
 
     def decode(self, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All bytes one after another, and where each sequence's bytes begin and end.
-
-        Sequences are cut before ids that begin with a space; each distinct piece is put together once.
-        """
-        mark = self.spaced[flat]
-        mark[bounds[:-1][np.diff(bounds) > 0]] = True
-        at = np.flatnonzero(mark)
-        ends = pa.py_buffer((4 * np.append(at, len(flat))).astype(np.int32).tobytes())
-        spans = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(flat.tobytes())]).dictionary_encode()
-        known = spans.dictionary.to_pylist()
-        if len(self.spans) > CACHE:
-            self.spans.clear()
-        new = [x for x in known if x not in self.spans]
-        if new:
-            tok = np.frombuffer(b"".join(new), np.int32)
-            n = np.array([len(x) // 4 for x in new])
-            out = self._query("tokens", pa.table({"s": np.repeat(np.arange(len(new), dtype=np.int32), n), "pos": np.arange(len(tok), dtype=np.int64), "id": tok}), _DECODE)
-            self.spans |= {new[s]: txt.encode("utf-16-le")[::2] for s, txt in zip(out["s"].tolist(), out["txt"], strict=True)}
-        return _flat(pa.array([self.spans[x] for x in known], pa.binary()).take(spans.indices), np.searchsorted(at, bounds), np.uint8)
-
-
-def _flat(values: pa.BinaryArray, bounds: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all values as one array, and the bounds that lie between values as bounds between its items."""
-    offsets = np.frombuffer(values.buffers()[1], np.int32)[: len(values) + 1]
-    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[: offsets[-1]]
-    return data.view(kind), offsets[bounds] // np.dtype(kind).itemsize
-
-
-#: White space before a space: such texts go to the pattern whole.
-_SPACES = re.compile(r"\s ")
+        """All bytes one after another, and where each sequence's bytes begin and end."""
+        n = np.diff(bounds)
+        rows = pa.table({"s": np.repeat(np.arange(len(n), dtype=np.int32), n), "pos": np.arange(len(flat), dtype=np.int64), "id": flat})
+        out = self._query("tokens", rows, _DECODE)
+        texts = [b""] * len(n)
+        for s, txt in zip(out["s"].tolist(), out["txt"], strict=True):
+            texts[s] = txt.encode("utf-16-le")[::2]
+        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
+def _taken(flat: np.ndarray, cut: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces flat[cut[i] : cut[i + 1]] for i in which, one after another, and their bounds."""
+    n = np.diff(cut)[which]
+    ends = np.cumsum(np.append(0, n))
+    return flat[np.arange(ends[-1]) + np.repeat(cut[which] - ends[:-1], n)], ends
+
+
 _CODERS: dict[tuple, Coder] = {}
 
 
@@ -175,15 +203,16 @@ def _coder(vocabulary: bytes, pattern: str) -> Coder:
 
 
 def _rounds(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of bounded text."""
+    """Slices of bounded text: a round ends with the row that fills it."""
     for b in batches:
-        values, a, size = b.column(column), 0, 0
-        for i in range(len(values)):
-            size += len(values[i].as_py() or "") if pa.types.is_string(values.type) else len(values[i].as_py() or [])
-            if size >= CHARS_A_ROUND or i == len(values) - 1:
-                part = b.slice(a, i + 1 - a)
-                yield part, part.column(column).to_pylist()
-                a, size = i + 1, 0
+        values = b.column(column)
+        size = pc.binary_length(values) if pa.types.is_string(values.type) else pc.list_value_length(values)
+        up, a = np.cumsum(pc.fill_null(size, 0).to_numpy()), 0
+        while a < len(values):
+            e = min(int(np.searchsorted(up, (up[a - 1] if a else 0) + CHARS_A_ROUND)) + 1, len(values))
+            part = b.slice(a, e - a)
+            yield part, part.column(column).to_pylist()
+            a = e
 
 
 def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -198,9 +227,9 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, pattern: str, decode: bool
     rank contracted until none is left.  Decoding sees only the ids.
 
     The vocabulary file (fixed, under 1 MB) is read by the driver and broadcast.  A task works in rounds
-    of bounded text, and its caches of distinct words are bounded, so one very long document costs its own
-    size at most.  Nothing shuffles; a lost task is done again alone.  Words of over LONG_WORD bytes are
-    contracted by a heap instead of the recursive query.
+    of bounded text; its cache of words has a fixed size and takes no long words, so a very long
+    document costs a multiple of its own size at most.  Nothing shuffles; a lost task is done again alone.
+    Words of over LONG_WORD bytes are contracted by a heap instead of the recursive query.
 
     Null text counts as empty and gives no ids.  Repeated rows give repeated results.  An empty table
     gives no rows.  Other columns are ignored.

@@ -98,7 +98,8 @@ def test_bpe(spark, docs, empty):
     enc, path = encoding(), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rng = random.Random(1)
     alphabet = "ab cd\n\t  éß中文'sll've’123٣!?\x1c\x85  🙂\x0b"
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["xyzq" * 900 + " " + "\n" * 300]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["xyzq" * 900 + " " + "\n" * 300, "abcab" * 79]
+    texts += ["".join(rng.choice(["word ", " two", "  spaces", " \n", f"{rng.randrange(10**6)}."]) for _ in range(3000)) for _ in range(3)]
     odd = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for df in (docs, odd):
         got = bpe_encode(df, path, public_tokenizers.PATTERN, decode=True)
@@ -109,6 +110,28 @@ def test_bpe(spark, docs, empty):
     assert bpe_encode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_with_small_rounds_and_a_full_cache(monkeypatch):
+    """Rounds of a few rows, words that push each other out of the cache, and long words by the heap give the same ids."""
+    from driftmesh.llm import bpe
+
+    enc = encoding()
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(0, 50))) + "  x" * rng.randint(0, 3) for _ in range(300)]
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        vocabulary = f.read()
+    for places, long_word, a_query in ((64, 400, 20_000), (1 << 12, 12, 300)):
+        monkeypatch.setattr(bpe, "CACHE_PLACES", places)
+        monkeypatch.setattr(bpe, "LONG_WORD", long_word)
+        monkeypatch.setattr(bpe, "WORDS_A_QUERY", a_query)
+        coder = bpe.Coder(vocabulary, public_tokenizers.PATTERN)
+        for a in [*range(0, 300, 40), 0]:
+            ids, cut = coder.encode(texts[a : a + 40])
+            want = [enc.encode_ordinary(t) for t in texts[a : a + 40]]
+            assert [ids[x:y].tolist() for x, y in zip(cut[:-1], cut[1:], strict=True)] == want
+            data, cut = coder.decode(ids, cut)
+            assert [bytes(data[x:y]).decode() for x, y in zip(cut[:-1], cut[1:], strict=True)] == texts[a : a + 40]
+
+
 def water(sizes):
     """Targets by repeated resharing."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s) + [None] * (None in sizes)
