@@ -169,17 +169,38 @@ def test_mixing(spark, docs, empty, skew):
     assert mix(empty).count() == 0
 
 
-def test_fit_budget_is_exact_where_a_sum_exists():
+def test_fit_budget_is_the_best_sum():
+    """Against all sums there are."""
     import numpy as np
 
     rng = np.random.default_rng(2)
-    for _ in range(200):
-        lengths = np.unique(rng.integers(0, 30, 6))
+    for case in range(2000):
+        lengths = np.unique(rng.integers(0, 30, 6)) * (1 if case % 5 else 40_000)
         counts = rng.integers(1, 4, len(lengths))
-        budget = int(rng.integers(0, (lengths * counts).sum() + 5))
+        total = int((lengths * counts).sum())
+        budget = int(rng.integers(0, max(total, 1) * 1.1 + 5)) if case % 3 else int(rng.integers(0, 30)) * 40_000 + 7
+        sums = {0}
+        for x, n in zip(lengths.tolist(), counts.tolist(), strict=True):
+            sums = {s + k * x for s in sums for k in range(n + 1)}
         take = fit_budget(lengths, counts, budget)
-        assert (take >= 0).all() and (take <= counts).all() and (lengths * take).sum() <= budget
-        assert budget - (lengths * take).sum() <= lengths.max()
+        assert (take >= 0).all() and (take <= counts).all()
+        assert (lengths * take).sum() == max(s for s in sums if s <= budget), (lengths, counts, budget)
+    for lengths, counts, budget, want in (([240_000, 250_000], [1, 1], 260_000, 250_000), ([250_001, 251_003, 252_007], [1, 1, 1], 260_000, 252_007), ([5, 8, 13, 20, 22], [3, 3, 2, 1, 2], 120, 119)):
+        assert (np.array(lengths) * fit_budget(np.array(lengths), np.array(counts), budget)).sum() == want
+
+
+def test_fit_budget_is_even_and_whole_on_many_documents():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    lengths = np.unique(rng.integers(1, 20_000, 3000))
+    counts = rng.integers(1, 400, len(lengths))
+    budget = int((lengths * counts).sum() * 0.37)
+    take = fit_budget(lengths, counts, budget)
+    assert (lengths * take).sum() == budget
+    half = len(lengths) // 2
+    for part in (slice(0, half), slice(half, None)):
+        assert take[part].sum() / counts[part].sum() == pytest.approx(0.37, abs=0.01)
 
 
 def brute_components(data):
