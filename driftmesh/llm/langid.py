@@ -90,7 +90,7 @@ class Model:
         A codeword's loss is the sum of logistic losses of the bits, weighted by how far each bit's
         classifier can be trusted on that language.
         """
-        f = x @ self.weights + self.bias
+        f = x.astype(float) @ self.weights.astype(float) + self.bias  # in doubles, so that batches don't show in the score
         loss = np.logaddexp(0, -f[:, None, :] * self.code[None])
         d = (loss * self.trust[None]).sum(axis=2) * self.code.shape[1]
         p = np.exp(d.min(axis=1, keepdims=True) - d)
@@ -124,23 +124,37 @@ def fit(x: np.ndarray, langs: np.ndarray, steps: int = 300, l2: float = 1e-5) ->
 def train(docs: DataFrame, per_language: int = 1000) -> Model | None:
     """Learns from text and non-null lang of documents that aren't held out; None without any.
 
-    The fit uses about ``per_language`` documents of each language at most (that is the bound of the
-    sample), chosen by hash over all of them; their whole texts become DIMS numbers on the executors, so
-    the driver gets 8 kB a document.
+    The fit uses at most ``per_language`` documents of each language, those with the smallest hashes of id
+    and text: that is the bound of the sample, at every size of the input.  Keys of 24 bytes choose them
+    (each task sends its ``per_language`` smallest of a language, no text moves); then the chosen texts
+    become DIMS numbers on the executors, so the driver gets 8 kB a chosen document.
     """
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    sample = usable.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) * F.col("n") < per_language * 1_000_000)
+    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", F.lit(3)).alias("h"))
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = pd.DataFrame({"lang": pd.Series(dtype=object), "h": pd.Series(dtype=np.int64)})
+        for b in batches:
+            best = pd.concat([best, b]).drop_duplicates().sort_values("h").groupby("lang").head(per_language)
+        yield best
+
+    # two rounds, so that a language's task gets keys from 32 tasks only
+    keys = usable.select("lang", "h").mapInPandas(least, "lang string, h long")
+    parts = keys.withColumn("part", F.spark_partition_id() % 32).repartition(32, "part").select("lang", "h").mapInPandas(least, "lang string, h long")
+    firsts = parts.repartition("lang").mapInPandas(least, "lang string, h long").groupBy("lang").agg(F.max("h").alias("h"))
+    limit = {r["lang"]: r["h"] for r in firsts.collect()}
+    if not limit:
+        return None
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = ngram_features(b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "x": [v.tobytes() for v in x]})
+            yield pd.DataFrame({"h": b["h"], "lang": b["lang"], "x": [v.tobytes() for v in x]})
 
-    rows = sample.select("doc_id", "lang", "text").mapInPandas(vectors, "doc_id long, lang string, x binary").collect()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, bytes(r["x"])))
+    chosen = F.lit(False)
+    for lang, h in sorted(limit.items()):
+        chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= h))
+    rows = usable.where(chosen).select("h", "lang", "text").mapInPandas(vectors, "h long, lang string, x binary").dropDuplicates(["lang", "h"]).collect()
+    rows.sort(key=lambda r: (r["lang"], r["h"]))
     return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["lang"] for r in rows]))
 
 
@@ -164,7 +178,7 @@ def identify_language(docs: DataFrame, model: Model | None, key: str = "doc_id")
                 if known.any():
                     best, score, unsure = m.decode(ngram_features([t for t, k in zip(texts, known, strict=True) if k]))
                     out.loc[known, "lang_pred"] = [m.langs[i] for i in best]
-                    out.loc[known, "score"] = score.astype(float)
+                    out.loc[known, "score"] = np.round(score, 6)
                     out.loc[known, "ambiguous"] = unsure
                 yield out
 

@@ -177,8 +177,9 @@ def test_language(spark, sf, docs, empty):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.97 * len(held) > 100
     assert all(0 <= r["score"] <= 1 for r in rows)
     odd = identify_language(docs, train_language(real)).collect()
-    for r, t in zip(sorted(odd, key=str), sorted(odd, key=str), strict=True):
-        assert r == t
+    other = docs.selectExpr("doc_id", "text", "'xx' AS lang", "'changed' AS source", "text AS lang_pred", "0.5D AS score")  # only the text decides
+    assert Counter(identify_language(other.repartition(3), train_language(real)).collect()) == Counter(odd)
+    assert len({tuple(r) for r in odd if r["doc_id"] == 4}) == 1 and sum(r["doc_id"] == 4 for r in odd) == 2
     by = {r["doc_id"]: r["lang_pred"] for r in odd}
     assert by[0] == by[1] == by[2] == by[3] == by[7] == "und" and by[4] != "und"
     assert train_language(empty) is None
@@ -186,6 +187,49 @@ def test_language(spark, sf, docs, empty):
     assert identify_language(empty, None).count() == 0
 
 
+def test_ngram_features_and_decoding_by_hand():
+    """Features counted one n-gram at a time, codewords compared one bit at a time."""
+    import numpy as np
+    from driftmesh.llm import langid as L
+
+    texts = ["", "a", "Zwei Wörter", "日本語 🙂 text\n", "x" * 50 + "yz" * 30]
+    got = L.ngram_features(texts)
+    for t, x in zip(texts, got, strict=True):
+        n, low = Counter(), t.lower()
+        for i in range(len(low)):
+            h = 0
+            for c in (low[i : i + 3] + "  ")[:3]:
+                h = ((h ^ (ord(c) * 2654435761 % 2**32)) * 2246822519 + 3266489917) % 2**32
+                n[(h ^ (h >> 15)) % L.DIMS] += 1
+        want = [math.sqrt(n[k] / max(sum(n.values()), 1)) for k in range(L.DIMS)]
+        assert x.tolist() == pytest.approx(want, abs=1e-6)
+    rng = np.random.default_rng(0)
+    x = np.abs(rng.normal(size=(90, L.DIMS))).astype(np.float32) / 40 + np.eye(3, L.DIMS, dtype=np.float32)[np.arange(90) % 3]
+    m = L.fit(x, np.array(["b", "a", "c"])[np.arange(90) % 3])
+    best, score, unsure = m.decode(x)
+    for k in range(90):
+        f = [float(x[k].astype(float) @ m.weights[:, j].astype(float) + m.bias[j]) for j in range(m.code.shape[1])]
+        d = [sum(m.trust[i, j] * math.log1p(math.exp(-f[j] * m.code[i, j])) for j in range(len(f))) * len(f) for i in range(3)]
+        p = sorted((math.exp(-v) / sum(math.exp(-w) for w in d) for v in d), reverse=True)
+        assert best[k] == d.index(min(d)) and score[k] == pytest.approx(p[0], abs=1e-4) and (unsure[k] == (p[0] - p[1] < 0.1) or abs(p[0] - p[1] - 0.1) < 1e-4)
+
+
+def test_training_takes_a_bounded_sample(spark):
+    """No more than per_language documents of a language, the same whatever the partitions; repeated rows count once."""
+    from driftmesh.llm import langid as L
+
+    data = [(i, f"text number {i}", ["en", "de", None][i % 3]) for i in range(300)] + [(0, "text number 0", "en")] * 50
+    seen = []
+    real = L.fit
+    L.fit = lambda x, langs: seen.append((x.tobytes(), langs.tolist())) or real(x, langs, steps=1)
+    try:
+        for parts in (1, 7):
+            L.train(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(parts), per_language=20)
+    finally:
+        L.fit = real
+    assert seen[0] == seen[1] and Counter(seen[0][1]) == {"en": 20, "de": 20}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 7, 40])
 def test_codewords_differ(n):
     code = codewords(n)
