@@ -243,7 +243,7 @@ def verlet_list(spark, sf):
 @query(f"WITH {P}, {pairs_sql()} SELECT pid, qid FROM pairs WHERE pid < qid")
 def nn_sym_pairs(spark, sf):
     p = particles(spark, sf).select("pid", *XYZ)
-    return longs(nb.symmetric(nb.neighbours(p, p, BOX, R)), "pid", "qid")
+    return longs(nb.symmetric(p, BOX, R), "pid", "qid")
 
 
 @query(f"WITH {P}, {pairs_sql()} SELECT pid, count(*)::BIGINT AS n FROM pairs WHERE d2 < (10 + q % 31) ** 2 GROUP BY pid")
