@@ -122,9 +122,18 @@ SQUARE = lambda c: c * c
 
 
 def good_divisions(procs: int, d: int, granularity: int = 64) -> tuple[int, ...]:
-    """Cells an axis for about ``granularity`` cells a processor: a power of two an axis."""
-    n = (procs * granularity) ** (1 / d)
-    return (1 << max(0, math.ceil(math.log2(n) - 1e-9)),) * d
+    """Cells an axis for about ``granularity`` cells a processor: a power of two an axis.
+
+    Above three axes, while that gives no more than three quarters of the granularity, fewer axes are cut,
+    each into the whole part of the root.
+    """
+    n = procs * granularity
+    div = [1 << max(0, math.ceil(math.log2(n ** (1 / d)) - 1e-9))] * d
+    for cut in range(d - 1, 0, -1):
+        if d <= 3 or math.prod(div) // procs > int(0.75 * granularity):
+            break
+        div = [math.floor(n ** (1 / cut) + 1e-9)] * cut + [1] * (d - cut)
+    return tuple(div)
 
 
 def axis_factors(procs: int, d: int) -> tuple[int, ...]:

@@ -7,16 +7,16 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.space import every, offset_rows
+from ..functions.space import every, offset_rows, offsets
 from .grid import IJK, nodes
 
 
-def cartesian(spark: SparkSession, sizes: tuple[int, ...], procs: int, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """A grid's graph: vertices in blocks of equal size a processor; an edge each way between axis neighbours."""
+def cartesian(spark: SparkSession, sizes: tuple[int, ...], procs: int, parts: int | None = None, spans: int = 1) -> tuple[DataFrame, DataFrame]:
+    """A grid's graph: vertices in blocks of equal size a processor; an edge each way between nodes that differ by one on at most ``spans`` axes."""
     n, d = math.prod(sizes), len(sizes)
     axes = IJK[:d]
     v = nodes(spark, sizes, parts).withColumn("proc_id", F.floor(F.col("id") * procs / n).cast("long")).withColumnRenamed("id", "gid")
-    star = [tuple(s if a == ax else 0 for a in range(d)) for ax in range(d) for s in (-1, 1)]
+    star = [o for o in offsets(d) if 0 < sum(map(abs, o)) <= spans]
     e = v.select("gid", *axes, F.explode(offset_rows(star, tuple(f"d{a}" for a in axes))).alias("o"))
     e = e.select("gid", *[(F.col(a) + F.col("o")[f"d{a}"]).alias(a) for a in axes]).where(every(F.col(a).between(0, s - 1) for a, s in zip(axes, sizes, strict=True)))
     dst, stride = F.lit(0).cast("long"), 1
@@ -25,6 +25,27 @@ def cartesian(spark: SparkSession, sizes: tuple[int, ...], procs: int, parts: in
     return v, e.select(F.col("gid").alias("src"), dst.alias("dst"))
 
 
+def with_weights(edges: DataFrame, vertices: DataFrame, axes: tuple[str, ...], sizes: tuple[float, ...]) -> DataFrame:
+    """Edges of a grid's graph with their weight: the sum of the cell sizes along the axes that the edge spans."""
+    ends = vertices.select("gid", *axes)
+    for c in ("src", "dst"):
+        edges = edges.join(ends.select(F.col("gid").alias(c), *[F.col(a).alias(f"__{c}_{a}") for a in axes]), c)
+    weight = sum((F.when(F.col(f"__src_{a}") != F.col(f"__dst_{a}"), float(x)).otherwise(0.0) for a, x in zip(axes, sizes, strict=True)), F.lit(0.0))
+    return edges.select("src", "dst", weight.alias("weight"))
+
+
+def add_vertices(vertices: DataFrame, new: DataFrame) -> DataFrame:
+    """More vertices, each with the processor that adds it; a gid that is there already stays as it was."""
+    return vertices.unionByName(new.dropDuplicates(["gid"]).join(vertices.select("gid"), "gid", "left_anti"), allowMissingColumns=True)
+
+
+def distribution(vertices: DataFrame) -> DataFrame:
+    """The distribution vector: proc_id, start, n.  Processor p has the ids from start to start + n - 1; one row a processor."""
+    counts = vertices.groupBy("proc_id").agg(F.count("*").alias("n"))
+    w = Window.orderBy("proc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("proc_id", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long").alias("start"), "n")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "gid")
 
@@ -39,17 +60,21 @@ def known_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("gid", "src"), "src", "left_semi").join(ids.withColumnRenamed("gid", "dst"), "dst", "left_semi")
 
 
-def redistribute(vertices: DataFrame, moves: DataFrame) -> DataFrame:
-    """Vertices after queued moves (gid, target), with new ids rid that are contiguous a processor.
+def redistribute(vertices: DataFrame, moves: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """Vertices after queued moves (gid, target), with new ids rid that are contiguous a processor and in the order of gid.
 
-    Ids come from per-processor ranks and the running sum of processors' counts, so no task orders the whole graph.
+    Ranks are taken within slices of ``width`` gids of a processor; slices' counts are summed up before, so
+    no task orders the whole graph or a whole processor.
     """
     v = vertices.join(moves, "gid", "left").withColumn("proc_id", F.coalesce("target", "proc_id")).drop("target")
-    counts = v.groupBy("proc_id").agg(F.count("*").alias("n"))
-    w = Window.orderBy("proc_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("proc_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("proc_id").orderBy("gid")) - 1
-    return v.withColumn("rank", rank).join(F.broadcast(starts), "proc_id").withColumn("rid", (F.col("start") + F.col("rank")).cast("long")).drop("start", "rank")
+    v = v.withColumn("__slice", F.floor(F.col("gid") / width))
+    counts = v.groupBy("proc_id", "__slice").agg(F.count("*").alias("n"))
+    up = Window.partitionBy("proc_id").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__before", F.coalesce(F.sum("n").over(up), F.lit(0))).join(F.broadcast(distribution(v).drop("n")), "proc_id")
+    starts = starts.select("proc_id", "__slice", (F.col("start") + F.col("__before")).alias("__start"))
+    rank = F.row_number().over(Window.partitionBy("proc_id", "__slice").orderBy("gid")) - 1
+    out = v.withColumn("__rank", rank).join(starts.hint("merge"), ["proc_id", "__slice"])
+    return out.withColumn("rid", (F.col("__start") + F.col("__rank")).cast("long")).drop("__start", "__rank", "__slice")
 
 
 def renamed_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:

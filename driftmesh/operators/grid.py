@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.space import every, offset_rows
+from ..functions.space import Space, every, offset_rows
+from .particles import ghosts
 
 IJK = ("i", "j", "k")
 
@@ -21,6 +23,28 @@ def nodes(spark: SparkSession, sizes: tuple[int, ...], parts: int | None = None)
     return df.select("id", *cols)
 
 
+def nodes_in(spark: SparkSession, lo: tuple[int, ...], hi: tuple[int, ...], parts: int | None = None) -> DataFrame:
+    """All nodes of an index box, both ends included; indexes may be negative."""
+    grid = nodes(spark, tuple(h - x + 1 for x, h in zip(lo, hi, strict=True)), parts)
+    return grid.select(*[(F.col(a) + x).alias(a) for a, x in zip(IJK, lo, strict=False)])
+
+
+def extended(spark: SparkSession, sizes: tuple[int, ...], below: tuple[int, ...], above: tuple[int, ...], parts: int | None = None) -> DataFrame:
+    """The nodes of a grid with more nodes below and above on each axis; old nodes keep their indexes."""
+    return nodes_in(spark, tuple(-x for x in below), tuple(n - 1 + x for n, x in zip(sizes, above, strict=True)), parts)
+
+
+def set_points(grid: DataFrame, pred: Column, values: dict[str, Column]) -> DataFrame:
+    """New values where the predicate of index and fields holds; other nodes stay."""
+    return grid.withColumns({c: F.when(pred, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def add_points(grid: DataFrame, candidates: DataFrame, pred: Column, values: dict[str, Column], axes: tuple[str, ...]) -> DataFrame:
+    """Inserts those candidate nodes for which the predicate holds, with values by index; nodes that were there get the new values."""
+    new = candidates.where(pred).select(*axes, *[v.alias(c) for c, v in values.items()])
+    return upsert(grid, new, axes)
+
+
 def in_box(lo: tuple[int, ...], hi: tuple[int, ...]) -> Column:
     """Whether a node is in the box, both ends included; a plain range predicate, which Parquet can skip by."""
     return every(F.col(a).between(x, y) for a, x, y in zip(IJK, lo, hi, strict=False))
@@ -39,10 +63,11 @@ def position(spacing: tuple, low: tuple) -> list[Column]:
 
 
 def upsert(grid: DataFrame, new: DataFrame, axes: tuple[str, ...]) -> DataFrame:
-    """Inserts nodes, the new values first; both sides are dealt once by node."""
-    both = grid.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    """Inserts nodes, the new values first; of several new rows of a node the one with the greatest values counts.  Both sides are dealt once by node."""
     vals = [c for c in grid.columns if c not in axes]
-    return both.groupBy(*axes).agg(*[F.max_by(c, "__new").alias(c) for c in vals])
+    both = grid.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    top = both.groupBy(*axes).agg(F.max(F.struct("__new", *vals)).alias("__t"))
+    return top.select(*axes, *[F.col(f"__t.{c}").alias(c) for c in vals])
 
 
 def flush(inserted: DataFrame, axes: tuple[str, ...], merge: dict[str, Column]) -> DataFrame:
@@ -83,6 +108,112 @@ def gather(grid: DataFrame, axes: tuple[str, ...], sizes: tuple[int, ...] | None
     return out.select(*axes, *fields)
 
 
+def conv(grid: DataFrame, axes: tuple[str, ...], sizes: tuple[int, ...] | None, offs: list[tuple], sources: tuple[str, ...], fn: Callable, start: tuple | None = None, stop: tuple | None = None, background: dict | None = None) -> DataFrame:
+    """A stencil with any function: ``fn`` gets for each source the list of its values at the offsets, in their order, and gives the outputs by name.
+
+    Outputs come for the grid's nodes from ``start`` to ``stop`` (both included; all if not given).  Every
+    node sends its values to the nodes whose stencil holds it, where one grouping lays them side by side;
+    nodes out of the range get none.  Periodic with ``sizes``.  Missing neighbours have the background (null if there is none).
+    """
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(-v).cast("long").alias(f"d{a}") for a, v in zip(axes, o, strict=True)]) for k, o in enumerate(offs)])
+    s = grid.select(*axes, *sources, F.explode(steps).alias("__s"))
+    to = {a: F.col(a) + F.col(f"__s.d{a}") for a in axes}
+    if sizes:
+        to = {a: F.pmod(c, F.lit(n)) for (a, c), n in zip(to.items(), sizes, strict=True)}
+    sent = s.select(*[c.alias(a) for a, c in to.items()], F.col("__s.k").alias("__k"), *sources)
+    own = offs.index((0,) * len(axes)) if (0,) * len(axes) in offs else None
+    if own is None:
+        sent = sent.unionByName(grid.select(*axes, F.lit(-1).alias("__k"), *sources))
+    if start is not None:
+        sent = sent.where(every(F.col(a).between(x, y) for a, x, y in zip(axes, start, stop, strict=True)))
+    at = lambda k, c: F.max(F.when(F.col("__k") == k, F.col(c)))
+    got = sent.groupBy(*axes).agg(F.bool_or(F.col("__k") == (-1 if own is None else own)).alias("__own"), *[at(k, c).alias(f"__{c}_{k}") for c in sources for k in range(len(offs))])
+    value = lambda c, k: F.coalesce(F.col(f"__{c}_{k}"), F.lit((background or {}).get(c)))
+    outs = fn(*[[value(c, k) for k in range(len(offs))] for c in sources])
+    return got.where("__own").select(*axes, *[v.alias(c) for c, v in outs.items()])
+
+
+def halo(grid: DataFrame, axes: tuple[str, ...], sizes: tuple[int, ...], div: tuple[int, ...], width: int, periodic: tuple[bool, ...]) -> DataFrame:
+    """Grid ghosts: each node once for every processor of the grid ``div`` whose box, ``width`` nodes wider, holds it or an image of it.
+
+    The columns are the node's own with its index as the receiver sees it (images lie out of the grid),
+    proc_id (the owner), dst, s_<axis>.  Found by arithmetic on the index, without a join.
+    """
+    return ghosts(grid, Space(axes, (0,) * len(axes), sizes, periodic), div, width)
+
+
+def local_boxes(spark: SparkSession, sizes: tuple[int, ...], div: tuple[int, ...], width: int) -> DataFrame:
+    """A row a processor: its domain box lo<i>, hi<i>, its box with ghosts glo<i>, ghi<i> (nodes, ends included) and how many nodes it owns."""
+    p, n = nodes(spark, tuple(reversed(div)), 1).withColumnRenamed("id", "proc_id"), F.lit(1).cast("long")
+    cols = []
+    for i, (size, k) in enumerate(zip(sizes, div, strict=True)):
+        at = F.col(IJK[len(div) - 1 - i])  # the last axis of the processor grid runs fastest
+        lo, hi = F.ceil(at * size / k).cast("long"), F.ceil((at + 1) * size / k).cast("long") - 1
+        cols += [lo.alias(f"lo{i}"), hi.alias(f"hi{i}"), (lo - width).alias(f"glo{i}"), (hi + width).alias(f"ghi{i}")]
+        n = n * (hi - lo + 1)
+    return p.select("proc_id", *cols, n.alias("n"))
+
+
+def remap(grid: DataFrame, axes: tuple[str, ...], lo: tuple[int, ...], hi: tuple[int, ...], old: Column, new: Column, background: dict) -> DataFrame:
+    """A grid's nodes after its box and owners change: nodes in both boxes keep their values (src: where they were), new ones get the background.
+
+    ``old`` and ``new`` are the owners by index; only values of the intersection move.
+    """
+    kept = grid.where(every(F.col(a).between(x, y) for a, x, y in zip(axes, lo, hi, strict=True))).withColumn("src", old)
+    out = with_background(nodes_in(grid.sparkSession, lo, hi), kept, axes, background)
+    return out.withColumn("proc_id", new)
+
+
+def level_sizes(sizes: tuple[int, ...], levels: int, periodic: tuple[bool, ...]) -> list[tuple[int, ...]]:
+    """Nodes an axis of each refinement level: doubled on periodic axes, 2 (n - 1) + 1 on others."""
+    out = [tuple(sizes)]
+    for _ in range(levels - 1):
+        out.append(tuple(2 * n if p else 2 * (n - 1) + 1 for n, p in zip(out[-1], periodic, strict=True)))
+    return out
+
+
+def amr_nodes(spark: SparkSession, sizes: tuple[int, ...], levels: int, periodic: tuple[bool, ...], parts: int | None = None) -> DataFrame:
+    """The nodes of all levels: lvl, the axes and id, the linear index within the level."""
+    out = None
+    for lv, n in enumerate(level_sizes(sizes, levels, periodic)):
+        g = nodes(spark, n, parts)
+        g = g.select(F.lit(lv).cast("long").alias("lvl"), *[c for c in g.columns if c != "id"], "id")
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def _level(sizes: list[tuple[int, ...]], i: int) -> Column:
+    return F.element_at(F.array(*[F.lit(n[i]).cast("long") for n in sizes]), F.col("lvl").cast("int") + 1)
+
+
+def amr_cells(amr: DataFrame, axes: tuple[str, ...], sizes: list[tuple[int, ...]]) -> DataFrame:
+    """Nodes that have a cell: all but the last along each axis of their level."""
+    return amr.where(every(F.col(a) < _level(sizes, i) - 1 for i, a in enumerate(axes)))
+
+
+def amr_owner(axes: tuple[str, ...], sizes: list[tuple[int, ...]], div: tuple[int, ...]) -> Column:
+    """The owner of a node of any level on a processor grid: the same part of space on all levels."""
+    out = F.lit(0).cast("long")
+    for i, (a, k) in enumerate(zip(axes, div, strict=True)):
+        out = out * k + F.least(F.floor(F.col(a) * k / _level(sizes, i)), F.lit(k - 1)).cast("long")
+    return out
+
+
+def amr_halo(amr: DataFrame, axes: tuple[str, ...], sizes: list[tuple[int, ...]], div: tuple[int, ...], width: int, periodic: tuple[bool, ...]) -> DataFrame:
+    """Ghosts of all levels, ``width`` nodes of each level: lvl is in the key."""
+    out = None
+    for lv, n in enumerate(sizes):
+        g = halo(amr.where(F.col("lvl") == lv), axes, n, div, width, periodic)
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def amr_links(amr: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """Links between levels: lvl and axes of a node, and c<axis> of each child (lvl + 1, index >> 1) that is there."""
+    child = amr.where("lvl > 0").select((F.col("lvl") - 1).alias("lvl"), *[F.shiftright(a, 1).alias(a) for a in axes], *[F.col(a).alias(f"c{a}") for a in axes])
+    return amr.select("lvl", *axes).join(child, ["lvl", *axes])
+
+
 def restrict_levels(amr: DataFrame, axes: tuple[str, ...], value: str) -> DataFrame:
     """Mean of each node's children, at the parent's key (lvl - 1, index // 2)."""
     return amr.where("lvl > 0").groupBy((F.col("lvl") - 1).alias("lvl"), *[F.shiftright(a, 1).alias(a) for a in axes]).agg(F.avg(value).alias(value))
@@ -121,6 +252,11 @@ def default_staggering(rank: int, d: int) -> list[tuple[int, ...]]:
     raise ValueError("no placement for ranks above 2")
 
 
+def is_staggered(places: dict[str, list[tuple]]) -> dict[str, bool]:
+    """Whether each property lives off the cell's centre."""
+    return {p: any(any(o) for o in offs) for p, offs in places.items()}
+
+
 def particle_nodes(particles: DataFrame, coords: tuple[str, ...], spacing, sizes: tuple[int, ...], weight, reach: int) -> DataFrame:
     """Each particle with the periodic nodes that its weight function touches: axes and w; axis by axis."""
     out = particles.withColumn("w", F.lit(1.0))

@@ -6,8 +6,9 @@ A set is a DataFrame with an id, coordinates and properties; a processor is a co
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.space import Space, cell, every, morton, with_hilbert
@@ -32,21 +33,76 @@ def box_owner(space: Space, div: tuple[int, ...]) -> Column:
     return out
 
 
-def map_rows(df: DataFrame, space: Space, owner: Column, policy: str = "kill", deal: bool = False) -> DataFrame:
-    """Wraps, applies the out-of-bound policy (kill, error or keep) and names each row's owner.
+def new_set(spark: SparkSession, n: int, procs: int, parts: int | None = None) -> DataFrame:
+    """pid and proc_id of n rows dealt evenly: the first n % procs processors have one row more; ids are contiguous a processor."""
+    q, more = divmod(n, procs)
+    pid = F.col("id")
+    owner = F.when(pid < more * (q + 1), F.floor(pid / (q + 1))).otherwise(more + F.floor((pid - more * (q + 1)) / max(q, 1)))
+    return spark.range(0, n, numPartitions=parts).select(pid.alias("pid"), owner.cast("long").alias("proc_id"))
+
+
+def random_set(spark: SparkSession, n: int, space: Space, seed: int = 0, parts: int | None = None) -> DataFrame:
+    """n rows at uniform random places; a place depends on seed and pid only, so reruns and lost tasks give the same."""
+    unit = lambda i: F.shiftrightunsigned(F.xxhash64("id", F.lit(i), F.lit(seed)), 11).cast("double") * 2.0**-53
+    cols = [(unit(i) * (hi - lo) + lo).alias(d) for i, (d, lo, hi, _) in enumerate(space.axes())]
+    return spark.range(0, n, numPartitions=parts).select(F.col("id").alias("pid"), *cols)
+
+
+def append(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """The set and more rows; columns that only one side has are null on the other."""
+    return df.unionByName(rows, allowMissingColumns=True)
+
+
+def resize(df: DataFrame, n: int, key: str = "pid") -> DataFrame:
+    """Rows with ids below n; ids that the set lacks come with nulls.  Ids number the rows from 0."""
+    kept = df.where(F.col(key) < n)
+    missing = df.sparkSession.range(n).withColumnRenamed("id", key).join(kept.select(key), key, "left_anti")
+    return append(kept, missing)
+
+
+def clear(df: DataFrame) -> DataFrame:
+    """No rows, the same columns."""
+    return df.where(F.lit(False))
+
+
+def kill(df: DataFrame, inside: Column) -> DataFrame:
+    """Out-of-bound policy: rows that are out go.  The policy named Nothing does the same: its rows have no owner."""
+    return df.where(inside)
+
+
+def kill_with_warning(seen: Observation) -> Callable[[DataFrame, Column], DataFrame]:
+    """Out-of-bound policy: rows that are out go, and ``seen`` holds their number as ``lost`` once an action has run."""
+    return lambda df, inside: df.observe(seen, F.count_if(~F.coalesce(inside, F.lit(False))).alias("lost")).where(inside)
+
+
+def fail(df: DataFrame, inside: Column) -> DataFrame:
+    """Out-of-bound policy: a row that is out ends the job."""
+    return df.where(F.when(inside, True).otherwise(F.raise_error(F.lit("a row is out of bounds")).isNull()))
+
+
+def keep(df: DataFrame, inside: Column) -> DataFrame:
+    """Out-of-bound policy: rows that are out stay, with the nearest owner."""
+    return df
+
+
+POLICIES = {"kill": kill, "nothing": kill, "error": fail, "keep": keep}
+
+
+def map_rows(df: DataFrame, space: Space, owner: Column, policy: str | Callable[[DataFrame, Column], DataFrame] = "kill", deal: bool = False) -> DataFrame:
+    """Wraps, applies the out-of-bound policy (a name of POLICIES or a function of the set and the inside test) and names each row's owner.
 
     ``deal`` also sends rows to their owner's partition; leave it out where a join or grouping follows,
     which deals by its own keys.
     """
-    out = space.wrapped(df)
-    if policy == "kill":
-        out = out.where(space.inside())
-    elif policy == "error":
-        out = out.where(F.when(space.inside(), True).otherwise(F.raise_error(F.lit("a row is out of bounds")).isNull()))
-    out = out.withColumn("proc_id", owner)
+    out = (POLICIES[policy] if isinstance(policy, str) else policy)(space.wrapped(df), space.inside()).withColumn("proc_id", owner)
     return out.repartition("proc_id") if deal else out
 
 
+def map_list(df: DataFrame, space: Space, owner: Column, props: tuple[str, ...], policy="kill", deal: bool = False) -> DataFrame:
+    """As map_rows, with the id, the coordinates and the listed properties only; other columns are neither read nor moved."""
+    return map_rows(df.select("pid", *space.dims, *props), space, owner, policy, deal)
+
+
 def images(df: DataFrame, space: Space, width, keep: Column | None = None) -> DataFrame:
     """Rows and their periodic images within ``width`` of the box; s_<dim> counts the box lengths moved.
 
@@ -82,6 +138,20 @@ def ghosts(df: DataFrame, space: Space, div: tuple[int, ...], width) -> DataFram
     return out.withColumn("dst", dst).where(~(moved & (F.col("dst") == F.col("proc_id")))).drop(*[f"__b_{d}" for d in space.dims])
 
 
+def with_ghosts(df: DataFrame, ghost: DataFrame) -> DataFrame:
+    """Owned rows and ghosts in one set: is_ghost tells them apart; a ghost's proc_id is the processor that holds it."""
+    shifts = [c for c in ghost.columns if c.startswith("s_")]
+    own = df.withColumn("is_ghost", F.lit(False)).withColumns({c: F.lit(0).cast("long") for c in shifts})
+    held = ghost.withColumn("proc_id", F.col("dst")).drop("dst").withColumn("is_ghost", F.lit(True))
+    return own.unionByName(held)
+
+
+def ghost_owners(ghost: DataFrame, unique: bool = False) -> DataFrame:
+    """pid and dst of each ghost; with ``unique`` a row's processor counts once, however many images it gets."""
+    labels = ghost.select("pid", "dst")
+    return labels.distinct() if unique else labels
+
+
 def ghost_put(owned: DataFrame, ghost: DataFrame, key: str, merge: dict[str, Column]) -> DataFrame:
     """Merges ghost values into their owners' rows; ``merge`` maps columns to aggregates over owner and ghosts.
 
@@ -127,6 +197,17 @@ def reorder(df: DataFrame, space: Space, bits: int, curve: str = "hilbert", deal
     return out.repartitionByRange("sfc_key").sortWithinPartitions("sfc_key") if deal else out
 
 
+def reorder_rcut(df: DataFrame, space: Space, r, deal: bool = True) -> DataFrame:
+    """Adds sfc_key, the linear number of the row's cell of side ``r`` (first axis fastest), and with ``deal`` lays rows out by it."""
+    key, stride = F.lit(0).cast("long"), 1
+    for d, lo, hi, _ in space.axes():
+        n = max(1, math.ceil((hi - lo) / r))
+        key = key + F.least(F.greatest(cell(F.col(d), lo, r), F.lit(0)), F.lit(n - 1)).cast("long") * stride
+        stride *= n
+    out = df.withColumn("sfc_key", key)
+    return out.repartitionByRange("sfc_key").sortWithinPartitions("sfc_key") if deal else out
+
+
 def sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("proc_id").agg(F.count("*").alias("n"))
 
@@ -160,5 +241,3 @@ def differ(a: DataFrame, b: DataFrame, key: str, cols: list[str], tolerance: flo
     """Rows of two sets that differ by more than the tolerance, or that only one has."""
     j = a.select(key, *[F.col(c).alias(f"a_{c}") for c in cols]).join(b.select(key, *[F.col(c).alias(f"b_{c}") for c in cols]), key, "full")
     return j.where(~every(F.coalesce(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= tolerance, F.lit(False)) for c in cols))
-
-

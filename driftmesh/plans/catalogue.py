@@ -7,6 +7,7 @@ q the price in cents.  Integer coordinates keep strict cut-offs and sums exact.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,7 +101,7 @@ def is_in_box(spark, sf):
     return particles(spark, sf).where(Space(XYZ, (100,) * 3, (300,) * 3, (True,) * 3).inside()).select("pid")
 
 
-@query()
+@query("SELECT r AS pid, r % 10 * 100.0::DOUBLE AS x, r // 10 % 10 * 100.0::DOUBLE AS y, r // 100 * 100.0::DOUBLE AS z FROM range(1000) t(r)")
 def lattice(spark, sf):
     return pt.lattice(spark, (10, 10, 10), BOX)
 
@@ -195,7 +196,29 @@ def reorder_morton(spark, sf):
     return longs(pt.reorder(particles(spark, sf), BOX, 3, "morton"), "pid", "sfc_key")
 
 
-@query()
+def hilbert_sql(source: str, cols: tuple[str, ...], bits: int, keep: str) -> str:
+    """The Hilbert index ``h`` of integer cells, step by step as nested selects."""
+    d, t = len(cols), [f"t{i}" for i in range(len(cols))]
+    out = f"SELECT {keep}, {', '.join(f'{c} AS {x}' for c, x in zip(cols, t, strict=True))} FROM {source}"
+    step = lambda new: f"SELECT {keep}, {', '.join(f'{new.get(x, x)} AS {x}' for x in t)} FROM ({out})"
+    for q in (1 << k for k in range(bits - 1, 0, -1)):
+        for i, x in enumerate(t):
+            swap = f"(xor(t0, {x}) & {q - 1})"
+            new = {"t0": f"CASE WHEN {x} & {q} <> 0 THEN xor(t0, {q - 1}) ELSE xor(t0, {swap}) END"}
+            if i:
+                new[x] = f"CASE WHEN {x} & {q} <> 0 THEN {x} ELSE xor({x}, {swap}) END"
+            out = step(new)
+    for a, b in zip(t, t[1:], strict=False):
+        out = step({b: f"xor({b}, {a})"})
+    fix = "0"
+    for q in (1 << k for k in range(bits - 1, 0, -1)):
+        fix = f"xor({fix}, CASE WHEN {t[-1]} & {q} <> 0 THEN {q - 1} ELSE 0 END)"
+    out = step({x: f"xor({x}, {fix})" for x in t})
+    h = " | ".join(f"((({x} >> {b}) & 1) << {b * d + a})" for b in range(bits) for a, x in enumerate(reversed(t)))
+    return f"(SELECT {keep}, ({h})::BIGINT AS h FROM ({out}))"
+
+
+@query(f"WITH {P}, c AS (SELECT pid, x // 125 AS a, y // 125 AS b, z // 125 AS c FROM p) SELECT pid, h AS sfc_key FROM {hilbert_sql('c', ('a', 'b', 'c'), 3, 'pid')}")
 def hilbert_reorder(spark, sf):
     return longs(pt.reorder(particles(spark, sf), BOX, 3, "hilbert"), "pid", "sfc_key")
 
@@ -278,10 +301,15 @@ def force_sum(spark, sf):
     return f.select("pid", *[(F.round(f"f_{c}", 6) + 0.0).alias(f"f_{c}") for c in XYZ])
 
 
-@query(f"WITH {P}, {pairs_sql()} SELECT pid, sum(d2)::BIGINT AS total FROM cand GROUP BY pid")
+@query(
+    f"WITH {P}, a AS (SELECT * FROM p WHERE pid % 2 = 0), b AS (SELECT * FROM p WHERE pid % 2 = 1), {pairs_sql(R, 'a', 'b')} "
+    "SELECT pid, count(*)::BIGINT AS n, round(sum(sqrt(d2)), 3) AS total FROM cand GROUP BY pid"
+)
 def cross_calc(spark, sf):
+    """Distances to all rows of a second set in the cells around."""
     p = particles(spark, sf).select("pid", *XYZ)
-    return longs(nb.candidates(p, p, BOX, R).groupBy("pid").agg(F.sum(nb.d2(BOX)).alias("total")), "pid", "total")
+    found = nb.norm_sum(p.where("pid % 2 = 0"), p.where("pid % 2 = 1"), BOX, R)
+    return found.select("pid", "n", F.round("total", 3).alias("total"))
 
 
 # grids: value (i * 7 + j * 13 + k * 29) % 101 on 24^3 nodes
@@ -357,10 +385,15 @@ def grid_conv2(spark, sf):
     return s.select(*AXES, F.round(u, 6).alias("u"), F.round(w, 6).alias("w"))
 
 
-@query(f"WITH {GRID}, {near_sql([((a, b, c), f'{-1 if (a, b, c) == (0, 0, 0) else 1}') for a, b, c in LAP], 'sum(n.v * (di <> 0)::INT)::BIGINT AS a, sum(n.v * (dj <> 0)::INT)::BIGINT AS b, sum(n.v * (dk <> 0)::INT)::BIGINT AS c')} SELECT * FROM s")
+@query(
+    f"WITH {GRID}, {near_sql([(o, w) for o, w in zip(LAP, LAP_W, strict=True)], 'sum(n.v * (di <> 0)::INT)::BIGINT AS a, sum((n.v % 7) * (dj <> 0)::INT)::BIGINT AS b, sum((n.v * 3 + 1) * (dk <> 0)::INT)::BIGINT AS c')} "
+    "SELECT * FROM s"
+)
 def grid_conv3(spark, sf):
-    w = {x: [float(o[a] != 0) for o in LAP] for a, x in enumerate("abc")}
-    return longs(gd.gather(grid(spark), AXES, (N,) * 3, LAP, {x: ("v", w[x]) for x in "abc"}), *AXES, "a", "b", "c")
+    """Three sources to three outputs in one pass."""
+    g = grid(spark).select(*AXES, F.col("v").alias("u1"), (F.col("v") % 7).alias("u2"), (F.col("v") * 3 + 1).alias("u3"))
+    w = [[float(o[a] != 0) for o in LAP] for a in range(3)]
+    return longs(gd.gather(g, AXES, (N,) * 3, LAP, {"a": ("u1", w[0]), "b": ("u2", w[1]), "c": ("u3", w[2])}), *AXES, "a", "b", "c")
 
 
 @query(f"WITH {GRID}, o(di, dj, dk, w) AS (VALUES {', '.join(f'({a}, {b}, {c}, {w})' for (a, b, c), w in zip(LAP, LAP_W, strict=True))}, (99, 0, 0, 0)), sp AS (SELECT * FROM g WHERE v < 30) SELECT g.i, g.j, g.k, sum(w * coalesce(n.v, 5))::BIGINT AS v FROM sp g CROSS JOIN o LEFT JOIN sp n ON n.i = ((g.i + di) % 24 + 24) % 24 AND n.j = ((g.j + dj) % 24 + 24) % 24 AND n.k = ((g.k + dk) % 24 + 24) % 24 WHERE di < 99 GROUP BY ALL")
@@ -515,14 +548,27 @@ def dist_box(spark, sf):
     return longs(cells(spark, sf).withColumn("proc_id", owner), "cell", "proc_id")
 
 
-@query(f"WITH {CELLS} SELECT cell, (row_number() OVER (ORDER BY {MCELL}) - 1) * 6 // 512 AS proc_id FROM c")
+HCELLS = f"{CELLS}, h AS (SELECT * FROM {hilbert_sql('c', ('a', 'b', 'c'), 3, 'cell, n')})"
+
+
+@query(f"WITH {HCELLS} SELECT cell, (row_number() OVER (ORDER BY h) - 1) * 6 // 512 AS proc_id FROM h")
 def dist_sfc(spark, sf):
-    return longs(dc.by_curve(cells(spark, sf), "key", 6), "cell", "proc_id")
+    """Equal numbers of cells along the Hilbert curve."""
+    return longs(dc.decompose(spark, (8, 8, 8), 6, "hilbert"), "cell", "proc_id")
+
+
+OWNERS = f"{HCELLS}, s AS (SELECT cell, n, sum(n) OVER (ORDER BY h) AS up, sum(n) OVER () AS total FROM h), o AS (SELECT cell, least((2 * up - n) * 6 // (2 * total), 5)::BIGINT AS proc_id FROM s)"
+
 
+def owners(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells by equal numbers of particles along the Hilbert curve."""
+    cost = dc.costs(dc.with_cell(particles(spark, sf), BOX, (8, 8, 8)))
+    return dc.decompose(spark, (8, 8, 8), 6, "weighted", cost)
 
-@query(f"WITH {CELLS}, s AS (SELECT cell, n, sum(n) OVER (ORDER BY {MCELL}) AS up, sum(n) OVER () AS total FROM c) SELECT cell, least((2 * up - n) * 6 // (2 * total), 5)::BIGINT AS proc_id FROM s")
+
+@query(f"WITH {OWNERS} SELECT cell, proc_id FROM o")
 def dist_sfc_weighted(spark, sf):
-    return longs(dc.by_weighted_curve(cells(spark, sf), "key", "cost", 6), "cell", "proc_id")
+    return longs(owners(spark, sf), "cell", "proc_id")
 
 
 ORB = f"""WITH {P}, l1 AS (SELECT *, (x >= avg(x) OVER ())::BIGINT AS n1 FROM p), l2 AS (SELECT *, n1 * 2 + (y >= avg(y) OVER (PARTITION BY n1))::BIGINT AS n2 FROM l1), l3 AS (SELECT *, n2 * 2 + (z >= avg(z) OVER (PARTITION BY n2))::BIGINT AS node FROM l2)"""
@@ -573,22 +619,15 @@ def extend_boxes(spark, sf):
     return longs(dc.extended(box_table(spark), 3, (0,) * 3, (L,) * 3, (-100,) * 3, (1200,) * 3), "proc_id", "lo0", "hi0")
 
 
-@query()
+@query(f"WITH {P} SELECT count(*)::BIGINT AS points FROM p")
 def vtk_write(spark, sf):
-    """Writes particles as VTK files and gives the lines' kinds read back."""
-    folder = _shared(spark)
-    files.write_vtk(particles(spark, sf).repartition(4), folder.removeprefix("file://"))
+    """Writes particles as VTK files, a partition a file, and adds up the points that their heads tell."""
+    folder = shared(spark)
+    files.write_vtk(particles(spark, sf), folder.removeprefix("file://"))
     lines = spark.read.text(f"{folder}/*.vtk").where("value LIKE 'POINTS%'")
     return lines.agg(F.sum(F.split("value", " ")[1].cast("long")).alias("points"))
 
 
-@query()
-def box_merge(spark, sf):
-    owner = {(a, b, c): (a // 4) * 4 + (b // 4) * 2 + c // 4 for a in range(8) for b in range(8) for c in range(8)}
-    rows = [(p, *lo, *hi) for lo, hi, p in dc.boxes_of(owner)]
-    return spark.createDataFrame(rows, "proc_id long, lo0 long, lo1 long, lo2 long, hi0 long, hi1 long, hi2 long")
-
-
 # graphs
 
 GRAPH = """v AS (SELECT r AS gid, r % 20 AS i, r // 20 AS j, r * 4 // 300 AS proc_id FROM range(300) t(r)),
@@ -653,16 +692,19 @@ def graph_sync_edges(spark, sf):
 
 @query(f"WITH {P} SELECT pid, x, y, z, q, {OWNER} AS proc_id FROM p")
 def checkpoint_roundtrip(spark, sf):
-    folder = f"{_shared(spark)}/particles"
+    folder = f"{shared(spark)}/particles"
     files.save(particles(spark, sf).withColumn("proc_id", pt.box_owner(BOX, DIV)), folder, "proc_id")
     return longs(files.load(spark, folder), "pid", *XYZ, "q", "proc_id")
 
 
-def _shared(spark: SparkSession) -> str:
-    """A fresh folder under the one that the cluster shares; a local one where none is set, as in tests."""
-    import uuid
-
+def shared(spark: SparkSession) -> str:
+    """A fresh folder under the one that the cluster shares; in local mode, where none is set, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{path or 'file://' + tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/driftmesh-{uuid.uuid4().hex}"
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    return f"{path}/driftmesh-{uuid.uuid4().hex}"
 
 
+from . import domains, meshes  # noqa: E402,F401  they add their queries to the table

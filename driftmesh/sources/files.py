@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import ExitStack
+from dataclasses import dataclass
+from tempfile import TemporaryFile
 
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 
@@ -20,8 +25,6 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def write_frame(df: DataFrame, path: str, iteration: int, time: float | None = None) -> None:
     """Appends one frame of a simulation in its own folder."""
-    from pyspark.sql import functions as F
-
     out = df.withColumn("iteration", F.lit(iteration))
     if time is not None:
         out = out.withColumn("time", F.lit(float(time)))
@@ -32,31 +35,92 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    names: list[str]
+
+
 class _VtkWriter(DataSourceWriter):
+    """One legacy ASCII file a task.  Rows are streamed to scratch files of the task; the whole file is put under
+    ``_temporary`` of the target and gets its name in commit, so that a repeated task leaves one file and a failed job none."""
+
     def __init__(self, schema, options):
-        self.names, self.path = schema.names, options["path"]
+        self.names, self.path, self.kind = schema.names, options["path"], options.get("kind", "points")
         self.coords = options.get("coords", "x,y,z").split(",")
+        self.ends = options.get("ends", "").split(",")
+
+    def _points(self, r) -> list[list[float]]:
+        """The corners of a row's shape."""
+        at = lambda names: [float(r[c]) if c in self.names else 0.0 for c in names]
+        if self.kind == "points":
+            return [at(self.coords)]
+        lo, hi = at(self.coords), at(self.ends)
+        if self.kind == "lines":
+            return [lo, hi]
+        return [[(hi if k >> a & 1 else lo)[a] for a in range(3)] for k in range(8)]  # VTK's voxel order
 
     def write(self, rows):
-        """One legacy ASCII file a task: points, then each other column as scalars."""
-        import os
-
-        data = list(rows)
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{uuid.uuid4().hex}.vtk")
-        with open(name, "w") as f:
-            f.write(f"# vtk DataFile Version 3.0\nparticles\nASCII\nDATASET POLYDATA\nPOINTS {len(data)} double\n")
-            for r in data:
-                f.write(" ".join(str(float(r[c])) if c in self.names else "0.0" for c in self.coords) + "\n")
-            f.write(f"VERTICES {len(data)} {2 * len(data)}\n" + "".join(f"1 {i}\n" for i in range(len(data))) + f"POINT_DATA {len(data)}\n")
-            for c in self.names:
-                if c not in self.coords:
-                    f.write(f"SCALARS {c} double 1\nLOOKUP_TABLE default\n" + "".join(f"{float(r[c])}\n" for r in data))
-        return WriterCommitMessage()
+        fs, base = FileSystem.from_uri(self.path) if "://" in self.path else (LocalFileSystem(), self.path)
+        scalars = [c for c in self.names if c not in self.coords and c not in self.ends]
+        n = corners = 0
+        with ExitStack() as stack:
+            points, *values = (stack.enter_context(TemporaryFile("w+")) for _ in range(1 + len(scalars)))
+            for r in rows:
+                shape = self._points(r)
+                points.writelines(" ".join(map(str, p)) + "\n" for p in shape)
+                for c, f in zip(scalars, values, strict=True):
+                    f.write(f"{float('nan') if r[c] is None else float(r[c])}\n")
+                n, corners = n + 1, corners + len(shape)
+            if not n:
+                return _Written([])
+            name = f"part-{uuid.uuid4().hex}.vtk"
+            fs.create_dir(f"{base}/_temporary", recursive=True)
+            with fs.open_output_stream(f"{base}/_temporary/{name}") as out:
+                put = lambda text: out.write(text.encode())
+                k = corners // n
+                unstructured = self.kind == "boxes"
+                put(f"# vtk DataFile Version 3.0\n{self.kind}\nASCII\nDATASET {'UNSTRUCTURED_GRID' if unstructured else 'POLYDATA'}\nPOINTS {corners} double\n")
+                self._copy(points, put)
+                put(f"{'CELLS' if unstructured else 'LINES' if k == 2 else 'VERTICES'} {n} {n * (k + 1)}\n")
+                for i in range(n):
+                    put(f"{k} {' '.join(str(i * k + j) for j in range(k))}\n")
+                if unstructured:
+                    put(f"CELL_TYPES {n}\n")
+                    for _ in range(n):
+                        put("11\n")
+                put(f"{'POINT' if k == 1 else 'CELL'}_DATA {n}\n")
+                for c, f in zip(scalars, values, strict=True):
+                    put(f"SCALARS {c} double 1\nLOOKUP_TABLE default\n")
+                    self._copy(f, put)
+        return _Written([name])
+
+    @staticmethod
+    def _copy(f, put) -> None:
+        f.seek(0)
+        while text := f.read(1 << 20):
+            put(text)
+
+    def _settle(self, messages, keep: bool) -> None:
+        fs, base = FileSystem.from_uri(self.path) if "://" in self.path else (LocalFileSystem(), self.path)
+        for m in messages:
+            for name in m.names if m else ():
+                if keep:
+                    fs.move(f"{base}/_temporary/{name}", f"{base}/{name}")
+                else:
+                    fs.delete_file(f"{base}/_temporary/{name}")
+
+    def commit(self, messages):
+        self._settle(messages, True)
+
+    def abort(self, messages):
+        self._settle(messages, False)
 
 
 class VtkSource(DataSource):
-    """df.write.format("vtk").option("path", folder on storage that executors share).option("coords", "x,y,z")"""
+    """df.write.format("vtk").option("path", folder or URI on storage that executors share).option("coords", "x,y,z")
+
+    kind: points (default), lines or boxes; the latter two have their other end in the columns ``ends``.
+    """
 
     @classmethod
     def name(cls):
@@ -66,6 +130,52 @@ class VtkSource(DataSource):
         return _VtkWriter(schema, dict(self.options))
 
 
-def write_vtk(df: DataFrame, path: str, coords: tuple[str, ...] = ("x", "y", "z")) -> None:
+def write_vtk(df: DataFrame, path: str, coords: tuple[str, ...] = ("x", "y", "z"), ends: tuple[str, ...] = (), kind: str = "points") -> None:
+    """A VTK file a partition of df, with its numeric columns besides the coordinates as scalars."""
     df.sparkSession.dataSource.register(VtkSource)
-    df.write.format("vtk").option("path", path).option("coords", ",".join(coords)).mode("append").save()
+    df.write.format("vtk").option("path", path).option("coords", ",".join(coords)).option("ends", ",".join(ends)).option("kind", kind).mode("append").save()
+
+
+def write_subset(df: DataFrame, path: str, flag: str = "subset") -> None:
+    """As CSV with the subset's number under the name that viewers know."""
+    write_csv(df.withColumnRenamed(flag, "SubsetNumber"), path)
+
+
+def write_grid(grid: DataFrame, path: str, axes: tuple[str, ...], spacing: tuple, low: tuple, ghost: DataFrame | None = None) -> None:
+    """Nodes as VTK points at their places; with ``ghost`` also the halo, told apart by is_ghost."""
+    out = grid if ghost is None else grid.withColumn("is_ghost", F.lit(0)).unionByName(ghost.select(*grid.columns).withColumn("is_ghost", F.lit(1)))
+    names = ("x", "y", "z")[: len(axes)]
+    at = [(F.col(a) * s + lo).alias(x) for a, s, lo, x in zip(axes, spacing, low, names, strict=True)]
+    write_vtk(out.select(*at, *[c for c in out.columns if c not in axes]), path, names + ("z",) * (len(names) == 2))
+
+
+def write_levels(amr: DataFrame, path: str) -> None:
+    """A refinement hierarchy, one folder a level."""
+    save(amr, path, "lvl")
+
+
+def write_staggered(faces: DataFrame, path: str, axes: tuple[str, ...], places: dict[str, list[tuple]]) -> None:
+    """A staggered grid, one folder a component, each value at its own place: half a cell along every axis on which it is staggered."""
+    rows = [
+        F.struct(F.lit(c).alias("component"), *[(F.col(a) + (0.0 if o[i] < 0 else 0.5)).alias(x) for i, (a, x) in enumerate(zip(axes, "xyz", strict=False))], F.col(c).cast("double").alias("value"))
+        for c, offs in places.items() for o in offs[:1]
+    ]
+    save(faces.select(F.explode(F.array(*rows)).alias("r")).select("r.*"), path, "component")
+
+
+def write_decomposition(boxes: DataFrame, near: DataFrame, ghost: DataFrame, path: str) -> None:
+    """Sub-domains as VTK boxes, processors' neighbours and ghost boxes as CSV, in three folders."""
+    dims = sum(c.startswith("lo") for c in boxes.columns)
+    write_vtk(boxes, f"{path}/subdomains", tuple(f"lo{i}" for i in range(dims)), tuple(f"hi{i}" for i in range(dims)), "boxes")
+    write_csv(near, f"{path}/near")
+    write_csv(ghost, f"{path}/ghosts")
+
+
+def write_graph(vertices: DataFrame, edges: DataFrame, path: str, axes: tuple[str, ...]) -> None:
+    """Vertices with their owners as VTK points, edges as VTK lines between their ends' places."""
+    pad = tuple(axes) + ("__z",) * (3 - len(axes))
+    write_vtk(vertices.select(*axes, "gid", "proc_id"), f"{path}/vertices", pad)
+    for c, e in (("src", "a"), ("dst", "b")):
+        edges = edges.join(vertices.select(F.col("gid").alias(c), *[F.col(a).alias(f"{e}_{a}") for a in axes]), c)
+    ends = [tuple(f"{e}_{a}" for a in pad) for e in ("a", "b")]
+    write_vtk(edges.select("src", "dst", *[x for end in ends for x in end[: len(axes)]]), f"{path}/edges", *ends, "lines")

@@ -99,12 +99,67 @@ def test_mesh_weights_keep_mass(spark, sf):
         assert catalogue.queries()[q](spark, sf).agg(F.sum("v")).first()[0] == pytest.approx(total, rel=1e-4)
 
 
-def test_boxes_cover_cells_once():
+def test_boxes_cover_cells_once(spark):
     rng = random.Random(1)
     owner = {(a, b): rng.randrange(2) for a in range(6) for b in range(5)}
-    seen = Counter((a, b) for lo, hi, p in dc.boxes_of(owner) for a in range(lo[0], hi[0] + 1) for b in range(lo[1], hi[1] + 1) if owner[a, b] == p)
-    assert set(seen) == set(owner) and set(seen.values()) == {1}
-    assert sum(1 for _ in dc.boxes_of({(a, b): 0 for a in range(4) for b in range(4)})) == 1
+    table = lambda o: spark.createDataFrame([(p, a, b) for (a, b), p in o.items()], "proc_id long, a long, b long")
+    boxes = dc.merged_boxes(table(owner), ("a", "b")).collect()
+    seen = Counter((a, b) for r in boxes for a in range(r["lo0"], r["hi0"] + 1) for b in range(r["lo1"], r["hi1"] + 1) if owner[a, b] == r["proc_id"])
+    assert set(seen) == set(owner) and set(seen.values()) == {1} and len(boxes) < 30
+    assert dc.merged_boxes(table({(a, b): 0 for a in range(4) for b in range(4)}), ("a", "b")).count() == 1
+
+
+def test_symmetric_pairs_and_crowded_blocks(spark, monkeypatch):
+    """Half of the cells give each unordered pair once; blocks that are cut give the same pairs."""
+    rng = random.Random(5)
+    for dims, r, periodic, crowd in ((3, 30, True, False), (2, 90, True, False), (2, 9, False, True), (1, 150, True, False)):
+        pts = {i: tuple(rng.randrange(20 if crowd and i % 3 else 100) for _ in range(dims)) for i in range(150)}
+        names = ("x", "y", "z")[:dims]
+        space = Space(names, (0,) * dims, (100,) * dims, (periodic,) * dims)
+        df = spark.createDataFrame([(i, *p) for i, p in pts.items()], ["pid", *names])
+        images = list(itertools.product((-200, -100, 0, 100, 200) if periodic else (0,), repeat=dims))
+        want = brute(pts, r, images)
+        for rows in (20_000, 7):
+            monkeypatch.setattr(nb, "BLOCK_ROWS", rows)
+            assert Counter((a, b) for a, b in nb.neighbours(df, df, space, r).select("pid", "qid").collect()) == want
+            assert Counter((a, b) for a, b in nb.symmetric(df, space, r).collect()) == Counter({k: n for k, n in want.items() if k[0] < k[1]})
+
+
+def test_curve_owners_ghosts_are_the_box_owners_where_both_agree(spark, sf):
+    """Through a table cell -> proc the processor grid has the same ghosts as by arithmetic."""
+    p = catalogue.particles(spark, sf)
+    cells = dc.all_cells(spark, (4, 4, 4), ("a", "b", "c"))
+    owners = cells.select("cell", (F.floor(F.col("a") / 2) * 4 + F.floor(F.col("b") / 2) * 2 + F.floor(F.col("c") / 2)).alias("proc_id"))
+    cols = ["pid", "x", "y", "z", "dst", "s_x", "s_y", "s_z"]
+    by = dc.ghosts_by_cells(p, catalogue.BOX, (4, 4, 4), owners, 40).select(cols)
+    assert Counter(map(tuple, by.collect())) == Counter(map(tuple, pt.ghosts(p, catalogue.BOX, (2, 2, 2), 40).select(cols).collect()))
+
+
+def test_redistribute_over_slices(spark):
+    from driftmesh.operators import graph as gr
+
+    v = spark.range(500).select(F.col("id").alias("gid"), (F.col("id") % 3).alias("proc_id"))
+    moves = v.where("gid % 7 = 0").select("gid", F.lit(1).cast("long").alias("target"))
+    rows = sorted((r["proc_id"], r["gid"], r["rid"]) for r in gr.redistribute(v, moves, width=16).collect())
+    assert [r[2] for r in rows] == list(range(500))
+
+
+def test_random_set_is_uniform_and_stable(spark):
+    a = pt.random_set(spark, 4000, catalogue.BOX, 1, 2)
+    assert Counter(map(tuple, a.collect())) == Counter(map(tuple, pt.random_set(spark, 4000, catalogue.BOX, 1, 7).collect()))
+    mean = a.agg(F.avg("x"), F.avg("y"), F.avg("z"), F.corr("x", "y")).first()
+    assert all(abs(m - 500) < 25 for m in mean[:3]) and abs(mean[3]) < 0.06
+
+
+def test_vtk_files_are_whole_and_named_once(spark, tmp_path):
+    df = spark.createDataFrame([(float(i), 0.5, None if i == 3 else i) for i in range(10)], "x double, y double, v int").repartition(3)
+    files.write_vtk(df, str(tmp_path / "out"))
+    parts = list((tmp_path / "out").glob("*.vtk"))
+    assert 0 < len(parts) <= 3 and not list((tmp_path / "out" / "_temporary").iterdir())
+    lines = [x for p in parts for x in p.read_text().split("\n")]
+    assert sum(int(x.split()[1]) for x in lines if x.startswith("POINTS")) == 10 and lines.count("nan") == 1
+    files.write_vtk(df.where("x < 0"), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
 
 
 def test_config_helpers():
@@ -151,6 +206,9 @@ def test_streamed_cell_counts(spark, tmp_path):
 def test_plans_have_no_distance_join(spark, sf):
     plan = catalogue.nn_count(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+    for name in ("nn_count", "force_sum", "nn_sym_pairs", "cell_candidates", "nn_two_phase"):
+        plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and plan.count("ShuffledHashJoin") == 1 and plan.count("Exchange hashpartitioning(__b") == 2 and plan.count("Exchange") <= 3
     p = spark.read.parquet(f"{sf}/orders.parquet")
     scan = catalogue.is_in_box(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "o_orderstatus" not in scan and len(p.columns) > 3
