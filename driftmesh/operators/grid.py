@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.space import Space, every, offset_rows
+from . import blocks
 from .particles import ghosts
 
 IJK = ("i", "j", "k")
@@ -265,3 +266,24 @@ def particle_nodes(particles: DataFrame, coords: tuple[str, ...], spacing, sizes
         out = out.withColumn(a, F.explode(F.array(*[base + o for o in range(1 - reach, reach + 1)])))
         out = out.withColumn("w", F.col("w") * weight(F.col(x) / spacing - F.col(a))).where("w <> 0").withColumn(a, F.pmod(a, F.lit(n)))
     return out
+
+
+def from_mesh(particles: DataFrame, mesh: DataFrame, coords: tuple[str, ...], spacing, sizes: tuple[int, ...], weight, reach: int, fields: tuple[str, ...], block: int = 8) -> DataFrame:
+    """Mesh values at the particles: pid and the weighted sums of the fields over the nodes that a particle's weight touches.
+
+    Particles and nodes are dealt by blocks of nodes, a node also to the blocks whose particles touch it;
+    only there each particle meets its nodes, so that neither the particle-node rows nor the particles' sums move.
+    """
+    axes = IJK[: len(coords)]
+    b, node, to = F.lit(0).cast("long"), F.lit(0).cast("long"), mesh.select(*axes, *fields)
+    for x, a, n in zip(coords, axes, sizes, strict=True):
+        b = b * n + F.floor(F.pmod(F.floor(F.col(x) / spacing), F.lit(n)) / block).cast("long")
+        node = node * n + F.col(a)
+        near = [F.floor(F.pmod(F.col(a) + o, F.lit(n)) / block).cast("long") for o in range(-reach, reach)]
+        to = to.withColumn(f"__b{a}", F.explode(F.array_distinct(F.array(*near))))
+    at = F.lit(0).cast("long")
+    for a, n in zip(axes, sizes, strict=True):
+        at = at * n + F.col(f"__b{a}")
+    p, m, by = blocks.dealt(particles.select("pid", *coords, b.alias("__b")), to.select(at.alias("__b"), node.alias("__n"), *fields), "pid")
+    w = particle_nodes(p, coords, spacing, sizes, weight, reach).withColumn("__n", node)
+    return w.join(m.hint("shuffle_hash"), [*by, "__n"]).groupBy("pid").agg(*[F.sum(F.col("w") * F.col(f)).alias(f) for f in fields])

@@ -513,9 +513,15 @@ def p2m_mp4(spark, sf):
 
 @query(f"WITH {P}, {weights_sql(CIC, 1)} SELECT pid, round(sum(w * ((i * 7 + j * 13 + k * 29) % 101)), 5) AS v FROM w GROUP BY pid")
 def m2p_cic(spark, sf):
-    """Mesh values at the particles; the mesh's value is joined by node."""
-    w = gd.particle_nodes(particles(spark, sf).select("pid", *XYZ), XYZ, 50.0, (20,) * 3, hat, 1)
-    return w.join(grid(spark, 20), list(AXES)).groupBy("pid").agg(F.round(F.sum(F.col("w") * F.col("v")), 5).alias("v"))
+    """Mesh values at the particles."""
+    v = gd.from_mesh(particles(spark, sf), grid(spark, 20), XYZ, 50.0, (20,) * 3, hat, 1, ("v",))
+    return v.select("pid", F.round("v", 5).alias("v"))
+
+
+@query(f"WITH {P}, {weights_sql(MP4, 2)} SELECT pid, round(sum(w * ((i * 7 + j * 13 + k * 29) % 101)), 5) + 0.0 AS v FROM w GROUP BY pid")
+def m2p_mp4(spark, sf):
+    v = gd.from_mesh(particles(spark, sf), grid(spark, 20), XYZ, 50.0, (20,) * 3, m4_prime, 2, ("v",))
+    return v.select("pid", (F.round("v", 5) + 0.0).alias("v"))
 
 
 # decomposition: cells of 125 a side

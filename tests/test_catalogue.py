@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import pytest
 from driftmesh.functions.space import Space, axis_factors, good_divisions, with_hilbert
+from driftmesh.operators import blocks
 from driftmesh.operators import decomposition as dc
 from driftmesh.operators import grid as gd
 from driftmesh.operators import neighbors as nb
@@ -120,7 +121,7 @@ def test_symmetric_pairs_and_crowded_blocks(spark, monkeypatch):
         images = list(itertools.product((-200, -100, 0, 100, 200) if periodic else (0,), repeat=dims))
         want = brute(pts, r, images)
         for rows in (20_000, 7):
-            monkeypatch.setattr(nb, "BLOCK_ROWS", rows)
+            monkeypatch.setattr(blocks, "BLOCK_ROWS", rows)
             assert Counter((a, b) for a, b in nb.neighbours(df, df, space, r).select("pid", "qid").collect()) == want
             assert Counter((a, b) for a, b in nb.symmetric(df, space, r).collect()) == Counter({k: n for k, n in want.items() if k[0] < k[1]})
 
