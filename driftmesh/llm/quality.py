@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import UPPER, WS_CLASS, materialize, without_ws
 
 SYMBOLS = "#*$%&|<>"
-#: The features that get a cutoff, and the cutoffs that are tried for each: reject where the feature is greater.
+#: The features of the score and where each is cut into levels.
 GRID = {
     "symbol_share": (0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.3),
     "dup_line_share": (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8),
@@ -20,7 +21,11 @@ GRID = {
     "long_word": (8.0, 10.0, 12.0, 14.0, 16.0, 20.0),
 }
 #: Strata by number of words: up to and including each bound, and above.
-STRATA = (100, 400, 2000)
+STRATA = (100, 400)
+#: Every third labelled document teaches the score; the others are the holdout that certifies its cutoffs.
+TEACHING = 3
+#: The cutoffs that are tried, from strict to lax: these shares of the bad teaching documents reach them.
+SHARES = tuple(k / 20 for k in range(1, 20))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -83,47 +88,104 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def cutoffs(feats: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> dict[tuple[int, str], float]:
-    """The certified cutoff of each stratum and feature; most pairs may have none.
+@dataclass
+class Rules:
+    """Points of each feature by level, and each stratum's certified cutoff: reject from that score on."""
 
-    For every stratum, feature and cutoff of the grid, labelled documents of good quality are counted, and
-    those that the cutoff rejects.  A cutoff is certified if the exact binomial test refutes, at level
-    ``error`` divided by the number of all tests (Bonferroni), that it rejects ``risk`` / features or more
-    of the good documents; so, at confidence 1 - ``error``, all cutoffs together reject less than ``risk``
-    in every stratum.  Of the certified ones, the one that rejects most bad documents is taken, if it
-    rejects any; ties go to the higher cutoff.
+    points: dict[str, list[float]]
+    cut: dict[int, float]
 
-    All labelled documents count; they come to the driver as one row a stratum and cutoff (the grid's size).
+    def score(self) -> Column:
+        """The sum of the features' points; rounded, so that the order of the sum doesn't matter."""
+        out = F.lit(0.0)
+        for f, cuts in GRID.items():
+            level = sum(((F.col(f) > c).cast("int") for c in cuts), F.lit(0))
+            out = out + F.element_at(F.array(*map(F.lit, self.points[f])), level + 1)
+        return F.round(out, 6)
+
+    def rejected(self) -> Column:
+        out = F.lit(False)
+        for s, c in sorted(self.cut.items()):
+            out = out | ((_stratum() == s) & (self.score() >= c))
+        return out
+
+
+def points(beyond: dict[int, list[int]], total: dict[int, int]) -> list[float]:
+    """Log odds of bad against good for each level of a feature, smoothed; a higher level never gets fewer points.
+
+    ``beyond[q]``: how many documents of quality q exceed each cut; ``total[q]``: how many there are.
+    """
+    share = {}
+    for q in (0, 1):
+        up = [total[q], *beyond[q], 0]
+        share[q] = [(a - b + 0.5) / (total[q] + 0.5 * (len(up) - 1)) for a, b in zip(up, up[1:], strict=False)]
+    out: list[float] = []
+    for bad, good in zip(share[0], share[1], strict=True):
+        out.append(max([math.log(bad / good), *out[-1:]]))
+    return out
+
+
+def certified(scores: list[float], rejected: dict[int, list[int]], n: dict[int, int], risk: float, error: float) -> dict[int, float]:
+    """The laxest certified cutoff of each stratum that has one.
+
+    In a stratum the cutoffs are tested in their order, strict ones first.  A test passes if the exact
+    binomial bound refutes, at level ``error`` / strata (Bonferroni over strata), that the cutoff rejects
+    ``risk`` or more of the good documents; the first that fails ends the sequence, so the tests within a
+    stratum need no further correction.
+    """
+    out: dict[int, float] = {}
+    for s in sorted(n):
+        for c, k in zip(scores, rejected[s], strict=True):
+            if n[s] == 0 or k >= risk * n[s] or binomial_tail(k, n[s], risk) > error / (len(STRATA) + 1):
+                break
+            out[s] = c
+    return out
+
+
+def learn(feats: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> Rules:
+    """Points from the teaching documents, cutoffs certified on the holdout; see ``points`` and ``certified``.
+
+    All labelled documents count that the base keeps (the base rejects the others whatever the score).  They
+    come to the driver as counts: a row a quality, a row of quantiles, and a row a stratum.
     """
-    labelled = feats.join(labels.groupBy("doc_id").agg(F.min("quality").alias("good")).where("good IN (0, 1)"), "doc_id")
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("good")).where("good IN (0, 1)")
+    labelled = feats.join(good, "doc_id").where(~_base_failed()).withColumn("teaches", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(TEACHING)) == 0)
     tests = [(f, c) for f, cs in GRID.items() for c in cs]
-    counts = labelled.groupBy(_stratum().alias("s"), "good").agg(F.count("*").alias("n"), *[F.sum((F.col(f) > c).cast("long")).alias(f"t{i}") for i, (f, c) in enumerate(tests)])
-    rows = {(r["s"], r["good"]): r for r in counts.collect()}
-    level, each = error / (len(tests) * (len(STRATA) + 1)), risk / len(GRID)
-    best: dict[tuple[int, str], tuple[int, float]] = {}
-    for s in range(len(STRATA) + 1):
-        good, bad = rows.get((s, 1)), rows.get((s, 0))
-        for i, (f, c) in enumerate(tests):
-            if good and bad and bad[f"t{i}"] and good[f"t{i}"] < each * good["n"] and binomial_tail(good[f"t{i}"], good["n"], each) <= level:
-                best[s, f] = max(best.get((s, f), (0, 0.0)), (bad[f"t{i}"], c))
-    return {k: c for k, (_, c) in best.items()}
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> DataFrame:
+    rows = labelled.where("teaches").groupBy("good").agg(F.count("*").alias("n"), *[F.count_if(F.col(f) > c).alias(f"t{i}") for i, (f, c) in enumerate(tests)]).collect()
+    total = {0: 0, 1: 0} | {r["good"]: r["n"] for r in rows}
+    by = {r["good"]: r for r in rows}
+    beyond = {q: [by[q][f"t{i}"] if q in by else 0 for i in range(len(tests))] for q in (0, 1)}
+    at, rules = 0, Rules({}, {})
+    for f, cuts in GRID.items():
+        rules.points[f] = points({q: beyond[q][at : at + len(cuts)] for q in (0, 1)}, total)
+        at += len(cuts)
+    if not total[0]:
+        return rules
+    scored = labelled.withColumn("score", rules.score())
+    levels = scored.where("teaches AND good = 0").agg(F.percentile("score", F.array(*[F.lit(1 - x) for x in SHARES])).alias("c")).first()["c"]
+    scores = sorted(set(levels), reverse=True)
+    counts = scored.where("NOT teaches AND good = 1").groupBy(_stratum().alias("s")).agg(F.count("*").alias("n"), *[F.count_if(F.col("score") >= c).alias(f"r{i}") for i, c in enumerate(scores)]).collect()
+    rules.cut = certified(scores, {r["s"]: [r[f"r{i}"] for i in range(len(scores))] for r in counts}, {r["s"]: r["n"] for r in counts}, risk, error)
+    return rules
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:
     """One row per document: doc_id, the counts of ``features``, base_failed and kept.
 
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows.  kept is false
-    for these and for documents beyond a certified cutoff of their stratum (see ``cutoffs``); without
-    enough labels nothing is certified and only the base counts.
+    for these and for documents whose score reaches the certified cutoff of their stratum (see ``learn``):
+    with confidence 1 - ``error`` less than ``risk`` of the good documents of every stratum are rejected
+    so.  A stratum needs about 200 good documents in the holdout at the default risk; with fewer nothing is
+    certified and only the base counts.
 
     Null or empty text has no words and fails the base.  A null doc_id has no label.  Of labels that
     repeat a doc_id the lowest counts, null labels not at all.  Repeated rows give repeated results; an empty table none.
     Nothing shuffles but slim rows for the join with the labels; each text is worked on within its row.
     """
     feats = materialize(features(docs))
-    found = cutoffs(feats, labels, risk, error)
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    beyond = F.lit(False)
-    for (s, f), c in sorted(found.items()):
-        beyond = beyond | ((_stratum() == s) & (F.col(f) > c))
-    return feats.select("*", base.alias("base_failed"), (~base & ~beyond).alias("kept"))
+    rules = learn(feats, labels, risk, error)
+    return feats.select("*", _base_failed().alias("base_failed"), (~_base_failed() & ~rules.rejected()).alias("kept"))

@@ -9,7 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from driftmesh.llm import pii
+from driftmesh.llm import pii, quality
 from driftmesh.llm import queries as Q
 from driftmesh.llm.html_extract import extract_main_text, labelled_pages, main_text, parse, train
 from driftmesh.llm.langid import codewords, identify_language
@@ -232,7 +232,7 @@ def test_certified_cutoffs_reject_junk_and_spare_good(spark, tmp_path):
     rng = random.Random(1)
     w = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     data, labels = [], []
-    for i in range(9000):
+    for i in range(2000):
         good = i % 5 > 0
         data.append((i, " ".join(w() + ("" if good else "$$$ ***") for _ in range(30))))
         labels.append((i, int(good)))
@@ -241,6 +241,51 @@ def test_certified_cutoffs_reject_junk_and_spare_good(spark, tmp_path):
     assert all(out[i] == (i % 5 > 0) for i in out)
     few = {r["doc_id"]: r["kept"] for r in quality_rules(docs, labels.limit(50)).collect()}
     assert all(few.values())
+    none = quality_rules(docs, labels.where("quality = 1")).where("NOT kept").count()
+    assert none == 0
+
+
+def test_kept_by_brute_force(spark):
+    """Points, cutoffs and verdicts counted one document at a time, where good and bad overlap."""
+    rng = random.Random(6)
+    w = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
+    data, labels = [], []
+    for i in range(1500):
+        good, n = i % 4 > 0, rng.choice((20, 150, 500))
+        noise = 0.03 * (rng.random() < 0.05) if good else rng.choice((0.01, 0.1, 0.3))
+        data.append((i, " ".join(w() + ("$$" if rng.random() < noise else "") + ("!" if rng.random() < noise else "") for _ in range(n))))
+        labels.append((i, int(good)))
+    docs, labels_df = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    feats = [r.asDict() for r in features(docs).collect()]
+    teaches = {r["doc_id"]: r["t"] for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id, 11), {quality.TEACHING}) = 0 AS t").collect()}
+    good = dict(labels)
+    base = lambda r: r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]
+    used = [r for r in feats if not base(r)]
+    level = lambda r, f: sum(r[f] > c for c in quality.GRID[f])
+    points = {}
+    for f, cuts in quality.GRID.items():
+        odds = []
+        for k in range(len(cuts) + 1):
+            share = [(sum(level(r, f) == k for r in used if teaches[r["doc_id"]] and good[r["doc_id"]] == q) + 0.5) / (sum(teaches[r["doc_id"]] and good[r["doc_id"]] == q for r in used) + 0.5 * (len(cuts) + 1)) for q in (0, 1)]
+            odds.append(max([math.log(share[0] / share[1]), *odds[-1:]]))
+        points[f] = odds
+    score = {r["doc_id"]: round(sum(points[f][level(r, f)] for f in quality.GRID), 6) for r in feats}
+    rules = quality.learn(features(docs), labels_df, risk=0.05)
+    for f, odds in points.items():
+        assert rules.points[f] == pytest.approx(odds)
+    stratum = lambda r: sum(r["n_words"] > b for b in quality.STRATA)
+    for s in range(3):
+        held = [r for r in used if stratum(r) == s and good[r["doc_id"]] and not teaches[r["doc_id"]]]
+        passes = lambda c: sum(math.comb(len(held), j) * 0.05**j * 0.95 ** (len(held) - j) for j in range(sum(score[r["doc_id"]] >= c for r in held) + 1)) <= 0.05 / 3
+        assert s in rules.cut and passes(rules.cut[s])
+    out = {r["doc_id"]: r["kept"] for r in quality_rules(docs, labels_df, risk=0.05).collect()}
+    assert out == {r["doc_id"]: not base(r) and not score[r["doc_id"]] >= rules.cut[stratum(r)] for r in feats}
+    assert sum(not out[i] for i in out if not good[i]) > 200 and sum(not out[i] for i in out if good[i]) < 0.05 * 1125
+
+
+def test_a_failed_cutoff_ends_the_sequence():
+    cut = quality.certified([9.0, 5.0, 1.0, 0.5], {0: [0, 1, 40, 0], 1: [0, 0, 0, 0], 2: [0, 0, 0, 0]}, {0: 1000, 1: 40, 2: 1000}, 0.02, 0.05)
+    assert cut == {0: 5.0, 2: 0.5}
 
 
 def test_binomial_tail():
