@@ -24,15 +24,8 @@ SURE = np.uint64(35 * 2**64 // 100)
 PAIRS = "kind int, h long, a long, b long, na int, nb int, c int"
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHashes()
+#: Bytes of text that are hashed at once; a longer text alone.
+AT_ONCE = 500_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -40,16 +33,52 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word windows, A-Z lower-cased; a shorter text is one window, none without words."""
-    words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: just A-Z, and just space and \x09-\x0D
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    if len(w) < size:
-        return _mixed((w * _MUL[: len(w)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(w)))
-    k = len(w) - size + 1
-    return np.unique(_mixed(sum((w[i : i + k] * _MUL[i % 5] + np.uint64(i // 5) for i in range(1, size)), w[:k] * _MUL[0])))
+#: By byte: A-Z lower-cased, whether it is white space, and a 64-bit value.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_VALUE = _mixed(_mixed(np.arange(1, 257, dtype=np.uint64) * _MUL[3]) + _MUL[1])
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word and where it starts: bytes' values by powers of an odd number, summed up within words."""
+    low = _LOWER[np.frombuffer(data, np.uint8)]
+    word = ~_SPACE[low]
+    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    start, n = edge[::2], edge[1::2] - edge[::2]
+    if not len(n):
+        return np.zeros(0, np.uint64), start
+    first = np.cumsum(n) - n
+    powers = np.full(int(n.max()), _MUL[0], np.uint64)
+    powers[0] = 1
+    at = np.arange(int(n.sum())) - np.repeat(first, n)
+    h = np.add.reduceat(_VALUE[low[word]] * np.multiply.accumulate(powers)[at], first)
+    return _mixed(h + n.astype(np.uint64) * _MUL[2]), start
+
+
+def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word windows, A-Z lower-cased; a shorter text is one window, none without words."""
+    out: list[np.ndarray] = []
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    a = 0
+    while a < len(raw):
+        e, room = a + 1, AT_ONCE - len(raw[a])
+        while e < len(raw) and len(raw[e]) <= room:
+            room -= len(raw[e])
+            e += 1
+        w, start = _word_hashes(b"\n".join(raw[a:e]))
+        ends = np.searchsorted(start, np.cumsum([len(x) + 1 for x in raw[a:e]]))
+        k = max(len(w) - size + 1, 0)
+        windows = _mixed(sum((w[i : i + k] * _MUL[i % 5] + np.uint64(i // 5) for i in range(1, size)), w[:k] * _MUL[0]))
+        for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            if y - x >= size:
+                out.append(np.unique(windows[x : y - size + 1]))
+            elif y > x:
+                out.append(_mixed((w[x:y] * _MUL[: y - x]).sum(dtype=np.uint64, keepdims=True) + np.uint64(y - x)))
+            else:
+                out.append(np.zeros(0, np.uint64))
+        a = e
+    return out
 
 
 def _ints(x: np.ndarray) -> pa.Array:
@@ -59,7 +88,7 @@ def _ints(x: np.ndarray) -> pa.Array:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many of a batch's different texts hold a shingle: all shingles below SURE, one row a text; of the others those that a thousandth hold."""
     for b in batches:
-        v = [shingles(t) for t in dict.fromkeys(b.column("text").to_pylist())]
+        v = shingle_sets(list(dict.fromkeys(b.column("text").to_pylist())))
         cut = [int(np.searchsorted(x, SURE)) for x in v]
         low = np.concatenate([*[x[:k] for x, k in zip(v, cut, strict=True)], np.zeros(0, np.uint64)])
         yield pa.RecordBatch.from_pydict({"h": _ints(low), "n": pa.array(np.ones(len(low), np.int32))})
@@ -100,7 +129,7 @@ def _nodes(shared, num: int, den: int):
         for whole in batches:
             for a in range(0, whole.num_rows, 2000):
                 b = whole.slice(a, 2000)
-                v = [shingles(t) for t in b.column("text").to_pylist()]
+                v = shingle_sets(b.column("text").to_pylist())
                 p = [_prefix(x, common, rank, num, den) if len(x) else x for x in v]
                 cut = np.cumsum([0, *map(len, p)]).astype(np.int32)
                 sig = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in v], np.uint64).view(np.int64)
@@ -133,8 +162,7 @@ def _able(bins: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, num: in
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for a in range(0, whole.num_rows, 2000):
-            v = [shingles(t) for t in whole.slice(a, 2000).column("text").to_pylist()]
-            v = [x for x in v if len(x)]
+            v = [x for x in shingle_sets(whole.slice(a, 2000).column("text").to_pylist()) if len(x)]
             cut = np.cumsum([0, *map(len, v)]).astype(np.int32)
             sig = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in v], np.uint64).view(np.int64)
             vec = pa.ListArray.from_arrays(pa.array(cut), _ints(np.concatenate([*v, np.zeros(0, np.uint64)])))

@@ -224,6 +224,23 @@ def brute_components(data):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
+def test_shingle_sets_tell_the_same_windows_apart(monkeypatch):
+    """Hashes are equal just where word windows are, whatever else is hashed at the same time."""
+    from driftmesh.llm import jaccard
+
+    rng = random.Random(7)
+    texts = [r[1] for r in rows()] + ["ab ba", "ba ab", "a b", "b a", "Ünï ünï", "ÜNÏ", "a\x0bb\x1cc d", " lead and trail "] + [" ".join(rng.choice(["x", "xx", "y", "yx", "xy", "X", "é"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    names: dict = {}
+    for at_once in (500_000, 40):
+        monkeypatch.setattr(jaccard, "AT_ONCE", at_once)
+        for t, v in zip(texts, jaccard.shingle_sets(texts), strict=True):
+            w = words((t or "").translate(LOWER))
+            want = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+            assert len(v) == len(want) and (v[1:] > v[:-1]).all()
+            names.setdefault(frozenset(want), set()).add(v.tobytes())
+    assert all(len(x) == 1 for x in names.values()) and len(names) == len({min(x) for x in names.values()})
+
+
 def test_jaccard_small(docs, empty):
     data = [(r[0], r[1]) for r in rows() if r[0] is not None]
     want = brute_components(data)
