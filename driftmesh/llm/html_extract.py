@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 #: HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg select".split())
+#: Those of them that browsers parse: without an end tag they hide nothing.
+PARSED = frozenset("noscript template svg select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A start tag of these ends an open paragraph.
@@ -52,7 +54,8 @@ class Block:
 
 
 def parse(html: str, labels: bool = True) -> list[Block]:
-    """The page's blocks, parents first.  Inline elements belong to their block; a tag that never ends drops the rest, as in browsers.
+    """The page's blocks, parents first.  Inline elements belong to their block; a tag that never ends, or a script or other raw text
+    without an end tag, drops the rest, as in browsers; an svg, select, noscript or template without one doesn't.
 
     Quotes open an attribute's value only right after its "=".  With ``labels``, a data-label of 0 or 1 is
     a block's label; real pages use that name for words.
@@ -116,6 +119,8 @@ def parse(html: str, labels: bool = True) -> list[Block]:
             continue
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(html, at)
+            if not end and tag in PARSED:
+                continue
             if not end:
                 break
             gt = html.find(">", end.end())

@@ -416,6 +416,9 @@ def test_html_pages(spark, sf):
         ('<p =a "b>one</p><p a = "x>y" c=\'>\' class=>two</p><p a=b"c>three</p>', "one two three"),
         ('one<svg viewBox="0 0 1 1"/><p>two</p><svg a=x/>no</svg><p>three</p>', "one two three"),
         ('one<p title="two>three', "one"),
+        ("<p>one<svg><path d=x><p>two<select><option>three<p>four", "one two three four"),
+        ("<p>one <noscript>two<template><p>three<svg>no</svg>", "one two three"),
+        ("<p>one<script>no", "one"),
     ],
 )
 def test_stray_quotes_end_no_page(page, text):
