@@ -72,15 +72,20 @@ def _filters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _suspected(shared, log2: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Which of a document's hashes the filter lets through, by their places in the array."""
+
+    @F.pandas_udf("array<int>")
+    def run(hs: pd.Series) -> pd.Series:
         bits = np.frombuffer(shared.value, np.uint8)
-        for b in batches:
-            h = b["h"].to_numpy(np.int64).view(np.uint64)
-            base, hit = _segment(h, log2) << SEGMENT_LOG2, np.ones(len(b), bool)
-            for k in _two_bits(h):
-                at = base + k
-                hit &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            yield b.loc[hit, ["rid", "t", "pos", "digest"]]
+        cut = np.cumsum([0, *map(len, hs)])
+        h = np.concatenate([np.zeros(0, np.int64), *hs]).astype(np.int64).view(np.uint64)
+        base, hit = _segment(h, log2) << SEGMENT_LOG2, np.ones(len(h), bool)
+        for k in _two_bits(h):
+            at = base + k
+            hit &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        places = np.flatnonzero(hit)
+        ends = np.searchsorted(places, cut)
+        return pd.Series([places[x:y] - c for x, y, c in zip(ends[:-1], ends[1:], cut[:-1], strict=True)])
 
     return run
 
@@ -94,7 +99,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, bits_per_line: int = 8, max
 
     Steps: each task hashes its documents' distinct keys; segments of the hash space build a once-seen and
     a twice-seen Bloom filter; the twice-seen one is broadcast and keeps the suspected lines; those alone
-    shuffle, by SHA-256 of the key, for the exact count of documents and the first of them; the positions
+    are digested and shuffle, by SHA-256 of the key, for the exact count of documents and the first of them; the positions
     to drop go back to the documents.
 
     The filter has ``bits_per_line`` bits a line, at most 2^``max_log2_bits`` (64 MB by default): that is
@@ -119,9 +124,12 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, bits_per_line: int = 8, max
     for row in filters.toLocalIterator():
         bits[row["seg"] * size : (row["seg"] + 1) * size] = row["bits"]
     shared = spark.sparkContext.broadcast(bytes(bits))
-    each = keyed.select("rid", "t", F.posexplode("keys").alias("pos", "key")).where(F.length("key") >= min_chars)
-    each = each.select("rid", "t", "pos", F.xxhash64("key").alias("h"), F.unhex(F.sha2("key", 256)).alias("digest"))
-    suspects = materialize(each.mapInPandas(_suspected(shared, log2), "rid long, t long, pos int, digest binary"))
+    # a document's hashes are tested together; only suspected lines become rows and are digested
+    hashed = F.transform("keys", lambda k, i: F.struct(i.alias("pos"), F.when(F.length(k) >= min_chars, F.xxhash64(k)).alias("h")))
+    each = keyed.withColumn("long", F.filter(hashed, lambda x: x["h"].isNotNull()))
+    hits = each.withColumn("at", _suspected(shared, log2)(F.transform("long", lambda x: x["h"]))).where(F.size("at") > 0)
+    rows = hits.select("rid", "t", F.explode(F.transform("at", lambda i: F.struct(F.get("long", i)["pos"].alias("pos"), F.get("keys", F.get("long", i)["pos"]).alias("key")))).alias("x"))
+    suspects = materialize(rows.select("rid", "t", "x.pos", F.unhex(F.sha2("x.key", 256)).alias("digest")))
     # written, so that the join below is plain and Spark can split a common line's rows
     repeated = materialize(suspects.groupBy("digest").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("digest", "lo"))
     drops = suspects.join(repeated, "digest").where("rid > lo").groupBy("rid", "t").agg(F.collect_set("pos").alias("drop"))
