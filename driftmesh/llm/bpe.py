@@ -16,11 +16,13 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from .common import give_back, small_batches
+
 #: Longer words (bytes) go through a heap, since a recursive query holds a word's length squared in rows.
 LONG_WORD = 400
 #: Words and rows (squares of lengths) of one recursive query.
 WORDS_A_QUERY, ROWS_A_QUERY = 20_000, 4_000_000
-CHARS_A_ROUND = 1_000_000
+CHARS_A_ROUND = 500_000
 #: Places of the cache of words, and how many ids a place holds; 2^19 * (16 + 4 * 7) bytes are 23 MB.
 CACHE_PLACES, CACHE_IDS = 1 << 19, 6
 
@@ -234,6 +236,7 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, pattern: str, decode: bool
     Null text counts as empty and gives no ids.  Repeated rows give repeated results.  An empty table
     gives no rows.  Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     with open(vocabulary_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -245,12 +248,14 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, pattern: str, decode: bool
             if decode:
                 cols["decoded"] = _binary(*coder.decode(ids, bounds))
             yield pa.RecordBatch.from_pydict(cols)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decode)
 
 
 def bpe_decode(rows: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
     """doc_id, decoded (binary) of rows with doc_id and ids; null ids count as none."""
+    small_batches(rows.sparkSession)
     with open(vocabulary_path, "rb") as f:
         shared = rows.sparkSession.sparkContext.broadcast(f.read())
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,25 @@ def release(*tables: DataFrame) -> None:
     jvm.System.gc()  # Spark removes the shuffle files of plans that are out of use when the driver collects garbage
 
 
+def small_batches(spark: SparkSession, rows: int = 4000, size: int = 16 << 20) -> None:
+    """Tells the session to hand Python workers at most so many rows, and about so many bytes, at once: texts are long.  Lower settings stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        value = int(re.sub(r"\D", "", now)) << {"k": 10, "m": 20, "g": 30}.get(now.strip("b")[-1:], 0)
+        if not 0 < value <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: workers are reused, and what one operator freed the next doesn't need."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Hints a broadcast only for a counted side of at most ``most`` rows; a larger one joins by shuffle."""
     return F.broadcast(df) if rows <= most else df

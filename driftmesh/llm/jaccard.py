@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, release
+from .common import give_back, materialize, maybe_broadcast, release, small_batches
 from .components import components
 
 _LAST = 2**63 - 1
@@ -96,6 +96,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, least = (high & np.uint64(2**22 - 1)).astype(np.int64), max(6, len(v) // 1000)
         h, n = np.unique(high[np.bincount(slot, minlength=2**22)[slot] >= least], return_counts=True)
         yield pa.RecordBatch.from_pydict({"h": _ints(h[n >= least]), "n": pa.array(n[n >= least].astype(np.int32))})
+    give_back()
 
 
 def _common(src: DataFrame, most: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +142,7 @@ def _nodes(shared, num: int, den: int):
                         "prefix": pa.ListArray.from_arrays(pa.array(cut), _ints(np.concatenate([*p, np.zeros(0, np.uint64)]))),
                     }
                 )
+        give_back()
 
     return run
 
@@ -167,6 +169,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in v], np.uint64).view(np.int64)
             vec = pa.ListArray.from_arrays(pa.array(cut), _ints(np.concatenate([*v, np.zeros(0, np.uint64)])))
             yield pa.RecordBatch.from_pydict({"sig": pa.array(sig), "vec": vec, "bins": pa.array([_bins(x) for x in v], pa.binary())})
+    give_back()
 
 
 def _emit(kind: int, h=0, a=0, b=0, na=0, nb=0, c=0) -> pd.DataFrame:
@@ -234,6 +237,7 @@ def _products(num: int, den: int):
                 yield from flush(h[:last], sig[:last], n[:last])
                 held = [h[last:], sig[last:], n[last:]]
         yield from flush(*held)
+        give_back()
 
     return run
 
@@ -308,6 +312,7 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, broadcast
     row has its own result; of rows with equal sets, whatever their ids, one row enters the product.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     src = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("rid"), "text", *([F.col(key).alias("row")] if key else []))
     shared = spark.sparkContext.broadcast(_common(src, most_common))
     entries = src.mapInArrow(_nodes(shared, num, den), "rid long, " + "row long, " * bool(key) + "sig long, n int, prefix array<long>")

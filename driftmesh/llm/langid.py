@@ -12,8 +12,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, small_batches
+
 DIMS = 2048
-SLICE = 2_000_000
+SLICE = 250_000
 _MIX = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 _LETTER = regex.compile(r"\p{L}")
 
@@ -129,6 +131,7 @@ def train(docs: DataFrame, per_language: int = 1000) -> Model | None:
     (each task sends its ``per_language`` smallest of a language, no text moves); then the chosen texts
     become DIMS numbers on the executors, so the driver gets 8 kB a chosen document.
     """
+    small_batches(docs.sparkSession)
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", F.lit(3)).alias("h"))
 
     def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,6 +139,7 @@ def train(docs: DataFrame, per_language: int = 1000) -> Model | None:
         for b in batches:
             best = pd.concat([best, b]).drop_duplicates().sort_values("h").groupby("lang").head(per_language)
         yield best
+        give_back()
 
     # two rounds, so that a language's task gets keys from 32 tasks only
     keys = usable.select("lang", "h").mapInPandas(least, "lang string, h long")
@@ -149,6 +153,7 @@ def train(docs: DataFrame, per_language: int = 1000) -> Model | None:
         for b in batches:
             x = ngram_features(b["text"].tolist())
             yield pd.DataFrame({"h": b["h"], "lang": b["lang"], "x": [v.tobytes() for v in x]})
+        give_back()
 
     chosen = F.lit(False)
     for lang, h in sorted(limit.items()):
@@ -165,6 +170,7 @@ def identify_language(docs: DataFrame, model: Model | None, key: str = "doc_id")
     and so is everything if nothing was learned.  Texts are worked on whole, long ones slice by slice.
     Repeated rows give repeated results, an empty table none.  Other columns are ignored.  Nothing shuffles.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,5 +187,6 @@ def identify_language(docs: DataFrame, model: Model | None, key: str = "doc_id")
                     out.loc[known, "score"] = np.round(score, 6)
                     out.loc[known, "ambiguous"] = unsure
                 yield out
+        give_back()
 
     return docs.select(key, "text").mapInPandas(run, f"{key} long, lang_pred string, score double, ambiguous boolean")

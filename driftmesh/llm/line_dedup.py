@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, strip_ws
+from .common import ascii_lower, give_back, materialize, small_batches, strip_ws
 
 #: Bits of one filter segment; a key has two bits in the segment that its hash's top bits name.
 SEGMENT_LOG2 = 20
@@ -44,6 +44,7 @@ def _summaries(log2: int):
                 [(int(s[0]), k.tobytes(), (c > 1).tobytes()) for s, k, c in zip(np.split(seg, cut), np.split(h, cut), np.split(n, cut), strict=True)],
                 columns=["seg", "hashes", "twice"],
             )
+        give_back()
 
     return run
 
@@ -69,6 +70,7 @@ def _filters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 once[seen] = True
     if now is not None:
         yield pd.DataFrame({"seg": [now], "bits": [np.packbits(twice).tobytes()]})
+    give_back()
 
 
 def _suspected(shared, log2: int):
@@ -111,6 +113,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, bits_per_line: int = 8, max
     doc_id count as one document.  An empty table gives no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rid = F.coalesce(F.col("doc_id"), F.lit(_LAST))
     t = F.xxhash64("text").alias("t")  # rows that share an id may have other texts; each has its own places
     keyed = docs.select(rid.alias("rid"), t, F.transform(_lines(), lambda x: ascii_lower(strip_ws(x))).alias("keys"))
