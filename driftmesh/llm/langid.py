@@ -126,27 +126,15 @@ def fit(x: np.ndarray, langs: np.ndarray, steps: int = 300, l2: float = 1e-5) ->
 def train(docs: DataFrame, per_language: int = 1000) -> Model | None:
     """Learns from text and non-null lang of documents that aren't held out; None without any.
 
-    The fit uses at most ``per_language`` documents of each language, those with the smallest hashes of id
-    and text: that is the bound of the sample, at every size of the input.  Keys of 24 bytes choose them
-    (each task sends its ``per_language`` smallest of a language, no text moves); then the chosen texts
-    become DIMS numbers on the executors, so the driver gets 8 kB a chosen document.
+    The fit uses at most ``per_language`` documents of each language: that is the bound of the sample, at
+    every size of the input.  Languages are counted; then the documents whose hash of id and text lies in
+    the share per_language / count of a language's hash space are chosen, so no text moves before it
+    is chosen, and their texts become DIMS numbers on the executors (the driver gets 8 kB a chosen document).
     """
     small_batches(docs.sparkSession)
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", F.lit(3)).alias("h"))
-
-    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = pd.DataFrame({"lang": pd.Series(dtype=object), "h": pd.Series(dtype=np.int64)})
-        for b in batches:
-            best = pd.concat([best, b]).drop_duplicates().sort_values("h").groupby("lang").head(per_language)
-        yield best
-        give_back()
-
-    # two rounds, so that a language's task gets keys from 32 tasks only
-    keys = usable.select("lang", "h").mapInPandas(least, "lang string, h long")
-    parts = keys.withColumn("part", F.spark_partition_id() % 32).repartition(32, "part").select("lang", "h").mapInPandas(least, "lang string, h long")
-    firsts = parts.repartition("lang").mapInPandas(least, "lang string, h long").groupBy("lang").agg(F.max("h").alias("h"))
-    limit = {r["lang"]: r["h"] for r in firsts.collect()}
-    if not limit:
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return None
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,10 +144,14 @@ def train(docs: DataFrame, per_language: int = 1000) -> Model | None:
         give_back()
 
     chosen = F.lit(False)
-    for lang, h in sorted(limit.items()):
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= h))
+    for lang, n in sorted(counts.items()):
+        chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= min(-(2**63) + 2**64 * per_language // n, 2**63 - 1)))
     rows = usable.where(chosen).select("h", "lang", "text").mapInPandas(vectors, "h long, lang string, x binary").dropDuplicates(["lang", "h"]).collect()
     rows.sort(key=lambda r: (r["lang"], r["h"]))
+    first: dict[str, int] = {}
+    rows = [r for r in rows if first.setdefault(r["lang"], 0) < per_language and not first.update({r["lang"]: first[r["lang"]] + 1})]
+    if not rows:
+        return None
     return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["lang"] for r in rows]))
 
 

