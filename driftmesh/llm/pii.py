@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
@@ -162,7 +163,9 @@ def labelled_texts(n: int, seed: int, without: tuple[str, ...] = ()) -> list[tup
 
 def _tallies(spark: SparkSession, texts: list[tuple[str, int, int]]) -> list[tuple[dict[str, int], int, int]]:
     """How many candidates of each profile are a labelled span (ends may be off by one), and how many aren't; parts of one don't count."""
-    t = spark.createDataFrame(texts, "text string, s int, e int").withColumn("base", F.concat(*base_spans(F.col("text")).values()))
+    made = json.dumps([{"text": t, "s": a, "e": b} for t, a, b in texts])
+    t = spark.range(1).select(F.explode(F.from_json(F.lit(made), "array<struct<text:string,s:int,e:int>>")).alias("r")).select("r.*").repartition(8)
+    t = t.withColumn("base", F.concat(*base_spans(F.col("text")).values()))
     each = t.withColumn("cands", candidates(F.col("text"), F.col("base"))).select("s", "e", F.explode("cands").alias("x"))
     hit = (F.col("e") > 0) & (F.abs(F.col("x.start") - F.col("s")) <= 1) & (F.abs(F.col("x.end") - F.col("e")) <= 1)
     part = (F.col("x.start") >= F.col("s") - 1) & (F.col("x.end") <= F.col("e") + 1)
