@@ -70,7 +70,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("mixing sources", mixing), ("byte-level BPE", tokens)]
 
-#: A learned classifier, a fitted budget and the tokenizer are beyond SQL; tests/test_pipeline.py holds the stages against brute force.
+#: A learned classifier, a fitted budget and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
