@@ -23,8 +23,8 @@ WINDOW = 20
 THRESHOLDS = {"hex": 3.2, "alnum": 3.75, "base64": 3.9}
 #: Strings that look random and aren't secret: UUIDs, integrity digests, runs of the alphabet.
 ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^sha(1|256|384|512)-|abcdefghij|0123456789|qwertyuiop|example|placeholder|^[A-Za-z]*$|^[0-9=_/+-]*$"
-#: What stands before a string that is part of an address or an embedded image.
-ALLOWED_BEFORE = r"(https?://|www\.|data:image/)\S*$"
+#: How an address or an embedded image begins; it ends at the next white space, however far.
+ALLOWED_HEAD = r"(?:https?://|www\.|data:image/)"
 
 
 def _entropy_bounds(hit: Column, threshold: Column) -> Column:
@@ -74,7 +74,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     base has the fixed patterns' spans, leftmost and non-overlapping per kind: ``assign`` with a value of 8
     characters or more, ``access`` of 16 or more, ``hex`` of 32 or more; matches that fail are dropped and
     not tried again.  added has ``entropy`` spans: in runs of 20 or more characters of ALPHABET that touch
-    no base span and aren't allow-listed, windows of WINDOW characters slide; the span goes from the first
+    no base span, aren't allow-listed and aren't inside an address or embedded image, windows of WINDOW characters slide; the span goes from the first
     to the last window that reaches the class's threshold.
 
     Null or empty text has no spans.  Repeated rows give repeated results, an empty table none; other
@@ -93,8 +93,13 @@ def secret_scan(docs: DataFrame) -> DataFrame:
         matches(F.col("text"), HEX, "hex", F.col("run")).alias("hex"),
         F.filter(matches(F.col("text"), CANDIDATE, "entropy", F.col("run")), lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]") & ~x["hit"].rlike(ALLOWED)).alias("runs"),
     ).withColumn("base", F.concat("assign", "access", "hex"))
-    before = lambda x: F.substring(F.col("text"), F.greatest(x["start"] - 199, F.lit(1)), F.least(x["start"], F.lit(200)))
-    left = F.filter("runs", lambda x: ~overlaps(x, F.col("base")) & ~before(x).rlike(ALLOWED_BEFORE))
+    # addresses are looked for only where runs are left
+    addresses = F.filter(matches(F.col("text"), ALLOWED_HEAD + r"\S*+", "address", F.size("runs") > 0), lambda x: x["hit"].rlike(CANDIDATE))
+    head = lambda a: a["start"] + F.length(F.regexp_extract(a["hit"], ALLOWED_HEAD, 0))
+    tails = F.transform(addresses, lambda a: F.struct(head(a).alias("start"), a["end"].alias("end")))
+    inside = lambda x, ts: F.exists(ts, lambda a: (a["start"] <= x["start"]) & (x["start"] < a["end"]))
+    # bound to a name, so that they are looked for once a text and not once a run
+    left = F.transform(F.array(tails), lambda ts: F.filter("runs", lambda x: ~overlaps(x, F.col("base")) & ~inside(x, ts)))[0]
     limit = lambda x: (
         F.when(x["hit"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), THRESHOLDS["hex"]).when(x["hit"].rlike("^[A-Za-z0-9]+$"), THRESHOLDS["alnum"]).otherwise(THRESHOLDS["base64"])
     )

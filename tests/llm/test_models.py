@@ -211,6 +211,19 @@ def test_secrets(docs, empty):
     assert secret_scan(empty).count() == 0
 
 
+def test_secrets_in_addresses_of_any_length(spark):
+    """An address or embedded image ends at the next white space, not after some characters; what stands before its head isn't inside."""
+    key = "q7Jd0xLm2VbN8sTzYw4RkHc1"
+    far = "a.b/" * 500
+    rows = [
+        (f"see https://{far}?k={key}", 0), (f"<img src='data:image/png;base64,{'x.' * 300}{key}'>", 0), (f"www.{far}?{key} {key}", 1), (f"{key}:https://{far}", 1),
+        (f"https://a.b {key} http://c.d/?x:{key}\n{key}", 2), (f"ftp://{far}?{key}", 1), (f"http:/{far}?{key}", 1), (f"https://{far}\t:{key}", 1),
+    ]
+    found = secret_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: len(r["added"]) for r in found} == {i: n for i, (_, n) in enumerate(rows)}
+    assert all(x["hit"] in key and len(x["hit"]) >= 20 for r in found for x in r["added"])
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(i + 1000, int(i % 7 > 0), 0) for i in range(200)] + [(None, 1, None), (1000, None, 0), (1001, 1, 0), (1001, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality_rules(docs, labels).collect()
