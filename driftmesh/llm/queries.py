@@ -9,18 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
-from .common import table
+from .common import WS_CLASS, table
+from .divergence import source_divergence
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .jaccard import jaccard_components
 from .langid import held_out, identify_language, train
 from .line_dedup import line_dedup
 from .mixing import mix
+from .periodic import periodic_runs
 from .pii import find_pii, pii_digest
 from .quality import quality_rules
 from .secrets import secret_digest, secret_scan
+from .url_filter import filter_urls
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +72,45 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id, text: documents whose crc32 of the id is divisible by 10 get a periodic end, from word a on with period p; a null id gets none."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), f"{WS_CLASS}+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"), F.when(h % 10 == 0, words).alias("ws"))
+    rows = rows.withColumn("n", F.size("ws")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("ws", source(i))), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs(planted(table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("minus"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    found = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("x"), listed.alias("listed"), "text")
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "x.start",
+        (-F.col("x.minus")).alias("length"),
+        "x.period",
+        F.floor(-1000 * F.col("x.minus") / F.col("x.period")).cast("long").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_bpe, op3_mixing, op4_exact_dedup, op5_quality, op6_jaccard, op7_html, op8_secrets, op9_language, op10_pii)
+    own = (op1_line_dedup, op2_bpe, op3_mixing, op4_exact_dedup, op5_quality, op6_jaccard, op7_html, op8_secrets, op9_language, op10_pii, op11_divergence, op12_urls, op13_periodic)
     return {f.__name__: f for f in own}
 
 
@@ -102,6 +143,25 @@ r(doc_id, to_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id,
 SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.to_id) AS component_id
 FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
 
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT row, lang, source, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN v USING (lang, term) GROUP BY ALL),
+f AS (SELECT g.lang, g.source, v.term, coalesce(o.n, 0) AS n, v.c FROM g JOIN v USING (lang) LEFT JOIN o USING (lang, source, term)),
+p AS (SELECT lang, source, term, n,
+  1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER w + 5 * count(*) OVER w) AS p,
+  1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER w + 5 * count(*) OVER w) AS q
+  FROM f WINDOW w AS (PARTITION BY lang, source)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r)
+WHERE part = 'pair' OR rank <= 50"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_jaccard": OP6_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_jaccard": OP6_SQL, "op11_divergence": OP11_SQL}

@@ -273,7 +273,7 @@ def test_jaccard_long_columns(spark, monkeypatch):
     assert len({c for _, c in want.values()}) > 5
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op4_exact_dedup", "op6_jaccard"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op4_exact_dedup", "op6_jaccard", "op11_divergence"])
 def test_sql(spark, sf, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
