@@ -6,7 +6,7 @@ import base64
 import heapq
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import duckdb
 import numpy as np
@@ -23,6 +23,8 @@ LONG_WORD = 400
 #: Words and rows (squares of lengths) of one recursive query.
 WORDS_A_QUERY, ROWS_A_QUERY = 20_000, 4_000_000
 CHARS_A_ROUND = 1_000_000
+#: Words of a long text, and ids of one decoding query, at once.
+WORDS_A_ROUND, IDS_A_QUERY = 200_000, 200_000
 #: Places of the cache of words, and how many ids a place holds; 2^19 * (16 + 4 * 7) bytes are 23 MB.
 CACHE_PLACES, CACHE_IDS = 1 << 19, 6
 
@@ -88,6 +90,8 @@ class Coder:
                     keys.append(left * 65536 + right)
                     ids.append(c)
         self._put("merges", pa.table({"k": np.frombuffer(keys, np.int64), "c": np.frombuffer(ids, np.int32)}))
+        self.pairs = (keys, ids)
+        self.merged: dict[int, int] = {}  # the same as a dict, once a long word needs it
         # byte b is chr(256 + b), so that no character is special to the database
         self._put("vocab", pa.table({"id": np.fromiter(self.ranks.values(), np.int32), "txt": ["".join(chr(256 + b) for b in k) for k in self.ranks]}))
         self.cache = _Cache()
@@ -113,22 +117,27 @@ class Coder:
         return np.asarray(out["tok"], np.int32), np.bincount(out["w"], minlength=len(words))
 
     def _contract_long(self, word: bytes) -> np.ndarray:
-        """The same contraction of one long word by a heap of (rank, position)."""
-        parts, nxt, prev = [word[i : i + 1] for i in range(len(word))], list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        heap = [(r, i, 2) for i in range(len(word) - 1) if (r := self.ranks.get(word[i : i + 2])) is not None]
+        """The same contraction of one long word by a heap of rank * 2^32 + position; some 60 bytes a byte of the word."""
+        if not self.merged:
+            self.merged = dict(zip(*self.pairs, strict=True))
+        n, merged = len(word), self.merged
+        tok = array("i", self.byte_ids[np.frombuffer(word, np.uint8)].tobytes())
+        nxt, prev = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        heap = [r << 32 | i for i in range(n - 1) if (r := merged.get(tok[i] << 16 | tok[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            r, i, size = heapq.heappop(heap)
-            j = nxt[i] if parts[i] else len(word)
-            if j >= len(word) or len(parts[i]) + len(parts[j]) != size or self.ranks.get(parts[i] + parts[j]) != r:
+            x = heapq.heappop(heap)
+            i, r = x & 0xFFFFFFFF, x >> 32
+            if tok[i] < 0 or (j := nxt[i]) >= n or merged.get(tok[i] << 16 | tok[j]) != r:
                 continue
-            parts[i], parts[j], nxt[i] = parts[i] + parts[j], b"", nxt[j]
-            if nxt[i] < len(word):
+            tok[i], tok[j], nxt[i] = r, -1, nxt[j]
+            if nxt[i] < n:
                 prev[nxt[i]] = i
             for a in (prev[i], i):
-                if a >= 0 and nxt[a] < len(word) and (r := self.ranks.get(both := parts[a] + parts[nxt[a]])) is not None:
-                    heapq.heappush(heap, (r, a, len(both)))
-        return np.array([self.ranks[x] for x in parts if x], np.int32)
+                if a >= 0 and nxt[a] < n and (r := merged.get(tok[a] << 16 | tok[nxt[a]])) is not None:
+                    heapq.heappush(heap, r << 32 | a)
+        out = np.frombuffer(tok, np.int32)
+        return out[out >= 0]
 
     def _new_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, one word after another, and where each word's begin and end."""
@@ -156,10 +165,9 @@ class Coder:
         back[order] = np.arange(len(words))
         return _taken(np.concatenate(ids), np.cumsum(np.append(0, n)), back)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and where each text's ids begin and end.  Each distinct word is encoded once."""
-        found = [self.pattern.findall(t) for t in texts]
-        words = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
+    def _words(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one word after another, and where each word's begin and end.  Each distinct word is encoded once."""
+        words = pa.array(found, pa.string()).dictionary_encode()
         distinct = words.dictionary.cast(pa.binary()).to_pylist()
         keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint64).reshape(-1, 2)
         at = self.cache.find(keys)
@@ -173,18 +181,44 @@ class Coder:
         place = np.empty(len(distinct), np.int64)
         place[new], place[at >= 0] = np.arange(len(new)), len(new) + np.arange(len(known))
         ids, cut = np.append(ids, row), np.append(cut, cut[-1] + np.cumsum(n))
-        out, ends = _taken(ids, cut, place[words.indices.to_numpy()])
-        return out, ends[np.cumsum([0, *map(len, found)])]
+        return _taken(ids, cut, place[words.indices.to_numpy()])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and where each text's ids begin and end.  A long text's words are taken some at a time."""
+        ids, sizes, short = [np.zeros(0, np.int32)], [], []
+
+        def flush() -> None:
+            if short:
+                out, ends = self._words(list(chain.from_iterable(short)))
+                ids.append(out)
+                sizes.extend(np.diff(ends[np.cumsum([0, *map(len, short)])]).tolist())
+                short.clear()
+
+        for t in texts:
+            if len(t) <= CHARS_A_ROUND:
+                short.append(self.pattern.findall(t))
+                continue
+            flush()
+            found, n = (m[0] for m in self.pattern.finditer(t)), 0
+            while part := list(islice(found, WORDS_A_ROUND)):
+                ids.append(self._words(part)[0])
+                n += len(ids[-1])
+            sizes.append(n)
+        flush()
+        return np.concatenate(ids), np.cumsum([0, *sizes])
 
     def decode(self, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All bytes one after another, and where each sequence's bytes begin and end."""
+        """All bytes one after another, and where each sequence's bytes begin and end.  Ids are taken some at a time; a token is never cut."""
         n = np.diff(bounds)
-        rows = pa.table({"s": np.repeat(np.arange(len(n), dtype=np.int32), n), "pos": np.arange(len(flat), dtype=np.int64), "id": flat})
-        out = self._query("tokens", rows, _DECODE)
-        texts = [b""] * len(n)
-        for s, txt in zip(out["s"].tolist(), out["txt"], strict=True):
-            texts[s] = txt.encode("utf-16-le")[::2]
-        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        owner, sizes, parts = np.repeat(np.arange(len(n), dtype=np.int32), n), np.zeros(len(n), np.int64), []
+        for a in range(0, len(flat), IDS_A_QUERY):
+            ids = flat[a : a + IDS_A_QUERY]
+            rows = pa.table({"s": owner[a : a + IDS_A_QUERY], "pos": np.arange(len(ids), dtype=np.int64), "id": ids})
+            out = self._query("tokens", rows, _DECODE)
+            for i in np.argsort(out["s"]).tolist():
+                parts.append(out["txt"][i].encode("utf-16-le")[::2])
+                sizes[out["s"][i]] += len(parts[-1])
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(np.append(0, sizes))
 
 
 def _taken(flat: np.ndarray, cut: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,16 +238,15 @@ def _coder(vocabulary: bytes, pattern: str) -> Coder:
     return _CODERS[key]
 
 
-def _rounds(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
+def _rounds(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Slices of bounded text: a round ends with the row that fills it."""
     for b in batches:
         values = b.column(column)
         size = pc.binary_length(values) if pa.types.is_string(values.type) else pc.list_value_length(values)
-        up, a = np.cumsum(pc.fill_null(size, 0).to_numpy()), 0
+        up, a = np.cumsum(pc.fill_null(size, 0).to_numpy().astype(np.int64)), 0
         while a < len(values):
             e = min(int(np.searchsorted(up, (up[a - 1] if a else 0) + CHARS_A_ROUND)) + 1, len(values))
-            part = b.slice(a, e - a)
-            yield part, part.column(column).to_pylist()
+            yield b.slice(a, e - a)
             a = e
 
 
@@ -229,9 +262,9 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, pattern: str, decode: bool
     rank contracted until none is left.  Decoding sees only the ids.
 
     The vocabulary file (fixed, under 1 MB) is read by the driver and broadcast.  A task works in rounds
-    of bounded text; its cache of words has a fixed size and takes no long words, so a very long
-    document costs a multiple of its own size at most.  Nothing shuffles; a lost task is done again alone.
-    Words of over LONG_WORD bytes are contracted by a heap instead of the recursive query.
+    of bounded text; its cache of words has a fixed size and takes no long words.  A long text is encoded by some of its words at a
+    time and decoded by some of its ids at a time, so it costs a small multiple of its own size.  Nothing shuffles; a lost task is done again alone.
+    Words of over LONG_WORD bytes are contracted by a heap instead of the recursive query; one costs about 60 bytes a byte.
 
     Null text counts as empty and gives no ids.  Repeated rows give repeated results.  An empty table
     gives no rows.  Other columns are ignored.
@@ -242,8 +275,8 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, pattern: str, decode: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern)
-        for part, texts in _rounds(batches, "text"):
-            ids, bounds = coder.encode([t or "" for t in texts])
+        for part in _rounds(batches, "text"):
+            ids, bounds = coder.encode([t or "" for t in part.column("text").to_pylist()])
             cols = {"doc_id": part.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))}
             if decode:
                 cols["decoded"] = _binary(*coder.decode(ids, bounds))
@@ -261,8 +294,9 @@ def bpe_decode(rows: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern)
-        for part, ids in _rounds(batches, "ids"):
-            flat = np.array([i for x in ids for i in x or []], np.int32)
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "decoded": _binary(*coder.decode(flat, np.cumsum([0, *(len(x or []) for x in ids)])))})
+        for part in _rounds(batches, "ids"):
+            lists = part.column("ids")
+            bounds = np.cumsum(np.append(0, pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)))
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "decoded": _binary(*coder.decode(lists.flatten().to_numpy(), bounds))})
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")

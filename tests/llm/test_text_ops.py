@@ -273,6 +273,24 @@ def test_jaccard_long_columns(spark, monkeypatch):
     assert len({c for _, c in want.values()}) > 5
 
 
+@pytest.mark.parametrize("kind", ["one kind of word", "mixed scripts", "one word"])
+def test_bpe_of_very_long_texts(spark, kind):
+    """5 MB in one text, beside a short one."""
+    rng = random.Random(1)
+    if kind == "mixed scripts":
+        text = "".join(chr(rng.choice((rng.randrange(97, 123), 32, rng.randrange(0x1200, 0x1350), rng.randrange(0x4E00, 0x9000), 10))) for _ in range(2_500_000))
+    else:
+        text = "repeated words " * 333_000 if kind == "one kind of word" else "abc" * 400_000
+    path = public_tokenizers.path(Q.VOCABULARY)
+    df = spark.createDataFrame([(1, text), (2, "short one")], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in bpe_encode(df, path, public_tokenizers.PATTERN, decode=True).collect()}
+    assert bytes(got[1]["decoded"]) == text.encode() and bytes(got[2]["decoded"]) == b"short one"
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert got[1]["ids"] == enc.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("name", ["op1_line_dedup", "op4_exact_dedup", "op6_jaccard", "op11_divergence"])
 def test_sql(spark, sf, name):
     con = duckdb.connect()
