@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, maybe_broadcast
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Letters a-z and characters from U+0080 on, in texts whose A-Z are lower-cased.
+TERM = r"[^\x00-\x60\x7B-\x7F]+"
+
+
+def _lower(text: Column) -> Column:
+    """A-Z lower-cased; for texts of one byte a character, lower() does that faster."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
 
 
 def _share(count: str, total: str, smoothing: int, scale: int) -> Column:
@@ -15,15 +21,25 @@ def _share(count: str, total: str, smoothing: int, scale: int) -> Column:
     return F.expr(f"1 + (cast({scale} AS decimal(18,0)) * cast({count} + {smoothing} AS decimal(18,0))) div cast({total} AS decimal(18,0))")
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), d (rows of docs that have it), with one pass over the texts.
+def numbered_groups(docs: DataFrame) -> tuple[DataFrame, int]:
+    """lang, source, g of each group that occurs, g a hash of both by a seed (returned too) that gives each group its own."""
+    pairs = materialize(docs.select("lang", "source").distinct())
+    n = pairs.count()
+    for seed in range(100):
+        groups = pairs.withColumn("g", F.xxhash64("lang", "source", F.lit(seed)))
+        if groups.select("g").distinct().count() == n:
+            return groups, seed
+    raise RuntimeError("no seed tells the groups apart")
+
+
+def term_counts(docs: DataFrame, seed: int) -> DataFrame:
+    """g, term, n (occurrences), d (rows of docs that have it), with one pass over the texts.
 
     Each match is a row, and each document's distinct matches are rows once more; both are combined before the shuffle.
     """
-    terms = docs.select("lang", "source", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("ts"))
-    flagged = lambda ts, n: F.transform(ts, lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n")))
-    each = terms.select("lang", "source", F.explode(F.concat(flagged(F.col("ts"), 1), flagged(F.array_distinct("ts"), 0))).alias("x"))
-    return each.groupBy("lang", "source", "x.term").agg(F.sum("x.n").alias("n"), F.sum(1 - F.col("x.n")).alias("d"))
+    terms = docs.select(F.xxhash64("lang", "source", F.lit(seed)).alias("g"), F.regexp_extract_all(_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("ts"))
+    each = terms.select("g", F.size("ts").alias("all"), F.posexplode(F.concat("ts", F.array_distinct("ts"))).alias("pos", "term"))
+    return each.groupBy("g", "term").agg(F.count_if(F.col("pos") < F.col("all")).alias("n"), F.count_if(F.col("pos") >= F.col("all")).alias("d"))
 
 
 def source_divergence(docs: DataFrame, min_docs: int = 30, smoothing: int = 5, scale: int = 10**9, top: int = 50, broadcast_groups: int = 100_000) -> DataFrame:
@@ -42,19 +58,21 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, smoothing: int = 5, s
     are joined with their language's kept terms, so that absent terms get their share too; sources of a language
     meet by term, each two once; sums combine before they shuffle.  A common term is one row a
     group after counting, and its rows meet by (lang, term), so neither a hot source nor a hot word lands in one
-    task.  The groups' totals are broadcast up to ``broadcast_groups`` groups, else joined by shuffle.
+    task.  Groups and their totals are broadcast up to ``broadcast_groups`` groups, else joined by shuffle.
 
     Every row of docs is a document, whatever its doc_id.  Null text, lang and source count as ''.  Groups
     without terms have their rows of part ``pair``.  Other columns are ignored.  An empty table gives no rows.
     """
     docs = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")])
     by_term = Window.partitionBy("lang", "term")
-    counts = term_counts(docs).withColumns({"docs": F.sum("d").over(by_term), "lang_n": F.sum("n").over(by_term)})
+    names, seed = numbered_groups(docs)
+    names = maybe_broadcast(names, names.count(), broadcast_groups)
+    counts = term_counts(docs, seed).join(names, "g").withColumns({"docs": F.sum("d").over(by_term), "lang_n": F.sum("n").over(by_term)})
     kept = materialize(counts.where(F.col("docs") >= min_docs).select("lang", "source", "term", "n", "lang_n"))
     vocabulary = kept.select("lang", "term").distinct()
     langs = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("c")).groupBy("lang").agg(F.sum("c").alias("lang_sum"), F.count("*").alias("v"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_sum"))
-    groups = docs.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = names.join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
     totals = ((F.coalesce(F.col(c), F.lit(0)) + smoothing * F.col("v")).alias(t) for c, t in (("group_sum", "group_total"), ("lang_sum", "lang_total")))
     groups = materialize(groups.select("lang", "source", *totals).withColumn("absent", _share("0", "group_total", smoothing, scale)))
     small = maybe_broadcast(groups, groups.count(), broadcast_groups)
