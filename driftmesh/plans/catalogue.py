@@ -6,8 +6,6 @@ q the price in cents.  Integer coordinates keep strict cut-offs and sums exact.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +19,8 @@ from ..operators import neighbors as nb
 from ..operators import particles as pt
 from ..sources import files
 
+shared = files.fresh
+
 L, R, DIV, XYZ = 1000, 40, (2, 2, 2), ("x", "y", "z")
 BOX = Space(XYZ, (0, 0, 0), (L, L, L), (True, True, True))
 OPEN = Space(XYZ, (0, 0, 0), (L, L, L), (False, False, False))
@@ -703,14 +703,4 @@ def checkpoint_roundtrip(spark, sf):
     return longs(files.load(spark, folder), "pid", *XYZ, "q", "proc_id")
 
 
-def shared(spark: SparkSession) -> str:
-    """A fresh folder under the one that the cluster shares; in local mode, where none is set, a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    return f"{path}/driftmesh-{uuid.uuid4().hex}"
-
-
-from . import domains, meshes  # noqa: E402,F401  they add their queries to the table
+from . import domains, meshes, partitions  # noqa: E402,F401  they add their queries to the table

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from contextlib import ExitStack
 from dataclasses import dataclass
@@ -13,6 +14,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 
+def fresh(spark: SparkSession) -> str:
+    """A new folder's path under the one that the cluster shares; in local mode, where none is set, a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    return f"{path}/driftmesh-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read again: plans stay short, and lost executors don't matter to what is written."""
+    path = fresh(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save(df: DataFrame, path: str, by: str | None = None) -> None:
     """A checkpoint as Parquet; ``by`` lays it out in folders, which reads can skip."""
     w = df.write.mode("overwrite")
