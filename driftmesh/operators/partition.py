@@ -270,7 +270,7 @@ def _relieved(v: DataFrame, both: DataFrame, parts: int, most: float, r: int) ->
     """One round of moves out of processors above ``most``, to the least loaded if a vertex has no edge to one with room."""
     load = loads(v, parts)
     over = {p: int(x - most) + 1 for p, x in load.items() if x > most}
-    room = {p: int(most - x) for p, x in load.items() if x < most}
+    room = {p: int(most - x) for p, x in load.items() if most - x >= 1}
     if not over or not room:
         return v, 0
     spare = sorted(room, key=lambda p: -room[p])[: max(1, len(room) // 2)]
@@ -280,8 +280,8 @@ def _relieved(v: DataFrame, both: DataFrame, parts: int, most: float, r: int) ->
     any_spare = F.element_at(F.array(*[F.lit(p) for p in spare]), (F.pmod(F.xxhash64("gid", F.lit(r)), F.lit(len(spare))) + 1).cast("int"))
     moves = full.join(ties.withColumnRenamed("a", "gid"), "gid", "left")
     moves = moves.select("gid", "w", "proc_id", F.coalesce("x.p", any_spare).cast("long").alias("to"), (F.coalesce("x.w", F.lit(0)) - F.coalesce("own", F.lit(0))).cast("long").alias("gain"))
-    leaving = _fitting(moves, "proc_id", {p: x + x // 8 for p, x in over.items()}, r)
-    moves = written(_fitting(leaving, "to", room, r + 100))
+    arriving = _fitting(moves, "to", room, r + 100)
+    moves = written(_fitting(arriving, "proc_id", {p: x + x // 8 for p, x in over.items()}, r))
     n = moves.count()
     return (_moved(v, moves), n) if n else (v, 0)
 
