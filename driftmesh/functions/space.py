@@ -136,6 +136,11 @@ def good_divisions(procs: int, d: int, granularity: int = 64) -> tuple[int, ...]
     return tuple(div)
 
 
+def cells_an_axis(procs: Column, d: int, granularity: int = 64) -> Column:
+    """Cells an axis for a column of numbers of processors: the power of two that ``good_divisions`` takes up to three axes."""
+    return F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.pow(procs * granularity, F.lit(1 / d))) - 1e-9))).cast("long")
+
+
 def axis_factors(procs: int, d: int) -> tuple[int, ...]:
     """Prime factors of the number of processors, dealt to the axes in turn."""
     out, f, k = [1] * d, 2, 0

@@ -183,6 +183,14 @@ def amr_nodes(spark: SparkSession, sizes: tuple[int, ...], levels: int, periodic
     return out
 
 
+def children(nodes: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """The nodes of the next level below the given ones, 2^d each: lvl and axes.  Give the nodes that are to be refined."""
+    out = nodes.select((F.col("lvl") + 1).alias("lvl"), *axes)
+    for a in axes:
+        out = out.withColumn(a, F.explode(F.array(F.col(a) * 2, F.col(a) * 2 + 1)))
+    return out
+
+
 def _level(sizes: list[tuple[int, ...]], i: int) -> Column:
     return F.element_at(F.array(*[F.lit(n[i]).cast("long") for n in sizes]), F.col("lvl").cast("int") + 1)
 

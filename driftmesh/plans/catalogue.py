@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.space import Space, axis_factors, cross_offsets, hat, m4_prime, morton, offsets
+from ..functions.space import Space, axis_factors, cross_offsets, hat, m4_prime, morton, offsets, with_hilbert
 from ..operators import decomposition as dc
 from ..operators import graph as gr
 from ..operators import grid as gd
@@ -101,9 +101,12 @@ def is_in_box(spark, sf):
     return particles(spark, sf).where(Space(XYZ, (100,) * 3, (300,) * 3, (True,) * 3).inside()).select("pid")
 
 
-@query("SELECT r AS pid, r % 10 * 100.0::DOUBLE AS x, r // 10 % 10 * 100.0::DOUBLE AS y, r // 100 * 100.0::DOUBLE AS z FROM range(1000) t(r)")
+@query("""WITH n AS (SELECT count(*) // 100 AS layers FROM orders)
+SELECT r AS pid, r % 10 * 100.0::DOUBLE AS x, r // 10 % 10 * 100.0::DOUBLE AS y, r // 100 * (1000.0::DOUBLE / layers) AS z FROM n, range((SELECT layers * 100 FROM n)) t(r)""")
 def lattice(spark, sf):
-    return pt.lattice(spark, (10, 10, 10), BOX)
+    """10 x 10 nodes in as many layers as there are hundreds of orders."""
+    layers = spark.read.parquet(f"{sf}/orders.parquet").count() // 100
+    return pt.lattice(spark, (10, 10, layers), BOX)
 
 
 GHOSTS = f"""{P}, g AS (SELECT pid, q, ox * 4 + oy * 2 + oz AS dst, sx, sy, sz FROM p, {S3} a(sx), {S3} b(sy), {S3} c(sz), (VALUES (0), (1)) d(ox), (VALUES (0), (1)) e(oy), (VALUES (0), (1)) f(oz)
@@ -312,39 +315,56 @@ def cross_calc(spark, sf):
     return found.select("pid", "n", F.round("total", 3).alias("total"))
 
 
-# grids: value (i * 7 + j * 13 + k * 29) % 101 on 24^3 nodes
+# grids: n^3 nodes over the particles' box; a node's value is (i * 7 + j * 13 + k * 29 + what its particles' q add up to) % 101
 
 N = 24
-GRID = "g AS (SELECT r % 24 AS i, (r // 24) % 24 AS j, r // 576 AS k, (r % 24 * 7 + (r // 24) % 24 * 13 + r // 576 * 29) % 101 AS v FROM range(13824) t(r))"
 
 
-def grid(spark: SparkSession, n: int = N) -> DataFrame:
-    return gd.nodes(spark, (n, n, n), 8).select(*AXES, ((F.col("i") * 7 + F.col("j") * 13 + F.col("k") * 29) % 101).alias("v"))
+def grid_sql(n: int) -> str:
+    cells = f"range({n**3}) t(r)"
+    return f"""binned AS (SELECT x * {n} // 1000 AS i, y * {n} // 1000 AS j, z * {n} // 1000 AS k, sum(q)::BIGINT AS s FROM p GROUP BY ALL),
+nodes AS (SELECT r % {n} AS i, (r // {n}) % {n} AS j, r // {n * n} AS k FROM {cells}),
+g AS (SELECT i, j, k, (i * 7 + j * 13 + k * 29 + coalesce(s, 0)) % 101 AS v FROM nodes LEFT JOIN binned USING (i, j, k))"""
+
+
+GRID = f"{P}, {grid_sql(N)}"
+
+
+def node_of(n: int, axes: tuple[str, ...] = AXES) -> list:
+    """A particle's node on n nodes an axis."""
+    return [F.floor(F.col(c) * n / L).cast("long").alias(a) for a, c in zip(axes, XYZ, strict=True)]
+
+
+def grid(spark: SparkSession, sf: str, n: int = N) -> DataFrame:
+    """All nodes with values from the particles in them; particles are summed by node before anything is joined."""
+    binned = particles(spark, sf).groupBy(*node_of(n)).agg(F.sum("q").alias("s"))
+    full = gd.with_background(gd.nodes(spark, (n, n, n), 8).drop("id"), binned, AXES, {"s": 0})
+    return full.select(*AXES, ((F.col("i") * 7 + F.col("j") * 13 + F.col("k") * 29 + F.col("s")) % 101).alias("v"))
 
 
 @query(f"WITH {GRID} SELECT * FROM g")
 def grid_values(spark, sf):
-    return longs(grid(spark), *AXES, "v")
+    return longs(grid(spark, sf), *AXES, "v")
 
 
 @query(f"WITH {GRID} SELECT i, j, k, i * 0.5 + 1 AS x, j * 0.25 AS y, k * 2.0 - 3 AS z FROM g WHERE i BETWEEN 3 AND 9 AND j BETWEEN 0 AND 4 AND k BETWEEN 20 AND 23".replace("i * 0.5 + 1", "(i * 0.5 + 1)::DOUBLE").replace("j * 0.25", "(j * 0.25)::DOUBLE").replace("k * 2.0 - 3", "(k * 2.0 - 3)::DOUBLE"))
 def grid_subbox(spark, sf):
-    return grid(spark).where(gd.in_box((3, 0, 20), (9, 4, 23))).select(*AXES, *gd.position((0.5, 0.25, 2.0), (1.0, 0.0, -3.0)))
+    return grid(spark, sf).where(gd.in_box((3, 0, 20), (9, 4, 23))).select(*AXES, *gd.position((0.5, 0.25, 2.0), (1.0, 0.0, -3.0)))
 
 
 @query(f"WITH {GRID} SELECT i, j, k FROM g WHERE i BETWEEN 2 AND 12 AND j BETWEEN 2 AND 12 AND k BETWEEN 2 AND 12 AND NOT (i BETWEEN 4 AND 10 AND j BETWEEN 4 AND 10 AND k BETWEEN 4 AND 10)")
 def grid_skin(spark, sf):
-    return longs(grid(spark).where(gd.in_box((2,) * 3, (12,) * 3) & ~gd.in_box((4,) * 3, (10,) * 3)), *AXES)
+    return longs(grid(spark, sf).where(gd.in_box((2,) * 3, (12,) * 3) & ~gd.in_box((4,) * 3, (10,) * 3)), *AXES)
 
 
 @query(f"WITH {GRID} SELECT i, j, k FROM g WHERE (i <= 3 AND j <= 3 AND k <= 3) OR (i BETWEEN 2 AND 6 AND j BETWEEN 2 AND 6 AND k BETWEEN 2 AND 6)")
 def grid_boxes(spark, sf):
-    return longs(gd.in_boxes(grid(spark), [((0, 0, 0), (3, 3, 3)), ((2, 2, 2), (6, 6, 6))]), *AXES)
+    return longs(gd.in_boxes(grid(spark, sf), [((0, 0, 0), (3, 3, 3)), ((2, 2, 2), (6, 6, 6))]), *AXES)
 
 
 @query(f"WITH {GRID} SELECT i, j, k, CASE WHEN v < 30 THEN v ELSE -1 END AS v FROM g")
 def grid_background(spark, sf):
-    g = grid(spark)
+    g = grid(spark, sf)
     return longs(gd.with_background(g.select(*AXES), g.where("v < 30"), AXES, {"v": -1}), *AXES, "v")
 
 
@@ -359,7 +379,7 @@ def near_sql(offs, weight: str) -> str:
 
 @query(f"WITH {GRID}, {near_sql(list(zip(LAP, LAP_W, strict=True)), 'sum(w * n.v)::BIGINT AS v')} SELECT * FROM s")
 def grid_conv_cross(spark, sf):
-    return longs(gd.gather(grid(spark), AXES, (N,) * 3, LAP, {"v": ("v", LAP_W)}), *AXES, "v")
+    return longs(gd.gather(grid(spark, sf), AXES, (N,) * 3, LAP, {"v": ("v", LAP_W)}), *AXES, "v")
 
 
 CUBE = offsets(3)
@@ -367,7 +387,7 @@ CUBE = offsets(3)
 
 @query(f"WITH {GRID}, {near_sql([(o, 1) for o in CUBE], 'sum(w * n.v)::BIGINT AS v')} SELECT * FROM s")
 def grid_conv(spark, sf):
-    return longs(gd.gather(grid(spark), AXES, (N,) * 3, CUBE, {"v": ("v", [1.0] * 27)}), *AXES, "v")
+    return longs(gd.gather(grid(spark, sf), AXES, (N,) * 3, CUBE, {"v": ("v", [1.0] * 27)}), *AXES, "v")
 
 
 
@@ -376,7 +396,7 @@ def grid_conv(spark, sf):
 SELECT i, j, k, round(u0 + 0.1::DOUBLE * lu - 0.5::DOUBLE * u0 * v0 * v0 - 0.5::DOUBLE * 0.04::DOUBLE * (u0 - 1), 6) AS u, round(v0 + 0.05::DOUBLE * lv + 0.5::DOUBLE * u0 * v0 * v0 - 0.5::DOUBLE * 0.1::DOUBLE * v0, 6) AS w FROM s""")
 def grid_conv2(spark, sf):
     """A reaction-diffusion step of two fields in one pass over the stencil."""
-    g = grid(spark).select(*AXES, (1.0 + F.col("v") / 100.0).alias("u"), (F.col("v") % 7 / 10.0).alias("w"))
+    g = grid(spark, sf).select(*AXES, (1.0 + F.col("v") / 100.0).alias("u"), (F.col("v") % 7 / 10.0).alias("w"))
     one = [1.0] + [0.0] * 6
     s = gd.gather(g, AXES, (N,) * 3, LAP, {"lu": ("u", LAP_W), "lw": ("w", LAP_W), "u0": ("u", one), "w0": ("w", one)})
     react = 0.5 * F.col("u0") * F.col("w0") * F.col("w0")
@@ -391,14 +411,14 @@ def grid_conv2(spark, sf):
 )
 def grid_conv3(spark, sf):
     """Three sources to three outputs in one pass."""
-    g = grid(spark).select(*AXES, F.col("v").alias("u1"), (F.col("v") % 7).alias("u2"), (F.col("v") * 3 + 1).alias("u3"))
+    g = grid(spark, sf).select(*AXES, F.col("v").alias("u1"), (F.col("v") % 7).alias("u2"), (F.col("v") * 3 + 1).alias("u3"))
     w = [[float(o[a] != 0) for o in LAP] for a in range(3)]
     return longs(gd.gather(g, AXES, (N,) * 3, LAP, {"a": ("u1", w[0]), "b": ("u2", w[1]), "c": ("u3", w[2])}), *AXES, "a", "b", "c")
 
 
 @query(f"WITH {GRID}, o(di, dj, dk, w) AS (VALUES {', '.join(f'({a}, {b}, {c}, {w})' for (a, b, c), w in zip(LAP, LAP_W, strict=True))}, (99, 0, 0, 0)), sp AS (SELECT * FROM g WHERE v < 30) SELECT g.i, g.j, g.k, sum(w * coalesce(n.v, 5))::BIGINT AS v FROM sp g CROSS JOIN o LEFT JOIN sp n ON n.i = ((g.i + di) % 24 + 24) % 24 AND n.j = ((g.j + dj) % 24 + 24) % 24 AND n.k = ((g.k + dk) % 24 + 24) % 24 WHERE di < 99 GROUP BY ALL")
 def sparse_conv(spark, sf):
-    return longs(gd.gather(grid(spark).where("v < 30"), AXES, (N,) * 3, LAP, {"v": ("v", LAP_W)}, {"v": 5}), *AXES, "v")
+    return longs(gd.gather(grid(spark, sf).where("v < 30"), AXES, (N,) * 3, LAP, {"v": ("v", LAP_W)}, {"v": 5}), *AXES, "v")
 
 
 @query(f"WITH {P} SELECT x // 50 AS i, y // 50 AS j, z // 50 AS k, max(q) AS v FROM p GROUP BY ALL")
@@ -410,14 +430,14 @@ def grid_flush_max(spark, sf):
 
 @query(f"WITH {GRID} SELECT i, j, k, CASE WHEN v >= 90 THEN v * 2 ELSE v END AS v FROM g WHERE v < 30 OR v >= 90")
 def grid_insert(spark, sf):
-    g = grid(spark)
+    g = grid(spark, sf)
     return longs(gd.upsert(g.where("v < 30 OR v >= 95"), g.where("v >= 90").withColumn("v", F.col("v") * 2), AXES), *AXES, "v")
 
 
 @query(f"WITH {GRID}, h AS (SELECT i - 1 AS i, j, k, v FROM g WHERE i < 3 UNION ALL SELECT * FROM g WHERE v < 30 AND i < 20) SELECT (i + 24) % 24 AS i, j, k, sum(v)::BIGINT AS v FROM h GROUP BY ALL")
 def grid_ghost_put_add(spark, sf):
     """Halo values are added to their owner nodes; on this sparse grid missing owners come into being."""
-    g = grid(spark)
+    g = grid(spark, sf)
     halo = g.where("i < 3").withColumn("i", F.col("i") - 1)
     both = g.where("v < 30 AND i < 20").unionByName(halo).withColumn("i", F.pmod("i", F.lit(N)))
     return longs(gd.flush(both, AXES, {"v": F.sum("v")}), *AXES, "v")
@@ -425,55 +445,74 @@ def grid_ghost_put_add(spark, sf):
 
 @query(f"WITH {GRID} SELECT * FROM g WHERE NOT (i BETWEEN 5 AND 20 AND j BETWEEN 5 AND 20 AND k BETWEEN 5 AND 20)")
 def grid_remove_box(spark, sf):
-    return longs(grid(spark).where(~gd.in_box((5,) * 3, (20,) * 3)), *AXES, "v")
+    return longs(grid(spark, sf).where(~gd.in_box((5,) * 3, (20,) * 3)), *AXES, "v")
 
 
 @query(f"WITH {GRID} SELECT (i // 8) * 6 + (j // 12) * 3 + k // 8 AS proc_id, count(*)::BIGINT AS n, sum(v)::BIGINT AS total FROM g GROUP BY 1")
 def grid_remap(spark, sf):
     owner = pt.box_owner(Space(AXES, (0,) * 3, (N,) * 3, (True,) * 3), (3, 2, 3))
-    return longs(grid(spark).withColumn("proc_id", owner).groupBy("proc_id").agg(F.count("*").alias("n"), F.sum("v").alias("total")), "proc_id", "n", "total")
+    return longs(grid(spark, sf).withColumn("proc_id", owner).groupBy("proc_id").agg(F.count("*").alias("n"), F.sum("v").alias("total")), "proc_id", "n", "total")
+
+
+# refinement levels: level l has 6 * 2^l periodic nodes an axis; below the first there are the children of nodes with more particles than the level's mean
+
+LEVELS = 3
+
 
+def amr_sql() -> str:
+    kids = "(VALUES (0), (1)) u(di), (VALUES (0), (1)) w(dj), (VALUES (0), (1)) t(dk)"
+    parts = [
+        f"{P}, held AS (SELECT l::BIGINT AS lvl, x * (6 << l) // 1000 AS i, y * (6 << l) // 1000 AS j, z * (6 << l) // 1000 AS k, count(*) AS n FROM p, range({LEVELS}) t(l) GROUP BY ALL)",
+        "a0 AS (SELECT 0::BIGINT AS lvl, r % 6 AS i, (r // 6) % 6 AS j, r // 36 AS k FROM range(216) t(r))",
+    ]
+    for lv in range(1, LEVELS):
+        full = (6 << (lv - 1)) ** 3
+        parts.append(f"a{lv} AS (SELECT {lv}::BIGINT AS lvl, i * 2 + di AS i, j * 2 + dj AS j, k * 2 + dk AS k FROM a{lv - 1} JOIN held USING (lvl, i, j, k), {kids} WHERE n * {full} > (SELECT count(*) FROM p))")
+    every = " UNION ALL ".join(f"SELECT * FROM a{lv}" for lv in range(LEVELS))
+    return f"{', '.join(parts)}, a AS (SELECT lvl, i, j, k, ((i + j * (6 << lvl) + k * (6 << lvl) * (6 << lvl)) * 31 + lvl + coalesce(n, 0)) % 97 AS v FROM ({every}) LEFT JOIN held USING (lvl, i, j, k))"
 
-# refinement levels: level l has 6 * 2^l periodic nodes an axis; below the first, only nodes whose root is on a diagonal band
 
-AMR = """a AS (SELECT l AS lvl, r % n AS i, (r // n) % n AS j, r // (n * n) AS k, (r * 31 + l) % 97 AS v FROM (SELECT l, 6 * (1 << l)::BIGINT AS n, unnest(range((6 * (1 << l))::BIGINT ** 3::BIGINT)) AS r FROM range(3) t(l)) WHERE l = 0 OR ((i >> l) + (j >> l) + (k >> l)) % 3 = 0)""".replace("(6 * (1 << l))::BIGINT ** 3::BIGINT", "(216 * (1 << (3 * l)))::BIGINT").replace("(i >> l)", "((r % n) >> l)").replace("(j >> l)", "(((r // n) % n) >> l)").replace("(k >> l)", "((r // (n * n)) >> l)")
+AMR = amr_sql()
 
 
-def amr(spark: SparkSession, levels: int = 3) -> DataFrame:
-    out = None
-    for lv in range(levels):
+def amr(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels that follow the particles: nodes with more than their level's mean have children."""
+    p = particles(spark, sf)
+    total, out, now = p.count(), None, gd.nodes(spark, (6, 6, 6), 4).select(F.lit(0).cast("long").alias("lvl"), *AXES)
+    for lv in range(LEVELS):
         n = 6 << lv
-        g = gd.nodes(spark, (n, n, n), 4).select(F.lit(lv).cast("long").alias("lvl"), *AXES, ((F.col("id") * 31 + lv) % 97).alias("v"))
-        if lv:
-            g = g.where(sum((F.shiftright(a, lv) for a in AXES[1:]), F.shiftright("i", lv)) % 3 == 0)
+        held = now.join(p.groupBy(*node_of(n)).agg(F.count("*").alias("n")), list(AXES), "left").select("lvl", *AXES, F.coalesce("n", F.lit(0)).alias("n"))
+        lin = F.col("i") + F.col("j") * n + F.col("k") * n * n
+        g = held.select("lvl", *AXES, ((lin * 31 + lv + F.col("n")) % 97).alias("v"))
         out = g if out is None else out.unionByName(g)
+        now = gd.children(held.where(F.col("n") * n**3 > total), AXES)
     return out
 
 
 @query(f"WITH {AMR} SELECT lvl::BIGINT AS lvl, count(*)::BIGINT AS n FROM a GROUP BY lvl")
 def amr_levels(spark, sf):
-    return longs(amr(spark).groupBy("lvl").agg(F.count("*").alias("n")), "lvl", "n")
+    return longs(amr(spark, sf).groupBy("lvl").agg(F.count("*").alias("n")), "lvl", "n")
 
 
 @query(f"WITH {AMR} SELECT (lvl - 1)::BIGINT AS lvl, i // 2 AS i, j // 2 AS j, k // 2 AS k, round(avg(v), 6) AS v FROM a WHERE lvl > 0 GROUP BY ALL")
 def amr_restrict(spark, sf):
-    return gd.restrict_levels(amr(spark), AXES, "v").select("lvl", *AXES, F.round("v", 6).alias("v"))
+    return gd.restrict_levels(amr(spark, sf), AXES, "v").select("lvl", *AXES, F.round("v", 6).alias("v"))
 
 
 @query(f"WITH {AMR} SELECT c.lvl::BIGINT AS lvl, c.i, c.j, c.k, c.v, coalesce(p.v, -1) AS parent FROM a c LEFT JOIN a p ON p.lvl = c.lvl - 1 AND p.i = c.i // 2 AND p.j = c.j // 2 AND p.k = c.k // 2")
 def amr_parent_lookup(spark, sf):
-    return longs(gd.with_parent(amr(spark), AXES, "v").withColumn("parent", F.coalesce("parent", F.lit(-1))), "lvl", *AXES, "v", "parent")
+    return longs(gd.with_parent(amr(spark, sf), AXES, "v").withColumn("parent", F.coalesce("parent", F.lit(-1))), "lvl", *AXES, "v", "parent")
 
 
 @query(f"WITH {AMR}, o(di, dj, dk) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) SELECT DISTINCT c.lvl::BIGINT AS lvl, c.i, c.j, c.k FROM a c CROSS JOIN o LEFT JOIN a n ON n.lvl = c.lvl AND n.i = c.i + di AND n.j = c.j + dj AND n.k = c.k + dk WHERE n.v IS NULL")
 def amr_boundary_tag(spark, sf):
-    return longs(gd.boundary(amr(spark), AXES, LAP), "lvl", *AXES)
+    return longs(gd.boundary(amr(spark, sf), AXES, LAP), "lvl", *AXES)
 
 
 @query(f"WITH {AMR} SELECT lvl::BIGINT AS lvl, count(*)::BIGINT AS n FROM a WHERE i < 6 * (1 << lvl) - 1 AND j < 6 * (1 << lvl) - 1 AND k < 6 * (1 << lvl) - 1 GROUP BY lvl")
 def amr_cells(spark, sf):
     last = F.lit(6) * F.expr("shiftleft(1, CAST(lvl AS INT))") - 1
-    return longs(amr(spark).where((F.col("i") < last) & (F.col("j") < last) & (F.col("k") < last)).groupBy("lvl").agg(F.count("*").alias("n")), "lvl", "n")
+    return longs(amr(spark, sf).where((F.col("i") < last) & (F.col("j") < last) & (F.col("k") < last)).groupBy("lvl").agg(F.count("*").alias("n")), "lvl", "n")
 
 
 STAG = {"a": [(0, 0, 0), (0, 0, -1), (0, -1, 0), (0, -1, -1)], "b": [(0, 0, 0), (0, 0, -1), (-1, 0, 0), (-1, 0, -1)]}
@@ -481,7 +520,7 @@ STAG = {"a": [(0, 0, 0), (0, 0, -1), (0, -1, 0), (0, -1, -1)], "b": [(0, 0, 0),
 
 @query(f"""WITH {GRID}, {near_sql([((0, 0, 0), 3), ((0, 0, -1), 3), ((0, -1, 0), 1), ((0, -1, -1), 1), ((-1, 0, 0), 2), ((-1, 0, -1), 2)], "round(sum((w IN (1, 3))::INT * n.v) / 4.0, 6)::DOUBLE AS a, round(sum((w IN (2, 3))::INT * (n.v * 2 + 1)) / 4.0, 6)::DOUBLE AS b")} SELECT * FROM s""")
 def stag_to_normal(spark, sf):
-    f = grid(spark).select(*AXES, F.col("v").alias("a"), (F.col("v") * 2 + 1).alias("b"))
+    f = grid(spark, sf).select(*AXES, F.col("v").alias("a"), (F.col("v") * 2 + 1).alias("b"))
     return gd.to_normal(f, (N,) * 3, AXES, STAG).select(*AXES, F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
@@ -511,16 +550,16 @@ def p2m_mp4(spark, sf):
     return p2m(spark, sf, m4_prime, 2).withColumn("v", F.col("v") + 0.0)
 
 
-@query(f"WITH {P}, {weights_sql(CIC, 1)} SELECT pid, round(sum(w * ((i * 7 + j * 13 + k * 29) % 101)), 5) AS v FROM w GROUP BY pid")
+@query(f"WITH {P}, {grid_sql(20)}, {weights_sql(CIC, 1)} SELECT pid, round(sum(w * v), 5) AS v FROM w JOIN g USING (i, j, k) GROUP BY pid")
 def m2p_cic(spark, sf):
     """Mesh values at the particles."""
-    v = gd.from_mesh(particles(spark, sf), grid(spark, 20), XYZ, 50.0, (20,) * 3, hat, 1, ("v",))
+    v = gd.from_mesh(particles(spark, sf), grid(spark, sf, 20), XYZ, 50.0, (20,) * 3, hat, 1, ("v",))
     return v.select("pid", F.round("v", 5).alias("v"))
 
 
-@query(f"WITH {P}, {weights_sql(MP4, 2)} SELECT pid, round(sum(w * ((i * 7 + j * 13 + k * 29) % 101)), 5) + 0.0 AS v FROM w GROUP BY pid")
+@query(f"WITH {P}, {grid_sql(20)}, {weights_sql(MP4, 2)} SELECT pid, round(sum(w * v), 5) + 0.0 AS v FROM w JOIN g USING (i, j, k) GROUP BY pid")
 def m2p_mp4(spark, sf):
-    v = gd.from_mesh(particles(spark, sf), grid(spark, 20), XYZ, 50.0, (20,) * 3, m4_prime, 2, ("v",))
+    v = gd.from_mesh(particles(spark, sf), grid(spark, sf, 20), XYZ, 50.0, (20,) * 3, m4_prime, 2, ("v",))
     return v.select("pid", (F.round("v", 5) + 0.0).alias("v"))
 
 
@@ -557,10 +596,11 @@ def dist_box(spark, sf):
 HCELLS = f"{CELLS}, h AS (SELECT * FROM {hilbert_sql('c', ('a', 'b', 'c'), 3, 'cell, n')})"
 
 
-@query(f"WITH {HCELLS} SELECT cell, (row_number() OVER (ORDER BY h) - 1) * 6 // 512 AS proc_id FROM h")
+@query(f"WITH {HCELLS} SELECT cell, (row_number() OVER (ORDER BY h) - 1) * 6 // count(*) OVER () AS proc_id FROM h WHERE n > 1")
 def dist_sfc(spark, sf):
-    """Equal numbers of cells along the Hilbert curve."""
-    return longs(dc.decompose(spark, (8, 8, 8), 6, "hilbert"), "cell", "proc_id")
+    """Equal numbers of cells, of those with two particles or more, along the Hilbert curve."""
+    held = cells(spark, sf).where("cost > 1").select("cell", "a", "b", "c")
+    return longs(dc.by_curve(with_hilbert(held, ["a", "b", "c"], 3, "h"), "h", 6), "cell", "proc_id")
 
 
 OWNERS = f"{HCELLS}, s AS (SELECT cell, n, sum(n) OVER (ORDER BY h) AS up, sum(n) OVER () AS total FROM h), o AS (SELECT cell, least((2 * up - n) * 6 // (2 * total), 5)::BIGINT AS proc_id FROM s)"
@@ -606,25 +646,6 @@ def dlb_sar(spark, sf):
     return dc.saved_by_waiting(s, "step", "idle", 500.0).select("step", F.round("w_n", 6).alias("w_n"), "rebalance")
 
 
-def box_table(spark: SparkSession, n: int = 4) -> DataFrame:
-    s = L // n
-    b = gd.nodes(spark, (n, n, n), 1)
-    return b.select(F.col("id").alias("proc_id"), *[(F.col(a) * s).alias(f"lo{i}") for i, a in enumerate(AXES)], *[((F.col(a) + 1) * s).alias(f"hi{i}") for i, a in enumerate(AXES)])
-
-
-BOXES = "b AS (SELECT r AS proc_id, r % 4 * 250 AS x, (r // 4) % 4 * 250 AS y, r // 16 * 250 AS z FROM range(64) t(r))"
-
-
-@query(f"WITH {BOXES} SELECT DISTINCT a.proc_id, b.proc_id AS near FROM b a, b, {S3} u(sx), {S3} v(sy), {S3} w(sz) WHERE a.proc_id <> b.proc_id AND {' AND '.join(f'a.{c} - 40 <= b.{c} + s{c} * 1000 + 250 AND b.{c} + s{c} * 1000 <= a.{c} + 250 + 40' for c in XYZ)}")
-def near_processors(spark, sf):
-    return longs(dc.touching(box_table(spark), 3, R, (L, L, L)), "proc_id", "near")
-
-
-@query(f"WITH {BOXES} SELECT proc_id, CASE WHEN x = 0 THEN -100 ELSE x END AS lo0, CASE WHEN x = 750 THEN 1200 ELSE x + 250 END AS hi0 FROM b")
-def extend_boxes(spark, sf):
-    return longs(dc.extended(box_table(spark), 3, (0,) * 3, (L,) * 3, (-100,) * 3, (1200,) * 3), "proc_id", "lo0", "hi0")
-
-
 @query(f"WITH {P} SELECT count(*)::BIGINT AS points FROM p")
 def vtk_write(spark, sf):
     """Writes particles as VTK files, a partition a file, and adds up the points that their heads tell."""
@@ -636,51 +657,54 @@ def vtk_write(spark, sf):
 
 # graphs
 
-GRAPH = """v AS (SELECT r AS gid, r % 20 AS i, r // 20 AS j, r * 4 // 300 AS proc_id FROM range(300) t(r)),
-e AS (SELECT a.gid AS src, b.gid AS dst FROM v a JOIN v b ON abs(a.i - b.i) + abs(a.j - b.j) = 1)"""
-MOVED = f"{GRAPH}, m AS (SELECT gid, CASE WHEN gid % 7 = 3 THEN (proc_id + 1) % 4 ELSE proc_id END AS proc_id FROM v)"
+GRAPH = """v AS (SELECT c_custkey AS gid, c_custkey % 10 AS i, c_custkey // 10 AS j, c_custkey * 4 // (SELECT count(*) FROM customer) AS proc_id, c_nationkey AS nation FROM customer),
+e AS (SELECT a.gid AS src, b.gid AS dst FROM v a JOIN v b ON a.i = b.i AND abs(a.j - b.j) = 1 UNION ALL SELECT a.gid, b.gid FROM v a JOIN v b ON a.j = b.j AND abs(a.i - b.i) = 1)"""
+MOVED = f"{GRAPH}, m AS (SELECT gid, CASE WHEN nation % 7 = 3 THEN (proc_id + 1) % 4 ELSE proc_id END AS proc_id FROM v)"
 
 
-def graph(spark: SparkSession):
-    return gr.cartesian(spark, (20, 15), 4, 4)
+def graph(spark: SparkSession, sf: str, spans: int = 1):
+    """Customers as the vertices of a grid, 10 in a row."""
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("gid"), F.col("c_nationkey").alias("nation"))
+    v, e = gr.cartesian(spark, (10, -(-c.count() // 10)), 4, 4, spans)
+    return v.join(c, "gid"), e
 
 
-def moved(spark: SparkSession):
-    v, e = graph(spark)
-    moves = v.where("gid % 7 = 3").select("gid", ((F.col("proc_id") + 1) % 4).alias("target"))
+def moved(spark: SparkSession, sf: str):
+    v, e = graph(spark, sf)
+    moves = v.where("nation % 7 = 3").select("gid", ((F.col("proc_id") + 1) % 4).alias("target"))
     return gr.redistribute(v, moves), e
 
 
 @query(f"WITH {GRAPH} SELECT src, dst FROM e")
 def cart_graph_edges(spark, sf):
-    return longs(graph(spark)[1], "src", "dst")
+    return longs(graph(spark, sf)[1], "src", "dst")
 
 
 @query(f"WITH {GRAPH} SELECT src AS gid, count(*)::BIGINT AS degree FROM e GROUP BY src")
 def graph_degree(spark, sf):
-    return longs(gr.degrees(graph(spark)[1]), "gid", "degree")
+    return longs(gr.degrees(graph(spark, sf)[1]), "gid", "degree")
 
 
 @query(f"WITH {GRAPH} SELECT src AS gid, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS children FROM e GROUP BY src")
 def graph_adjacency(spark, sf):
-    return gr.adjacency(graph(spark)[1]).select("gid", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
+    return gr.adjacency(graph(spark, sf)[1]).select("gid", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
 
 
 @query(f"WITH {MOVED}, n AS (SELECT gid, row_number() OVER (ORDER BY proc_id, gid) - 1 AS rid FROM m) SELECT a.rid AS rsrc, b.rid AS rdst FROM e JOIN n a ON a.gid = src JOIN n b ON b.gid = dst")
 def graph_redistribute(spark, sf):
-    v, e = moved(spark)
+    v, e = moved(spark, sf)
     return longs(gr.renamed_edges(e, v), "rsrc", "rdst")
 
 
 @query(f"WITH {MOVED} SELECT DISTINCT a.proc_id, b.gid FROM e JOIN m a ON a.gid = src JOIN m b ON b.gid = dst WHERE a.proc_id <> b.proc_id")
 def graph_ghosts(spark, sf):
-    v, e = moved(spark)
+    v, e = moved(spark, sf)
     return longs(gr.ghost_vertices(e, v), "proc_id", "gid")
 
 
 @query(f"WITH {MOVED} SELECT count(*) FILTER (a.proc_id <> b.proc_id)::BIGINT AS cut, count(*)::BIGINT AS edges FROM e JOIN m a ON a.gid = src JOIN m b ON b.gid = dst")
 def edge_cut(spark, sf):
-    v, e = moved(spark)
+    v, e = moved(spark, sf)
     return longs(gr.edge_cut(e, v), "cut", "edges")
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from ..functions.space import good_divisions
+from ..functions.space import cells_an_axis
 from ..operators import decomposition as dc
 from ..operators import particles as pt
 from ..sources import files
-from .catalogue import BOX, CELL, CELLS, DIV, GHOSTS, L, OPEN, OWNERS, P, R, XYZ, box_table, longs, owners, particles, query, shared
+from .catalogue import BOX, CELL, CELLS, DIV, GHOSTS, L, OPEN, OWNERS, P, R, XYZ, longs, owners, particles, query, shared
 
 ABC = ("a", "b", "c")
 DIV8 = (8, 8, 8)
@@ -20,10 +20,11 @@ S3 = "(VALUES (-1), (0), (1))"
 # sets
 
 
-@query("SELECT r AS pid, CASE WHEN r < 4 * 144 THEN r // 144 ELSE 4 + (r - 576) // 143 END AS proc_id FROM range(1005) t(r)")
+@query("""WITH n AS (SELECT count(*) AS n, count(*) // 7 AS q, count(*) % 7 AS more FROM customer)
+SELECT r AS pid, CASE WHEN r < more * (q + 1) THEN r // (q + 1) ELSE more + (r - more * (q + 1)) // q END AS proc_id FROM n, range((SELECT n FROM n)) t(r)""")
 def new_set(spark, sf):
-    """1,005 rows over 7 processors: four have 144, three 143."""
-    return longs(pt.new_set(spark, 1005, 7), "pid", "proc_id")
+    """As many rows as there are customers over 7 processors, at most one more on one than on another."""
+    return longs(pt.new_set(spark, spark.read.parquet(f"{sf}/customer.parquet").count(), 7), "pid", "proc_id")
 
 
 @query("SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS inside, 8::BIGINT AS octants FROM orders")
@@ -92,11 +93,11 @@ def reorder_rcut(spark, sf):
 # decompositions
 
 
-@query("SELECT 8::BIGINT AS a, 8::BIGINT AS b, 8::BIGINT AS c, 4::BIGINT AS five")
+@query("SELECT s_suppkey AS procs, pow(2, greatest(0, ceil(log2(pow(s_suppkey * 64, 1 / 3.0::DOUBLE)) - 1e-9)))::BIGINT AS per_axis FROM supplier")
 def granularity(spark, sf):
-    """Cells an axis of 8 processors in three dimensions, and of 5 in five."""
-    (a, b, c), five = good_divisions(8, 3), good_divisions(5, 5)
-    return spark.createDataFrame([(a, b, c, five[0])], "a long, b long, c long, five long")
+    """Cells an axis for as many processors as a supplier's number says."""
+    procs = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("procs"))
+    return longs(procs.withColumn("per_axis", cells_an_axis(F.col("procs"), 3)), "procs", "per_axis")
 
 
 @query(f"WITH {OWNERS}, r AS (SELECT cell, proc_id FROM o) SELECT r.cell, (h.h * 6 // 512) AS src, r.proc_id AS dst FROM r JOIN h USING (cell) WHERE h.h * 6 // 512 <> r.proc_id")
@@ -206,10 +207,29 @@ def frames_write(spark, sf):
     return files.load(spark, folder).groupBy(F.col("iteration").cast("long").alias("iteration"), "time").agg(F.count("*").alias("n"), F.sum("x").alias("x"))
 
 
-@query("SELECT 64::BIGINT AS boxes, 512::BIGINT AS corners")
+@query(f"{MERGED} SELECT count(*)::BIGINT AS boxes, 8 * count(*)::BIGINT AS corners FROM r0")
 def decomposition_write(spark, sf):
-    folder, boxes = shared(spark), box_table(spark)
+    folder, boxes = shared(spark), files.written(dc.sub_domains(dc.merged_boxes(owners(spark, sf), ABC), BOX, DIV8))
     files.write_decomposition(boxes, dc.touching(boxes, 3, R, (L, L, L)), dc.ghost_boxes(boxes, 3, R, (L, L, L)), folder.removeprefix("file://"))
     head = spark.read.text(f"{folder}/subdomains/*.vtk")
     count = lambda word: F.sum(F.when(F.col("value").startswith(word), F.split("value", " ")[1].cast("long")))
     return head.agg(count("CELLS").alias("boxes"), count("POINTS").alias("corners"))
+
+
+SUBS = f"{MERGED}, d AS (SELECT proc_id, la * 125 AS x0, (ha + 1) * 125 AS x1, lb * 125 AS y0, (hb + 1) * 125 AS y1, lc * 125 AS z0, (hc + 1) * 125 AS z1 FROM r0)"
+
+
+@query(
+    f"{SUBS} SELECT DISTINCT a.proc_id, b.proc_id AS near FROM d a, d b, {S3} u(sx), {S3} v(sy), {S3} w(sz) WHERE a.proc_id <> b.proc_id AND "
+    + " AND ".join(f"a.{c}0 - 40 <= b.{c}1 + s{c} * 1000 AND b.{c}0 + s{c} * 1000 <= a.{c}1 + 40" for c in XYZ)
+)
+def near_processors(spark, sf):
+    """Processors whose boxes of cells, as the particles' weights deal them, come within the ghost's width."""
+    return longs(dc.touching(dc.sub_domains(dc.merged_boxes(owners(spark, sf), ABC), BOX, DIV8), 3, R, (L, L, L)), "proc_id", "near")
+
+
+@query(f"{SUBS} SELECT proc_id, CASE WHEN x0 = 0 THEN -100 ELSE x0 END::DOUBLE AS lo0, CASE WHEN x1 = 1000 THEN 1200 ELSE x1 END::DOUBLE AS hi0, z0::DOUBLE + CASE WHEN z0 = 0 THEN -100 ELSE 0 END AS lo2 FROM d")
+def extend_boxes(spark, sf):
+    boxes = dc.sub_domains(dc.merged_boxes(owners(spark, sf), ABC), BOX, DIV8)
+    wide = dc.extended(boxes, 3, (0,) * 3, (L,) * 3, (-100,) * 3, (1200,) * 3)
+    return wide.select("proc_id", *[F.col(c).cast("double").alias(c) for c in ("lo0", "hi0", "lo2")])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 @pytest.fixture(scope="module")
 def con(sf):
     c = duckdb.connect()
-    for t in ("orders", "customer", "events"):
+    for t in ("orders", "customer", "events", "supplier", "lineitem"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return c
 
