@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import SPAN, joined, matches, ordered, overlaps
+from .spans import SPAN, groups, joined, matches, meets, ordered, overlaps, part_of, pieces
 
 #: Fixed patterns of the base.  Possessive repetition and what stands before \G or a run's start change no
 #: match; they keep long runs from taking square time or deep stacks.
@@ -31,6 +31,8 @@ TIGHT_NUMBER = r"[+(]?[0-9](?:[().-]{0,2}+[0-9])++"
 LEAST_DIGITS = 7
 #: A candidate's context is so many characters before it.
 CONTEXT = 24
+#: Contexts are looked up in pieces of so many characters.
+PIECE = 1024
 
 
 def _digits(c: Column) -> Column:
@@ -61,10 +63,10 @@ LEVELS = {"digits": 7, "dots": 4, "plus": 2, "at": 4, "gaps": 3, "luhn": 2, "par
 
 
 def _profile(x: Column, text: Column) -> Column:
-    """Format and context features of a candidate, each a small number."""
+    """Format and context features of a candidate, each a small number; ``text`` is the text in pieces."""
     hit, d = x["hit"], F.length(_digits(x["hit"]))
-    before = F.lower(F.substring(text, F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT))))
-    after = F.substring(text, x["end"] + 1, 2)
+    before = F.lower(part_of(text, PIECE, F.greatest(x["start"] - CONTEXT, F.lit(0)), F.least(x["start"], F.lit(CONTEXT))))
+    after = part_of(text, PIECE, x["end"], F.lit(2))
     inner = F.regexp_replace(hit, r"^[^0-9]+|[^0-9]+$", "")
     host = r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++|\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]++)++[.,;:!?]?$"  # possessive, so that long ones need no deep stack
     flag = lambda c: c.cast("int")
@@ -89,8 +91,9 @@ def _profile(x: Column, text: Column) -> Column:
     return F.struct(*[f[k].cast("int").alias(k) for k in LEVELS])
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """Spans of all generators with their profiles; known: whether a base span overlaps."""
+def with_candidates(rows: DataFrame) -> DataFrame:
+    """Adds base (the base's spans) and cands: spans of all generators with their profiles; known: whether a base span overlaps."""
+    text = F.col("text")
     digits = text.rlike("[0-9](?:[\\x20().-]{0,3}[0-9]){6}")
     loose = F.concat(
         matches(text, LOOSE_AT, "email", text.rlike(r"@|[\[(](?:at|AT)[\])]")),
@@ -98,7 +101,14 @@ def candidates(text: Column, base: Column) -> Column:
         matches(text, TIGHT_NUMBER, "number", digits),
     )
     enough = F.filter(loose, lambda x: (x["kind"] == "email") | (F.length(_digits(x["hit"])) >= LEAST_DIGITS))
-    return F.transform(enough, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), overlaps(x, base).alias("known"), _profile(x, text).alias("p")))
+    rows = rows.withColumns({f"__{k}": v.cast(SPAN) for k, v in base_spans(text).items()}).withColumn("__loose", enough)
+    rows = rows.withColumn("__pieces", F.when(F.size("__loose") > 0, pieces(text, PIECE)))
+    known = lambda x: meets(x, F.col("__email")) | meets(x, F.col("__ip")) | meets(x, F.col("__card")) | meets(x, F.col("__phone"))
+    scored = F.transform(
+        "__loose", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), known(x).alias("known"), _profile(x, F.col("__pieces")).alias("p"))
+    )
+    base = F.concat(*[F.col(f"__{k}") for k in KINDS])
+    return rows.withColumns({"base": base, "cands": scored}).drop("__loose", "__pieces", *[f"__{k}" for k in KINDS])
 
 
 #: Made-up forms by family; 9 stands for any digit, 8 for one that isn't 0, L for a checked card, N for one that fails
@@ -165,8 +175,7 @@ def _tallies(spark: SparkSession, texts: list[tuple[str, int, int]]) -> list[tup
     """How many candidates of each profile are a labelled span (ends may be off by one), and how many aren't; parts of one don't count."""
     made = json.dumps([{"text": t, "s": a, "e": b} for t, a, b in texts])
     t = spark.range(1).select(F.explode(F.from_json(F.lit(made), "array<struct<text:string,s:int,e:int>>")).alias("r")).select("r.*").repartition(8)
-    t = t.withColumn("base", F.concat(*base_spans(F.col("text")).values()))
-    each = t.withColumn("cands", candidates(F.col("text"), F.col("base"))).select("s", "e", F.explode("cands").alias("x"))
+    each = with_candidates(t).select("s", "e", F.explode("cands").alias("x"))
     hit = (F.col("e") > 0) & (F.abs(F.col("x.start") - F.col("s")) <= 1) & (F.abs(F.col("x.end") - F.col("e")) <= 1)
     part = (F.col("x.start") >= F.col("s") - 1) & (F.col("x.end") <= F.col("e") + 1)
     rows = each.where(hit | ~part).groupBy(F.col("x.p").alias("p")).agg(F.sum(hit.cast("long")).alias("pos"), F.count("*").alias("n")).collect()
@@ -253,7 +262,7 @@ def find_pii(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     r"""One row per document: doc_id, base and added (arrays of kind, start, end, hit).
 
     base has the fixed patterns' spans (see ``base_spans``) and always stays.  Generators of high recall
-    propose further spans, which may overlap (see ``candidates``).  Each has a profile of small format and
+    propose further spans, which may overlap (see ``with_candidates``).  Each has a profile of small format and
     context features, the context being the CONTEXT characters before it.  Boosted trees, trained on
     made-up labelled texts with forms that the base lacks and with look-alikes that aren't private, score
     the profile; they are column expressions.  The threshold is the lowest that keeps the precision on
@@ -262,22 +271,22 @@ def find_pii(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
 
     Without ``detector`` one is trained.  Null or empty text has no spans.  Repeated rows give repeated
     results, an empty table none.  Other columns are ignored.  Texts are read once and nothing shuffles.
+    Time grows with text and matches, not with the square of the matches, but for spans that overlap in one long chain.
     """
     detector = detector or train(docs.sparkSession)
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = t.withColumn("base", F.concat(*base_spans(F.col("text")).values()).cast(SPAN))
     if detector.least is None:
-        return base.select("doc_id", "base", F.array().cast(SPAN).alias("added"))
-    rows = base.withColumn("cands", F.filter(candidates(F.col("text"), F.col("base")), lambda x: ~x["known"]))
+        return t.select("doc_id", F.concat(*base_spans(F.col("text")).values()).cast(SPAN).alias("base"), F.array().cast(SPAN).alias("added"))
+    rows = with_candidates(t).withColumn("cands", F.filter("cands", lambda x: ~x["known"]))
     score = lambda p: sum((tree.column(p) for tree in detector.trees[1:]), detector.trees[0].column(p))
-    scored = F.transform("cands", lambda x: F.struct((-score(x["p"])).alias("s"), (x["start"] - x["end"]).alias("short"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["hit"].alias("hit")))
-    new = F.filter(scored, lambda x: x["s"] <= -detector.least + 1e-9)
-    picked = F.aggregate(
-        F.sort_array("new"),
-        F.array().cast(SPAN),
-        lambda a, x: F.when(overlaps(x, a), a).otherwise(F.concat(a, F.array(F.struct(_kind(x["kind"], x["hit"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit")))).cast(SPAN)),
-    )
-    return rows.withColumn("new", F.when(F.size("cands") > 0, new).otherwise(F.slice(new, 1, 0))).select("doc_id", "base", F.when(F.size("new") == 0, F.array().cast(SPAN)).otherwise(picked).alias("added"))
+    scored = F.transform("cands", lambda x: F.struct(x["start"].alias("start"), (x["start"] - x["end"]).alias("short"), (-score(x["p"])).alias("s"), x["end"].alias("end"), x["kind"].alias("kind"), x["hit"].alias("hit")))
+    new = F.sort_array(F.filter(scored, lambda x: x["s"] <= -detector.least + 1e-9))
+    best_first = lambda xs: F.sort_array(F.transform(xs, lambda x: F.struct(x["s"].alias("s"), x["short"].alias("short"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["hit"].alias("hit"))))
+    span = lambda x: F.struct(_kind(x["kind"], x["hit"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"))
+    # of spans that meet, directly or by others between them, the best is taken first
+    picked = lambda xs: F.aggregate(best_first(xs), F.array().cast(SPAN), lambda a, x: F.when(overlaps(x, a), a).otherwise(F.concat(a, F.array(span(x))).cast(SPAN)))
+    rows = rows.withColumn("new", F.when(F.size("cands") > 0, new).otherwise(F.slice(new, 1, 0)))
+    return rows.select("doc_id", "base", F.when(F.size("new") == 0, F.array().cast(SPAN)).otherwise(F.flatten(F.transform(groups(F.col("new")), picked)).cast(SPAN)).alias("added"))
 
 
 def _kind(kind: Column, hit: Column) -> Column:
