@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower
-from .spans import SPAN, joined, matches, ordered, overlaps
+from .spans import SPAN, joined, matches, meets, ordered
 
 #: Fixed patterns of the base; [a-z] there stands for either case, spelled out so that only A-Z and a-z count.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -97,9 +97,10 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     addresses = F.filter(matches(F.col("text"), ALLOWED_HEAD + r"\S*+", "address", F.size("runs") > 0), lambda x: x["hit"].rlike(CANDIDATE))
     head = lambda a: a["start"] + F.length(F.regexp_extract(a["hit"], ALLOWED_HEAD, 0))
     tails = F.transform(addresses, lambda a: F.struct(head(a).alias("start"), a["end"].alias("end")))
-    inside = lambda x, ts: F.exists(ts, lambda a: (a["start"] <= x["start"]) & (x["start"] < a["end"]))
+    begin = lambda x: F.struct(x["start"].alias("start"), (x["start"] + 1).alias("end"))
+    known = lambda x: meets(x, F.col("assign")) | meets(x, F.col("access")) | meets(x, F.col("hex"))
     # bound to a name, so that they are looked for once a text and not once a run
-    left = F.transform(F.array(tails), lambda ts: F.filter("runs", lambda x: ~overlaps(x, F.col("base")) & ~inside(x, ts)))[0]
+    left = F.transform(F.array(tails), lambda ts: F.filter("runs", lambda x: ~known(x) & ~meets(begin(x), ts)))[0]
     limit = lambda x: (
         F.when(x["hit"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), THRESHOLDS["hex"]).when(x["hit"].rlike("^[A-Za-z0-9]+$"), THRESHOLDS["alnum"]).otherwise(THRESHOLDS["base64"])
     )
