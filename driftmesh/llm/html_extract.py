@@ -25,16 +25,21 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 #: Elements that no implied end crosses.
 SCOPE = frozenset("html body article aside div footer header main nav section table td th ul ol form blockquote button".split())
 TAGS = "body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside form button address".split()
-#: Words of class, id and role that tell of boilerplate, and of content.
+#: Words of class, id and role that tell of boilerplate, and of content; they are looked for among the parts of a name.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:nav\w*|menu\w*|header|foot\w*|side\w*|ads?|advert\w*|banner\w*|cookie\w*|consent|notice\w*|gdpr|alert|comments?|commentlist|repl(?:y|ies)|disqus|discussion|share|sharing|social|related|recommend\w*|promo\w*|sponsor\w*|"
-    r"subscri\w*|newsletter|signup|login|search\w*|breadcrumbs?|widget\w*|tool\w*|popup|modal|copyright|legal|tags?|pagination|pager|byline|meta|outbrain|taboola|contentinfo|complementary|navigation|dialog|form)(?=[\s_-]|$)",
-    re.I,
+    r"nav\w*|menu\w*|foot\w*|sidebar\w*|ads?|advert\w*|banner\w*|cookie\w*|consent|notice\w*|gdpr|comments?|commentlist|repl(?:y|ies)|disqus|discussion|share|sharing|social|related|recommend\w*|promo\w*|"
+    r"subscri\w*|newsletter|signup|login|breadcrumbs?|popup|modal|copyright|legal|pagination|pager|outbrain|taboola|contentinfo|complementary|navigation|dialog"
 )
-GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main\w*|post|entry|story|text|body|page|prose)(?=[\s_-]|$)", re.I)
+#: Words that either may have.
+EITHER = re.compile(r"header|side|aside|sponsor\w*|alert|search\w*|widget\w*|tool\w*|tags?|byline|meta|form|module\w*|panel\w*|box\w*|block\w*")
+GOOD = re.compile(r"article\w*|content|main\w*|post|entry|story|text|body|page|prose")
+#: A name that begins or ends so says what a block is about, or what stands beside it, not what it is.
+ABOUT = frozenset("with has no not is are tag category cat term topic section format status type author lang".split())
+STATE = frozenset("open closed enabled disabled on off active inactive visible".split())
 #: A quote opens a value only right after "=" that follows a name; elsewhere it is part of a name or of an unquoted value.
 _OPEN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|(?=>)|[^\s>"'][^\s>]*+)|(?!\s*+=)))*+)>""")
 _ATTR = re.compile(r"""(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?+)?+""")
+_EMPTY_COMMENT, _COMMENT_END = re.compile("<!---?>"), re.compile("--!?>")
 _NAMED = frozenset(("class", "id", "role", "hidden"))
 
 
@@ -94,10 +99,14 @@ def parse(html: str, labels: bool = True) -> list[Block]:
         put(html[at:lt])
         nxt = html[lt + 1 : lt + 2]
         if nxt in ("!", "?"):
-            end = html.find("-->", lt + 4) + 2 if html.startswith("<!--", lt) else html.find(">", lt)
-            if end < lt + 2:
+            if html.startswith("<!--", lt):
+                end = _EMPTY_COMMENT.match(html, lt) or _COMMENT_END.search(html, lt + 4)
+                end = end.end() if end else 0
+            else:
+                end = html.find(">", lt) + 1
+            if not end:
                 break
-            at = end + 1
+            at = end
             continue
         m = _OPEN.match(html, lt)
         if not m:
@@ -157,6 +166,24 @@ def parse(html: str, labels: bool = True) -> list[Block]:
     return blocks
 
 
+def words_of(names: str) -> str:
+    """What class, id and role tell: none, plain, good, noise, either, both (in one name) or mixed (in several).
+
+    Names are taken whole: ``with-sidebar`` and ``tag-news`` tell nothing.
+    """
+    if not names:
+        return "none"
+    told = set()
+    for name in names.lower().split():
+        parts = [x for x in re.split("[-_]+", name) if x]
+        if len(parts) > 1 and (parts[0] in ABOUT or parts[-1] in STATE):
+            continue
+        own = {k for k, words in (("good", GOOD), ("noise", NOISE), ("either", EITHER)) for x in parts if words.fullmatch(x)}
+        told.add("both" if own >= {"good", "noise"} else min(own - {"either"} or own or {"plain"}))
+    told = told - {"plain", "either"} or told - {"plain"} or {"plain"}
+    return told.pop() if len(told) == 1 else "mixed"
+
+
 def _level(x: float, bounds: tuple) -> int:
     return sum(x > b for b in bounds)
 
@@ -164,12 +191,11 @@ def _level(x: float, bounds: tuple) -> int:
 def observe(b: Block) -> tuple[str, ...]:
     """A block's observed features, each one value."""
     tag = b.tag if b.tag in TAGS else "other"
-    words = ("noise" if NOISE.search(b.attrs) else "good" if GOOD.search(b.attrs) else "plain") if b.attrs else "none"
     ends = any(t and t.rstrip()[-1:] in ".!?" for _, t in b.parts) if b.chars else False
     own = f"own{_level(b.chars, (0, 25, 80, 300))}"
     return (
         f"tag={tag}",
-        f"words={words}",
+        f"words={words_of(b.attrs)}",
         f"{own}{'s' if ends else ''}",
         f"link{_level(b.linked / b.chars, (0, 0.3, 0.7)) if b.chars else 'no'}",
         f"below{_level(b.below, (0, 100, 500, 2000))}l{_level(b.below_linked / b.below, (0.1, 0.3, 0.6)) if b.below else 'no'}",
@@ -184,14 +210,15 @@ class Model:
     edge: dict[str, tuple[tuple[float, float], tuple[float, float]]]
     root: tuple[float, float]
 
-    def marginals(self, blocks: list[Block]) -> list[float]:
+    def marginals(self, blocks: list[Block], observed: list[tuple[str, ...]] | None = None) -> list[float]:
         """P(content) of each block by sum-product: messages from the leaves up, then from the root down."""
+        observed = observed or [observe(b) for b in blocks]
         n = len(blocks)
         unary = [[1.0, 1.0] for _ in range(n)]
         edges = [self.edge[_kind(b)] for b in blocks]
         for i, b in enumerate(blocks):
             s0 = s1 = 0.0
-            for f in observe(b):
+            for f in observed[i]:
                 a = self.seen.get(f, (0.0, 0.0))
                 s0, s1 = s0 + a[0], s1 + a[1]
             if i == 0:
@@ -232,24 +259,43 @@ def _kind(b: Block) -> str:
     return "box" if b.tag in ("html", "body", "main", "article", "section", "div", "nav", "header", "footer", "aside", "form", "table", "figure") else "leaf"
 
 
-def train(pages: Iterable[str]) -> Model:
-    """Potentials from pages whose blocks carry data-label (1: content; children take their parent's label if they have none)."""
+def train(pages: Iterable[str], steps: int = 25, rate: float = 0.4) -> Model:
+    """Potentials from pages whose blocks carry data-label (1: content; children take their parent's label if they have none).
+
+    Counts give the first potentials.  Observations of a block depend on each other, so counts alone weigh them too much: gradient
+    steps on the labels' likelihood then set each observation's weight (its labels less the marginals that the whole tree gives, summed up).
+    """
     seen: Counter = Counter()
     edge: Counter = Counter()
     total: Counter = Counter()
+    known = []
     for html in pages:
         blocks = parse(html)
-        y = [0] * len(blocks)
+        y, observed = [0] * len(blocks), [observe(b) for b in blocks]
         for i, b in enumerate(blocks):
             y[i] = b.label if b.label is not None else y[b.parent] if i else 0
             total[y[i]] += 1
-            for f in observe(b):
+            for f in observed[i]:
                 seen[f, y[i]] += 1
             if i:
                 edge[_kind(b), y[b.parent], y[i]] += 1
+        known.append((blocks, observed, y))
     logs = {f: tuple(math.log((seen[f, s] + 0.5) / (total[s] + 5)) for s in (0, 1)) for f in {f for f, _ in seen}}
     edges = {k: tuple(tuple((edge[k, p, c] + 0.5) / (edge[k, p, 0] + edge[k, p, 1] + 1) for c in (0, 1)) for p in (0, 1)) for k in ("named", "box", "leaf")}
-    return Model(logs, edges, (math.log(0.99), math.log(0.01)))
+    model = Model(logs, edges, (math.log(0.99), math.log(0.01)))
+    power: Counter = Counter()
+    for _ in range(steps):
+        g: Counter = Counter()
+        for blocks, observed, y in known:
+            for fs, t, p in zip(observed, y, model.marginals(blocks, observed), strict=True):
+                if abs(t - p) > 1e-4:
+                    for f in fs:
+                        g[f] += t - p
+        for f in sorted(g):
+            power[f] += g[f] ** 2
+            a, b = model.seen[f]
+            model.seen[f] = (a, b + rate * g[f] / math.sqrt(power[f] + 1e-9))
+    return model
 
 
 def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
@@ -262,11 +308,12 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
     prose = lambda k: " ".join(sent() for _ in range(rng.randint(1, k)))
 
     def menu(k: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{word()}">{words(1, 2)}</a></li>' for _ in range(rng.randint(2, k))) + "</ul>"
+        item = f' class="{rng.choice(["item", "first", word()])}"' if rng.random() < 0.2 else ""
+        return "<ul>" + "".join(f'<li{item}><a href="/{word()}">{words(1, 2)}</a></li>' for _ in range(rng.randint(2, k))) + "</ul>"
 
     def noise(top: bool) -> str:
         pick = rng.choice(
-            ["nav", "navdiv", "header", "ad", "ad", "cookie", "aside", "related", "form", "share"] if top else ["footer", "footerdiv", "comments", "comments", "aside", "related", "form", "share", "ad", "note"]
+            ["nav", "navdiv", "header", "ad", "ad", "cookie", "aside", "related", "form", "share"] if top else ["footer", "footerdiv", "comments", "comments", "aside", "related", "form", "share", "ad", "note", "long comments", "long note"]
         )
         c = lambda *xs: rng.choice(xs)
         return {
@@ -275,18 +322,24 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
             "header": lambda: f"<header data-label=0><h1>{words(1, 3)}</h1><p>{words(2, 8)}</p>{menu(5) if rng.random() < 0.5 else ''}</header>",
             "ad": lambda: f'<div data-label=0 class="{c("ad", "ads", "advert", "banner", "sponsored", "promo-box")}">{prose(3)}</div>',
             "cookie": lambda: f'<div data-label=0 {c("class", "id")}="{c("cookie-notice", "consent", "notice", "gdpr-banner")}"><p>{prose(2)}</p><button>{word()}</button></div>',
-            "aside": lambda: f'<aside data-label=0>{c(menu(6), f"<h3>{words(1, 3)}</h3><p>{prose(3)}</p>")}</aside>' if rng.random() < 0.6 else f'<div data-label=0 class="{c("sidebar", "side", "widget")}"><h3>{words(1, 3)}</h3>{c(menu(6), f"<p>{prose(3)}</p>")}</div>',
-            "related": lambda: f'<{(t := c("div", "section"))} data-label=0 class="{c("related", "recommended", "related-posts")}"><h2>{words(1, 3)}</h2>{menu(6)}</{t}>',
+            "aside": lambda: f'<aside data-label=0>{c(menu(6), f"<h3>{words(1, 3)}</h3><p>{prose(3)}</p>")}</aside>' if rng.random() < 0.6 else f'<div data-label=0 class="{c("sidebar", "side", "widget", "content-sidebar")}"><h3>{words(1, 3)}</h3>{c(menu(6), f"<p>{prose(3)}</p>")}</div>',
+            "related": lambda: f'<{(t := c("div", "section"))} data-label=0 class="{c("related", "recommended", "related-posts", "story-related")}"><h2>{words(1, 3)}</h2>{menu(6)}</{t}>',
             "form": lambda: f"<form data-label=0><label>{words(1, 4)}</label><input name=q><button>{word()}</button><p>{sent()}</p></form>",
             "share": lambda: f'<div data-label=0 class="{c("share", "social", "tags")}"><a href="#">{word()}</a> <a href="#">{word()}</a></div>',
             "footer": lambda: f"<footer data-label=0>{c(f'&copy; {words(1, 3)} &middot; {prose(2)}', f'<p>&copy; {prose(2)}</p>{menu(5)}')}</footer>",
-            "footerdiv": lambda: f'<div data-label=0 {c("class", "id")}="{c("footer", "site-footer", "legal", "copyright")}"><p>&copy; {prose(2)}</p></div>',
-            "comments": lambda: f'<{(t := c("div", "section", "ul"))} data-label=0 {c("class", "id")}="{c("comments", "comment-list", "discussion", "replies")}"><h3>{words(1, 2)}</h3>' + "".join(f'<{(u := "li" if t == "ul" else "div")} class="comment"><p>{prose(4)}</p></{u}>' for _ in range(rng.randint(1, 5))) + f"</{t}>",
+            "footerdiv": lambda: f'<div data-label=0 {c("class", "id")}="{c("footer", "site-footer", "legal", "copyright", "page-footer")}"><p>&copy; {prose(2)}</p></div>',
+            "comments": lambda: f'<{(t := c("div", "section", "ul"))} data-label=0 {c("class", "id")}="{c("comments", "comment-list", "discussion", "replies", "post-comments")}"><h3>{words(1, 2)}</h3>' + "".join(f'<{(u := "li" if t == "ul" else "div")} class="comment"><p>{prose(4)}</p></{u}>' for _ in range(rng.randint(1, 5))) + f"</{t}>",
+            "long comments": lambda: f'<{(t := c("div", "section"))} data-label=0 {c("class", "id")}="{c("comments", "comment-list", "discussion", "disqus")}">' + "".join(f'<div class="{c("comment", "row", word())}">{"".join(f"<p>{prose(9)}</p>" for _ in range(rng.randint(1, 3)))}</div>' for _ in range(rng.randint(1, 5))) + f"</{t}>",
+            "long note": lambda: f'<div data-label=0 class="{c("related", "sponsored-box", "promo", "legal", "newsletter")}">' + "".join(f"<p>{prose(9)}</p>" for _ in range(rng.randint(1, 3))) + "</div>",
             "note": lambda: f'<div data-label=0 class="{c("newsletter", "subscribe", "notice", "disclaimer-notice")}"><p>{prose(2)}</p></div>',
         }[pick]()
 
     def block() -> str:
         r = rng.random()
+        if r < 0.15:
+            return f'<p class="{rng.choice(["lead", "intro", "wide", "has-dropcap", word()])}">{prose(8)}</p>'
+        if r < 0.2:
+            return f'<div class="{rng.choice(["inner", "row", "column", word()])}"><p>{prose(5)}</p><p>{prose(5)}</p></div>'
         if r < 0.65:
             return f"<p>{prose(8)}" + rng.choice(["</p>", "</p>", ""])
         if r < 0.75:
@@ -301,8 +354,13 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
             return "<table>" + "".join(f"<tr><td>{words(1, 4)}</td><td>{words(1, 6)}</td></tr>" for _ in range(rng.randint(2, 4))) + "</table>"
         return f"<p><b>{sent()}<br>{prose(3)}</b></p>"
 
+    # names that speak of what stands beside the article, or of its subject, and such as speak of both
+    beside = ["content with-sidebar", "post tag-news", "entry category-search", "post comments-open", "article-page has-menu", "main-content side-left", "content-widget", "post sponsored", "story header-image", "entry-meta-body", "widget", "tool-box", "panel", "category-search", "left-column", "single", "post sidebar-right", "content navless menu", "entry social-share"]
+
     for _ in range(n):
         tag, attrs = rng.choice([("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="main-content"'), ("div", ' class="post-body"'), ("section", ' class="story"'), ("div", ' class="entry"'), ("div", "")])
+        if rng.random() < 0.3:
+            attrs = f' class="{rng.choice(beside)}"'
         inside = [f"<h1>{words(2, 12)}</h1>"] * (rng.random() < 0.8) + [block() for _ in range(rng.randint(0, 14))]
         if len(inside) < 2:
             inside.append(f"<p>{prose(6)}</p>")
