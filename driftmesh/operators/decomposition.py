@@ -6,9 +6,12 @@ counted into them.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -172,6 +175,49 @@ def merged_boxes(owners: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return out.select("proc_id", *[f"{e}{i}" for e in ("lo", "hi") for i in range(len(names))])
 
 
+def grown_boxes(owners: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Boxes of cells of one owner each that cover all cells once, by a wave front: proc_id, lo<i>, hi<i> (cells, both ends included).
+
+    An owner's boxes start one after another at its first free cell (by the indexes in order).  A box's faces move outward in turn, each by
+    a layer, up before down, axis by axis, as long as the whole layer is the owner's and free; a summed-area table of
+    the free cells tells.  Owners are worked on side by side; one has a few dozen cells, whatever the rows, so a
+    group is small.
+    """
+    d = len(names)
+    out = [f"{e}{i}" for e in ("lo", "hi") for i in range(d)]
+
+    def grow(cells: pd.DataFrame) -> pd.DataFrame:
+        at = np.unique(cells[list(names)].to_numpy(np.int64), axis=0)
+        low, size = at.min(axis=0), np.ptp(at, axis=0) + 1
+        free = np.zeros(size, np.int64)
+        free[tuple((at - low).T)] = 1
+        boxes = []
+        for start in map(tuple, at - low):
+            if not free[start]:
+                continue
+            table = np.pad(free, [(1, 0)] * d)
+            for ax in range(d):
+                table = table.cumsum(axis=ax)
+
+            def held(lo: list, hi: list, table: np.ndarray = table) -> int:
+                """Free cells from lo up to before hi."""
+                return sum((-1) ** (d - sum(c)) * int(table[tuple(h if k else x for k, x, h in zip(c, lo, hi, strict=True))]) for c in itertools.product((0, 1), repeat=d))
+
+            lo, hi, grew = list(start), [x + 1 for x in start], True
+            while grew:
+                grew = False
+                for ax, up in itertools.product(range(d), (True, False)):
+                    a, b = lo[:], hi[:]
+                    a[ax], b[ax] = (hi[ax], hi[ax] + 1) if up else (lo[ax] - 1, lo[ax])
+                    if a[ax] >= 0 and b[ax] <= size[ax] and held(a, b) == math.prod(y - x for x, y in zip(a, b, strict=True)):
+                        lo[ax], hi[ax], grew = min(a[ax], lo[ax]), max(b[ax], hi[ax]), True
+            free[tuple(slice(x, y) for x, y in zip(lo, hi, strict=True))] = 0
+            boxes.append([*(x + m for x, m in zip(lo, low, strict=True)), *(y - 1 + m for y, m in zip(hi, low, strict=True))])
+        return pd.DataFrame(boxes, columns=out, dtype=np.int64).assign(proc_id=cells["proc_id"].iloc[0])[["proc_id", *out]]
+
+    return owners.select("proc_id", *names).groupBy("proc_id").applyInPandas(grow, ", ".join(f"{c} long" for c in ("proc_id", *out)))
+
+
 def sub_domains(boxes: DataFrame, space: Space, div: tuple[int, ...]) -> DataFrame:
     """The boxes in real coordinates: proc_id, lo<i>, hi<i>; the last cell's upper side is the domain's, exactly."""
     cols = []

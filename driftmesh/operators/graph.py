@@ -94,5 +94,22 @@ def ghost_vertices(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return with_owners(edges, vertices).where("src_proc <> dst_proc").select(F.col("src_proc").alias("proc_id"), F.col("dst").alias("gid")).distinct()
 
 
+def requested(want: DataFrame, vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices that processors ask for (proc_id, gid), with all their data and edges, as ghosts.
+
+    The three steps of a directory: what is asked for, once a processor; who holds it (home); the vertex and its edges back to who asked.
+    The first table has the vertices' columns, home and is_ghost (false for what a processor holds itself); the second proc_id, src, dst and
+    what else edges have.  Unknown ids give nothing.
+    """
+    held = vertices.withColumnRenamed("proc_id", "home")
+    found = want.select("proc_id", "gid").distinct().join(held, "gid").withColumn("is_ghost", F.col("proc_id") != F.col("home"))
+    return found, found.where("is_ghost").select("proc_id", F.col("gid").alias("src")).join(edges, "src")
+
+
+def border(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """What each processor has to ask for: the far ends of the edges that it holds, (proc_id, gid)."""
+    return ghost_vertices(edges, vertices)
+
+
 def edge_cut(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return with_owners(edges, vertices).agg(F.count_if(F.col("src_proc") != F.col("dst_proc")).alias("cut"), F.count("*").alias("edges"))

@@ -138,6 +138,21 @@ def ghosts(df: DataFrame, space: Space, div: tuple[int, ...], width) -> DataFram
     return out.withColumn("dst", dst).where(~(moved & (F.col("dst") == F.col("proc_id")))).drop(*[f"__b_{d}" for d in space.dims])
 
 
+def keep_labels(ghost: DataFrame, space: Space, name: str, path: str, buckets: int) -> None:
+    """Keeps who gets which ghost as a table, laid out by pid: pid, proc_id, dst, s_<dim>.  Later exchanges of the same rows need no labelling."""
+    labels = ghost.select("pid", "proc_id", "dst", *[f"s_{d}" for d in space.dims])
+    labels.repartition(buckets, "pid").write.mode("overwrite").option("path", path).bucketBy(buckets, "pid").sortBy("pid").saveAsTable(name)
+
+
+def ghosts_by_labels(df: DataFrame, space: Space, name: str) -> DataFrame:
+    """The ghosts of ``ghosts`` by a kept table of labels, with df's values of now: only df's rows move, once, to where their labels are.
+
+    Rows whose owner or neighbourhood changed since keep their old labels; label anew after rows are moved to other owners.
+    """
+    out = df.join(df.sparkSession.table(name).hint("merge"), "pid")
+    return out.withColumns({d: F.col(d) + F.col(f"s_{d}") * (hi - lo) for d, lo, hi, _ in space.axes()})
+
+
 def with_ghosts(df: DataFrame, ghost: DataFrame) -> DataFrame:
     """Owned rows and ghosts in one set: is_ghost tells them apart; a ghost's proc_id is the processor that holds it."""
     shifts = [c for c in ghost.columns if c.startswith("s_")]

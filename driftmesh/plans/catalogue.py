@@ -727,4 +727,4 @@ def checkpoint_roundtrip(spark, sf):
     return longs(files.load(spark, folder), "pid", *XYZ, "q", "proc_id")
 
 
-from . import domains, meshes, partitions  # noqa: E402,F401  they add their queries to the table
+from . import domains, meshes, partitions, exchange  # noqa: E402,F401,I001  they add their queries to the table

@@ -37,6 +37,32 @@ def save(df: DataFrame, path: str, by: str | None = None) -> None:
     (w.partitionBy(by) if by else w).parquet(path)
 
 
+def save_by_owner(df: DataFrame, path: str, coords: tuple[str, ...]) -> None:
+    """A checkpoint in a folder a processor (column proc_id), with a manifest: proc_id, n and the box lo<i>, hi<i> that its rows fill."""
+    df.write.mode("overwrite").partitionBy("proc_id").parquet(f"{path}/rows")
+    bounds = [f(c).alias(f"{e}{i}") for i, c in enumerate(coords) for e, f in (("lo", F.min), ("hi", F.max))]
+    df.groupBy("proc_id").agg(F.count("*").alias("n"), *bounds).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def files_for(spark: SparkSession, path: str, boxes: DataFrame) -> DataFrame:
+    """to, proc_id: which of a checkpoint's folders a processor with the box lo<i>, hi<i> (to, hi excluded) has to read; both tables have a row a processor."""
+    dims = sum(c.startswith("lo") for c in boxes.columns)
+    held, meet = spark.read.parquet(f"{path}/manifest"), F.lit(True)
+    for i in range(dims):
+        meet = meet & (F.col(f"m.hi{i}") >= F.col(f"b.lo{i}")) & (F.col(f"m.lo{i}") < F.col(f"b.hi{i}"))
+    return boxes.alias("b").join(F.broadcast(held.alias("m")), meet).select("b.to", "m.proc_id")
+
+
+def load_part(spark: SparkSession, path: str, lo: tuple, hi: tuple, coords: tuple[str, ...]) -> DataFrame:
+    """The rows of a checkpoint in a box (hi excluded), read from the folders whose boxes meet it; the manifest (a row a writer) names them."""
+    box = spark.range(1).select(F.lit(0).alias("to"), *[F.lit(x).alias(f"{e}{i}") for e, xs in (("lo", lo), ("hi", hi)) for i, x in enumerate(xs)])
+    names = sorted(r["proc_id"] for r in files_for(spark, path, box).collect())
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("proc_id").isin(names))
+    for c, x, y in zip(coords, lo, hi, strict=True):
+        rows = rows.where((F.col(c) >= x) & (F.col(c) < y))
+    return rows.withColumnRenamed("proc_id", "writer")
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
