@@ -114,6 +114,7 @@ def decompose(spark: SparkSession, div: tuple[int, ...], procs: int, how: str =
     (equal costs along it).  ``cost`` has cell and cost; cells that it lacks cost 0.  To refine or redo a
     decomposition, give new costs and compare with ``moved``.
     """
+    names = names[: len(div)]
     cells = all_cells(spark, div, names)
     cells = cells.join(cost.select("cell", "cost"), "cell", "left") if cost is not None else cells.withColumn("cost", F.lit(1).cast("long"))
     cells = cells.withColumn("cost", F.coalesce("cost", F.lit(0)))

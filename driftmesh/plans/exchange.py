@@ -11,6 +11,7 @@ from ..operators import neighbors as nb
 from ..operators import particles as pt
 from ..operators import tiles as tl
 from ..sources import files
+from ..streaming import steps
 from .catalogue import AXES, BOX, DIV, GHOSTS, GRID, L, LAP, LAP_W, OWNERS, P, R, XYZ, grid, longs, near_sql, owners, pairs_sql, particles, query, shared
 from .partitions import trade
 
@@ -74,6 +75,39 @@ def checkpoint_remap(spark, sf):
     return longs(out.groupBy("proc_id").agg(F.count("*").alias("n"), F.sum("q").alias("q")).join(read, "proc_id"), "proc_id", "n", "q", "files")
 
 
+TEN = tuple(f"x{i}" for i in range(10))
+WIDE = Space(TEN, (0,) * 10, (L,) * 10, (True,) * 10)
+SPOT = ", ".join(f"(c_nationkey * {97 * (i + 1)} + CAST(round(c_acctbal * 100) + 1000000 AS BIGINT) // {7 ** i} % 40) % 1000 AS x{i}" for i in range(10))
+
+
+@query(f"WITH c AS (SELECT c_custkey AS pid, {SPOT} FROM customer) SELECT a.pid, count(*)::BIGINT AS n FROM c a JOIN c b ON a.pid <> b.pid AND " + " + ".join(f"least(abs(a.x{i} - b.x{i}), 1000 - abs(a.x{i} - b.x{i})) ** 2" for i in range(10)) + " < 2500 GROUP BY a.pid")
+def nn_ten_axes(spark, sf):
+    """Neighbours in a periodic box of ten dimensions."""
+    cents = F.round(F.col("c_acctbal") * 100).cast("long") + 1000000
+    spot = [((F.col("c_nationkey") * (97 * (i + 1)) + F.floor(cents / 7**i) % 40) % L).cast("long").alias(x) for i, x in enumerate(TEN)]
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("pid"), *spot)
+    return longs(nb.neighbours(rows, rows, WIDE, 50).groupBy("pid").agg(F.count("*").alias("n")), "pid", "n")
+
+
+@query(f"WITH {P} SELECT count(*)::BIGINT AS points, sum(pid)::BIGINT AS pid, sum(x + y + z)::DOUBLE AS place, sum(q)::BIGINT AS q FROM p")
+def vtp_write(spark, sf):
+    """Particles as binary VTP pieces with an index, read back through it."""
+    folder = shared(spark)
+    files.write_vtp(particles(spark, sf), folder.removeprefix("file://"))
+    back = files.read_vtp(spark, folder.removeprefix("file://"))
+    return back.agg(F.count("*").alias("points"), F.sum("pid").cast("long").alias("pid"), F.sum(F.col("x") + F.col("y") + F.col("z")).alias("place"), F.sum("q").cast("long").alias("q"))
+
+
+@query(f"WITH {P} SELECT it::BIGINT AS step, count(*)::BIGINT AS n, true AS balanced FROM p, range(1, 5) t(it) GROUP BY it")
+def balanced_run(spark, sf):
+    """Particles gather in a corner step by step; cells go to other processors whenever the loads are more than 20 % apart."""
+    pull = lambda c: F.floor(F.col(c) * 4 / 5).cast("long")
+    step = lambda df: df.withColumns({c: F.when(F.col("pid") % 2 == 0, pull(c)).otherwise(F.col(c)) for c in XYZ})
+    start = particles(spark, sf).select("pid", *XYZ)
+    _, log = steps.simulate_balanced(start, step, 4, shared(spark), BOX, (16, 16, 16), 8, dc.Balancer(20.0))
+    return log.select("step", "n", (F.col("spread") <= F.greatest(F.lit(20.0), F.col("spread_before"))).alias("balanced"))
+
+
 REQUEST = """o AS (SELECT o_orderkey * 2 AS o, o_custkey * 2 + 1 AS c, o_totalprice AS price FROM orders),
 v AS (SELECT o AS gid, o // 2 % 5 AS proc_id, round(price * 100)::BIGINT AS data FROM o UNION ALL SELECT c_custkey * 2 + 1, c_custkey % 5, round(c_acctbal * 100)::BIGINT FROM customer),
 f AS (SELECT o AS src, lead(o) OVER (PARTITION BY c ORDER BY o) AS dst FROM o),

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import ExitStack
 from dataclasses import dataclass
 from tempfile import TemporaryFile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 
 def fresh(spark: SparkSession) -> str:
@@ -180,6 +185,125 @@ def write_vtk(df: DataFrame, path: str, coords: tuple[str, ...] = ("x", "y", "z"
     df.write.format("vtk").option("path", path).option("coords", ",".join(coords)).option("ends", ",".join(ends)).option("kind", kind).mode("append").save()
 
 
+_HEAD = '<?xml version="1.0"?>\n<VTKFile type="{}" version="1.0" byte_order="LittleEndian" header_type="UInt64">\n'
+
+
+def _place(path: str):
+    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+
+
+class _VtpWriter(DataSourceArrowWriter):
+    """A binary VTP piece a task: arrays are streamed to scratch files of the task, then put one after another as appended blocks.
+
+    Pieces get their names in commit, which also writes the index (.pvtp) of all of them.  Integers are Int64 (null: the
+    least integer), other numbers Float64 (null: NaN).
+    """
+
+    def __init__(self, schema, options):
+        self.path, self.name = options["path"], options.get("name", "particles")
+        self.coords = options.get("coords", "x,y,z").split(",")
+        whole = ("byte", "short", "integer", "long")
+        self.fields = [(f.name, "Int64" if f.dataType.typeName() in whole else "Float64") for f in schema if f.name not in self.coords]
+
+    def _array(self, c: pa.Array, kind: str) -> bytes:
+        if kind == "Int64":
+            return pc.fill_null(c.cast(pa.int64()), -(2**63)).to_numpy().astype("<i8").tobytes()
+        return pc.fill_null(c.cast(pa.float64()), float("nan")).to_numpy().astype("<f8").tobytes()
+
+    def write(self, batches):
+        fs, base = _place(self.path)
+        n = 0
+        with ExitStack() as stack:
+            spots, *values = (stack.enter_context(TemporaryFile("w+b")) for _ in range(1 + len(self.fields)))
+            for b in batches:
+                at = [np.frombuffer(self._array(b.column(c), "Float64"), "<f8") if c in b.schema.names else np.zeros(b.num_rows) for c in self.coords]
+                spots.write(np.column_stack(at).astype("<f8").tobytes())
+                for (c, kind), f in zip(self.fields, values, strict=True):
+                    f.write(self._array(b.column(c), kind))
+                n += b.num_rows
+            if not n:
+                return _Written([])
+            name, offset, arrays = f"{self.name}-{uuid.uuid4().hex}.vtp", 0, []
+            for c, kind, parts, size in (("Points", "Float64", 3, 24 * n), *((c, kind, 1, 8 * n) for c, kind in self.fields), ("connectivity", "Int64", 1, 8 * n), ("offsets", "Int64", 1, 8 * n)):
+                arrays.append(f'<DataArray type="{kind}" Name="{c}" NumberOfComponents="{parts}" format="appended" offset="{offset}"/>')
+                offset += 8 + size
+            fs.create_dir(f"{base}/_temporary", recursive=True)
+            with fs.open_output_stream(f"{base}/_temporary/{name}") as out:
+                head = f'<PolyData><Piece NumberOfPoints="{n}" NumberOfVerts="{n}" NumberOfLines="0" NumberOfStrips="0" NumberOfPolys="0">\n<Points>{arrays[0]}</Points>\n'
+                body = f"<PointData>{''.join(arrays[1:-2])}</PointData>\n<Verts>{''.join(arrays[-2:])}</Verts>\n</Piece></PolyData>\n"
+                out.write((_HEAD.format("PolyData") + head + body + '<AppendedData encoding="raw">\n_').encode())
+                for f, size in ((spots, 24 * n), *((f, 8 * n) for f in values)):
+                    out.write(np.uint64(size).tobytes())
+                    f.seek(0)
+                    while data := f.read(1 << 20):
+                        out.write(data)
+                for first in (0, 1):  # each point is a vertex of its own
+                    out.write(np.uint64(8 * n).tobytes())
+                    for a in range(0, n, 1 << 17):
+                        out.write(np.arange(a + first, min(a + (1 << 17), n) + first, dtype="<i8").tobytes())
+                out.write(b"\n</AppendedData></VTKFile>\n")
+        return _Written([name])
+
+    def commit(self, messages):
+        fs, base = _place(self.path)
+        names = sorted(name for m in messages if m for name in m.names)
+        fs.create_dir(base, recursive=True)
+        for name in names:
+            fs.move(f"{base}/_temporary/{name}", f"{base}/{name}")
+        data = "".join(f'<PDataArray type="{kind}" Name="{c}"/>' for c, kind in self.fields)
+        pieces = "".join(f'<Piece Source="{name}"/>\n' for name in names)
+        index = f'<PPolyData GhostLevel="0"><PPoints><PDataArray type="Float64" Name="Points" NumberOfComponents="3"/></PPoints><PPointData>{data}</PPointData>\n{pieces}</PPolyData></VTKFile>\n'
+        with fs.open_output_stream(f"{base}/{self.name}.pvtp") as out:
+            out.write((_HEAD.format("PPolyData") + index).encode())
+
+    def abort(self, messages):
+        fs, base = _place(self.path)
+        for name in [name for m in messages if m for name in m.names]:
+            fs.delete_file(f"{base}/_temporary/{name}")
+
+
+class VtpSource(DataSource):
+    """df.write.format("vtp").option("path", folder or URI).option("coords", "x,y,z").option("name", "particles")"""
+
+    @classmethod
+    def name(cls):
+        return "vtp"
+
+    def writer(self, schema, overwrite):
+        return _VtpWriter(schema, dict(self.options))
+
+
+def write_vtp(df: DataFrame, path: str, coords: tuple[str, ...] = ("x", "y", "z"), name: str = "particles") -> None:
+    """A binary VTP piece a partition of df and an index of them, with numeric columns besides the coordinates as point data."""
+    df.sparkSession.dataSource.register(VtpSource)
+    df.write.format("vtp").option("path", path).option("coords", ",".join(coords)).option("name", name).mode("append").save()
+
+
+def read_vtp(spark: SparkSession, path: str, name: str = "particles", coords: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """The points that ``write_vtp`` wrote, through the index; a piece is read by one task.  Without pieces there are no rows."""
+    index = "\n".join(r["value"] for r in spark.read.text(f"{path}/{name}.pvtp").collect())  # a line a piece
+    fields = re.findall(r'<PDataArray type="(\w+)" Name="([^"]*)"/>', index)
+    schema = ", ".join([*(f"{c} double" for c in coords), *(f"`{c}` {'long' if kind == 'Int64' else 'double'}" for kind, c in fields)])
+    pieces = [f"{path}/{x}" for x in re.findall(r'<Piece Source="([^"]*)"/>', index)]
+    if not pieces:
+        return spark.createDataFrame([], schema)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column("content"):
+                data = content.as_py()
+                start = data.index(b"_", data.index(b'<AppendedData encoding="raw">')) + 1
+                head = data[:start].decode()
+                n = int(re.search(r'NumberOfPoints="(\d+)"', head)[1])
+                at = {m[2]: (m[1], int(m[3])) for m in re.finditer(r'type="(\w+)" Name="([^"]*)" NumberOfComponents="\d" format="appended" offset="(\d+)"', head)}
+                take = lambda c, k, data=data, at=at, start=start: np.frombuffer(data, "<i8" if at[c][0] == "Int64" else "<f8", k, start + at[c][1] + 8)
+                spots = take("Points", 3 * n).reshape(n, 3)
+                cols = [*(spots[:, i] for i in range(3)), *(take(c, n) for _, c in fields)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*coords, *(c for _, c in fields)])
+
+    return spark.read.format("binaryFile").load(pieces).select("content").mapInArrow(parse, schema)
+
+
 def write_subset(df: DataFrame, path: str, flag: str = "subset") -> None:
     """As CSV with the subset's number under the name that viewers know."""
     write_csv(df.withColumnRenamed(flag, "SubsetNumber"), path)

@@ -144,3 +144,54 @@ def test_half_pairs_give_the_same_forces(spark, dims, periodic):
     for pid, f in want.items():
         assert got[pid] == pytest.approx(f, abs=1e-9)
     assert nb.candidates(rows, rows, box, 20, half=True).count() <= 0.55 * nb.candidates(rows, rows, box, 20).count()
+
+
+@pytest.mark.parametrize("periodic", [True, False])
+def test_ten_dimensions(spark, periodic):
+    rng = random.Random(10)
+    dims = tuple(f"x{i}" for i in range(10))
+    box = Space(dims, (0,) * 10, (100,) * 10, (periodic,) * 10)
+    centres = [[rng.randrange(100) for _ in dims] for _ in range(8)]
+    points = [(n, *((c + rng.randint(-6, 6)) % 100 for c in rng.choice(centres))) for n in range(150)]
+    rows = spark.createDataFrame(points, "pid long, " + ", ".join(f"{d} long" for d in dims))
+    got = Counter((r["pid"], r["qid"]) for r in nb.neighbours(rows, rows, box, 14).collect())
+    gap = lambda a, b: min(abs(a - b), 100 - abs(a - b)) if periodic else abs(a - b)
+    want = Counter((a[0], b[0]) for a, b in itertools.permutations(points, 2) if sum(gap(x, y) ** 2 for x, y in zip(a[1:], b[1:], strict=True)) < 196)
+    assert got == want and len(want) > 100
+    half = Counter((r["pid"], r["qid"]) for r in nb.symmetric(rows, box, 14).collect())
+    assert half == Counter((a, b) for a, b in want if a < b)
+
+
+def test_binary_pieces_and_index(spark, tmp_path):
+    rows = [(n, n * 0.5, None if n % 7 == 0 else -n * 1.5, n**2 if n % 5 else None, 0.25 * n) for n in range(1000)]
+    df = spark.createDataFrame(rows, "pid long, x double, w double, n int, y double").repartition(3)
+    files.write_vtp(df, f"{tmp_path}/a", name="set")
+    back = Counter(map(tuple, files.read_vtp(spark, f"{tmp_path}/a", "set").select("pid", "x", "y", "z", "n", F.expr("nanvl(w, -1.0)").alias("w")).collect()))
+    assert back == Counter((p, x, y, 0.0, -(2**63) if n is None else n, -1.0 if w is None else w) for p, x, w, n, y in rows)
+    names = sorted(p.name for p in (tmp_path / "a").iterdir() if p.suffix == ".vtp")
+    index = (tmp_path / "a" / "set.pvtp").read_text()
+    assert len(names) == 3 and all(f'Source="{n}"' in index for n in names)
+    content = (tmp_path / "a" / names[0]).read_bytes()
+    assert content.startswith(b'<?xml version="1.0"?>\n<VTKFile type="PolyData"') and content.endswith(b"</AppendedData></VTKFile>\n")
+    files.write_vtp(df.limit(0), f"{tmp_path}/b")
+    assert files.read_vtp(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_a_run_rebalances_itself(spark):
+    from driftmesh.streaming import steps
+
+    rng = random.Random(12)
+    box = Space(("x", "y"), (0, 0), (64, 64), (True, True))
+    points = {n: (rng.randrange(64), rng.randrange(64)) for n in range(2000)}
+    step = lambda df: df.withColumn("x", F.when(F.col("pid") % 3 > 0, F.floor(F.col("x") / 2)).otherwise(F.col("x") + 5).cast("long"))
+    rows = spark.createDataFrame([(n, *p) for n, p in points.items()], "pid long, x long, y long")
+    frame, log = steps.simulate_balanced(rows, step, 4, files.fresh(spark), box, (16, 16), 4, dc.Balancer(25.0))
+    for _ in range(4):
+        points = {n: (x // 2 if n % 3 else (x + 5) % 64, y) for n, (x, y) in points.items()}
+    assert {r["pid"]: (r["x"], r["y"]) for r in frame.collect()} == points
+    log = log.orderBy("step").collect()
+    assert [r["n"] for r in log] == [2000] * 4
+    assert all(r["rebalanced"] == (r["spread_before"] > 25.0) for r in log) and any(r["rebalanced"] for r in log)
+    assert all((r["spread"] < r["spread_before"] and 0 < r["moved_rows"] < 2000) if r["rebalanced"] else r["moved_cells"] == 0 for r in log)
+    held = Counter(r["proc_id"] for r in frame.collect())
+    assert 100 * (max(held.values()) - min(held.values())) / 500 == pytest.approx(log[-1]["spread"])
