@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -276,22 +278,101 @@ def particle_nodes(particles: DataFrame, coords: tuple[str, ...], spacing, sizes
     return out
 
 
+def _axis_weights(df: DataFrame, coords: tuple[str, ...], spacing, weight, reach: int) -> DataFrame:
+    """Adds along each axis the first node that a particle touches and the weights of 2 * reach nodes from there on."""
+    cols = {}
+    for i, x in enumerate(coords):
+        base = F.floor(F.col(x) / spacing).cast("long")
+        cols[f"__n{i}"] = base + (1 - reach)
+        cols[f"__w{i}"] = F.array(*[weight(F.col(x) / spacing - (base + o)).cast("double") for o in range(1 - reach, reach + 1)])
+    return df.withColumns(cols)
+
+
+def _touched(t: pa.Table | pa.RecordBatch, sizes: tuple[int, ...], reach: int, low: list[int] | None = None, strides: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Node numbers and weights (rows x nodes) of particles with their weights along the axes; the numbers are of the whole mesh unless low and strides are given."""
+    n, width = t.num_rows, 2 * reach
+    at, w = np.zeros((n, 1), np.int64), np.ones((n, 1))
+    for i, size in enumerate(sizes):
+        first = t.column(f"__n{i}").to_numpy()[:, None] + np.arange(width)
+        nodes = first % size if low is None else (first - low[i]) % size
+        column = t.column(f"__w{i}")
+        ws = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy().reshape(n, width)
+        at = (at[:, :, None] * (size if strides is None else strides[i]) + nodes[:, None, :]).reshape(n, -1)
+        w = (w[:, :, None] * ws[:, None, :]).reshape(n, -1)
+    return at, w
+
+
+def to_mesh(particles: DataFrame, coords: tuple[str, ...], spacing, sizes: tuple[int, ...], weight, reach: int, fields: tuple[str, ...], block: int = 8) -> DataFrame:
+    """Sums of the particles' fields on the periodic nodes that their weights touch: axes and fields; nodes of weight 0 aren't touched.
+
+    Particles are dealt by blocks of nodes; there whole batches are summed by node at once, so that what moves is about a row a node
+    and block instead of (2 reach)^d rows a particle.
+    """
+    axes = IJK[: len(coords)]
+    b = F.lit(0).cast("long")
+    for x, n in zip(coords, sizes, strict=True):
+        b = b * n + F.floor(F.pmod(F.floor(F.col(x) / spacing), F.lit(n)) / block).cast("long")
+    rows = blocks.spread(particles.select("pid", *coords, *fields, b.alias("__b")), "pid").sortWithinPartitions("__b")
+    rows = _axis_weights(rows, coords, spacing, weight, reach)
+    rows = rows.select(*[f"__{e}{i}" for i in range(len(axes)) for e in "nw"], *[F.col(f).cast("double").alias(f) for f in fields])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            at, w = _touched(t, sizes, reach)
+            on = w != 0
+            number, place = np.unique(at[on], return_inverse=True)
+            sums = []
+            for f in fields:
+                v = np.broadcast_to(t.column(f).to_numpy(zero_copy_only=False)[:, None], w.shape)[on]
+                sums.append(np.bincount(place, weights=w[on] * v, minlength=len(number)))
+            yield pa.RecordBatch.from_arrays([pa.array(number), *map(pa.array, sums)], ["__node", *fields])
+
+    out = rows.mapInArrow(summed, ", ".join(["__node long", *(f"{f} double" for f in fields)])).groupBy("__node").agg(*[F.sum(f).alias(f) for f in fields])
+    stride, cols = math.prod(sizes), []
+    for a, n in zip(axes, sizes, strict=True):
+        stride //= n
+        cols.append((F.floor(F.col("__node") / stride) % n).cast("long").alias(a))
+    return out.select(*cols, *fields)
+
+
 def from_mesh(particles: DataFrame, mesh: DataFrame, coords: tuple[str, ...], spacing, sizes: tuple[int, ...], weight, reach: int, fields: tuple[str, ...], block: int = 8) -> DataFrame:
     """Mesh values at the particles: pid and the weighted sums of the fields over the nodes that a particle's weight touches.
 
-    Particles and nodes are dealt by blocks of nodes, a node also to the blocks whose particles touch it;
-    only there each particle meets its nodes, so that neither the particle-node rows nor the particles' sums move.
+    Particles and nodes are dealt by blocks of nodes, a node also to the blocks whose particles touch it.  A block's nodes
+    become one array, in which its particles look theirs up; crowded blocks are cut.  Missing nodes count as 0; a particle whose
+    weight touches no node that is there has no row.
     """
     axes = IJK[: len(coords)]
-    b, node, to = F.lit(0).cast("long"), F.lit(0).cast("long"), mesh.select(*axes, *fields)
+    b, to = F.lit(0).cast("long"), mesh.select(*axes, *[F.col(f).cast("double").alias(f) for f in fields])
     for x, a, n in zip(coords, axes, sizes, strict=True):
         b = b * n + F.floor(F.pmod(F.floor(F.col(x) / spacing), F.lit(n)) / block).cast("long")
-        node = node * n + F.col(a)
         near = [F.floor(F.pmod(F.col(a) + o, F.lit(n)) / block).cast("long") for o in range(-reach, reach)]
         to = to.withColumn(f"__b{a}", F.explode(F.array_distinct(F.array(*near))))
     at = F.lit(0).cast("long")
     for a, n in zip(axes, sizes, strict=True):
         at = at * n + F.col(f"__b{a}")
-    p, m, by = blocks.dealt(particles.select("pid", *coords, b.alias("__b")), to.select(at.alias("__b"), node.alias("__n"), *fields), "pid")
-    w = particle_nodes(p, coords, spacing, sizes, weight, reach).withColumn("__n", node)
-    return w.join(m.hint("shuffle_hash"), [*by, "__n"]).groupBy("pid").agg(*[F.sum(F.col("w") * F.col(f)).alias(f) for f in fields])
+    p, m, by = blocks.dealt(particles.select("pid", *coords, b.alias("__b")), to.select(at.alias("__b"), *axes, *fields), "pid")
+    p = _axis_weights(p, coords, spacing, weight, reach).drop(*coords)
+    d, wide = len(axes), block + 2 * reach
+
+    def looked_up(key: tuple, rows: pa.Table, nodes: pa.Table) -> pa.Table:
+        number, low = key[0].as_py(), []
+        for n in reversed(sizes):
+            low.insert(0, number % n * block - reach + 1)
+            number //= n
+        size, strides = wide**d, [wide] * d
+        place = np.zeros(nodes.num_rows, np.int64)
+        for i, a in enumerate(axes):
+            place = place * wide + (nodes.column(a).to_numpy() - low[i]) % sizes[i]
+        at, w = _touched(rows, sizes, reach, low, strides)
+        there = np.zeros(size, bool)
+        there[place] = True
+        hit = (there[at] & (w != 0)).any(axis=1)
+        out = [pa.array(rows.column("pid").to_numpy()[hit])]
+        for f in fields:
+            dense = np.zeros(size)
+            dense[place] = nodes.column(f).to_numpy()
+            out.append(pa.array((dense[at] * w).sum(axis=1)[hit]))
+        return pa.table(out, names=["pid", *fields])
+
+    return p.groupBy(*by).cogroup(m.groupBy(*by)).applyInArrow(looked_up, ", ".join(["pid long", *(f"{f} double" for f in fields)]))

@@ -536,8 +536,8 @@ MP4 = "CASE WHEN DIST < 1 THEN 1 - 2.5::DOUBLE * DIST ** 2 + 1.5::DOUBLE * DIST
 
 
 def p2m(spark, sf, weight, reach):
-    w = gd.particle_nodes(particles(spark, sf), XYZ, 50.0, (20,) * 3, weight, reach)
-    return w.groupBy(*AXES).agg(F.round(F.sum(F.col("w") * F.col("q") / 1e6), 4).alias("v"))
+    p = particles(spark, sf).withColumn("v", F.col("q") / 1e6)
+    return gd.to_mesh(p, XYZ, 50.0, (20,) * 3, weight, reach, ("v",)).select(*AXES, F.round("v", 4).alias("v"))
 
 
 @query(f"WITH {P}, {weights_sql(CIC, 1)} SELECT i, j, k, round(sum(w * q / 1e6), 4) AS v FROM w JOIN p USING (pid) GROUP BY ALL")
