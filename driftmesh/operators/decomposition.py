@@ -128,6 +128,25 @@ def decompose(spark: SparkSession, div: tuple[int, ...], procs: int, how: str =
     return dealt.drop("__key")
 
 
+def on_finer_cells(owners: DataFrame, coarse: tuple[int, ...], div: tuple[int, ...], names: tuple[str, ...]) -> DataFrame:
+    """The table cell -> proc of a grid ``div``, dealt by a coarser distribution grid: each cell has the owner of the coarse cell that holds it.
+
+    ``div`` must be a multiple of ``coarse`` on every axis; a smaller distribution problem is solved, finer cells are kept.
+    """
+    if any(n % k for n, k in zip(div, coarse, strict=True)):
+        raise ValueError(f"{div} is no multiple of {coarse}")
+    cells, lin = all_cells(owners.sparkSession, div, names), F.lit(0).cast("long")
+    for n, size, k in zip(names, div, coarse, strict=True):
+        lin = lin * k + F.floor(F.col(n) * k / size)
+    held = owners.select(F.col("cell").alias("__coarse"), "proc_id")
+    return cells.withColumn("__coarse", lin.cast("long")).join(held, "__coarse").drop("__coarse")
+
+
+def ghost_cells(space: Space, div: tuple[int, ...], ghost: float) -> tuple[int, ...]:
+    """How many cells the ghost's width spans along each axis."""
+    return tuple(math.ceil(ghost * n / (hi - lo)) for (_, lo, hi, _), n in zip(space.axes(), div, strict=True))
+
+
 def moved(before: DataFrame, after: DataFrame) -> DataFrame:
     """Cells whose owner differs: cell, src, dst."""
     return before.select("cell", F.col("proc_id").alias("src")).join(after.select("cell", F.col("proc_id").alias("dst")), "cell").where("src <> dst")

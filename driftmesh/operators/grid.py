@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -53,6 +54,16 @@ def in_box(lo: tuple[int, ...], hi: tuple[int, ...]) -> Column:
     return every(F.col(a).between(x, y) for a, x, y in zip(IJK, lo, hi, strict=False))
 
 
+def skin(lo: tuple, hi: tuple, inner_lo: tuple, inner_hi: tuple, sizes: tuple[int, ...], periodic: tuple[bool, ...]) -> Column:
+    """Whether a node, or an image of it on periodic axes, is in the outer box and not in the inner one; ends included."""
+    axes, out = IJK[: len(sizes)], F.lit(False)
+    for steps in itertools.product(*[(-1, 0, 1) if p else (0,) for p in periodic]):
+        at = [F.col(a) + s * n for a, s, n in zip(axes, steps, sizes, strict=True)]
+        between = lambda x, y, at=at: every(c.between(l, h) for c, l, h in zip(at, x, y, strict=True))  # noqa: E731,E741
+        out = out | (between(lo, hi) & ~between(inner_lo, inner_hi))
+    return out
+
+
 def in_boxes(grid: DataFrame, boxes: list[tuple[tuple, tuple]]) -> DataFrame:
     """Nodes in any of a few given boxes, once."""
     cond = F.lit(False)
@@ -351,7 +362,7 @@ def from_mesh(particles: DataFrame, mesh: DataFrame, coords: tuple[str, ...], sp
     at = F.lit(0).cast("long")
     for a, n in zip(axes, sizes, strict=True):
         at = at * n + F.col(f"__b{a}")
-    p, m, by = blocks.dealt(particles.select("pid", *coords, b.alias("__b")), to.select(at.alias("__b"), *axes, *fields), "pid")
+    p, m, by = blocks.dealt(particles.select("pid", *coords, b.alias("__b")), to.select(at.alias("__b"), *axes, *fields), "pid", cut_build=False)
     p = _axis_weights(p, coords, spacing, weight, reach).drop(*coords)
     d, wide = len(axes), block + 2 * reach
 

@@ -352,9 +352,13 @@ def grid_subbox(spark, sf):
     return grid(spark, sf).where(gd.in_box((3, 0, 20), (9, 4, 23))).select(*AXES, *gd.position((0.5, 0.25, 2.0), (1.0, 0.0, -3.0)))
 
 
-@query(f"WITH {GRID} SELECT i, j, k FROM g WHERE i BETWEEN 2 AND 12 AND j BETWEEN 2 AND 12 AND k BETWEEN 2 AND 12 AND NOT (i BETWEEN 4 AND 10 AND j BETWEEN 4 AND 10 AND k BETWEEN 4 AND 10)")
+@query(
+    f"WITH {GRID} SELECT i, j, k, v FROM g WHERE EXISTS (SELECT 1 FROM {S3} a(si), {S3} b(sj), {S3} c(sk) WHERE i + si * 24 BETWEEN -2 AND 8 AND j + sj * 24 BETWEEN 2 AND 12 AND k + sk * 24 BETWEEN 15 AND 26 "
+    "AND NOT (i + si * 24 BETWEEN 0 AND 6 AND j + sj * 24 BETWEEN 4 AND 10 AND k + sk * 24 BETWEEN 17 AND 24))"
+)
 def grid_skin(spark, sf):
-    return longs(grid(spark, sf).where(gd.in_box((2,) * 3, (12,) * 3) & ~gd.in_box((4,) * 3, (10,) * 3)), *AXES)
+    """What lies between two boxes that reach over the periodic borders."""
+    return longs(grid(spark, sf).where(gd.skin((-2, 2, 15), (8, 12, 26), (0, 4, 17), (6, 10, 24), (N,) * 3, (True,) * 3)), *AXES, "v")
 
 
 @query(f"WITH {GRID} SELECT i, j, k FROM g WHERE (i <= 3 AND j <= 3 AND k <= 3) OR (i BETWEEN 2 AND 6 AND j BETWEEN 2 AND 6 AND k BETWEEN 2 AND 6)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from ..functions.space import cells_an_axis
+from ..functions.space import Space, cells_an_axis
 from ..operators import decomposition as dc
 from ..operators import particles as pt
 from ..sources import files
@@ -168,10 +168,22 @@ def icells(spark, sf):
     return dc.cell_kinds(owners(spark, sf), DIV8, ABC, PERIODIC)
 
 
-@query(f"WITH {CELLS} SELECT cell, n AS computation, 0.0::DOUBLE AS migration, (6 * 3)::BIGINT AS communication FROM c")
+UNIT = Space(XYZ, (0.0,) * 3, (1.0,) * 3, PERIODIC)
+
+
+@query(f"WITH {CELLS} SELECT cell, n AS computation, floor(1.0::DOUBLE / (0.05::DOUBLE * 0.125::DOUBLE * 0.125::DOUBLE)) * 0.125::DOUBLE * 0.125::DOUBLE * 0.125::DOUBLE AS migration, (6 * 3)::BIGINT AS communication FROM c")
 def cost_comm(spark, sf):
-    """A ghost layer of 40 has over one volume unit, so the whole part of its inverse, and the migration cost with it, is 0."""
-    return dc.cell_costs(owners(spark, sf), DIV8, BOX, R, ABC, 3).withColumn("computation", F.col("computation").cast("long"))
+    """Costs of cells in a unit box with a ghost layer of 0.05."""
+    return dc.cell_costs(owners(spark, sf), DIV8, UNIT, 0.05, ABC, 3).withColumn("computation", F.col("computation").cast("long"))
+
+
+@query(f"WITH {OWNERS} SELECT o.proc_id, 8 * count(DISTINCT o.cell)::BIGINT AS cells, count(pid)::BIGINT AS particles, 1::BIGINT AS ghost_cells FROM o LEFT JOIN p ON {CELL} = o.cell GROUP BY o.proc_id")
+def explicit_parameters(spark, sf):
+    """16^3 cells by choice, dealt by a coarser distribution grid of 8^3; how many cells the ghost's width spans."""
+    fine = dc.on_finer_cells(owners(spark, sf), DIV8, (16, 16, 16), ABC)
+    rows = dc.owner_by_cells(particles(spark, sf), BOX, (16, 16, 16), fine).groupBy("proc_id").agg(F.count("*").alias("particles"))
+    sizes = fine.groupBy("proc_id").agg(F.count("*").alias("cells")).join(rows, "proc_id", "left").withColumn("ghost_cells", F.lit(max(dc.ghost_cells(BOX, (16, 16, 16), R))))
+    return longs(sizes.na.fill(0), "proc_id", "cells", "particles", "ghost_cells")
 
 
 @query("SELECT * FROM (VALUES ('missing', 1::BIGINT), ('outside', 1::BIGINT), ('unowned', 2::BIGINT)) t(kind, n)")

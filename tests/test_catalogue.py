@@ -122,6 +122,7 @@ def test_symmetric_pairs_and_crowded_blocks(spark, monkeypatch):
         want = brute(pts, r, images)
         for rows in (20_000, 7):
             monkeypatch.setattr(blocks, "BLOCK_ROWS", rows)
+            monkeypatch.setattr(blocks, "BUILD_ROWS", 3 * rows)
             assert Counter((a, b) for a, b in nb.neighbours(df, df, space, r).select("pid", "qid").collect()) == want
             assert Counter((a, b) for a, b in nb.symmetric(df, space, r).collect()) == Counter({k: n for k, n in want.items() if k[0] < k[1]})
 
