@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.space import Space, axis_factors, cell, every, offset_rows, offsets, with_hilbert
+from ..sources.files import written
 from .particles import images
 
 
@@ -52,8 +53,9 @@ def bisect(df: DataFrame, dims: tuple[str, ...], levels: int) -> DataFrame:
 
     Each level is one grouped mean, of which the driver gets a row a node (2^levels in all, as many as the
     result has processors); rows find their node by looking the means up, so plans grow by one step a level.
+    Rows are written once before, so that the source isn't read anew a level.
     """
-    out = df.withColumn("node", F.lit(0).cast("long"))
+    out = (written(df) if levels > 1 else df).withColumn("node", F.lit(0).cast("long"))
     for lv in range(levels):
         x = dims[lv % len(dims)]
         means = {r["node"]: r["mean"] for r in out.groupBy("node").agg(F.avg(x).alias("mean")).collect()}
