@@ -163,5 +163,46 @@ SELECT lang, source, part, item, value, rank FROM (
 WHERE part = 'pair' OR rank <= 50"""
 
 
+def op12_sql(order: int = 4, weight: float = 4.0) -> str:
+    """The same models in SQL, for tables with at most 20,000 URLs a verdict, where the sample is all of them."""
+    w, top = f"{weight}::DOUBLE", order + 1
+
+    def fits(rule: str) -> str:
+        h, _, p = rule.partition("/")
+        return f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}')"
+
+    longest_first = sorted(URL_RULES, key=lambda r: -len(r[0]))
+    case = lambda i: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[i]}'" for r in longest_first) + " END"
+    marked = f"repeat(chr(2), {order}) || coalesce(url, '') || chr(3)"
+    share = lambda x, p: f"(n{x} + {w} * {p}) / (c{x} + {w}) AS p{x}"
+    levels = [f"p1 AS (SELECT k.g, {share('a', '(1.0::DOUBLE / chars)')}, {share('r', '(1.0::DOUBLE / chars)')} FROM k JOIN c ON c.h = '', chars WHERE n = 1 AND na + nr >= 2)"]
+    for n in range(2, top + 1):
+        levels.append(f"p{n} AS (SELECT k.g, {share('a', 'p.pa')}, {share('r', 'p.pr')} FROM k JOIN c ON c.h = left(k.g, {n - 1}) JOIN p{n - 1} p ON p.g = right(k.g, {n - 1}) WHERE n = {n} AND na + nr >= 2)")
+    less = lambda n: "".join(f" + coalesce(b{j}.b, 0)" for j in range(n, top))
+    value = "CASE " + " ".join(f"WHEN d{n}.d IS NOT NULL THEN d{n}.d{less(n)}" for n in range(top, 0, -1)) + f" ELSE root{less(1)} END"
+    joins = " ".join(f"LEFT JOIN m d{n} ON d{n}.g = substr(s, i - {n - 1}, {n})" for n in range(1, top + 1)) + " " + " ".join(f"LEFT JOIN m b{n} ON b{n}.g = substr(s, i - {n}, {n})" for n in range(1, top))
+    return rf"""
+WITH u AS (SELECT page_id, url, {_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+v AS (SELECT *, {case(0)} AS rule, {case(1)} AS said FROM u),
+l AS (SELECT DISTINCT url, said = 'allow' AS acc, left(md5(url), 1) < '4' AS held FROM v WHERE rule IS NOT NULL AND length(url) <= 2000),
+f AS (SELECT acc, t.n, substr(s, i - t.n + 1, t.n) AS g FROM (SELECT acc, {marked} AS s, unnest(range({top}, {order} + length(url) + 2)) AS i FROM l WHERE NOT held), range(1, {top + 1}) t(n)),
+k AS (SELECT n, g, count(*) FILTER (acc) AS na, count(*) FILTER (NOT acc) AS nr FROM f GROUP BY n, g),
+c AS (SELECT left(g, n - 1) AS h, sum(na)::BIGINT AS ca, sum(nr)::BIGINT AS cr FROM k GROUP BY 1),
+chars AS (SELECT count(*) + 1 AS chars FROM k WHERE n = 1),
+{", ".join(levels)},
+b AS (SELECT h, round(ln((cr + {w}) / (ca + {w})) * 1000000)::BIGINT AS b FROM c),
+m AS (SELECT g, round(ln(pa / pr) * 1000000)::BIGINT AS d, coalesce(b, 0) AS b FROM ({" UNION ALL ".join(f"SELECT * FROM p{n}" for n in range(1, top + 1))}) LEFT JOIN b ON h = g),
+root AS (SELECT b AS root FROM b WHERE h = ''),
+x AS (SELECT url, s, unnest(range({top}, length(s) + 1)) AS i FROM (SELECT DISTINCT coalesce(url, '') AS url, {marked} AS s FROM v WHERE rule IS NULL UNION SELECT url, {marked} FROM l WHERE held)),
+y AS (SELECT url, sum({value})::BIGINT::DOUBLE / (count(*) * 1000000)::DOUBLE AS score FROM x {joins}, root GROUP BY url),
+z AS (SELECT floor(score * 1000)::BIGINT AS v, count(*) FILTER (acc) AS a, count(*) FILTER (NOT acc) AS r FROM l JOIN y USING (url) WHERE held GROUP BY 1),
+t AS (SELECT coalesce(sum(a), 0) AS accepted, coalesce(sum(r), 0) AS rejected FROM z),
+w AS (SELECT v AS lo, lead(v) OVER (ORDER BY v) AS hi, sum(a) OVER (ORDER BY v) AS lost, sum(r) OVER (ORDER BY v) AS caught FROM z UNION ALL SELECT NULL, min(v), 0, 0 FROM z),
+cuts AS (SELECT lost * rejected + (rejected - caught) * accepted AS err, least(CASE WHEN lo IS NULL THEN 0 ELSE greatest(lo + 1, 0) END, coalesce(hi, 1000000000)) AS place FROM w, t WHERE accepted > 0 AND rejected > 0),
+cut AS (SELECT coalesce((SELECT place FROM cuts ORDER BY err, abs(place), place LIMIT 1), 0) AS place)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN said WHEN floor(score * 1000) >= place THEN 'allow' ELSE 'block' END AS verdict, CASE WHEN rule IS NULL THEN score END AS score
+FROM v LEFT JOIN y ON y.url = coalesce(v.url, '') AND rule IS NULL, cut"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_jaccard": OP6_SQL, "op11_divergence": OP11_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_jaccard": OP6_SQL, "op11_divergence": OP11_SQL, "op12_urls": op12_sql()}

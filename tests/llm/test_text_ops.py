@@ -291,10 +291,11 @@ def test_bpe_of_very_long_texts(spark, kind):
     assert got[1]["ids"] == enc.encode_ordinary(text)
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op4_exact_dedup", "op6_jaccard", "op11_divergence"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op4_exact_dedup", "op6_jaccard", "op11_divergence", "op12_urls"])
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.sql(Q.oracle_sql()[name])
     got = Q.queries()[name](spark, sf).select(*want.columns)
     assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
