@@ -234,13 +234,15 @@ def prefix(counts: DataFrame) -> DataFrame:
 
 
 def row_class(df: DataFrame, space: Space, div: tuple[int, ...], width) -> DataFrame:
-    """INSIDE, HALO (within ``width`` of the owner's border) or GHOST (out of the owner's box)."""
+    """INSIDE, HALO (within ``width`` of the owner's border) or GHOST (out of the box of the processor that holds it; proc_id, if there is one, names that)."""
     near, out = F.lit(False), F.lit(False)
     for (d, lo, hi, _), n in zip(space.axes(), div, strict=True):
         side = (hi - lo) / n
         at = (F.col(d) - lo) - F.least(F.greatest(F.floor((F.col(d) - lo) / side), F.lit(0)), F.lit(n - 1)) * side
         near = near | (at < width) | (at >= side - width)
         out = out | (F.col(d) < lo) | (F.col(d) >= hi)
+    if "proc_id" in df.columns:
+        out = out | (box_owner(space, div) != F.col("proc_id"))
     return df.withColumn("row_class", F.when(out, "GHOST").when(near, "HALO").otherwise("INSIDE"))
 
 

@@ -75,6 +75,32 @@ def checkpoint_remap(spark, sf):
     return longs(out.groupBy("proc_id").agg(F.count("*").alias("n"), F.sum("q").alias("q")).join(read, "proc_id"), "proc_id", "n", "q", "files")
 
 
+@query(
+    f"""WITH {GHOSTS}, u AS (SELECT (x // 500) * 4 + (y // 500) * 2 + z // 500 AS proc_id, CASE WHEN {" OR ".join(f"{c} % 500 < 40 OR {c} % 500 >= 460" for c in XYZ)} THEN 'HALO' ELSE 'INSIDE' END AS row_class FROM p UNION ALL SELECT dst, 'GHOST' FROM g)
+SELECT proc_id::BIGINT AS proc_id, row_class, count(*)::BIGINT AS n FROM u GROUP BY ALL"""
+)
+def row_class_ghosts(spark, sf):
+    """Classes of the rows that a processor holds, its own and ghosts."""
+    p = particles(spark, sf).withColumn("proc_id", pt.box_owner(BOX, DIV))
+    held = pt.row_class(pt.with_ghosts(p, pt.ghosts(p.drop("proc_id"), BOX, DIV, R)), BOX, DIV, R)
+    return held.groupBy("proc_id", "row_class").agg(F.count("*").alias("n"))
+
+
+FOUR = Space(("x", "y", "z", "t"), (0,) * 4, (L,) * 4, (True, True, False, True))
+
+
+@query(
+    f"WITH {P}, f AS (SELECT *, q // 1000 % 1000 AS t FROM p), g AS (SELECT sx, sy, 0 AS sz, st, ox * 4 + oy * 2 + ot AS dst FROM f, (VALUES (-1), (0), (1)) a(sx), (VALUES (-1), (0), (1)) b(sy), (VALUES (-1), (0), (1)) d(st), (VALUES (0), (1)) e(ox), (VALUES (0), (1)) h(oy), (VALUES (0), (1)) k(ot) "
+    f"WHERE {' AND '.join(f'{c} + s{c} * 1000 >= o{c} * 500 - 40 AND {c} + s{c} * 1000 < o{c} * 500 + 540' for c in 'xyt')} AND NOT (sx = 0 AND sy = 0 AND st = 0 AND (x // 500) * 4 + (y // 500) * 2 + t // 500 = ox * 4 + oy * 2 + ot)) "
+    "SELECT sx::BIGINT AS s_x, sy::BIGINT AS s_y, sz::BIGINT AS s_z, st::BIGINT AS s_t, count(*)::BIGINT AS n FROM g GROUP BY ALL"
+)
+def ghost_shifts(spark, sf):
+    """Ghosts in four dimensions, one of them open and uncut, by the shift of their image."""
+    f = particles(spark, sf).withColumn("t", F.floor(F.col("q") / 1000) % 1000)
+    g = pt.ghosts(f, FOUR, (2, 2, 1, 2), R).groupBy("s_x", "s_y", "s_z", "s_t").agg(F.count("*").alias("n"))
+    return longs(g, "s_x", "s_y", "s_z", "s_t", "n")
+
+
 TEN = tuple(f"x{i}" for i in range(10))
 WIDE = Space(TEN, (0,) * 10, (L,) * 10, (True,) * 10)
 SPOT = ", ".join(f"(c_nationkey * {97 * (i + 1)} + CAST(round(c_acctbal * 100) + 1000000 AS BIGINT) // {7 ** i} % 40) % 1000 AS x{i}" for i in range(10))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.space import with_hilbert
 from ..operators import decomposition as dc
+from ..operators import graph as gr
 from ..operators import partition as pn
 from ..sources.files import written
 from .catalogue import BOX, particles, query
@@ -47,6 +48,16 @@ def graph_kway(spark, sf):
     return cover.crossJoin(pn.quality(found, e, PARTS)).crossJoin(curve).select("vertices", "procs", (F.col("balance") <= 1 + SLACK).alias("balanced"), (F.col("cut") <= F.col("curve")).alias("cut_no_larger"))  # one row each
 
 
+@query("SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) AS vertices, (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) - 1 AS last, 8::BIGINT AS procs, true AS contiguous")
+def graph_kway_redistribute(spark, sf):
+    """The partition as moves of a distributed graph: vertices start by ids, move, and get ids that are contiguous a processor."""
+    v, e = trade(spark, sf)
+    found = pn.partition(v, e, PARTS, SLACK).select("gid", F.col("proc_id").alias("target"))
+    after = written(gr.redistribute(by_id(v, PARTS), found))
+    ranges = after.groupBy("proc_id").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n"))
+    return ranges.agg(F.sum("n").alias("vertices"), F.max("hi").alias("last"), F.count("*").alias("procs"), F.bool_and(F.col("hi") - F.col("lo") + 1 == F.col("n")).alias("contiguous"))
+
+
 @query("SELECT 4096::BIGINT AS cells, sum(n)::BIGINT AS particles, true AS balanced, true AS cut_no_larger FROM (SELECT count(*) AS n FROM orders)")
 def dist_kway(spark, sf):
     """Cells partitioned as a graph, by their particles' cost: no worse than the weighted curve in faces cut."""
