@@ -13,7 +13,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import written
+from ..sources.files import forget, written
 
 #: Moves into a processor are accepted by levels of gain, and within a level by so many bins of a hash.
 GAIN_LEVELS, HASH_BINS = 32, 256
@@ -253,16 +253,20 @@ def refined(v: DataFrame, edges: DataFrame, parts: int, slack: float = 0.05, rou
     v = written(v)
     most = (1 + slack) * sum(loads(v, parts).values()) / parts
     for r in range(rounds):
-        v, n = _relieved(v, both, parts, most, r)
+        before, (v, n) = v, _relieved(v, both, parts, most, r)
         if not n:
             break
+        forget(before)
     for r in range(rounds):
-        moves = _alone(written(gains(v, both, cost, weight).where("gain > 0")), both, r)
+        found = written(gains(v, both, cost, weight).where("gain > 0"))
         room = {p: int(most - x) for p, x in loads(v, parts).items()}
-        moves = written(_fitting(moves, "to", room, r))
+        moves = written(_fitting(_alone(found, both, r), "to", room, r))
         if not moves.take(1):
+            forget(found, moves)
             break
-        v = _moved(v, moves)
+        before, v = v, _moved(v, moves)
+        forget(before, found, moves)
+    forget(both)
     return v
 
 
@@ -283,7 +287,9 @@ def _relieved(v: DataFrame, both: DataFrame, parts: int, most: float, r: int) ->
     arriving = _fitting(moves, "to", room, r + 100)
     moves = written(_fitting(arriving, "proc_id", {p: x + x // 8 for p, x in over.items()}, r))
     n = moves.count()
-    return (_moved(v, moves), n) if n else (v, 0)
+    out = _moved(v, moves) if n else v
+    forget(moves)
+    return out, n
 
 
 def partition(vertices: DataFrame, edges: DataFrame, parts: int, slack: float = 0.05, coarse: int = 8000, rounds: int = 3, tries: int = 12, seed: int = 0) -> DataFrame:
@@ -292,7 +298,7 @@ def partition(vertices: DataFrame, edges: DataFrame, parts: int, slack: float =
     Clusters of vertices that hang together are contracted level by level, until at most ``coarse`` are left; these are
     partitioned on the driver; on the way back each level starts with its clusters' processors and is refined.  Clusters stay light
     (slack / 4 of a processor's share, or 3 times the coarsest graph's mean), so that the coarsest graph can be balanced.  Vertices that don't contract further, such as
-    whole components, are put together by hash.  Every level is written, so a lost executor costs one step.
+    whole components, are put together by hash.  Every level is written, so a lost executor costs one step, and deleted after use.
 
     Vertices without w weigh 1.  One of the first partitions follows the column key (such as a space-filling curve's index; the gid if there is
     none), the others grow from random vertices.  Vertices without edges are placed for balance.  Edges whose ends aren't among the vertices
@@ -312,6 +318,7 @@ def partition(vertices: DataFrame, edges: DataFrame, parts: int, slack: float =
         cv, ce = contracted(v, e, to)
         cn = (cv := written(cv)).count()
         if cn > 0.9 * n:
+            forget(cv, to)
             to = written(_by_hash(v, max(coarse // 2, parts)))
             cv, ce = contracted(v, e, to)
             cn = (cv := written(cv)).count()
@@ -322,9 +329,12 @@ def partition(vertices: DataFrame, edges: DataFrame, parts: int, slack: float =
     label = Local({r["gid"]: r["w"] for r in rows}, {r["gid"]: r["key"] for r in rows}, sorted(ties), parts, most).best(tries, seed)
     schema = "gid long, w long, proc_id long"
     out = v.sparkSession.createDataFrame([(r["gid"], r["w"], label[r["gid"]]) for r in rows], schema)
+    forget(v, e)
     for v, e, to in reversed(levels):
+        above = out
         named = to.join(out.select(F.col("gid").alias("to"), "proc_id"), "to").select("gid", "proc_id")
         out = refined(v.join(named, "gid").select("gid", "w", "proc_id"), e.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w"), parts, slack, rounds)
+        forget(v, e, to, above)
     return out
 
 

@@ -33,7 +33,18 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read again: plans stay short, and lost executors don't matter to what is written."""
     path = fresh(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` wrote and that nothing reads any more; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "written_at", None):
+            jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def save(df: DataFrame, path: str, by: str | None = None) -> None:
