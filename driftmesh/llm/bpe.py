@@ -24,7 +24,7 @@ LONG_WORD = 400
 WORDS_A_QUERY, ROWS_A_QUERY = 20_000, 4_000_000
 CHARS_A_ROUND = 1_000_000
 #: Words of a long text, and ids of one decoding query, at once.
-WORDS_A_ROUND, IDS_A_QUERY = 200_000, 200_000
+WORDS_A_ROUND, IDS_A_QUERY = 200_000, 400_000
 #: Places of the cache of words, and how many ids a place holds; 2^19 * (16 + 4 * 7) bytes are 23 MB.
 CACHE_PLACES, CACHE_IDS = 1 << 19, 6
 
