@@ -308,8 +308,8 @@ def _touched(t: pa.Table | pa.RecordBatch, sizes: tuple[int, ...], reach: int, l
         nodes = first % size if low is None else (first - low[i]) % size
         column = t.column(f"__w{i}")
         ws = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy().reshape(n, width)
-        at = (at[:, :, None] * (size if strides is None else strides[i]) + nodes[:, None, :]).reshape(n, -1)
-        w = (w[:, :, None] * ws[:, None, :]).reshape(n, -1)
+        at = (at[:, :, None] * (size if strides is None else strides[i]) + nodes[:, None, :]).reshape(n, width ** (i + 1))
+        w = (w[:, :, None] * ws[:, None, :]).reshape(n, width ** (i + 1))
     return at, w
 
 

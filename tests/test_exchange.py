@@ -195,3 +195,32 @@ def test_a_run_rebalances_itself(spark):
     assert all((r["spread"] < r["spread_before"] and 0 < r["moved_rows"] < 2000) if r["rebalanced"] else r["moved_cells"] == 0 for r in log)
     held = Counter(r["proc_id"] for r in frame.collect())
     assert 100 * (max(held.values()) - min(held.values())) / 500 == pytest.approx(log[-1]["spread"])
+
+
+@pytest.mark.parametrize(("sizes", "reach", "crowd"), [((20, 13), 1, None), ((20, 13), 2, 5), ((9, 16, 11), 2, None), ((5, 5, 5), 1, 3)])
+def test_particles_and_mesh_as_by_rows(spark, monkeypatch, sizes, reach, crowd):
+    """The same sums as row by row: sizes that aren't whole blocks, places out of the box, crowded blocks that are cut, missing nodes."""
+    from driftmesh.functions.space import hat, m4_prime
+    from driftmesh.operators import blocks
+
+    if crowd:
+        monkeypatch.setattr(blocks, "BLOCK_ROWS", crowd)
+    rng = random.Random(sum(sizes))
+    names, axes, weight = ("x", "y", "z")[: len(sizes)], AXES[: len(sizes)], hat if reach == 1 else m4_prime
+    rows = [(n, *(rng.choice([rng.uniform(-4, 2 * s + 4), 2.0 * rng.randrange(s)]) for s in sizes), rng.uniform(-1, 1), float(n)) for n in range(120)]
+    p = spark.createDataFrame(rows, "pid long, " + ", ".join(f"{c} double" for c in names) + ", q double, w2 double")
+    by_row = gd.particle_nodes(p, names, 2.0, sizes, weight, reach)
+    table = lambda df, key, fields: {tuple(r[c] for c in key): tuple(r[f] for f in fields) for r in df.collect()}
+
+    def same(got, want):
+        assert set(got) == set(want)
+        for k, v in want.items():
+            assert got[k] == pytest.approx(v, abs=1e-9)
+
+    want = by_row.groupBy(*axes).agg(F.sum(F.col("w") * F.col("q")).alias("q"), F.sum(F.col("w") * F.col("w2")).alias("w2"))
+    same(table(gd.to_mesh(p, names, 2.0, sizes, weight, reach, ("q", "w2"), 4), axes, ("q", "w2")), table(want, axes, ("q", "w2")))
+    nodes = [(*at, rng.uniform(0, 9), rng.uniform(0, 9)) for at in itertools.product(*map(range, sizes)) if rng.random() < 0.7]
+    mesh = spark.createDataFrame(nodes, ", ".join(f"{a} long" for a in axes) + ", u double, v double")
+    want = by_row.join(mesh, list(axes)).groupBy("pid").agg(F.sum(F.col("w") * F.col("u")).alias("u"), F.sum(F.col("w") * F.col("v")).alias("v"))
+    same(table(gd.from_mesh(p, mesh, names, 2.0, sizes, weight, reach, ("u", "v"), 4), ("pid",), ("u", "v")), table(want, ("pid",), ("u", "v")))
+    assert gd.to_mesh(p.limit(0), names, 2.0, sizes, weight, reach, ("q",), 4).count() == 0
