@@ -186,10 +186,14 @@ def explicit_parameters(spark, sf):
     return longs(sizes.na.fill(0), "proc_id", "cells", "particles", "ghost_cells")
 
 
-@query("SELECT * FROM (VALUES ('missing', 1::BIGINT), ('outside', 1::BIGINT), ('unowned', 2::BIGINT)) t(kind, n)")
+@query(
+    f"WITH {OWNERS}, b AS (SELECT count(*) FILTER (n % 5 = 1) AS moved, count(*) FILTER (n % 7 = 0) AS bad FROM h) "
+    "SELECT kind, n::BIGINT AS n FROM (SELECT 'missing' AS kind, moved AS n FROM b UNION ALL SELECT 'outside', moved FROM b UNION ALL SELECT 'unowned', bad FROM b) WHERE n > 0"
+)
 def check_consistency(spark, sf):
-    """One cell's number is out of range, two owners don't exist."""
-    bad = owners(spark, sf).select(F.when(F.col("cell") == 7, 512).otherwise(F.col("cell")).alias("cell"), F.when(F.col("cell") < 2, 6).otherwise(F.col("proc_id")).alias("proc_id"))
+    """Cells whose number of particles is 1 above a multiple of 5 get a number out of range; those with a multiple of 7 an owner that doesn't exist."""
+    o = owners(spark, sf)
+    bad = o.select(F.when(F.col("cost") % 5 == 1, F.col("cell") + 512).otherwise(F.col("cell")).alias("cell"), F.when(F.col("cost") % 7 == 0, 6).otherwise(F.col("proc_id")).alias("proc_id"))
     return dc.inconsistencies(bad, 512, 6)
 
 
