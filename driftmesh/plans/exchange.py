@@ -112,7 +112,7 @@ def nn_ten_axes(spark, sf):
     cents = F.round(F.col("c_acctbal") * 100).cast("long") + 1000000
     spot = [((F.col("c_nationkey") * (97 * (i + 1)) + F.floor(cents / 7**i) % 40) % L).cast("long").alias(x) for i, x in enumerate(TEN)]
     rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("pid"), *spot)
-    return longs(nb.neighbours(rows, rows, WIDE, 50).groupBy("pid").agg(F.count("*").alias("n")), "pid", "n")
+    return longs(nb.counted(rows, rows, WIDE, 50), "pid", "n")
 
 
 @query(f"WITH {P} SELECT count(*)::BIGINT AS points, sum(pid)::BIGINT AS pid, sum(x + y + z)::DOUBLE AS place, sum(q)::BIGINT AS q FROM p")
