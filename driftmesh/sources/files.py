@@ -196,6 +196,9 @@ def write_vtk(df: DataFrame, path: str, coords: tuple[str, ...] = ("x", "y", "z"
     df.write.format("vtk").option("path", path).option("coords", ",".join(coords)).option("ends", ",".join(ends)).option("kind", kind).mode("append").save()
 
 
+#: Points of a piece that a task holds at once, and what the binary part starts with.
+POINTS, _DATA = 1 << 16, b'<AppendedData encoding="raw">\n_'
+
 _HEAD = '<?xml version="1.0"?>\n<VTKFile type="{}" version="1.0" byte_order="LittleEndian" header_type="UInt64">\n'
 
 
@@ -291,28 +294,39 @@ def write_vtp(df: DataFrame, path: str, coords: tuple[str, ...] = ("x", "y", "z"
 
 
 def read_vtp(spark: SparkSession, path: str, name: str = "particles", coords: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """The points that ``write_vtp`` wrote, through the index; a piece is read by one task.  Without pieces there are no rows."""
+    """The points that ``write_vtp`` wrote, through the index; a piece is read by one task, POINTS points at a time.  Without pieces there are no rows."""
     index = "\n".join(r["value"] for r in spark.read.text(f"{path}/{name}.pvtp").collect())  # a line a piece
     fields = re.findall(r'<PDataArray type="(\w+)" Name="([^"]*)"/>', index)
     schema = ", ".join([*(f"{c} double" for c in coords), *(f"`{c}` {'long' if kind == 'Int64' else 'double'}" for kind, c in fields)])
-    pieces = [f"{path}/{x}" for x in re.findall(r'<Piece Source="([^"]*)"/>', index)]
+    pieces = re.findall(r'<Piece Source="([^"]*)"/>', index)
     if not pieces:
         return spark.createDataFrame([], schema)
+    names = [c for _, c in fields]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _place(path)
         for b in batches:
-            for content in b.column("content"):
-                data = content.as_py()
-                start = data.index(b"_", data.index(b'<AppendedData encoding="raw">')) + 1
-                head = data[:start].decode()
-                n = int(re.search(r'NumberOfPoints="(\d+)"', head)[1])
-                at = {m[2]: (m[1], int(m[3])) for m in re.finditer(r'type="(\w+)" Name="([^"]*)" NumberOfComponents="\d" format="appended" offset="(\d+)"', head)}
-                take = lambda c, k, data=data, at=at, start=start: np.frombuffer(data, "<i8" if at[c][0] == "Int64" else "<f8", k, start + at[c][1] + 8)
-                spots = take("Points", 3 * n).reshape(n, 3)
-                cols = [*(spots[:, i] for i in range(3)), *(take(c, n) for _, c in fields)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*coords, *(c for _, c in fields)])
-
-    return spark.read.format("binaryFile").load(pieces).select("content").mapInArrow(parse, schema)
+            for piece in b.column("piece").to_pylist():
+                with fs.open_input_file(f"{base}/{piece}") as f:
+                    head = b""
+                    while (at := head.find(_DATA)) < 0 and (more := f.read(1 << 16)):
+                        head += more
+                    start, head = at + len(_DATA), head[:at].decode()
+                    n = int(re.search(r'NumberOfPoints="(\d+)"', head)[1])
+                    arrays = {m[2]: ("<i8" if m[1] == "Int64" else "<f8", int(m[3])) for m in re.finditer(r'type="(\w+)" Name="([^"]*)" NumberOfComponents="\d" format="appended" offset="(\d+)"', head)}
+
+                    def take(c: str, first: int, k: int, parts: int = 1, f=f, arrays=arrays, start=start) -> np.ndarray:
+                        kind, offset = arrays[c]
+                        f.seek(start + offset + 8 + 8 * parts * first)
+                        return np.frombuffer(f.read(8 * parts * k), kind)
+
+                    for first in range(0, n, POINTS):
+                        k = min(POINTS, n - first)
+                        spots = take("Points", first, k, 3).reshape(k, 3)
+                        cols = [*(np.ascontiguousarray(spots[:, i]) for i in range(3)), *(take(c, first, k) for c in names)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*coords, *names])
+
+    return spark.createDataFrame([(x,) for x in pieces], "piece string").repartitionByRange(len(pieces), "piece").mapInArrow(parse, schema)
 
 
 def write_subset(df: DataFrame, path: str, flag: str = "subset") -> None:

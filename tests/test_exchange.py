@@ -224,3 +224,13 @@ def test_particles_and_mesh_as_by_rows(spark, monkeypatch, sizes, reach, crowd):
     want = by_row.join(mesh, list(axes)).groupBy("pid").agg(F.sum(F.col("w") * F.col("u")).alias("u"), F.sum(F.col("w") * F.col("v")).alias("v"))
     same(table(gd.from_mesh(p, mesh, names, 2.0, sizes, weight, reach, ("u", "v"), 4), ("pid",), ("u", "v")), table(want, ("pid",), ("u", "v")))
     assert gd.to_mesh(p.limit(0), names, 2.0, sizes, weight, reach, ("q",), 4).count() == 0
+
+
+def test_binary_pieces_are_read_in_parts(spark, tmp_path, monkeypatch):
+    """A task holds some points of a piece, not all: the plan holds no file's content, and batches stay small."""
+    df = spark.range(5000).select(F.col("id").alias("pid"), *[(F.col("id") * k).cast("double").alias(x) for k, x in enumerate("xyz", 1)])
+    files.write_vtp(df.coalesce(1), f"{tmp_path}/a")
+    monkeypatch.setattr(files, "POINTS", 300)
+    back = files.read_vtp(spark, f"{tmp_path}/a")
+    assert "content" not in back._jdf.queryExecution().toString()
+    assert sorted(map(tuple, back.select("pid", "x", "y", "z").collect())) == [(n, 1.0 * n, 2.0 * n, 3.0 * n) for n in range(5000)]
