@@ -152,7 +152,12 @@ def train(docs: DataFrame, per_language: int = 1000) -> Model | None:
     rows = [r for r in rows if first.setdefault(r["lang"], 0) < per_language and not first.update({r["lang"]: first[r["lang"]] + 1})]
     if not rows:
         return None
-    return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["lang"] for r in rows]))
+    x, langs = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["lang"] for r in rows])
+    del rows
+    model = fit(x, langs)
+    del x
+    give_back()  # the driver's memory too
+    return model
 
 
 def identify_language(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataFrame:
