@@ -17,6 +17,8 @@ from ..sources.files import forget, written
 
 #: Moves into a processor are accepted by levels of gain, and within a level by so many bins of a hash.
 GAIN_LEVELS, HASH_BINS = 32, 256
+#: So many neighbours, or more, make a hub.
+DEGREES = (1 << 16) - 1
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -44,35 +46,96 @@ def _heads(c: str, level: int) -> Column:
     return F.xxhash64(c, F.lit(level)) % 2 == 0
 
 
-def coarsened(v: DataFrame, e: DataFrame, most: int, level: int) -> DataFrame:
-    """gid, to: the cluster of each vertex, of a weight of about ``most`` at most.
+def _ranked(near: DataFrame, level: int) -> DataFrame:
+    """rank of b for a: the edge's weight, then b's neighbours (column d), then a hash; one number, so that the best is found without sorting."""
+    weight = F.least(F.greatest("w", F.lit(0)), F.lit((1 << 31) - 1)).cast("long")
+    mix = F.xxhash64("b", F.lit(level)).bitwiseAND(F.lit(DEGREES).cast("long"))
+    return near.select("a", "b", (F.shiftleft(weight, 32) + F.shiftleft(F.col("d").cast("long"), 16) + mix).alias("rank"))
 
-    A coin by hash makes half of the vertices heads.  The others join their heaviest head.  A head with too many of them keeps
-    a share, the others form clusters of their own by hash, so that hubs contract as fast as meshes do.
+
+def by_hubs(e: DataFrame, level: int) -> tuple[DataFrame, int]:
+    """gid, to: vertices that join another one, which itself stays; and how many vertices have an edge at all.
+
+    Each vertex looks at its heaviest neighbour, of such the one with the most neighbours, and joins it if that has more neighbours than itself
+    (a hash decides ties) and doesn't join another: leaves and chains around a hub are contracted at once.  Of longer chains half of the
+    vertices by hash stay, for the others to join.
+    """
+    both = both_ways(e)
+    degree = both.groupBy("b").agg(F.least(F.count("*"), F.lit(DEGREES)).alias("d"))
+    near = _ranked(both.join(degree, "b"), level)
+    best = near.groupBy("a").agg(F.max_by("b", "rank").alias("b"), F.max("rank").alias("rank"), F.least(F.count("*"), F.lit(DEGREES)).alias("d"))
+    theirs = F.shiftright("rank", 16).bitwiseAND(F.lit(DEGREES).cast("long"))
+    mine, other = (F.struct(d.alias("d"), F.xxhash64(c, F.lit(level)).alias("h"), F.col(c).alias("c")) for d, c in ((F.col("d"), "a"), (theirs, "b")))
+    best = written(best.select(F.col("a").alias("gid"), F.when(other > mine, F.col("b")).alias("to")))
+    up = best.where("to IS NOT NULL")
+    chained = written(up.join(up.select(F.col("gid").alias("to"), F.lit(True).alias("on")), "to", "left").select("gid", "to", "on"))
+    long = chained.where("on").select("gid", "to")
+    ends = long.where(_heads("gid", level)).select(F.col("gid").alias("to"))
+    out = written(chained.where("on IS NULL").select("gid", "to").unionByName(long.where(~_heads("gid", level)).join(ends, "to", "left_semi").select("gid", "to")))
+    active = best.count()
+    forget(best, chained)
+    return out, active
+
+
+def by_coin(e: DataFrame, level: int) -> DataFrame:
+    """gid, to: half of the vertices, by hash, join their heaviest neighbour of the other half, whatever the numbers of their neighbours."""
+    tails = both_ways(e).where(~_heads("a", level) & _heads("b", level)).withColumn("d", F.lit(0))
+    return written(_ranked(tails, level).groupBy("a").agg(F.max_by("b", "rank").alias("to")).withColumnRenamed("a", "gid"))
+
+
+def clusters(v: DataFrame, to: DataFrame) -> DataFrame:
+    """Vertices gid, w, key of clusters: those without a row in ``to`` (gid, to) stay as they are."""
+    named = v.join(to, "gid", "left").withColumn("gid", F.coalesce("to", "gid"))
+    return written(named.groupBy("gid").agg(F.sum("w").alias("w"), F.min("key").alias("key")))
+
+
+def split(to: DataFrame, heavy: DataFrame, most: int, level: int) -> DataFrame:
+    """``to`` where clusters of more than ``most`` keep a share; the others form clusters of their own by hash, so that hubs contract as fast as meshes do.
+
+    ``heavy`` (gid, w) are these clusters, less than the total weight over ``most``.
     """
-    tails = both_ways(e).where(~_heads("a", level) & _heads("b", level))
-    picked = tails.groupBy("a").agg(F.max_by("b", F.struct("w", F.xxhash64("b", F.lit(level)))).alias("b"))
-    picked = picked.join(v.select(F.col("gid").alias("a"), "w"), "a")
-    room = picked.groupBy("b").agg(F.sum("w").alias("t")).join(v.select(F.col("gid").alias("b"), F.col("w").alias("own")), "b")
-    room = room.select("b", F.ceil((F.col("t") + F.col("own")) / most).cast("long").alias("k"))
-    placed = picked.join(room, "b").withColumn("k", F.pmod(F.xxhash64("a", F.lit(-level - 1)), F.col("k")))
-    first = placed.where("k > 0").groupBy("b", "k").agg(F.min("a").alias("first"))
-    joins = placed.join(first, ["b", "k"], "left").select(F.col("a").alias("gid"), F.coalesce("first", "b").alias("to"))
-    return v.select("gid").join(joins, "gid", "left").select("gid", F.coalesce("to", "gid").alias("to"))
+    k = F.ceil(F.col("w") / most).cast("long")
+    placed = to.join(F.broadcast(heavy.select(F.col("gid").alias("to"), k.alias("k"))), "to", "left").withColumn("k", F.pmod(F.xxhash64("gid", F.lit(-level - 1)), F.col("k")))
+    first = placed.where("k > 0").groupBy("to", "k").agg(F.min("gid").alias("first"))
+    return written(placed.join(first, ["to", "k"], "left").select("gid", F.coalesce("first", "to").alias("to")))
 
 
 def _by_hash(v: DataFrame, clusters: int) -> DataFrame:
     """gid, to: vertices in clusters by hash, whatever their edges."""
     keyed = v.select("gid", F.pmod(F.xxhash64("gid"), F.lit(clusters)).alias("k"))
-    return keyed.join(keyed.groupBy("k").agg(F.min("gid").alias("to")), "k").select("gid", "to")
+    return written(keyed.join(keyed.groupBy("k").agg(F.min("gid").alias("to")), "k").select("gid", "to"))
 
 
-def contracted(v: DataFrame, e: DataFrame, to: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges between clusters, with the sums of their weights."""
-    cv = v.join(to, "gid").groupBy(F.col("to").alias("gid")).agg(F.sum("w").alias("w"), F.min("key").alias("key"))
+def coarsened(v: DataFrame, e: DataFrame, n: int, most: int, bins: int, level: int) -> tuple[DataFrame, DataFrame, int]:
+    """to, the clusters and their number, of n vertices: around hubs; if less than a tenth of the vertices with edges joins, by a coin; else by hash.
+
+    Clusters have a weight of about ``most`` at most.
+    """
+    if e.take(1):
+        to, active = by_hubs(e, level)
+        for again in (True, False):
+            cv = clusters(v, to)
+            cn, top = cv.agg(F.count("*"), F.max("w")).first()
+            if top > most:
+                before, to = (cv, to), split(to, cv.where(F.col("w") > most), most, level)
+                cv = clusters(v, to)
+                cn = cv.count()
+                forget(*before)
+            if n - cn >= 0.1 * active:
+                return to, cv, cn
+            forget(cv, to)
+            if again:
+                to = by_coin(e, level)
+    to = _by_hash(v, bins)
+    cv = clusters(v, to)
+    return to, cv, cv.count()
+
+
+def contracted(e: DataFrame, to: DataFrame) -> DataFrame:
+    """Edges between clusters, with the sums of their weights."""
     for c in ("u", "v"):
-        e = e.join(to.select(F.col("gid").alias(c), F.col("to").alias(f"__{c}")), c)
-    return cv, undirected(e.select(F.col("__u").alias("src"), F.col("__v").alias("dst"), "w"))
+        e = e.join(to.select(F.col("gid").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    return undirected(e.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w"))
 
 
 class Local:
@@ -172,16 +235,25 @@ class Local:
     def cut(self, label: dict[int, int]) -> int:
         return sum(w for a, bs in self.near.items() for b, w in bs.items() if a < b and label[a] != label[b])
 
+    def cost(self, label: dict[int, int]) -> tuple[float, int]:
+        """What the fullest part has above ``most``, and the cut."""
+        load = defaultdict(int)
+        for g, p in label.items():
+            load[p] += self.w[g]
+        return max(0, max(load.values(), default=0) - self.most), self.cut(label)
+
     def best(self, tries: int, seed: int) -> dict[int, int]:
         def tried(i: int) -> tuple:
             rng = random.Random(seed * 1000 + i)
             label = self.improved(self.grown(rng) if i else self.along_keys(), rng)
-            load = defaultdict(int)
-            for g, p in label.items():
-                load[p] += self.w[g]
-            return max(0, max(load.values(), default=0) - self.most), self.cut(label), i, label
+            return *self.cost(label), i, label
 
-        return min((tried(i) for i in range(max(tries, min(200, 4000 // max(len(self.w), 1))))), key=lambda x: x[:3])[3]
+        found = []
+        for i in range(max(tries, min(200, 4000 // max(len(self.w), 1)))):
+            found.append(tried(i))
+            if found[-1][:2] == (0, 0):  # none is better
+                break
+        return min(found, key=lambda x: x[:3])[3]
 
 
 def loads(v: DataFrame, parts: int) -> dict[int, int]:
@@ -249,7 +321,11 @@ def refined(v: DataFrame, edges: DataFrame, parts: int, slack: float = 0.05, rou
     Their sum never rises.  No processor gets above (1 + slack) times the mean load by moves; one that is above it gives vertices away first,
     those that cost least, to processors with room, and only there the sum may rise.
     """
-    both = written(both_ways(undirected(edges)))
+    return _refined(v, undirected(edges), parts, slack, rounds, cost, weight)
+
+
+def _refined(v: DataFrame, e: DataFrame, parts: int, slack: float, rounds: int, cost: Column | None = None, weight: int = 1) -> DataFrame:
+    both = written(both_ways(e))
     v = written(v)
     most = (1 + slack) * sum(loads(v, parts).values()) / parts
     for r in range(rounds):
@@ -296,7 +372,8 @@ def partition(vertices: DataFrame, edges: DataFrame, parts: int, slack: float =
     """gid, w, proc_id: a k-way partition with loads of at most (1 + slack) times the mean and few edges cut.
 
     Clusters of vertices that hang together are contracted level by level, until at most ``coarse`` are left; these are
-    partitioned on the driver; on the way back each level starts with its clusters' processors and is refined.  Clusters stay light
+    partitioned on the driver; on the way back each level starts with its clusters' processors and is refined, unless the coarsest graph is
+    balanced with nothing cut, which holds for all levels then.  Clusters stay light
     (slack / 4 of a processor's share, or 3 times the coarsest graph's mean), so that the coarsest graph can be balanced.  Vertices that don't contract further, such as
     whole components, are put together by hash.  Every level is written, so a lost executor costs one step, and deleted after use.
 
@@ -314,37 +391,40 @@ def partition(vertices: DataFrame, edges: DataFrame, parts: int, slack: float =
     light = max(int(heaviest), int(total * slack / (4 * parts)), -(-3 * total // coarse), 1)
     levels, level = [], 0
     while n > coarse:
-        to = written(coarsened(v, e, light, level))
-        cv, ce = contracted(v, e, to)
-        cn = (cv := written(cv)).count()
-        if cn > 0.9 * n:
-            forget(cv, to)
-            to = written(_by_hash(v, max(coarse // 2, parts)))
-            cv, ce = contracted(v, e, to)
-            cn = (cv := written(cv)).count()
+        to, cv, cn = coarsened(v, e, n, light, max(coarse // 2, parts), level)
         levels.append((v, e, to))
-        v, e, n, level = cv, written(ce), cn, level + 1
+        v, e, n, level = cv, written(contracted(e, to)), cn, level + 1
     most = (1 + slack) * total / parts
     rows, ties = v.collect(), [tuple(r) for r in e.select("u", "v", "w").collect()]
-    label = Local({r["gid"]: r["w"] for r in rows}, {r["gid"]: r["key"] for r in rows}, sorted(ties), parts, most).best(tries, seed)
+    local = Local({r["gid"]: r["w"] for r in rows}, {r["gid"]: r["key"] for r in rows}, sorted(ties), parts, most)
+    label = local.best(tries, seed)
     schema = "gid long, w long, proc_id long"
     out = v.sparkSession.createDataFrame([(r["gid"], r["w"], label[r["gid"]]) for r in rows], schema)
+    best = local.cost(label) == (0, 0)  # clusters' edges and loads are those of what is in them, so no level has a move to make
     forget(v, e)
     for v, e, to in reversed(levels):
         above = out
-        named = to.join(out.select(F.col("gid").alias("to"), "proc_id"), "to").select("gid", "proc_id")
-        out = refined(v.join(named, "gid").select("gid", "w", "proc_id"), e.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w"), parts, slack, rounds)
+        named = v.join(to, "gid", "left").withColumn("to", F.coalesce("to", "gid")).join(above.select(F.col("gid").alias("to"), "proc_id"), "to").select("gid", "w", "proc_id")
+        out = written(named) if best else _refined(named, e, parts, slack, rounds)
         forget(v, e, to, above)
     return out
 
 
+def cuts(v: DataFrame, edges: DataFrame, names: tuple[str, ...] = ("proc_id",)) -> DataFrame:
+    """One row: for each column of processors the weight of edges between different ones, under the column's name."""
+    e = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1))
+    for c in ("src", "dst"):
+        e = e.join(v.select(F.col("gid").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in names]), c)
+    return e.agg(*[F.coalesce(F.sum(F.when(F.col(f"src_{n}") != F.col(f"dst_{n}"), F.col("w").cast("long"))), F.lit(0)).alias(n) for n in names])
+
+
 def quality(v: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
     """One row: cut (weight of edges between processors), balance (largest load over the mean) and, with a column home, migration (weight away from home)."""
-    at = v.select("gid", "proc_id")
-    e = undirected(edges)
-    for c in ("u", "v"):
-        e = e.join(at.select(F.col("gid").alias(c), F.col("proc_id").alias(f"p{c}")), c)
-    cut = e.agg(F.coalesce(F.sum(F.when(F.col("pu") != F.col("pv"), F.col("w"))), F.lit(0)).alias("cut"))
+    cut = cuts(v, edges).withColumnRenamed("proc_id", "cut")
+    return cut.crossJoin(balance(v, parts))  # one row each
+
+
+def balance(v: DataFrame, parts: int) -> DataFrame:
+    """One row: balance and, with a column home, migration, as ``quality`` has them."""
     by_proc = v.groupBy("proc_id").agg(F.sum("w").alias("load"), *([F.sum(F.when(F.col("proc_id") != F.col("home"), F.col("w")).otherwise(0)).alias("away")] if "home" in v.columns else []))
-    balance = by_proc.agg((F.max("load") * parts / F.sum("load")).alias("balance"), *([F.sum("away").alias("migration")] if "home" in v.columns else []))
-    return cut.crossJoin(balance)  # one row each
+    return by_proc.agg((F.max("load") * parts / F.sum("load")).alias("balance"), *([F.sum("away").alias("migration")] if "home" in v.columns else []))

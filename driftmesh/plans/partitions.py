@@ -41,11 +41,14 @@ def by_id(v: DataFrame, parts: int) -> DataFrame:
 def graph_kway(spark, sf):
     """All vertices once, on 8 processors, loads within 5 % of the mean, and a cut no larger than that of the curve of ids."""
     v, e = trade(spark, sf)
-    v = v.withColumn("w", F.lit(1).cast("long"))
-    found = written(pn.partition(v, e, PARTS, SLACK))
-    curve = pn.quality(by_id(v, PARTS), e, PARTS).select(F.col("cut").alias("curve"))
-    cover = v.select("gid").join(found, "gid").agg(F.count_distinct("gid").alias("vertices"), F.count_distinct("proc_id").alias("procs"))
-    return cover.crossJoin(pn.quality(found, e, PARTS)).crossJoin(curve).select("vertices", "procs", (F.col("balance") <= 1 + SLACK).alias("balanced"), (F.col("cut") <= F.col("curve")).alias("cut_no_larger"))  # one row each
+    v, e = v.withColumn("w", F.lit(1).cast("long")), written(e)
+    found = pn.partition(v, e, PARTS, SLACK)
+    both = by_id(found.withColumnRenamed("proc_id", "cut"), PARTS).withColumnRenamed("proc_id", "curve")
+    cuts = pn.cuts(both, e, ("cut", "curve"))
+    once = v.select("gid").join(found, "gid").groupBy("gid").agg(F.min("proc_id").alias("proc_id"))
+    cover = once.groupBy("proc_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("vertices"), F.count("*").alias("procs"))
+    rows = cover.crossJoin(pn.balance(found, PARTS)).crossJoin(cuts)  # one row each
+    return rows.select("vertices", "procs", (F.col("balance") <= 1 + SLACK).alias("balanced"), (F.col("cut") <= F.col("curve")).alias("cut_no_larger"))
 
 
 @query("SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) AS vertices, (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) - 1 AS last, 8::BIGINT AS procs, true AS contiguous")
