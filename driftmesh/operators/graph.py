@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.space import every, offset_rows, offsets
+from ..sources.files import written
 from .grid import IJK, nodes
 
 
@@ -64,10 +65,10 @@ def redistribute(vertices: DataFrame, moves: DataFrame, width: int = 1 << 20) ->
     """Vertices after queued moves (gid, target), with new ids rid that are contiguous a processor and in the order of gid.
 
     Ranks are taken within slices of ``width`` gids of a processor; slices' counts are summed up before, so
-    no task orders the whole graph or a whole processor.
+    no task orders the whole graph or a whole processor.  Moved vertices are written once, as counts and ranks both read them.
     """
     v = vertices.join(moves, "gid", "left").withColumn("proc_id", F.coalesce("target", "proc_id")).drop("target")
-    v = v.withColumn("__slice", F.floor(F.col("gid") / width))
+    v = written(v.withColumn("__slice", F.floor(F.col("gid") / width)))
     counts = v.groupBy("proc_id", "__slice").agg(F.count("*").alias("n"))
     up = Window.partitionBy("proc_id").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("__before", F.coalesce(F.sum("n").over(up), F.lit(0))).join(F.broadcast(distribution(v).drop("n")), "proc_id")
