@@ -174,6 +174,41 @@ def test_a_bounded_table_keeps_suffixes(spark):
     assert all(g[1:] in grams for g in grams if len(g) > 1)
 
 
+@pytest.mark.parametrize("bound", [None, 300])
+def test_models_learn_from_all_urls(spark, tmp_path, monkeypatch, bound):
+    """More than 20,000 URLs a verdict, or a table that joins by shuffle."""
+    import duckdb
+    from driftmesh.llm import url_filter
+
+    if bound:
+        monkeypatch.setattr(url_filter, "BROADCAST", bound)
+        urls, other = made_up_urls()
+    else:
+        rng = random.Random(12)
+        paths = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(21_000)]
+        urls = [f"http://{host}/{p[k:]}" for k, host in enumerate(("a.com", "b.net/es")) for p in paths]
+        other = [f"http://c.org/{p[5:]}" for p in paths[:300]] + ["http://c.org/"] * 3
+    rows = [(i, u) for i, u in enumerate([*urls, *other, None, "http://d.com/" + "y" * 2100])]
+    path = f"{tmp_path}/pages.parquet"
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/*.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(Q.op12_sql()).fetchall()}
+    got = {r["page_id"]: tuple(r)[1:] for r in Q.op12_urls(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict", "score").collect()}
+    assert {i: r[:4] for i, r in got.items()} == {i: r[:4] for i, r in want.items()}
+    assert all(r[4] == want[i][4] or abs(r[4] - want[i][4]) < 2e-6 for i, r in got.items())
+
+
+def test_long_urls_are_learned_from(spark):
+    from driftmesh.llm.url_filter import train_urls
+
+    urls, _ = made_up_urls()
+    rows = [(u, "allow" if ".com/" in u else "block") for u in [*urls, *(f"http://q{k}.com/{'zw' * 1500}" for k in range(8))]]
+    known = spark.createDataFrame(rows, "url string, verdict string")
+    seen = [train_urls(known, max_chars=n).grams.where("gram = 'zw'").count() for n in (None, 2000)]
+    assert seen == [1, 0]
+
+
 # periodic runs
 
 
